@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import quality_rules, secrets, simhash
+from brindle.llm import decontaminate, quality_rules, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,32 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contained(docs, items, threshold=0.8, width=5)
+
+
+#: Exact containment of five-word shingles, joined as text.
+OP6_SQL = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), item_shingles AS (
+  SELECT DISTINCT item_id, least(len(w), 5) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s
+  FROM item_words WHERE len(w) > 0
+), sized AS (
+  SELECT item_id, count(*) AS m FROM item_shingles GROUP BY item_id
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), doc_shingles AS (
+  SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM doc_words, (SELECT DISTINCT k FROM item_shingles) WHERE len(w) >= k
+)
+SELECT d.doc_id, i.item_id, z.m AS n_shingles, count(*) AS n_shared, count(*) / z.m AS containment
+FROM doc_shingles d JOIN item_shingles i ON d.k = i.k AND d.s = i.s JOIN sized z ON z.item_id = i.item_id
+GROUP BY d.doc_id, i.item_id, z.m HAVING 5 * count(*) >= 4 * z.m
+"""
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, "text", "found").select("doc_id", "found")
@@ -43,10 +69,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_simhash_dedup": op3_simhash_dedup,
+        "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_secret_scan": op7_secret_scan,
         "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_benchmark_decontamination": OP6_SQL}
