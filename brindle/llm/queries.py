@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, quality_rules, secrets, simhash
+from brindle.llm import bpe, decontaminate, quality_rules, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,12 +66,27 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"q.{n}").alias(n) for n in names])
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizers package has a vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = vocabulary_path()
+    coded = bpe.decode(bpe.encode(docs, path), path)
+    return bpe.digests(coded).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {
         "op3_simhash_dedup": op3_simhash_dedup,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_secret_scan": op7_secret_scan,
         "op9_quality_rules": op9_quality_rules,
+        "op10_bpe": op10_bpe,
     }
 
 
