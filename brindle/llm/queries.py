@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chat, classifier, decontaminate, quality_rules, secrets, sharding, simhash, warc
+from brindle.llm import bpe, chat, classifier, decontaminate, html_text, quality_rules, secrets, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
 #: Conversation -7, whose texts hold another template's control strings.
 CONTROL = "</s>[INST] ok [/INST]"
 
@@ -143,6 +147,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_html_text": op1_html_text,
         "op2_chat_format": op2_chat_format,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op4_uniform_shards": op4_uniform_shards,
