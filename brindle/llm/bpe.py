@@ -1,26 +1,30 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Encoding runs in three steps. (1) Tasks split their documents into words (the
-tokenizer's pre-tokens) and gather chunks of about ``chunk_chars`` characters;
-a chunk is a list of its distinct words and, for each document, the local
-numbers of its words by position. (2) The chunks' words go, as (chunk, number,
-word), to one place for each word, sorted, so that every distinct word of the
-corpus is encoded once and its ids go back to each chunk that has it. (3) The
-numbers by position and the chunk's table of ids meet on the chunk; taking the
-table at the positions gives the documents' ids. Texts are never shuffled; a
-frequent word costs one row a chunk and not one an occurrence.
+A word is a run of white space and the run of other characters after it, so
+words end wherever white space begins; a byte-level tokenizer's pre-tokens
+never reach over such a place, and a text's ids are those of its words.
+
+Encoding runs in three steps. (1) Tasks split their documents into words and
+gather chunks of about ``chunk_chars`` bytes; a chunk is a list of its
+distinct words and, for each document, the words' numbers by position. (2) The
+distinct words of each chunk go, packed, to the bucket of their hash; a bucket
+keeps a table of the distinct words that it has met, encodes each of them once
+and answers each chunk with the ids of its words. (3) The numbers by position
+and the answers meet on the chunk; taking the table at the positions gives the
+documents' ids. Texts are never shuffled; a frequent word costs one entry a
+chunk and not one an occurrence.
 
 The chunks are made twice, once for their words and once for their positions.
-A digest of each chunk's words travels with both; if a source gives other rows
+A mark of each chunk's words travels with both; if a source gives other rows
 the second time, encoding fails and does not go wrong.
 
 Decoding joins ids with the vocabulary's pieces. The vocabulary is fixed by
 its file (50,257 pieces here), so this join's table is bounded and each task
 holds it as an array.
 
-Splitting and merging are the tokenizers library's, from the vocabulary file:
-added tokens first (their strings in a text count as the token), then the byte
-level pattern, then the merges of a word on its own.
+Splitting at added tokens (their strings in a text count as the token), the
+byte-level pattern and the merges of a word are the tokenizers library's, from
+the vocabulary file.
 
 Defined cases: a null or empty text has no ids; an empty table gives no rows;
 repeated rows and null identifiers are encoded row by row; columns other than
@@ -29,22 +33,23 @@ the identifier and the text are not read.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The pattern by which byte-level BPE splits text into words.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+CHUNK_CHARS = 1 << 24
+SLICE_CHARS = 1 << 23
 
-CHUNK_CHARS = 1 << 23
+#: White space after which a space or line feed does not begin a word.
+SPACES = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Splitter:
-    """Text to words; added tokens are words of their own."""
+    """Texts to words; added tokens are words of their own."""
 
     def __init__(self, vocabulary: str):
         import json
@@ -52,27 +57,38 @@ class Splitter:
         import regex
 
         with open(vocabulary, encoding="utf-8") as f:
-            added = [t["content"] for t in json.load(f).get("added_tokens", [])]
-        self.find = regex.compile(PATTERN).findall
-        self.added = added
-        self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")").split if added else None
-
-    def words(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if self.cut is None or not any(t in text for t in self.added):
-            return self.find(text)
+            self.added = [t["content"] for t in json.load(f).get("added_tokens", [])]
+        self.find = regex.compile(r"\s*\S+|\s+").findall
+        self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
+
+    def words(self, text: str) -> list[str]:
         out: list[str] = []
-        for k, part in enumerate(self.cut(text)):
+        for k, part in enumerate(self.cut(text) if self.cut else [text]):
             out += [part] if k % 2 else self.find(part)
         return out
 
-
-def pack(numbers: array) -> bytes:
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        """The words of each text. Plain texts are cut before each space and
+        line feed in Arrow; those with added tokens or with more than one
+        white space character on end are split one by one."""
+        texts = pc.fill_null(texts, "")
+        if pc.any(pc.match_substring(texts, "\0")).as_py():
+            return pa.array([self.words(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        hard = pc.match_substring_regex(texts, SPACES + "[ \n]")
+        for token in self.added:
+            hard = pc.or_(hard, pc.match_substring(texts, token))
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+        if pc.any(hard).as_py():
+            slow = pa.array(["\0".join(self.words(t)) for t in texts.filter(hard).to_pylist()], pa.string())
+            cut = pc.replace_with_mask(cut, hard, slow)
+        return pc.split_pattern(cut, "\0")
+
+
+def pack(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers by byte planes, compressed."""
     import zstandard
 
-    planes = np.frombuffer(numbers, np.uint32).view(np.uint8).reshape(-1, 4).T.copy()
+    planes = numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.copy()
     return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
@@ -83,120 +99,168 @@ def unpack(data: bytes) -> np.ndarray:
     return planes.T.copy().view(np.uint32).ravel()
 
 
-def _chunks(vocabulary: str, chunk_chars: int, words_only: bool):
+REQUEST = "chunk bigint, bucket int, mark bigint, words binary"
+ANSWER = "chunk bigint, bucket int, mark bigint, counts binary, word_ids binary"
+
+
+def _chunks(vocabulary: str, chunk_chars: int, buckets: int, words_only: bool):
     """mapInArrow body: (id, text) to chunks' words or to their positions."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush(chunk: int, units: list, ids: list, lengths: list) -> Iterator[pa.RecordBatch]:
         import hashlib
+        import zlib
+
+        import zstandard
+
+        coded = pa.chunked_array(units, pa.string()).dictionary_encode().combine_chunks()
+        words = [w.encode() for w in coded.dictionary.to_pylist()]
+        mark = int.from_bytes(hashlib.sha256(b"\0\0".join(words)).digest()[:8], "big", signed=True)
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
+        if not words_only:
+            columns = [[chunk], [mark], [pack(bucket)], [pack(coded.indices.to_numpy())]]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            rows = pa.concat_arrays(ids)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([np.concatenate(lengths)], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)] + lists, names=["chunk", "mark", "buckets", "numbers", "ids", "lengths"])
+            return
+        order = np.argsort(bucket, kind="stable")
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        coder = zstandard.ZstdCompressor(level=3)
+        used, packed, start = [], [], 0
+        for b, end in enumerate(ends.tolist()):
+            if end > start:
+                part = pa.array([words[k] for k in order[start:end]], pa.binary())
+                sizes = np.diff(np.frombuffer(part.buffers()[1], np.int32, len(part) + 1)).astype(np.uint32)
+                used.append(b)
+                packed.append(coder.compress(np.uint32(len(part)).tobytes() + sizes.tobytes() + (part.buffers()[2].to_pybytes()[: int(sizes.sum())] if sizes.sum() else b"")))
+                start = end
+        yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([mark] * len(used), pa.int64()), pa.array(packed, pa.binary())], names=["chunk", "bucket", "mark", "words"])
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         splitter = Splitter(vocabulary)
-        first = TaskContext.get().partitionId() << 24
-        made = 0
-
-        def flush(table, numbers, ids, lengths):
-            words = list(table)
-            digest = hashlib.sha256("\0".join(words).encode()).hexdigest()
-            chunk = first + made
-            if words_only:
-                n = len(words)
-                for at in range(0, n, 50_000):
-                    part = words[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part, pa.string())], names=["chunk", "number", "word"])
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), pa.array([digest], pa.string())], names=["chunk", "number", "word"])
-            else:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk], pa.int64()), pa.array([digest]), pa.array([len(words)], pa.int32()), pa.array([pack(numbers)], pa.binary()), pa.array([[i.as_py() for i in ids]], pa.list_(kind)), pa.array([lengths], pa.list_(pa.int32()))],
-                    names=["chunk", "digest", "n_words", "numbers", "ids", "lengths"],
-                )
-
-        table: dict[str, int] = {}
-        numbers, ids, lengths, chars, kind = array("I"), [], [], 0, None
+        chunk = TaskContext.get().partitionId() << 24
+        units, ids, lengths, chars = [], [], [], 0
         for batch in batches:
-            kind = batch.column(0).type
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                t = text.as_py()
-                words = splitter.words(t)
-                numbers.extend([table.setdefault(w, len(table)) for w in words])
-                ids.append(key)
-                lengths.append(len(words))
-                chars += len(t or "") + 16
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+            start = 0
+            while start < batch.num_rows:
+                before = int(ends[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_CHARS, "right")))
+                part = batch.slice(start, stop - start)
+                split = splitter.split(part.column(1))
+                units.append(split.flatten())
+                lengths.append(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+                ids.append(part.column(0))
+                chars += int(ends[stop - 1]) - before
+                start = stop
                 if chars >= chunk_chars:
-                    yield from flush(table, numbers, ids, lengths)
-                    made += 1
-                    table, numbers, ids, lengths, chars = {}, array("I"), [], [], 0
+                    yield from flush(chunk, units, ids, lengths)
+                    chunk, units, ids, lengths, chars = chunk + 1, [], [], [], 0
         if ids:
-            yield from flush(table, numbers, ids, lengths)
+            yield from flush(chunk, units, ids, lengths)
+        units, ids, lengths = [], [], []
+        pa.default_memory_pool().release_unused()
 
     return of
 
 
 def _encode_words(vocabulary: str):
-    """mapInArrow body over rows sorted by word: each distinct word once."""
+    """mapInArrow body over requests sorted by bucket: each distinct word of
+    a bucket is encoded once, when first met."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        last, last_ids = None, b""
+        unpacker = zstandard.ZstdDecompressor()
+        here, table = None, {}
         for batch in batches:
-            words = batch.column(2).to_pylist()
-            marks = batch.column(1).to_pylist()
-            fresh = [w for k, w in enumerate(words) if marks[k] >= 0 and w != (words[k - 1] if k else last)]
-            coded = iter([np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)])
-            out = []
-            for k, w in enumerate(words):
-                if marks[k] < 0:
-                    out.append(w.encode())
-                    continue
-                if w != (words[k - 1] if k else last):
-                    last_ids = next(coded)
-                out.append(last_ids)
-            last = words[-1] if words else last
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["chunk", "number", "word_ids"])
+            counts, coded = [], []
+            for bucket, data in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
+                if bucket != here:
+                    here, table = bucket, {}
+                raw = unpacker.decompress(data.as_py())
+                n = int(np.frombuffer(raw, np.uint32, 1)[0])
+                ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint32, n, 4).astype(np.int64))]).tolist()
+                text = raw[4 + 4 * n :]
+                words = [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+                fresh = [w for w in words if w not in table]
+                for w, e in zip(fresh, tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
+                    table[w] = np.array(e.ids, np.uint32).tobytes()
+                found = [table[w] for w in words]
+                counts.append(pack(np.fromiter(map(len, found), np.uint32, n) // 4))
+                coded.append(pack(np.frombuffer(b"".join(found), np.uint32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.binary()), pa.array(coded, pa.binary())], names=["chunk", "bucket", "mark", "counts", "word_ids"])
+
+    return of
+
+
+def _gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, used: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words ``used``, one after another, and where each word's
+    end. Blocks of ``step`` words keep what is held besides small."""
+    ends = np.cumsum(size[used], dtype=np.int64)
+    ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+    for at in range(0, len(used), step):
+        block = used[at : at + step]
+        n = size[block]
+        stop = np.cumsum(n, dtype=np.int64)
+        first = int(ends[at] - n[0])
+        ids[first : first + int(stop[-1])] = flat[np.repeat(begin[block] - stop + n, n) + np.arange(stop[-1])]
+    return ids, ends
+
+
+def _put_together(vocabulary: str, decoded: bool):
+    """applyInArrow body: a chunk's positions and its table of ids as its
+    documents' ids, and on demand their decoded text."""
+
+    def of(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, documents, texts = [], [], []
+        right = right.take(pc.sort_indices(right, [("bucket", "ascending")]))
+        counts = np.concatenate([unpack(c.as_py()) for c in right.column("counts")] or [np.zeros(0, np.uint32)]).astype(np.int32)
+        flat = np.concatenate([unpack(c.as_py()) for c in right.column("word_ids")] or [np.zeros(0, np.uint32)]).astype(np.int32)
+        pieces = Pieces(vocabulary) if decoded else None
+        for row in left.to_batches():
+            for k in range(row.num_rows):
+                bucket = unpack(row.column("buckets")[k].as_py())
+                mark = row.column("mark")[k].as_py()
+                if len(counts) != len(bucket) or any(m.as_py() != mark for m in right.column("mark")):
+                    raise RuntimeError("a chunk's words changed between two reads; write the source as a table first")
+                place = np.empty(len(bucket), np.int32)
+                place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket), dtype=np.int32)
+                begin = (np.cumsum(counts, dtype=np.int64) - counts)[place]
+                ids, ends = _gathered(flat, begin, counts[place], unpack(row.column("numbers")[k].as_py()))
+                lengths = row.column("lengths")[k].values.to_numpy(zero_copy_only=False)
+                bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
+                documents.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)))
+                rows.append(row.column("ids")[k].values)
+                if pieces is not None:
+                    texts.append(pa.array([pieces.text(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)], pa.string()))
+        columns, names = [pa.chunked_array(rows), pa.chunked_array(documents, pa.list_(pa.int32()))], ["id", "ids"]
+        if decoded:
+            columns, names = [*columns, pa.chunked_array(texts, pa.string())], [*names, "decoded"]
+        return pa.Table.from_arrays(columns, names=names)
 
     return of
 
 
-def _put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk's positions and its table of ids as its documents' ids."""
-    number = right.column("number").to_numpy()
-    coded = right.column("word_ids").combine_chunks()
-    at = {m: c.as_py().decode() for m, c in ((int(number[k]), coded[k]) for k in np.flatnonzero(number < 0))}
-    chunk_ids, documents = [], []
-    for row in range(left.num_rows):
-        n_words = left.column("n_words")[row].as_py()
-        if at.get(-1) != left.column("digest")[row].as_py() or len(number) != n_words + 1:
-            raise RuntimeError("a chunk's words changed between two reads; write the source as a table first")
-        order = np.argsort(number, kind="stable")[1:]
-        starts = np.frombuffer(coded.buffers()[1], np.int32, len(number) + 1 + coded.offset)[coded.offset :]
-        flat = np.frombuffer(coded.buffers()[2], np.uint8) if coded.buffers()[2] is not None else np.zeros(0, np.uint8)
-        begin, size = starts[:-1][order].astype(np.int64), np.diff(starts)[order] // 4
-        used = unpack(left.column("numbers")[row].as_py())
-        lengths = np.array(left.column("lengths")[row].as_py(), np.int64)
-        counts = size[used].astype(np.int64)
-        ends = np.cumsum(counts)
-        where = np.repeat(begin[used] - 4 * (ends - counts), counts) + 4 * np.arange(ends[-1] if len(ends) else 0)
-        ids = np.zeros(len(where), np.int32)
-        for k in range(4):
-            ids |= flat[where + k].astype(np.int32) << (8 * k)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
-        documents.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)))
-        chunk_ids.append(left.column("ids").combine_chunks()[row].values)
-    return pa.Table.from_arrays([pa.chunked_array(chunk_ids), pa.chunked_array(documents, pa.list_(pa.int32()))], names=["id", "ids"])
-
-
-def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """(id, ids): the token ids of every row of ``docs``."""
+def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", decoded: bool = False, chunk_chars: int = CHUNK_CHARS, buckets: int | None = None) -> DataFrame:
+    """(id, ids): the token ids of every row of ``docs``; with ``decoded``
+    also the text that ``decode`` gives for them, made in the same task. The
+    number of buckets bounds a bucket's table; by default it is the session's
+    number of shuffle partitions, 32 at least."""
+    buckets = buckets or max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_column].dataType.simpleString()
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    words = source.mapInArrow(_chunks(vocabulary, chunk_chars, True), "chunk bigint, number int, word string")
-    table = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(vocabulary), "chunk bigint, number int, word_ids binary")
-    places = source.mapInArrow(_chunks(vocabulary, chunk_chars, False), f"chunk bigint, digest string, n_words int, numbers binary, ids array<{kind}>, lengths array<int>")
-    return places.groupBy("chunk").cogroup(table.groupBy("chunk")).applyInArrow(_put_together, f"id {kind}, ids array<int>")
+    requests = source.mapInArrow(_chunks(vocabulary, chunk_chars, buckets, True), REQUEST)
+    answers = requests.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_encode_words(vocabulary), ANSWER)
+    places = source.mapInArrow(_chunks(vocabulary, chunk_chars, buckets, False), f"chunk bigint, mark bigint, buckets binary, numbers binary, ids array<{kind}>, lengths array<int>")
+    made = f"id {kind}, ids array<int>" + ", decoded string" * decoded
+    return places.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_put_together(vocabulary, decoded), made)
 
 
 class Pieces:
@@ -226,7 +290,8 @@ def decode(coded: DataFrame, vocabulary: str, ids_column: str = "ids", text_colu
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(vocabulary)
         for batch in batches:
-            texts = [None if ids is None else pieces.text(ids) for ids in batch.column(batch.schema.get_field_index(ids_column)).to_pylist()]
+            column = batch.column(batch.schema.get_field_index(ids_column))
+            texts = [pieces.text(ids.values.to_numpy(zero_copy_only=False).tolist()) if ids.is_valid else None for ids in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_column])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)

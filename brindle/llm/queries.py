@@ -141,8 +141,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = vocabulary_path()
-    coded = bpe.decode(bpe.encode(docs, path), path)
-    return bpe.digests(coded).withColumnRenamed("id", "doc_id")
+    return bpe.digests(bpe.encode(docs, path, decoded=True)).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict:
