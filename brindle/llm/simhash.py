@@ -362,6 +362,7 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     found = materialize(near_classes(docs, id_column, text_column, width, budget), "classes")
     repeated = not found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null").isEmpty()
     kept = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias(id_column)).distinct()
-    named = docs.where(F.col(id_column).isNotNull()).join(kept, id_column, "left_semi")
+    # One plan at every size: an automatic broadcast would stop at some size.
+    named = docs.where(F.col(id_column).isNotNull()).join(kept.hint("merge"), id_column, "left_semi")
     named = named.dropDuplicates([id_column]) if repeated else named
     return named.select(*docs.columns).unionByName(docs.where(F.col(id_column).isNull()))
