@@ -53,6 +53,21 @@ def words_of(text: Column) -> Column:
     return let(trimmed, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE_RUN, -1)))
 
 
+def window_hashes(words: Column, window: int) -> Column:
+    """A hash of each ``window`` consecutive words, of at least so many: from
+    hashes of words to those of two, four and so on, and one last step that
+    overlaps where ``window`` is no power of two."""
+    level, span = F.transform(words, lambda w: F.xxhash64(w)), 1
+
+    def joined(hashes: Column, by: int) -> Column:
+        return let(hashes, lambda x: F.transform(F.slice(x, 1, F.size(x) - by), lambda h, i: F.xxhash64(h, F.get(x, i + by))))
+
+    while span < window:
+        by = min(span, window - span)
+        level, span = joined(level, by), span + by
+    return level
+
+
 def repeated_window_words(words: Column, window: int = WINDOW) -> Column:
     """How many words lie in windows of ``window`` words that occur twice or
     more in ``words``. Windows are told apart by a 64-bit hash."""
@@ -71,30 +86,33 @@ def repeated_window_words(words: Column, window: int = WINDOW) -> Column:
 
         return let(let(pairs, doubled), total)
 
-    starts = F.sequence(F.lit(1), F.size(words) - (window - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, window)))
     return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(
-        let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
+        let(window_hashes(words, window), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
     )
 
 
 def line_ok(line: Column) -> Column:
-    """Whether a line stays. Lines without a word always do."""
+    """Whether a line stays. Lines without a word always do. n is one more
+    than the trimmed line's spaces."""
 
     def judged(v: Column) -> Column:
-        n = F.size(words_of(v["line"]))
-        low = F.lower(v["line"])
-        boiler = F.lit(False)
-        for phrase in BOILERPLATE:
-            boiler = boiler | F.contains(low, F.lit(phrase))
-        boiler = boiler & (n <= 40)
-        navigation = let(count_chars(v["line"], "|"), lambda bars: (bars >= 3) & (bars * 4 >= n))
-        symbols = count_chars(v["line"], SYMBOLS) > n
-        shouting = (n >= 4) & (F.upper(v["line"]) == v["line"]) & (low != v["line"])
-        loose = (n < 3) & ~F.btrim(v["line"], F.lit(SPACE)).rlike(r"""[.!?…:;"'”»)\]]$""")
-        return (n == 0) | ~(boiler | navigation | symbols | shouting | loose)
+        text, n = v["line"], v["n"]
+        navigation = let(count_chars(text, "|"), lambda bars: (bars >= 3) & (bars * 4 >= n))
+        symbols = count_chars(text, SYMBOLS) > n
+        shouting = (n >= 4) & ~text.rlike(r"\p{Ll}") & text.rlike(r"\p{Lu}")
+        loose = (n < 3) & ~text.rlike(r"""[.!?…:;"'”»)\]]$""")
+
+        def boilerplate(low: Column) -> Column:
+            found = F.lit(False)
+            for phrase in BOILERPLATE:
+                found = found | F.contains(low, F.lit(phrase))
+            return found
+
+        boiler = F.when(n <= 40, let(F.lower(text), boilerplate)).otherwise(F.lit(False))
+        return F.when(text == "", F.lit(True)).when(shouting | loose | navigation | symbols, F.lit(False)).otherwise(~boiler)
 
-    return let(F.struct(line.alias("line")), judged)
+    trimmed = F.btrim(line, F.lit(SPACE))
+    return let(trimmed, lambda t: let(F.struct(t.alias("line"), (count_chars(t, " ") + 1).alias("n")), judged))
 
 
 def word_chars(text: Column) -> Column:
@@ -144,6 +162,8 @@ def judge(docs: DataFrame, text_column: str = "text", result_column: str = "qual
 
 def clean(docs: DataFrame, text_column: str = "text", max_loss: float = 0.5) -> DataFrame:
     """The kept documents of ``docs`` with their failing lines removed."""
-    held = judge(docs.select(F.struct("*").alias("row")).withColumn("text", F.col(f"row.`{text_column}`")), "text", "q", max_loss)
-    columns = [F.col("q.cleaned").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns]
-    return held.where("q.kept").select(*columns)
+    # A generator runs the rules once; a filter on their result would run them
+    # for the filter and again for the text.
+    once = F.explode(F.filter(F.array(rules(docs[text_column], max_loss)), lambda q: q["kept"])).alias("q")
+    held = docs.select(F.struct("*").alias("row"), once)
+    return held.select(*[F.col("q.cleaned").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns])
