@@ -89,6 +89,7 @@ def recover(steps: DataFrame, config: RecoveryConfig = RecoveryConfig()) -> tupl
     local = F.coalesce(F.col("n_outcomes") >= config.min_count, F.lit(False))
     prior = F.when(local, F.col("entropy")).otherwise(F.coalesce("h_global", F.lit(0.0)))
     nodes = nodes.select("node_id", "visit_count", prior.alias("prior"), F.when(local, "local").otherwise("global").alias("level"), local.alias("own"))
+    nodes = cut_lineage(nodes, "nodes")  # read four times below
 
     kept = near.where("target_id is not null").groupBy("source_id", "action_id", "target_id").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= config.drop_below)
     kept = kept if config.self_loops else kept.where("source_id <> target_id")
@@ -96,13 +97,14 @@ def recover(steps: DataFrame, config: RecoveryConfig = RecoveryConfig()) -> tupl
     source = nodes.select(F.col("node_id").alias("source_id"), F.col("prior").alias("source_h"), "visit_count")
     wide = kept.join(via_h, ["source_id", "action_id", "target_id"], "left").join(target, "target_id").join(source, "source_id")
     by_edge = F.coalesce(F.col("n_outcomes") >= config.min_count, F.lit(False))
+    wide = cut_lineage(wide, "edges")
     wide = wide.withColumn("h_t", F.when(by_edge, F.col("entropy")).otherwise(F.col("target_h"))).withColumn("posterior_level", F.when(by_edge, "local_via_edge").when(F.col("target_own"), "local").otherwise("global"))
 
     actions = wide.groupBy("source_id", "action_id").agg(
         (F.first("source_h") - F.sum(F.col("frequency") * F.col("h_t")) / F.sum("frequency")).alias("voi"),
         (F.sum("frequency") / F.first("visit_count")).alias("consensus_rate"),
     )
-    actions = actions.withColumn("voi", F.round("voi", 12)).withColumn("key", F.lit(0))
+    actions = cut_lineage(actions.withColumn("voi", F.round("voi", 12)).withColumn("key", F.lit(0)), "actions")
     at = {"high": config.high / 100, "low": config.low / 100}
     cuts = quantiles(actions, ["key"], "voi", {f"voi_{k}": v for k, v in at.items()}).join(quantiles(actions, ["key"], "consensus_rate", {f"rate_{k}": v for k, v in at.items()}), "key")
     classed = actions.join(cuts, "key").select("source_id", "action_id", "voi", "consensus_rate", edge_class(F.col("voi"), F.col("consensus_rate"), F.col("voi_high"), F.col("voi_low"), F.col("rate_high"), F.col("rate_low")).alias("classification"))
