@@ -309,15 +309,15 @@ def wide_links(nodes: DataFrame, budget: int, max_node: int = 2048) -> DataFrame
     and differ in ``budget`` bits at most. An anchor's nodes are a trie; one
     with more than ``max_node`` is dealt out by a second anchor, and what is
     larger then in pairs of blocks, each pair a task's node pair."""
-    every = nodes.select("node", "fp", "anchors", F.posexplode("anchors").alias("i", "anchor"))
-    rows = every.select(F.xxhash64("i", "anchor").alias("key"), "node", "fp", "anchors", "i")
-    sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "anchor-sizes")
-    plain = rows.join(sizes.where(F.col("n") <= max_node), "key", "left_semi").select("key", F.lit(0).cast("long").alias("side"), "node", "fp")
-    hot = sizes.where(F.col("n") > max_node).select("key")
+    rows = nodes.select("node", "fp", F.posexplode("anchors").alias("i", "anchor")).select(F.xxhash64("i", "anchor").alias("key"), "node", "fp")
+    hot = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max_node).select("key"), "hot-anchors")
+    plain = rows.select("key", F.lit(0).cast("long").alias("side"), "node", "fp")
     if hot.isEmpty():
         found = plain
     else:
-        second = rows.join(hot, "key", "left_semi").select("node", "fp", "i", F.posexplode("anchors").alias("j", "other"), F.get("anchors", F.col("i")).alias("anchor")).where("i <> j")
+        plain = plain.join(hot, "key", "left_anti")
+        every = nodes.select("node", "fp", "anchors", F.posexplode("anchors").alias("i", "anchor")).withColumn("key", F.xxhash64("i", "anchor"))
+        second = every.join(hot, "key", "left_semi").select("node", "fp", "i", "anchor", F.posexplode("anchors").alias("j", "other")).where("i <> j")
         low, high = F.when(F.col("i") < F.col("j"), F.col("anchor")).otherwise(F.col("other")), F.when(F.col("i") < F.col("j"), F.col("other")).otherwise(F.col("anchor"))
         second = materialize(second.select(F.xxhash64(F.least("i", "j"), F.greatest("i", "j"), low, high, F.lit(2)).alias("key"), "node", "fp").dropDuplicates(["key", "node"]), "second-anchors")
         counted = second.join(second.groupBy("key").agg(F.ceil(F.count("*") / max_node).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1"), "key")
