@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 1 << 24
-SLICE_CHARS = 1 << 23
+SLICE_CHARS = 1 << 22
 
 #: White space after which a space or line feed does not begin a word.
 SPACES = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -168,10 +168,14 @@ def _chunks(vocabulary: str, chunk_chars: int, buckets: int, words_only: bool):
 
 def _encode_words(vocabulary: str):
     """mapInArrow body over requests sorted by bucket: each distinct word of
-    a bucket is encoded once, when first met."""
+    a bucket is encoded once, when first met. Answers go out every few MB."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
         import zstandard
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
@@ -179,23 +183,33 @@ def _encode_words(vocabulary: str):
         tokenizer.no_padding()
         unpacker = zstandard.ZstdDecompressor()
         here, table = None, {}
+
+        def answer(bucket: int, data: bytes) -> tuple[bytes, bytes]:
+            nonlocal here, table
+            if bucket != here:
+                here, table = bucket, {}
+            raw = unpacker.decompress(data)
+            n = int(np.frombuffer(raw, np.uint32, 1)[0])
+            ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint32, n, 4).astype(np.int64))]).tolist()
+            text = raw[4 + 4 * n :]
+            words = [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            fresh = [w for w in words if w not in table]
+            for w, e in zip(fresh, tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
+                table[w] = np.array(e.ids, np.uint32).tobytes()
+            found = [table[w] for w in words]
+            return pack(np.fromiter(map(len, found), np.uint32, n) // 4), pack(np.frombuffer(b"".join(found), np.uint32))
+
         for batch in batches:
-            counts, coded = [], []
-            for bucket, data in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
-                if bucket != here:
-                    here, table = bucket, {}
-                raw = unpacker.decompress(data.as_py())
-                n = int(np.frombuffer(raw, np.uint32, 1)[0])
-                ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint32, n, 4).astype(np.int64))]).tolist()
-                text = raw[4 + 4 * n :]
-                words = [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-                fresh = [w for w in words if w not in table]
-                for w, e in zip(fresh, tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-                    table[w] = np.array(e.ids, np.uint32).tobytes()
-                found = [table[w] for w in words]
-                counts.append(pack(np.fromiter(map(len, found), np.uint32, n) // 4))
-                coded.append(pack(np.frombuffer(b"".join(found), np.uint32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.binary()), pa.array(coded, pa.binary())], names=["chunk", "bucket", "mark", "counts", "word_ids"])
+            start, counts, coded = 0, [], []
+            for k, bucket in enumerate(batch.column(1).to_pylist()):
+                a, b = answer(bucket, batch.column(3)[k].as_py())
+                counts.append(a)
+                coded.append(b)
+                if k + 1 == batch.num_rows or sum(map(len, coded)) > 4 << 20:
+                    head = batch.slice(start, k + 1 - start)
+                    yield pa.RecordBatch.from_arrays([*head.columns[:3], pa.array(counts, pa.binary()), pa.array(coded, pa.binary())], names=["chunk", "bucket", "mark", "counts", "word_ids"])
+                    start, counts, coded = k + 1, [], []
+        pa.default_memory_pool().release_unused()
 
     return of
 
