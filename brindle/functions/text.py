@@ -47,17 +47,18 @@ def decompose(text: Column, max_steps: int = 10, min_steps: int = 3, strict: boo
 
     def told(v: Column) -> Column:
         n = F.size(v["raw"])
-        if strict:
-            steps = F.when(n < min_steps, F.raise_error(F.concat(F.lit("too few reasoning steps: "), n.cast("string"))).cast("array<string>")).otherwise(v["raw"])
-        else:
-            steps = v["raw"]
+        steps = v["raw"]
         thinned = F.transform(even_places(n, max_steps), lambda i: F.get(steps, i))
         notes = F.array(
             F.when(v["answer"].isNull(), F.lit("no final answer")),
             F.when(v["fallback"] & (n > 0), F.lit("paragraphs used")),
             F.when(n == 0, F.lit("no steps")).when(n < min_steps, F.lit("few steps")).when(n > max_steps, F.lit("thinned")),
         )
-        return F.struct(thinned.alias("steps"), v["answer"].alias("answer"), n.alias("n_raw"), (v["fallback"] & (n > 0)).alias("used_fallback"), F.filter(notes, lambda x: x.isNotNull()).alias("warnings"))
+        out = F.struct(thinned.alias("steps"), v["answer"].alias("answer"), n.alias("n_raw"), (v["fallback"] & (n > 0)).alias("used_fallback"), F.filter(notes, lambda x: x.isNotNull()).alias("warnings"))
+        if not strict:
+            return out
+        kind = "struct<steps:array<string>,answer:string,n_raw:int,used_fallback:boolean,warnings:array<string>>"
+        return F.when(n < min_steps, F.raise_error(F.concat(F.lit("too few reasoning steps: "), n.cast("string"))).cast(kind)).otherwise(out)
 
     packed = F.array(F.struct(raw.alias("raw"), final_answer(text).alias("answer"), fallback.alias("fallback")))
     return F.get(F.transform(packed, told), F.lit(0))

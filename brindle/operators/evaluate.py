@@ -60,8 +60,8 @@ def deferral_auc(long: DataFrame, keys: list[str] = KEY) -> DataFrame:
     totals = class_totals(long, keys)
     terms = tie_groups(long, keys).join(totals, keys)
     above_pos, above_neg = F.col("n_pos") - F.col("before_pos"), F.col("n_neg") - F.col("before_neg")
-    area = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2) / (F.col("n_pos") * F.col("n_neg")))
-    precision = F.sum(F.col("pos") / F.col("n_pos") * above_pos / (above_pos + above_neg))
+    area = F.try_divide(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)), F.first(F.col("n_pos") * F.col("n_neg")))
+    precision = F.try_divide(F.sum(F.col("pos") * above_pos / (above_pos + above_neg)), F.first("n_pos"))
     areas = terms.groupBy(*keys).agg(area.alias("roc_auc"), precision.alias("pr_auc"))
     found = totals.join(areas, keys, "left")
     nan = F.lit(NAN)
@@ -157,7 +157,7 @@ def roc_table(long: DataFrame, direction: str = "greater", keys: list[str] = KEY
     bend = (step("pos") != F.col("pos")) | (step("neg") != F.col("neg"))
     first, last = F.lag("score").over(down).isNull(), step("score").isNull()
     kept = groups.withColumn("keep", first | last | bend).where("keep")
-    tpr, fpr = (F.col("n_pos") - F.col("before_pos")) / F.col("n_pos"), (F.col("n_neg") - F.col("before_neg")) / F.col("n_neg")
+    tpr, fpr = F.try_divide(F.col("n_pos") - F.col("before_pos"), F.col("n_pos")), F.try_divide(F.col("n_neg") - F.col("before_neg"), F.col("n_neg"))
     start = totals.select(*keys, F.lit(float("inf")).alias("s"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
     points = kept.select(*keys, F.col("score").alias("s"), tpr.alias("tpr"), fpr.alias("fpr")).unionByName(start)
     idx = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("s"))) - 1

@@ -32,7 +32,7 @@ def cohen_d(rows: DataFrame, value: str, target: str = "target") -> DataFrame:
     spread."""
     g = lambda f, t: f(F.when(F.col(target) == t, F.col(value)))
     s = rows.agg(*[g(f, t).alias(f"{n}{t}") for t in (0, 1) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
-    pooled = F.sqrt(((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1")) / (F.col("n0") + F.col("n1") - 2))
+    pooled = F.sqrt(F.try_divide((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1"), F.col("n0") + F.col("n1") - 2))
     return s.select(F.when(pooled > 0, (F.col("m1") - F.col("m0")) / pooled).otherwise(0.0).alias("d"), "n0", "n1")
 
 

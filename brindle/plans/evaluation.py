@@ -232,7 +232,7 @@ QUERIES["quadrant_table"] = quadrant_table
 _LO, _HI = _wilson_sql("k", "n")
 QUAD = f"""WITH {CELLS}, ct AS (SELECT quantile_cont(me, 0.5) AS mc, quantile_cont(js, 0.75) AS jc FROM cl),
 qd AS (SELECT CASE WHEN me < mc THEN 'confident' ELSE 'uncertain' END AS certainty, CASE WHEN js > jc THEN 'disagree' ELSE 'agree' END AS agreement, count(*) AS n, sum(target) AS k FROM cl, ct GROUP BY 1, 2)"""
-ORACLES["quadrant_table"] = f"{QUAD} SELECT certainty, agreement, n, k, {sql_rounded('k / n', 'wrong_rate')}, {sql_rounded(_LO, 'lo')}, {sql_rounded(_HI, 'hi')} FROM qd"
+ORACLES["quadrant_table"] = f"{QUAD} SELECT certainty, agreement, n, CAST(k AS BIGINT) AS k, {sql_rounded('k / n', 'wrong_rate')}, {sql_rounded(_LO, 'lo')}, {sql_rounded(_HI, 'hi')} FROM qd"
 
 
 def triage_flag(spark, sf_dir):
@@ -268,7 +268,7 @@ QUERIES["tertile_cell"] = tertile_cell
 _LO1, _ = _wilson_sql("k", "n", str(U.Z_ONE_SIDED))
 ORACLES["tertile_cell"] = f"""WITH {CELLS}, ct AS (SELECT quantile_cont(me, 2.0/3) AS mc, quantile_cont(js, 2.0/3) AS jc FROM cl),
 t AS (SELECT avg(target) AS base, count(*) FILTER (me >= mc AND js >= jc) AS n, coalesce(sum(target) FILTER (me >= mc AND js >= jc), 0) AS k FROM cl, ct)
-SELECT {sql_rounded('base', 'base')}, n, k, {sql_rounded('(k / n - base) * 100', 'lift_pp')}, {sql_rounded(f'({_LO1} - base) * 100', 'lift_low_pp')} FROM t""".replace("2.0/3)", f"{2 / 3})")
+SELECT {sql_rounded('base', 'base')}, n, CAST(k AS BIGINT) AS k, {sql_rounded('(k / n - base) * 100', 'lift_pp')}, {sql_rounded(f'({_LO1} - base) * 100', 'lift_low_pp')} FROM t""".replace("2.0/3)", f"{2 / 3})")
 
 
 def bottom_decile_lift(spark, sf_dir):
