@@ -143,6 +143,57 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
     return bpe.digests(bpe.encode(docs, path, decoded=True)).withColumnRenamed("id", "doc_id")
 
+_Q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+_FIND = lambda rank, pattern, ok: f"SELECT rid, {rank} AS rk, string_split_regex(t, {_Q(pattern)}) AS p, regexp_extract_all(t, {_Q(pattern)}) AS m, {ok} AS ok FROM d WHERE regexp_matches(t, {_Q(pattern)})"
+_CANDIDATE = secrets.CANDIDATE.removesuffix("+")
+_ALLOWED = " OR ".join(f"regexp_matches(s, {_Q(p)})" for p in (*secrets.ALLOW, f"^{secrets.HEX}$", f"^{secrets.ACCESS}$"))
+_SHOWN = "['assign', 'access', 'hex', 'entropy'][rk + 1] || ':' || st || ':' || (st + length(s))"
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({_FIND(0, secrets.ASSIGN, f"list_transform(regexp_extract_all(t, {_Q(secrets.ASSIGN)}, 2), lambda g: length(g) >= 6)")}
+  UNION ALL {_FIND(1, secrets.ACCESS, "NULL::BOOLEAN[]")} UNION ALL {_FIND(2, secrets.HEX, "NULL::BOOLEAN[]")} UNION ALL {_FIND(3, _CANDIDATE, "NULL::BOOLEAN[]")}),
+x AS (SELECT rid, rk, p, m, ok, unnest(range(1, len(m) + 1)) AS i FROM f),
+y AS (SELECT rid, rk, m[i] AS s, coalesce(ok[i], true) AS ok, CAST(list_sum(list_transform(p[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) AS BIGINT) AS st FROM x),
+c AS (SELECT DISTINCT s FROM y WHERE rk = 3 AND NOT ({_ALLOWED})),
+w AS (SELECT s, unnest(range(1, length(s) - {secrets.WINDOW - 2})) AS i FROM c),
+n AS (SELECT s, i, ch, count(*) AS k FROM (SELECT s, i, substr(s, i + j, 1) AS ch FROM w, range(0, {secrets.WINDOW}) r(j)) GROUP BY s, i, ch),
+h AS (SELECT s, max(e) AS e FROM (SELECT s, i, log2({secrets.WINDOW}) - sum(k * log2(k)) / {secrets.WINDOW} AS e FROM n GROUP BY s, i) GROUP BY s),
+q AS (SELECT y.rid, y.rk, y.s, y.st FROM y LEFT JOIN h ON y.rk = 3 AND h.s = y.s WHERE y.ok AND (y.rk < 3 OR h.e >= CASE
+  WHEN regexp_matches(y.s, '^[0-9a-fA-F]+$') THEN {secrets.THRESHOLDS["hex"]} WHEN regexp_matches(y.s, '^[A-Za-z0-9]+$') THEN {secrets.THRESHOLDS["alnum"]} ELSE {secrets.THRESHOLDS["base64"]} END)),
+a AS (SELECT rid, count(*) FILTER (rk = 0) AS n_assign, count(*) FILTER (rk = 1) AS n_access, count(*) FILTER (rk = 2) AS n_hex,
+  coalesce(string_agg({_SHOWN}, ',' ORDER BY st, rk) FILTER (rk < 3), '') AS base, string_agg({_SHOWN}, ',' ORDER BY st, rk) AS spans FROM q GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (rid)
+"""
+
+
+def _strip(column: str) -> str:
+    return f"trim({column}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+_COUNT = lambda text, chars: f"(length({text}) - length(translate({text}, '{chars}', '')))"
+_BOILER = " OR ".join(f"contains(lower(s), '{p}')" for p in quality_rules.BOILERPLATE)
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT rid, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS k FROM w WHERE len(w) >= 8),
+r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
+c AS (SELECT rid, CAST(sum(least(8, coalesce(nx - i, 8))) AS BIGINT) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nx FROM r) GROUP BY rid),
+l AS (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d),
+j AS (SELECT rid, x, {_strip("x")} AS s FROM l),
+k AS (SELECT rid, x, s, len(string_split(s, ' ')) AS n FROM j),
+v AS (SELECT rid, x, s <> '' AS worded, CASE WHEN s = '' THEN true
+    WHEN n >= 4 AND NOT regexp_matches(s, '\p{{Ll}}') AND regexp_matches(s, '\p{{Lu}}') THEN false
+    WHEN n < 3 AND NOT regexp_matches(s, '[.!?…:;"''”»)\]]$') THEN false
+    WHEN {_COUNT("s", "|")} >= 3 AND {_COUNT("s", "|")} * 4 >= n THEN false
+    WHEN {_COUNT("s", quality_rules.SYMBOLS)} > n THEN false
+    ELSE NOT (n <= 40 AND ({_BOILER})) END AS ok FROM k),
+a AS (SELECT rid, count(*) FILTER (worded) - count(DISTINCT x) FILTER (worded) AS dup, coalesce(sum(length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))) FILTER (ok), 0) AS stay FROM v GROUP BY rid),
+b AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, {_COUNT("t", quality_rules.SYMBOLS)} AS n_symbols, dup AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, stay
+  FROM w JOIN a USING (rid) LEFT JOIN c USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 1 - stay / nullif(word_chars, 0) <= 0.5 AS kept FROM b
+"""
+
 
 def queries() -> dict:
     return {
@@ -160,4 +211,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op5_warc": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL}
+    return {"op2_chat_format": OP2_SQL, "op5_warc": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_quality_rules": OP9_SQL}
