@@ -58,10 +58,10 @@ def deferral_auc(long: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """ROC area (raw, sign-aware, direction) and PR area for each key; keys
     whose scores are all missing have NaN."""
     totals = class_totals(long, keys)
-    terms = tie_groups(long, keys).join(totals, keys)
-    above_pos, above_neg = F.col("n_pos") - F.col("before_pos"), F.col("n_neg") - F.col("before_neg")
-    area = F.try_divide(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)), F.first(F.col("n_pos") * F.col("n_neg")))
-    precision = F.try_divide(F.sum(F.col("pos") * above_pos / (above_pos + above_neg)), F.first("n_pos"))
+    terms = tie_groups(long, keys)
+    above_pos, above_neg = F.col("total_pos") - F.col("before_pos"), F.col("total_neg") - F.col("before_neg")
+    area = F.try_divide(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)), F.first(F.col("total_pos") * F.col("total_neg")))
+    precision = F.try_divide(F.sum(F.col("pos") * above_pos / (above_pos + above_neg)), F.first("total_pos"))
     areas = terms.groupBy(*keys).agg(area.alias("roc_auc"), precision.alias("pr_auc"))
     found = totals.join(areas, keys, "left")
     nan = F.lit(NAN)
@@ -150,15 +150,15 @@ def roc_table(long: DataFrame, direction: str = "greater", keys: list[str] = KEY
         raise EvaluationError(f"direction must be 'greater' or 'less', not {direction!r}")
     sign = 1 if direction == "greater" else -1
     signed = long.withColumn("score", F.col("score") * sign)
-    totals = class_totals(signed, keys)
-    groups = tie_groups(signed, keys).join(totals, keys)
+    groups = tie_groups(signed, keys)
     down = Window.partitionBy(*keys).orderBy(F.desc("score"))
     step = lambda c: F.lead(c).over(down)
     bend = (step("pos") != F.col("pos")) | (step("neg") != F.col("neg"))
     first, last = F.lag("score").over(down).isNull(), step("score").isNull()
     kept = groups.withColumn("keep", first | last | bend).where("keep")
-    tpr, fpr = F.try_divide(F.col("n_pos") - F.col("before_pos"), F.col("n_pos")), F.try_divide(F.col("n_neg") - F.col("before_neg"), F.col("n_neg"))
-    start = totals.select(*keys, F.lit(float("inf")).alias("s"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
+    rate = lambda c: F.try_divide(F.col(f"total_{c}") - F.col(f"before_{c}"), F.col(f"total_{c}"))
+    tpr, fpr = rate("pos"), rate("neg")
+    start = signed.select(*keys).distinct().select(*keys, F.lit(float("inf")).alias("s"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
     points = kept.select(*keys, F.col("score").alias("s"), tpr.alias("tpr"), fpr.alias("fpr")).unionByName(start)
     idx = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("s"))) - 1
     return points.select(*keys, idx.alias("idx"), (F.col("s") * sign).alias("threshold"), "fpr", "tpr", (1 - F.col("tpr")).alias("fnr"), (1 - F.col("fpr")).alias("tnr"))

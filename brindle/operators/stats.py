@@ -57,17 +57,14 @@ def mann_whitney(rows: DataFrame, value: str, target: str = "target") -> DataFra
 def ks_two_sample(rows: DataFrame, value: str, target: str = "target") -> DataFrame:
     """The largest distance of the classes' distribution functions."""
     t = two_samples(rows, value, target)
-    n = t.agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0")).withColumn("key", F.lit(0))
-    up = t.join(n, "key")
-    gap = F.abs((F.col("before_pos") + F.col("pos")) / F.col("n1") - (F.col("before_neg") + F.col("neg")) / F.col("n0"))
-    return up.agg(F.max(gap).alias("d"), F.first("n1").alias("n1"), F.first("n0").alias("n0"))
+    share = lambda c: F.try_divide(F.col(f"before_{c}") + F.col(c), F.col(f"total_{c}"))
+    return t.agg(F.max(F.abs(share("pos") - share("neg"))).alias("d"), F.first("total_pos").alias("n1"), F.first("total_neg").alias("n0"))
 
 
 def ecdf(rows: DataFrame, value: str) -> DataFrame:
     """Distinct values with the share of rows at or below them."""
     g = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).withColumn("key", F.lit(0))
-    total = g.groupBy("key").agg(F.sum("n").alias("total"))
-    return ordered_sums(g, ["key"], value, ["n"]).join(total, "key").select(value, ((F.col("before_n") + F.col("n")) / F.col("total")).alias("share"))
+    return ordered_sums(g, ["key"], value, ["n"]).select(value, ((F.col("before_n") + F.col("n")) / F.col("total_n")).alias("share"))
 
 
 def standardized(rows: DataFrame, columns: list[str]) -> DataFrame:

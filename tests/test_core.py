@@ -119,7 +119,7 @@ def test_curve_and_calibration(spark):
     assert evaluate.calibration_metrics(scored(spark, [(0.0, 0), (1.0, 1)]), binning="equal_width").first().ece == 0
 
 
-@pytest.mark.parametrize("cuts", [2, 64])
+@pytest.mark.parametrize("cuts", [None, 1, 5])
 def test_ordered_sums(spark, cuts):
     values = [5, 1, 3, 3, 9, 7, 7, 7, 2]
     df = spark.createDataFrame([(v,) for v in values], "v int").withColumn("k", F.lit(0))
