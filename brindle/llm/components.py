@@ -15,8 +15,11 @@ from brindle.llm.store import discard, materialize
 
 
 def _toward_least(pairs: DataFrame, own: bool) -> DataFrame:
+    """``pairs`` with m, the least neighbour of u (or u itself, if ``own``).
+    The least ones are a table of their own, so that a join that meets a hot
+    node may be split; an aggregate within the join's own plan could not."""
     least = F.least(F.min("v"), F.first("u")) if own else F.min("v")
-    return pairs.join(pairs.groupBy("u").agg(least.alias("m")), "u")
+    return pairs.join(materialize(pairs.groupBy("u").agg(least.alias("m")), "least"), "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

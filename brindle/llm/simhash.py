@@ -266,7 +266,8 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     distinct = materialize(each.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), budget, max_node))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    names = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    named = rooted.join(names, "root").select("fp", "component_id")
     return each.join(named, "fp").select("id", "fp", "component_id")
 
 
@@ -351,7 +352,8 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     distinct = materialize(each.groupBy("node").agg(F.min("fp").alias("fp"), F.min("anchors").alias("anchors"), F.min("id").alias("least")), "wide-distinct")
     roots = components(wide_links(distinct, budget))
     rooted = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    names = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    named = rooted.join(names, "root").select("node", "component_id")
     return each.select("id", "node").join(named, "node").select("id", "component_id")
 
 
