@@ -138,7 +138,7 @@ def rules(text: Column, max_loss: float = 0.5) -> Column:
         def verdict(c: Column) -> Column:
             n, repeats = c["w"]["n_words"], c["w"]["n_repeat_words"]
             failed = (n < 20) | (100 * repeats > 30 * n)
-            loss = 1 - word_chars(c["cleaned"]) / c["word_chars"]
+            loss = 1 - F.try_divide(word_chars(c["cleaned"]), c["word_chars"])
             return F.struct(
                 n.alias("n_words"),
                 c["word_chars"].alias("word_chars"),
