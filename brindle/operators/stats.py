@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.uncertainty import normal_cdf_two_sided
 from brindle.operators.ordered import ordered_sums, rank_percentiles
+from brindle.sources.store import cut_lineage
 
 
 def spearman(rows: DataFrame, unit: str, a: str, b: str) -> DataFrame:
@@ -155,6 +156,7 @@ def cv_logistic(rows: DataFrame, features: list[str], target: str = "target", fo
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    rows = cut_lineage(rows, "folds")  # each fold reads it several times
     data = VectorAssembler(inputCols=features, outputCol="features").transform(rows).withColumn("label", F.col(target).cast("double"))
     out = None
     for k in range(folds):
