@@ -41,6 +41,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.memory import give_back
+
 CHUNK_CHARS = 1 << 24
 SLICE_CHARS = 1 << 22
 
@@ -161,7 +163,7 @@ def _chunks(vocabulary: str, chunk_chars: int, buckets: int, words_only: bool):
         if ids:
             yield from flush(chunk, units, ids, lengths)
         units, ids, lengths = [], [], []
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return of
 
@@ -209,7 +211,8 @@ def _encode_words(vocabulary: str):
                     head = batch.slice(start, k + 1 - start)
                     yield pa.RecordBatch.from_arrays([*head.columns[:3], pa.array(counts, pa.binary()), pa.array(coded, pa.binary())], names=["chunk", "bucket", "mark", "counts", "word_ids"])
                     start, counts, coded = k + 1, [], []
-        pa.default_memory_pool().release_unused()
+        here, table, tokenizer = None, {}, None
+        give_back()
 
     return of
 
@@ -257,7 +260,10 @@ def _put_together(vocabulary: str, decoded: bool):
         columns, names = [pa.chunked_array(rows), pa.chunked_array(documents, pa.list_(pa.int32()))], ["id", "ids"]
         if decoded:
             columns, names = [*columns, pa.chunked_array(texts, pa.string())], [*names, "decoded"]
-        return pa.Table.from_arrays(columns, names=names)
+        made = pa.Table.from_arrays(columns, names=names)
+        del rows, documents, texts, columns, counts, flat, right, left, pieces
+        give_back()
+        return made
 
     return of
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.components import components
+from brindle.llm.memory import give_back
 from brindle.llm.store import discard, materialize
 
 SEED = 42
@@ -68,6 +69,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+        give_back()
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(of, f"id {kind}, fp bigint")
@@ -201,8 +203,9 @@ def _join_tries(budget: int, key: tuple[str, ...] = KEY, fp_column: str = "rot",
                 if out is not None:
                     yield out
         if held is not None and held.num_rows:
-            out, _ = split(held, True)
+            out, held = split(held, True)
             yield out
+        give_back()
 
     return of
 
@@ -345,6 +348,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         for batch in batches:
             made = [wide_sketch(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["id", "fp", "anchors"])
+        give_back()
 
     kind = docs.schema[id_column].dataType.simpleString()
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
