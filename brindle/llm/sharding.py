@@ -6,10 +6,16 @@ is a random matrix with fixed row sums (the partitions' sizes) and column sums
 one. A task draws its own row of it: halving the range of partitions again and
 again, it draws how many rows of each shard fall into the left half, from a
 generator seeded by the range, so that all tasks agree without anybody holding
-the matrix. Then the task permutes its rows and deals them out by these
-counts, the rows are exchanged, and each receiver permutes what it got. A
-receiver gets a block of ``block_rows`` places of a shard at most, so shards of
-any size are spread over many tasks; a block is a column of the matrix.
+the matrix. Then the task deals its rows out by a permutation of these counts, the
+whole rows are exchanged, and each receiver permutes what it got. A receiver
+gets a block of ``block_rows`` places of a shard at most, and of no more places
+than rows of mean size fill ``block_bytes``, so shards of any size are spread
+over many tasks; a block is a column of the matrix. Partitions of more than
+2**20 rows count as several.
+
+Rows are dealt and settled batch by batch: a task holds a number for each row
+of a part or block, and never the rows of one. How a block's size in bytes
+falls out is thus no matter of memory.
 
 Row identities come from a copy of the rows written to the shared folder, so
 that retried tasks deal the same rows alike.
@@ -26,16 +32,19 @@ exact hypergeometric one; sizes stay exact.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from brindle.llm.store import materialize
 
 EXACT = 10**9
+#: Rows of a part, as a power of two.
+PART_BITS = 20
 
 
 def shard_sizes(rows: int, shards: int) -> list[int]:
@@ -89,37 +98,72 @@ def matrix_row(place: int, ends: np.ndarray, sizes: np.ndarray, seed: int) -> np
     return left
 
 
-def shard_rows(rows: DataFrame, shards: int, seed: int = 20240229, block_rows: int = 1 << 20) -> DataFrame:
+def _row_bytes(schema: StructType) -> Column:
+    """About the bytes of a row."""
+    total = F.lit(0).cast("long")
+    for f in schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            total = total + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0))
+        else:
+            total = total + 16
+    return total
+
+
+def shard_rows(rows: DataFrame, shards: int, seed: int = 20240229, block_rows: int = 1 << 20, block_bytes: int = 1 << 26) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``, uniformly at random."""
     if shards < 1 or {"shard", "slot"} & set(rows.columns):
         raise ValueError("one shard at least, and no columns named shard or slot")
     names = rows.columns
     kept = rows.toDF(*[f"c{k}" for k in range(len(names))])
-    kept = materialize(kept.withColumn("rid", F.monotonically_increasing_id()), "rows").withColumn("part", F.shiftright("rid", 33))
-    counts = {r["part"]: r["n"] for r in kept.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one a partition
+    own_fields = kept.schema
+    kept = materialize(kept.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    # Ids count on from 0 within a partition, so a part's are without gaps.
+    counts = {r["part"]: (r["n"], r["bytes"]) for r in kept.groupBy(F.shiftright("rid", PART_BITS).alias("part")).agg(F.count("*").alias("n"), F.sum(_row_bytes(own_fields)).alias("bytes")).collect()}  # one a part
     parts = sorted(counts)
     place = {p: k for k, p in enumerate(parts)}
-    ends = np.concatenate([[0], np.cumsum([counts[p] for p in parts])]).astype(np.int64)
-    blocks = cells(int(ends[-1]), shards, block_rows)
+    ends = np.concatenate([[0], np.cumsum([counts[p][0] for p in parts])]).astype(np.int64)
+    n_bytes = sum(counts[p][1] for p in parts)
+    fitting = max(1, block_bytes * int(ends[-1]) // n_bytes) if n_bytes else block_rows
+    blocks = cells(int(ends[-1]), shards, min(block_rows, fitting))
     sizes = np.array([b[2] for b in blocks], np.int64)
 
-    def deal(key: tuple, table: pa.Table) -> pa.Table:
-        part = key[0].as_py()
-        table = table.take(pa.compute.sort_indices(table, [("rid", "ascending")]))
+    def dealt_cells(part: int) -> np.ndarray:
         cell = np.repeat(np.arange(len(sizes), dtype=np.int32), matrix_row(place[part], ends, sizes, seed))
-        cell = np.random.default_rng([seed, 1, part]).permutation(cell)
-        return table.drop_columns(["part"]).append_column("cell", pa.array(cell))
-
-    def settle(key: tuple, table: pa.Table) -> pa.Table:
-        cell = key[0].as_py()
-        shard, first, size = blocks[cell]
-        table = table.take(pa.compute.sort_indices(table, [("rid", "ascending")]))
-        slot = first + np.random.default_rng([seed, 2, cell]).permutation(size).astype(np.int64)
-        return table.drop_columns(["rid", "cell"]).append_column("shard", pa.array(np.full(size, shard, np.int32))).append_column("slot", pa.array(slot))
-
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name.startswith("c"))
-    dealt = kept.groupBy("part").applyInArrow(deal, f"{own}, rid bigint, cell int")
-    out = dealt.groupBy("cell").applyInArrow(settle, f"{own}, shard int, slot bigint")
+        return np.random.default_rng([seed, 1, part]).permutation(cell)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, np.empty(0, np.int32)
+        for batch in batches:
+            rid = batch.column("rid").to_numpy()
+            of, cell = rid >> PART_BITS, np.empty(len(rid), np.int32)
+            for part in np.unique(of).tolist():
+                if part != now:
+                    now, held = part, dealt_cells(part)
+                own = of == part
+                cell[own] = held[rid[own] & ((1 << PART_BITS) - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, held = -1, 0, np.empty(0, np.int64)
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            slot = np.empty(len(cell), np.int64)
+            cuts = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if cell[lo] != now:
+                    now, at = int(cell[lo]), 0
+                    held = blocks[now][1] + np.random.default_rng([seed, 2, now]).permutation(blocks[now][2]).astype(np.int64)
+                slot[lo:hi] = held[at : at + hi - lo]
+                at += hi - lo
+            shard = np.array([b[0] for b in blocks], np.int32)[cell]
+            kept_columns = [n for n in batch.schema.names if n not in ("rid", "cell")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept_columns], pa.array(shard), pa.array(slot)], names=[*kept_columns, "shard", "slot"])
+
+    dealt = kept.mapInArrow(deal, StructType([*own_fields.fields, StructField("rid", LongType()), StructField("cell", IntegerType())]))
+    met = dealt.repartition("cell").sortWithinPartitions("cell", "rid")
+    out = met.mapInArrow(settle, StructType([*own_fields.fields, StructField("shard", IntegerType()), StructField("slot", LongType())]))
     return out.toDF(*names, "shard", "slot")
 
 

@@ -183,6 +183,28 @@ def test_shards_are_exact_and_mixed(spark):
         sharding.shard_rows(df.withColumn("slot", F.lit(1)), 24)
 
 
+def test_shard_query_deals_whole_documents(spark, monkeypatch):
+    sf, seen, real = "/root/testdata/sf0.001", [], sharding.shard_rows
+    monkeypatch.setattr(sharding, "shard_rows", lambda rows, **k: seen.append(out := real(rows, **k)) or out)
+    got = queries.op4_uniform_shards(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert seen[0].columns == [*docs.columns, "shard", "slot"]
+    dealt = {r.doc_id: ((r.text or "").encode(), r.shard, r.slot) for r in seen[0].collect()}
+    assert {i: t for i, (t, _, _) in dealt.items()} == {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got) == sorted((i, len(t) + 8, zlib.crc32(t), k, at) for i, (t, k, at) in dealt.items())
+
+
+def test_blocks_are_bounded_by_bytes_and_parts_by_rows(spark, monkeypatch):
+    made, real = [], sharding.cells
+    monkeypatch.setattr(sharding, "cells", lambda *a: made.append(out := real(*a)) or out)
+    monkeypatch.setattr(sharding, "PART_BITS", 4)
+    df = spark.range(300).select("id", F.repeat(F.lit("x"), 984).alias("text"), F.array("id").alias("ids")).repartition(3)
+    got = sharding.shard_rows(df, 2, block_bytes=20_000).collect()
+    assert max(size for _, _, size in made[0]) <= 20 and sorted(r.id for r in got) == list(range(300))
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(2) for k in range(150)]
+    assert all(r.ids == [r.id] and len(r.text) == 984 for r in got)
+
+
 def test_matrix_has_its_margins_and_mean():
     parts, sizes = [5, 0, 17, 40, 38], np.array([30, 30, 40])
     ends = np.concatenate([[0], np.cumsum(parts)])
