@@ -311,24 +311,18 @@ def wide_sketch(text: str | None, width: int = 5) -> tuple[bytes, list[int]]:
 def wide_links(nodes: DataFrame, budget: int, max_node: int = 2048) -> DataFrame:
     """Edges (u, v) between ``nodes`` (node, fp, anchors) that share an anchor
     and differ in ``budget`` bits at most. An anchor's nodes are a trie; one
-    with more than ``max_node`` is dealt out by a second anchor, and what is
-    larger then in pairs of blocks, each pair a task's node pair."""
+    with more than ``max_node`` is dealt out in pairs of blocks of them, each
+    pair a task's node pair, so that size changes nothing about the result."""
     rows = nodes.select("node", "fp", F.posexplode("anchors").alias("i", "anchor")).select(F.xxhash64("i", "anchor").alias("key"), "node", "fp")
-    hot = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max_node).select("key"), "hot-anchors")
+    hot = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max_node).select("key", F.ceil(F.col("n") / max_node).cast("int").alias("blocks")), "hot-anchors")
     plain = rows.select("key", F.lit(0).cast("long").alias("side"), "node", "fp")
     if hot.isEmpty():
         found = plain
     else:
-        plain = plain.join(hot, "key", "left_anti")
-        every = nodes.select("node", "fp", "anchors", F.posexplode("anchors").alias("i", "anchor")).withColumn("key", F.xxhash64("i", "anchor"))
-        second = every.join(hot, "key", "left_semi").select("node", "fp", "i", "anchor", F.posexplode("anchors").alias("j", "other")).where("i <> j")
-        low, high = F.when(F.col("i") < F.col("j"), F.col("anchor")).otherwise(F.col("other")), F.when(F.col("i") < F.col("j"), F.col("other")).otherwise(F.col("anchor"))
-        second = materialize(second.select(F.xxhash64(F.least("i", "j"), F.greatest("i", "j"), low, high, F.lit(2)).alias("key"), "node", "fp").dropDuplicates(["key", "node"]), "second-anchors")
-        counted = second.join(second.groupBy("key").agg(F.ceil(F.count("*") / max_node).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1"), "key")
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        split = counted.withColumn("own", own).select("key", "node", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+        split = rows.join(hot, "key").withColumn("own", own).select("key", "node", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
         pairs = split.select(F.xxhash64("key", F.least("own", "b"), F.greatest("own", "b")).alias("key"), (F.col("own") > F.col("b")).cast("long").alias("side"), "node", "fp")
-        found = plain.unionByName(pairs)
+        found = plain.join(hot, "key", "left_anti").unionByName(pairs)
     dealt = found.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_join_tries(budget, ("key",), "fp", "node", 4096), "u bigint, v bigint")
 

@@ -112,6 +112,19 @@ def test_near_classes_find_similar_texts(spark, monkeypatch, max_node):
                 assert got[a] != got[b]
 
 
+@pytest.mark.parametrize("max_node", [2048, 3])
+def test_wide_links_need_one_common_anchor(spark, max_node):
+    rng = np.random.default_rng(2)
+    base, rows = [rng.bytes(64) for _ in range(6)], []
+    for k in range(40):
+        fp = bytearray(base[k % 6])
+        fp[k] ^= 1
+        rows.append((k, bytes(fp), [7, *(100 * k + j for j in range(5))]))
+    df = spark.createDataFrame(rows, "node long, fp binary, anchors array<long>")
+    found = {r.node: r.root for r in components.components(simhash.wide_links(df, 92, max_node)).collect()}
+    assert {k: found.get(k, k) for k in range(40)} == {k: k % 6 for k in range(40)}
+
+
 def test_containment_matches_brute_force(spark):
     rng = random.Random(5)
     words = ["u%d" % i for i in range(200)]
