@@ -287,19 +287,25 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_sketch(text: str | None, width: int = 5) -> tuple[bytes, list[int]]:
-    """The 512-bit SimHash of a text's distinct shingles and its anchors, the
-    least values of six hash functions over them."""
+def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; a text with fewer
+    words than ``width`` is one shingle, one without words has none."""
     import xxhash
 
     words = (text or "").encode().lower().split()
-    if not words:
-        return bytes(8 * WIDE_WORDS), [0] * ANCHORS
     digest = xxhash.xxh64_intdigest
+    if not words:
+        return np.empty(0, np.uint64)
     if len(words) < width:
-        hashes = np.array([digest(b" ".join(words), SEED)], np.uint64)
-    else:
-        hashes = np.unique(np.array([digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(width)), strict=False)], np.uint64))
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    return np.unique(np.array([digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(width)), strict=False)], np.uint64))
+
+
+def wide_sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
+    """The 512-bit SimHash of distinct shingle hashes and their anchors, the
+    least values of six hash functions over them."""
+    if not len(hashes):
+        return bytes(8 * WIDE_WORDS), [0] * ANCHORS
     octets = np.stack([_mixed(hashes, k) for k in range(WIDE_WORDS)], 1).astype(">u8").view(np.uint8).astype(np.int64)
     octets += np.arange(0, 256 * 8 * WIDE_WORDS, 256)
     found = np.bincount(octets.ravel(), minlength=256 * 8 * WIDE_WORDS).reshape(-1, 256)
@@ -327,35 +333,120 @@ def wide_links(nodes: DataFrame, budget: int, max_node: int = 2048) -> DataFrame
     return dealt.mapInArrow(_join_tries(budget, ("key",), "fp", "node", 4096), "u bigint, v bigint")
 
 
-def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, budget: int = 92) -> DataFrame:
-    """(id, component_id) of the near-duplicates at a Jaccard similarity of
-    about 0.8 or more of word shingles.
+def similar(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set of distinct values, the least position in its class, where
+    sets of a Jaccard similarity of 0.8 or more are linked. Exact: every pair
+    is counted that is not in one class yet and whose sizes allow it."""
+    n = len(sets)
+    groups, sizes = Groups(n), np.array([len(s) for s in sets], np.int64)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owners = np.repeat(np.arange(n), sizes)[np.argsort(codes, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(codes))])
+    firsts = np.concatenate([[0], np.cumsum(sizes)])
+    after = np.arange(n)
+    for i in range(n - 1):
+        ask = (after > i) & (groups.label != groups.label[i]) & (5 * np.minimum(sizes, sizes[i]) >= 4 * np.maximum(sizes, sizes[i]))
+        if not ask.any():
+            continue
+        own = codes[firsts[i] : firsts[i + 1]]
+        low, many = starts[own], starts[own + 1] - starts[own]
+        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        shared = np.bincount(owners[k], minlength=n)
+        near = np.flatnonzero(ask & (9 * shared >= 4 * (sizes + sizes[i])))  # 0.8 of the union
+        groups.add(np.full(len(near), i), near)
+    return groups.label
+
+
+def _verify(width: int):
+    """mapInArrow body over (key, node, text) sorted by key: stars of the
+    links among a key's texts."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets, found = None, [], [], []
 
-    At 64 bits that similarity is some 10 differing bits, too many to tell
-    copies from others at scale. So fingerprints here have 512 bits, where 0.8
-    is 77 bits with a deviation of 8, and the budget of 92 finds 97 in 100
-    pairs at just 0.8 and nearly all from 0.85 on. The first levels of the
-    trie, where all nodes would be open pairs, are replaced by anchors: texts
-    of similarity s share one of six least hashes with 1 - (1 - s)**6."""
+        def solve() -> None:
+            if len(nodes) > 1:
+                found.extend((nodes[i], nodes[j]) for i, j in enumerate(similar(sets).tolist()) if i != j)
+
+        for batch in batches:
+            keys, own, texts = batch.columns
+            for key, node, text in zip(keys.to_pylist(), own.to_pylist(), texts, strict=True):
+                if key != now:
+                    solve()
+                    now, nodes, sets = key, [], []
+                nodes.append(node)
+                sets.append(shingle_hashes(text.as_py(), width))
+            yield _edges(found)
+            found = []
+        solve()
+        yield _edges(found)
+        give_back()
+
+    return of
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
+def similar_links(texts: DataFrame, width: int, max_members: int = 1024, block_bytes: int = 1 << 23) -> DataFrame:
+    """Edges (u, v) that connect those ``texts`` (root, node, text) of a
+    candidate class ``root`` that are 0.8 similar. A class is a task's work; one
+    of more than ``max_members`` texts or ``block_bytes`` is dealt out in pairs
+    of blocks."""
+    sized = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / max_members), F.ceil(F.col("bytes") / block_bytes), F.lit(1)).cast("int")
+    large = materialize(sized.select("root", F.least(blocks, F.col("n").cast("int")).alias("blocks")).where("blocks > 1"), "large-classes")
+    dealt = texts.select(F.col("root").alias("key"), "node", "text")
+    if not large.isEmpty():
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        split = texts.join(large, "root").withColumn("own", own).select("root", "node", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")).where("own <> b")
+        pairs = split.select(F.xxhash64("root", F.least("own", "b"), F.greatest("own", "b")).alias("key"), "node", "text")
+        dealt = texts.join(large, "root", "left_anti").select(F.col("root").alias("key"), "node", "text").unionByName(pairs)
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(width), "u bigint, v bigint")
+
+
+def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, budget: int = 128) -> DataFrame:
+    """(id, component_id) of the near-duplicates: texts linked by a Jaccard
+    similarity of 0.8 or more of their distinct word shingles.
+
+    Candidates come from 512-bit SimHash fingerprints, where 0.8 is 77 bits
+    with a deviation of 8, six of which are below the budget, and from anchors
+    in place of the first levels of the trie, where all nodes would be open
+    pairs: texts of similarity s share one of six least hashes with
+    1 - (1 - s)**6, 0.99994 at 0.8. What the candidates chain together is then
+    compared by its shingles, and only links of 0.8 or more remain. A node is a
+    set of shingles, so only equal sets are one."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            made = [wide_sketch(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["id", "fp", "anchors"])
+            made, nodes = [], []
+            for t in batch.column(1):
+                hashes = shingle_hashes(t.as_py(), width)
+                made.append(wide_sketch(hashes))
+                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+            columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["id", "text", "node", "fp", "anchors"])
         give_back()
 
     kind = docs.schema[id_column].dataType.simpleString()
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    each = materialize(source.mapInArrow(of, f"id {kind}, fp binary, anchors array<bigint>").withColumn("node", F.xxhash64("fp")), "wide")
-    distinct = materialize(each.groupBy("node").agg(F.min("fp").alias("fp"), F.min("anchors").alias("anchors"), F.min("id").alias("least")), "wide-distinct")
-    roots = components(wide_links(distinct, budget))
+    each = source.mapInArrow(of, f"id {kind}, text string, node bigint, fp binary, anchors array<bigint>")
+    each = materialize(each.withColumn("rid", F.monotonically_increasing_id()), "wide")
+    distinct = materialize(each.groupBy("node").agg(F.min("fp").alias("fp"), F.min("anchors").alias("anchors"), F.min("id").alias("least"), F.min("rid").alias("rid")), "wide-distinct")
+    maybe = components(wide_links(distinct, budget))
+    members = maybe.unionByName(maybe.select(F.col("root").alias("node"), "root").distinct())
+    texts = members.join(distinct.select("node", "rid"), "node").join(each.select("rid", "text"), "rid").select("root", "node", "text")
+    roots = components(similar_links(materialize(texts, "candidates"), width))
     rooted = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     named = rooted.join(names, "root").select("node", "component_id")
     return each.select("id", "node").join(named, "node").select("id", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, budget: int = 92) -> DataFrame:
+def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, budget: int = 128) -> DataFrame:
     """``docs`` with the row of the least id of each class of near-duplicates.
     Rows that repeat a kept id count as one. Rows without an id can't be told
     apart and are all kept."""

@@ -112,6 +112,36 @@ def test_near_classes_find_similar_texts(spark, monkeypatch, max_node):
                 assert got[a] != got[b]
 
 
+def at_the_threshold():
+    """Texts of 180 shingles: each one, then with 4 and 5 edits apart from each
+    other, which leave 160 of 200 (0.8) and 155 of 205 (0.756) in common."""
+    rng, words, rows = random.Random(11), ["x%d" % i for i in range(5000)], []
+    for k in range(20):
+        base = rng.sample(words, 184)
+        for edits, first in ((0, 0), (4, 10), (5, 15)):
+            u = list(base)
+            for e in range(edits):
+                u[first + 32 * e] = f"edit{k}x{edits}x{e}"
+            rows.append((len(rows), " ".join(u)))
+    return rows
+
+
+@pytest.mark.parametrize("max_members", [1024, 2])
+def test_near_classes_hold_at_the_threshold(spark, monkeypatch, max_members):
+    real = simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda t, w: real(t, w, max_members))
+    got = {r.id: r.component_id for r in simhash.near_classes(spark.createDataFrame(at_the_threshold(), "doc_id long, text string")).collect()}
+    assert got == {i: i - (i % 3 == 1) for i in range(60)}
+
+
+def test_similar_equals_brute_force():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 14, 12).astype(np.uint64)) for _ in range(60)] + [np.empty(0, np.uint64)]
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) if len(a) + len(b) else 1
+    want = groups(range(61), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    assert len(set(want.values())) > 3 and dict(enumerate(simhash.similar(sets).tolist())) == want
+
+
 @pytest.mark.parametrize("max_node", [2048, 3])
 def test_wide_links_need_one_common_anchor(spark, max_node):
     rng = np.random.default_rng(2)
