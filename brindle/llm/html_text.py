@@ -12,9 +12,16 @@ and are indented by depth; a table's cells are padded to their columns' width.
 The tree is walked as it is built: only the open elements are held, so depth
 costs no recursion, and each page is one row's work.
 
-Not shown: head, script, style, template, noscript, elements with the hidden
-attribute, with display:none or visibility:hidden in their style, hidden
-inputs, dialog and details contents that are not open (a summary stays).
+Head ends at its end tag, at any start tag that does not belong there and at
+text. The texts of svg and math are shown, each text element of a drawing on a
+line of its own.
+
+Not shown: head, script, style, template, noscript, title, datalist, elements
+with the hidden attribute, with display:none or visibility:hidden in their
+style, hidden inputs, dialog and details contents that are not open (a summary
+stays); what iframe, noembed, noframes, object, audio, video and canvas hold
+for browsers that cannot show them; descriptions and definitions in svg,
+annotations and phantoms in math.
 
 Defined cases: null and empty pages give empty text; malformed markup never
 fails (a ``<`` that starts no tag is text, unknown entities stay as they are);
@@ -36,7 +43,15 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE_RAW = frozenset("title textarea".split())
-NOT_SHOWN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist".split())
+NOT_SHOWN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist".split())
+#: Start tags that leave an open head open.
+IN_HEAD = frozenset("base head html link meta noframes noscript script style template title".split())
+#: Within svg or math only: what describes or defines and is not drawn in its
+#: place, and elements whose contents are HTML again.
+FOREIGN_NOT_SHOWN = {"svg": frozenset("desc metadata defs symbol clippath mask marker pattern".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
+#: HTML's start tags that end an svg or math.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INTEGRATION = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 BLOCK = frozenset("address article aside body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp caption blockquote".split())
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul xmp".split())
@@ -67,12 +82,13 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 TAG_END = re.compile(r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
+UNQUOTED_END = re.compile(r"""=\s*[^\s"'=<>`]+$""")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """("text" | "raw" | "start" | "end", name or text, attributes)."""
-    at, size, low = 0, len(page), None
+    at, size, low, foreign = 0, len(page), None, 0
     find = page.find
     while at < size:
         lt = find("<", at)
@@ -89,7 +105,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             tag = name[0].lower()
             yield "start", tag, page[name.end() : stop - 1]
             at = stop
-            if tag in RAW or tag in ESCAPABLE_RAW:
+            closed = foreign and self_closing(page[name.end() : stop - 1])
+            foreign += tag in FOREIGN_NOT_SHOWN and not self_closing(page[name.end() : stop - 1])
+            if (tag in RAW or tag in ESCAPABLE_RAW) and not closed:
                 low = low or (page.lower() if len(page.lower()) == size else page)
                 close = low.find(f"</{tag}", at)
                 close = size if close < 0 else close
@@ -98,6 +116,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         elif follow == "/" and NAME.match(page, lt + 2):
             name = NAME.match(page, lt + 2)
             stop = find(">", name.end()) + 1 or size
+            foreign = max(0, foreign - (name[0].lower() in FOREIGN_NOT_SHOWN))
             yield "end", name[0].lower(), ""
             at = stop
         elif page.startswith("<!--", lt):
@@ -117,6 +136,11 @@ def attributes(text: str) -> dict[str, str]:
     return found
 
 
+def self_closing(text: str) -> bool:
+    """Whether a tag ends in a slash that is no part of an unquoted value."""
+    return text.endswith("/") and not UNQUOTED_END.search(text)
+
+
 def hidden(tag: str, given: dict[str, str]) -> bool:
     return tag in NOT_SHOWN or "hidden" in given or (tag == "dialog" and "open" not in given) or (tag == "input" and given.get("type", "").lower() == "hidden") or bool(HIDING.search(given.get("style", "")))
 
@@ -216,15 +240,20 @@ class Renderer:
         self.out, self.outs, self.tables, self.numbers = Lines(), [], [], []
 
     def start(self, tag: str, text: str) -> None:
+        while self.open and self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self.pop()
+        foreign = self.foreign()
+        if foreign and tag in BREAKOUT:
+            self.close_to(frozenset(FOREIGN_NOT_SHOWN), INTEGRATION)
         if tag in CLOSES_P and self.count.get("p"):
             self.close_to(frozenset(["p"]), END_SCOPE | {"button"})
         if tag in HEADINGS and self.open and self.open[-1][0] in HEADINGS:
             self.pop()
         if tag in IMPLIED_ENDS:
             self.close_to(*IMPLIED_ENDS[tag])
-        if tag in ("html", "body") and self.count.get(tag):
+        if (tag in ("html", "body") and self.count.get(tag)) or (tag == "html" and self.open):
             return
-        hides = hidden(tag, attributes(text) if "=" in text or "hidden" in text or tag in ("dialog", "input") else {})
+        hides = any(tag in FOREIGN_NOT_SHOWN[f] for f in foreign) or hidden(tag, attributes(text) if "=" in text or "hidden" in text or tag in ("dialog", "input") else {})
         if tag == "summary" and self.open and self.open[-1] == ("details", True):
             hides = False
             self.hiding -= 1  # shown although its parent's contents are not
@@ -234,6 +263,8 @@ class Renderer:
             if not hides and not self.hiding:
                 self.void(tag)
             return
+        if (foreign or tag in FOREIGN_NOT_SHOWN) and self_closing(text):
+            return
         self.open.append((tag, hides))
         self.count[tag] = self.count.get(tag, 0) + 1
         if hides:
@@ -241,6 +272,12 @@ class Renderer:
         if not self.hiding:
             self.enter(tag, text)
 
+    def foreign(self) -> list[str]:
+        return [f for f in FOREIGN_NOT_SHOWN if self.count.get(f)]
+
+    def block(self, tag: str) -> bool:
+        return tag in BLOCK or (tag == "text" and bool(self.count.get("svg")))
+
     def void(self, tag: str) -> None:
         if tag == "br":
             if not self.out.now:
@@ -253,7 +290,7 @@ class Renderer:
         out = self.out
         if tag in SPACED and not (tag in LISTS and self.numbers):
             out.blank()
-        elif tag in BLOCK:
+        elif self.block(tag):
             out.newline()
         if tag in LISTS:
             first = attributes(text).get("start", "") if tag == "ol" else ""
@@ -299,7 +336,7 @@ class Renderer:
             self.kept -= 1
         if tag in SPACED and not (tag in LISTS and self.numbers):
             out.blank()
-        elif tag in BLOCK:
+        elif self.block(tag):
             out.newline()
         if tag == "li":
             out.marker = ""
@@ -341,6 +378,8 @@ class Renderer:
             self.close_to(frozenset([tag]), END_SCOPE - {tag})
 
     def text(self, data: str) -> None:
+        while self.open and self.open[-1][0] == "head" and SPACE.sub("", html.unescape(data)):
+            self.pop()
         if self.hiding:
             return
         if "&" in data:

@@ -152,3 +152,23 @@ def test_unchanged_words_after_html():
     words = "alpha beta gamma".split()
     assert html_text.render("<div>" + "</div><div>".join(words) + "</div>") == "\n".join(words)
     assert hashlib.sha256(html_text.render("<p>é").encode()).hexdigest() == hashlib.sha256("é".encode()).hexdigest()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>T</title><p>Hello", "Hello"),
+        ("<head><title>T</title><meta charset=x><div>a</div>b", "a\nb"),
+        ("<head><title>T</title>\n plain text <b>bold</b>", "plain text bold"),
+        ("<head><head><html><script>x</script><h1>a</h1>", "a"),
+        ("<head><style>p{}</style><template><p>no</p></template><noscript>no</noscript></head><body>yes", "yes"),
+        ("<head>&#32;<title>T</title></head><body><p>x", "x"),
+        ("a <svg><title>no</title><defs/><desc>no</desc><path d='m'/><text>one</text><text>t<tspan>wo</tspan></text></svg><p>b", "a\none\ntwo\n\nb"),
+        ("<svg><title/><text>x</text></svg>y", "x\ny"),
+        ("<svg><defs><text>no</text><p>yes", "yes"),
+        ("<svg><foreignObject><ul><li>a<li>b</ul></foreignObject><text>c</text></svg>", "- a\n- b\n\nc"),
+        ("so <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></semantics></math> holds", "so x=2 holds"),
+    ],
+)
+def test_heads_without_end_tags_and_drawn_text(page, text):
+    assert html_text.render(page) == text
