@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from brindle.functions import uncertainty as U
 from brindle.operators import stats as S
-from brindle.operators.evaluate import tie_groups
+from brindle.operators.evaluate import deferral_auc, tie_groups
 from brindle.operators.ordered import quantiles
 from brindle.plans.common import rounded, sql_rounded
 from brindle.plans.evaluation import CELLS, cells, doc_long
@@ -207,17 +209,19 @@ ORACLES["metadata_diff"] = "SELECT event_id, CASE WHEN json_extract_string(props
 
 # Resampling and models: rows only.
 def bootstrap_ci(spark, sf_dir):
-    groups = tie_groups(doc_long(spark, sf_dir), ["score_column"])
-    return S.bootstrap_ci(S.bootstrap_auc(groups, 500), 0.5)
+    long = doc_long(spark, sf_dir)
+    area = deferral_auc(long).first()
+    point = area["roc_auc"] if area else math.nan
+    return S.bootstrap_ci(S.bootstrap_auc(tie_groups(long, ["score_column"])), point)
 
 
 def boot_auc_folded(spark, sf_dir):
     groups = tie_groups(doc_long(spark, sf_dir), ["score_column"])
-    return S.bootstrap_ci(S.bootstrap_auc(groups, 500), 0.5, folded=True)
+    return S.bootstrap_ci(S.bootstrap_auc(groups), 0.5, folded=True)
 
 
 def paired_bootstrap(spark, sf_dir):
-    return S.paired_summary(S.paired_bootstrap(cells(spark, sf_dir), "me", "js", n=500))
+    return S.paired_summary(S.paired_bootstrap(cells(spark, sf_dir), "me", "js"))
 
 
 def cv_logistic(spark, sf_dir):
