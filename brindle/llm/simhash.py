@@ -1,26 +1,30 @@
 """Near-duplicates by SimHash and a self-join over binary tries.
 
 Equal fingerprints are one trie leaf, so the join runs over distinct
-fingerprints. It traverses pairs of trie nodes together: a pair splits into
-the pairs of its children, the error count grows by one where the children's
-bits differ, and a pair goes as soon as its errors exceed the budget.
-
-Two errors in 64 bits leave one of three blocks without an error. So the work
-is dealt out as three tries, each with another block rotated to the top, of
-which a task takes the nodes that share that whole block: the traversal of the
-first levels, where no errors are allowed, is the exchange by key. A node with
-more than ``max_node`` fingerprints is first taken further down as node pairs,
-``step`` bits at a time, by DataFrame operations, so that no task gets a large
-one. Within a task all node pairs of a level are handled as arrays.
+fingerprints. It traverses pairs of trie nodes together, from the pair of the
+root with itself: a pair splits into the pairs of its children, the error count
+grows by one where the children's bits differ, and a pair goes as soon as its
+errors exceed the budget or one of its nodes is empty.
+
+The first ``step`` levels, and further ones for every node pair that still has
+more than ``max_node`` fingerprints, are walked by DataFrame operations: a row
+is a fingerprint's place in a node pair with the errors so far, and a row
+becomes those of the pair's descendants that its fingerprint is in. Node pairs
+with few fingerprints then go to tasks, which walk all of theirs down level by
+level, as arrays; a pair of at most ``leaf`` combinations is compared outright.
+A fingerprint has C(d, 0) + C(d, 1) + C(d, 2) places at depth d with a budget
+of two, so rows grow with the fingerprints and the square of the depth, not
+with the size of a group.
 
 A task returns a star for each group that it links and not all pairs, so the
-number of rows is linear in the number of fingerprints; stars of the three
-tries meet in ``components``.
+number of edges is linear in the number of places; stars meet in
+``components``.
 
 Defined cases: a null or empty text has fingerprint zero and links like any
 other; a null doc_id takes part but is never a component's name, unless a
 component has no other, whose name is then null; repeated rows count as
-copies; an empty table gives no rows; other columns are not read.
+copies; a text of any length is hashed whole, in one worker's memory; an empty
+table gives no rows; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -37,9 +41,7 @@ from brindle.llm.memory import give_back
 from brindle.llm.store import discard, materialize
 
 SEED = 42
-#: First bit and width of the blocks that tries have at the top.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-KEY = ("block", "depth", "a", "b")
+KEY = ("depth", "a", "b")
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -75,7 +77,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(of, f"id {kind}, fp bigint")
 
 
-def trie_pairs(fps: np.ndarray, starts: np.ndarray, middles: np.ndarray, ends: np.ndarray, budget: int, leaf: int = 64, slice_pairs: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(fps: np.ndarray, starts: np.ndarray, middles: np.ndarray, ends: np.ndarray, budget: int, leaf: int = 16, slice_pairs: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of the linked fingerprints of many tries at once, in
     parts. fps has a row of 64-bit words for each fingerprint.
 
@@ -160,7 +162,7 @@ def _words(column: pa.ChunkedArray) -> np.ndarray:
     return np.array(column.to_pylist()).view(">u8").reshape(len(column), -1).astype(np.uint64)
 
 
-def _join_tries(budget: int, key: tuple[str, ...] = KEY, fp_column: str = "rot", node_column: str = "fp", leaf: int = 64):
+def _join_tries(budget: int, key: tuple[str, ...] = KEY, fp_column: str = "fp", node_column: str = "fp", leaf: int = 16):
     """mapInArrow body over rows sorted by ``key``: stars of the links within
     each node pair."""
 
@@ -212,36 +214,31 @@ def _join_tries(budget: int, key: tuple[str, ...] = KEY, fp_column: str = "rot",
 
 def _descend(rows: DataFrame, step: int, budget: int) -> DataFrame:
     """Rows of node pairs as rows of their descendants' pairs, ``step`` levels
-    further down."""
+    further down, without those beyond the budget."""
     masks = F.array(*[F.lit(m).cast("long") for m in range(1 << step) if m.bit_count() <= budget])
-    child = F.expr(f"shiftrightunsigned(rot, 64 - depth - {step}) & {(1 << step) - 1}L")
+    child = F.expr(f"shiftrightunsigned(fp, cast(64 - depth - {step} as int)) & {(1 << step) - 1}L")
     open_ = rows.withColumn("c", child).withColumn("m", F.explode(masks)).withColumn("errors", F.col("errors") + F.bit_count("m")).where(F.col("errors") <= budget)
     other, own = F.col("c").bitwiseXOR(F.col("m")), F.col("a") == F.col("b")
     a_bits = F.when(own, F.least("c", other)).when(F.col("side") == 0, F.col("c")).otherwise(other)
     b_bits = F.when(own, F.greatest("c", other)).when(F.col("side") == 0, other).otherwise(F.col("c"))
     side = F.when(own, (other < F.col("c")).cast("long")).otherwise(F.col("side"))
     return open_.select(
-        "block",
         (F.col("depth") + step).alias("depth"),
         F.shiftleft("a", step).bitwiseOR(a_bits).alias("a"),
         F.shiftleft("b", step).bitwiseOR(b_bits).alias("b"),
         "errors",
         side.alias("side"),
-        "rot",
         "fp",
     )
 
 
-def links(fps: DataFrame, budget: int = 2, max_node: int = 20_000, step: int = 6) -> DataFrame:
+def links(fps: DataFrame, budget: int = 2, max_node: int = 10_000, step: int = 6) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints ``fps`` (fp) within
-    ``budget`` (2 at most, for the three blocks) differing bits."""
-    if not 0 <= budget < len(BLOCKS):
-        raise ValueError("the budget must be below the number of blocks")
-    tops = F.array(*[F.struct(F.lit(r).alias("block"), F.lit(w).alias("depth"), _rotated(s).alias("rot")) for r, (s, w) in enumerate(BLOCKS)])
-    rows = fps.select("fp", F.explode(tops).alias("t")).select("t.block", "t.depth", "t.rot", "fp")
-    prefix = F.expr("shiftrightunsigned(rot, 64 - depth)")
-    rows = rows.select("block", "depth", prefix.alias("a"), prefix.alias("b"), F.lit(0).alias("errors"), F.lit(0).cast("long").alias("side"), "rot", "fp")
-    ready = []
+    ``budget`` differing bits. ``max_node`` and ``step`` decide where a pair is
+    walked and not what is found."""
+    zero = F.lit(0).cast("long")
+    root = fps.select(F.lit(0).alias("depth"), zero.alias("a"), zero.alias("b"), F.lit(0).alias("errors"), zero.alias("side"), "fp")
+    rows, ready = materialize(_descend(root, step, budget), "nodes"), []
     while True:
         nodes = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("side").alias("n_right"))
         live = nodes.where(F.when(F.col("a") == F.col("b"), F.col("n") >= 2).otherwise((F.col("n_right") >= 1) & (F.col("n_right") < F.col("n"))))
@@ -249,21 +246,16 @@ def links(fps: DataFrame, budget: int = 2, max_node: int = 20_000, step: int = 6
         if hot.isEmpty():
             ready.append(rows)
             break
-        small = rows.join(live.where((F.col("n") <= max_node) | (F.col("depth") + step > 64)).select(*KEY), list(KEY), "left_semi")
-        ready.append(small)
+        ready.append(rows.join(live.where((F.col("n") <= max_node) | (F.col("depth") + step > 64)).select(*KEY), list(KEY), "left_semi"))
         rows = materialize(_descend(rows.join(hot, list(KEY), "left_semi"), step, budget), "nodes")
     found = ready[0]
     for more in ready[1:]:
         found = found.unionByName(more)
-    dealt = found.select(*KEY, "side", "rot", "fp").repartition(*KEY).sortWithinPartitions(*KEY)
+    dealt = found.select(*KEY, "side", "fp").repartition(*KEY).sortWithinPartitions(*KEY)
     return dealt.mapInArrow(_join_tries(budget), "u bigint, v bigint")
 
 
-def _rotated(by: int):
-    return F.col("fp") if by == 0 else F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by))
-
-
-def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, budget: int = 2, max_node: int = 20_000) -> DataFrame:
+def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, budget: int = 2, max_node: int = 10_000) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``."""
     each = materialize(fingerprints(docs, id_column, text_column, width), "fingerprints")
     distinct = materialize(each.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
@@ -330,7 +322,7 @@ def wide_links(nodes: DataFrame, budget: int, max_node: int = 2048) -> DataFrame
         pairs = split.select(F.xxhash64("key", F.least("own", "b"), F.greatest("own", "b")).alias("key"), (F.col("own") > F.col("b")).cast("long").alias("side"), "node", "fp")
         found = plain.join(hot, "key", "left_anti").unionByName(pairs)
     dealt = found.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_join_tries(budget, ("key",), "fp", "node", 4096), "u bigint, v bigint")
+    return dealt.mapInArrow(_join_tries(budget, ("key",), "fp", "node", 1), "u bigint, v bigint")
 
 
 def similar(sets: list[np.ndarray]) -> np.ndarray:
