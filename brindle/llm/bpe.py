@@ -2,88 +2,74 @@
 
 A word is a run of white space and the run of other characters after it, so
 words end wherever white space begins; a byte-level tokenizer's pre-tokens
-never reach over such a place, and a text's ids are those of its words.
-
-Encoding runs in three steps. (1) Tasks split their documents into words and
-gather chunks of about ``chunk_chars`` bytes; a chunk is a list of its
-distinct words and, for each document, the words' numbers by position. (2) The
-distinct words of each chunk go, packed, to the bucket of their hash; a bucket
-keeps a table of the distinct words that it has met, encodes each of them once
-and answers each chunk with the ids of its words. (3) The numbers by position
-and the answers meet on the chunk; taking the table at the positions gives the
-documents' ids. Texts are never shuffled; a frequent word costs one entry a
-chunk and not one an occurrence.
-
-The chunks are made twice, once for their words and once for their positions.
-A mark of each chunk's words travels with both; if a source gives other rows
-the second time, encoding fails and does not go wrong.
-
-Decoding joins ids with the vocabulary's pieces. The vocabulary is fixed by
-its file (50,257 pieces here), so this join's table is bounded and each task
-holds it as an array.
+never reach over such a place, and a text's ids are those of its words. Added
+tokens are words of their own.
+
+Encoding: (1) Spark splits the texts into words, and tasks number them: a chunk
+of about ``chunk_chars`` bytes of text is one row with its distinct words,
+frequent ones first, and the words' numbers by document and position, packed.
+Chunks are written as a table, so everything after reads the same chunks
+whatever executor is lost. (2) The distinct words of the chunks are made
+distinct over the corpus and each is encoded once. (3) The table of words and
+ids is joined with the chunks' words, and a chunk's ids are taken at its
+positions. Texts are never shuffled, a frequent word costs a row a chunk and
+not a row an occurrence, and no task holds more than a chunk, whatever the
+size of the input.
+
+Decoding joins ids with the vocabulary's pieces: a row's ids become rows, in
+order, which a broadcast join gives their pieces (the vocabulary is fixed by
+its file, 50,257 pieces here), and runs of rows are put together again in the
+task they are in, without a shuffle.
 
 Splitting at added tokens (their strings in a text count as the token), the
 byte-level pattern and the merges of a word are the tokenizers library's, from
 the vocabulary file.
 
-Defined cases: a null or empty text has no ids; an empty table gives no rows;
-repeated rows and null identifiers are encoded row by row; columns other than
-the identifier and the text are not read.
+Defined cases: a null or empty text has no ids; a text longer than a chunk is
+a chunk of its own, which a task must hold; an empty table gives no rows;
+repeated rows and null identifiers are encoded row by row; ``encode`` reads no
+columns but the identifier and the text; ``decode`` keeps all columns and
+refuses a text column that is there already; null ids give a null text, ids
+that the vocabulary lacks give nothing, and bytes that are no UTF-8 give
+U+FFFD.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from brindle.llm.memory import give_back
+from brindle.llm.store import materialize
 
 CHUNK_CHARS = 1 << 24
-SLICE_CHARS = 1 << 22
 
-#: White space after which a space or line feed does not begin a word.
-SPACES = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+def added_tokens(vocabulary: str) -> list[str]:
+    with open(vocabulary, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens", [])]
 
-class Splitter:
-    """Texts to words; added tokens are words of their own."""
 
-    def __init__(self, vocabulary: str):
-        import json
-
-        import regex
-
-        with open(vocabulary, encoding="utf-8") as f:
-            self.added = [t["content"] for t in json.load(f).get("added_tokens", [])]
-        self.find = regex.compile(r"\s*\S+|\s+").findall
-        self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
-
-    def words(self, text: str) -> list[str]:
-        out: list[str] = []
-        for k, part in enumerate(self.cut(text) if self.cut else [text]):
-            out += [part] if k % 2 else self.find(part)
-        return out
-
-    def split(self, texts: pa.Array) -> pa.ListArray:
-        """The words of each text. Plain texts are cut before each space and
-        line feed in Arrow; those with added tokens or with more than one
-        white space character on end are split one by one."""
-        texts = pc.fill_null(texts, "")
-        if pc.any(pc.match_substring(texts, "\0")).as_py():
-            return pa.array([self.words(t) for t in texts.to_pylist()], pa.list_(pa.string()))
-        hard = pc.match_substring_regex(texts, SPACES + "[ \n]")
-        for token in self.added:
-            hard = pc.or_(hard, pc.match_substring(texts, token))
-        cut = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
-        if pc.any(hard).as_py():
-            slow = pa.array(["\0".join(self.words(t)) for t in texts.filter(hard).to_pylist()], pa.string())
-            cut = pc.replace_with_mask(cut, hard, slow)
-        return pc.split_pattern(cut, "\0")
+def words_of(text: Column, added: list[str]) -> Column:
+    """The words of a text, in order and without gaps."""
+    text = F.coalesce(text, F.lit(""))
+    plain = F.split(text, r"(?U)(?<=\S)(?=\s)", -1)
+    if not added:
+        return plain
+    token = "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))
+    marked = F.regexp_extract_all(text, F.lit(rf"(?U)(?:{token})|(?:(?!{token})\s)*+(?:(?!{token})\S)++|(?:(?!{token})\s)++"), F.lit(0))
+    holds = F.lit(False)
+    for t in added:
+        holds = holds | F.contains(text, F.lit(t))
+    return F.when(holds, marked).otherwise(plain)
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -101,117 +87,69 @@ def unpack(data: bytes) -> np.ndarray:
     return planes.T.copy().view(np.uint32).ravel()
 
 
-REQUEST = "chunk bigint, bucket int, mark bigint, words binary"
-ANSWER = "chunk bigint, bucket int, mark bigint, counts binary, word_ids binary"
-
-
-def _chunks(vocabulary: str, chunk_chars: int, buckets: int, words_only: bool):
-    """mapInArrow body: (id, text) to chunks' words or to their positions."""
-
-    def flush(chunk: int, units: list, ids: list, lengths: list) -> Iterator[pa.RecordBatch]:
-        import hashlib
-        import zlib
-
-        import zstandard
-
-        coded = pa.chunked_array(units, pa.string()).dictionary_encode().combine_chunks()
-        words = [w.encode() for w in coded.dictionary.to_pylist()]
-        mark = int.from_bytes(hashlib.sha256(b"\0\0".join(words)).digest()[:8], "big", signed=True)
-        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
-        if not words_only:
-            columns = [[chunk], [mark], [pack(bucket)], [pack(coded.indices.to_numpy())]]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            rows = pa.concat_arrays(ids)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([np.concatenate(lengths)], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)] + lists, names=["chunk", "mark", "buckets", "numbers", "ids", "lengths"])
-            return
-        order = np.argsort(bucket, kind="stable")
-        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-        coder = zstandard.ZstdCompressor(level=3)
-        used, packed, start = [], [], 0
-        for b, end in enumerate(ends.tolist()):
-            if end > start:
-                part = pa.array([words[k] for k in order[start:end]], pa.binary())
-                sizes = np.diff(np.frombuffer(part.buffers()[1], np.int32, len(part) + 1)).astype(np.uint32)
-                used.append(b)
-                packed.append(coder.compress(np.uint32(len(part)).tobytes() + sizes.tobytes() + (part.buffers()[2].to_pybytes()[: int(sizes.sum())] if sizes.sum() else b"")))
-                start = end
-        yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([mark] * len(used), pa.int64()), pa.array(packed, pa.binary())], names=["chunk", "bucket", "mark", "words"])
+def _chunks(chunk_chars: int):
+    """mapInArrow body: (id, words) rows as chunks."""
+
+    def flush(chunk: int, words: list, ids: list, lengths: list) -> pa.RecordBatch:
+        coded = pa.chunked_array(words, pa.string()).dictionary_encode().combine_chunks()
+        numbers = coded.indices.to_numpy()
+        order = np.argsort(-np.bincount(numbers, minlength=len(coded.dictionary)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        used, rows = coded.dictionary.take(pa.array(order)), pa.concat_arrays(ids)
+        columns = [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), used), pa.array([pack(rank[numbers])], pa.binary())]
+        columns += [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([pack(np.concatenate(lengths))], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "words", "numbers", "ids", "lengths"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        splitter = Splitter(vocabulary)
         chunk = TaskContext.get().partitionId() << 24
-        units, ids, lengths, chars = [], [], [], 0
+        words, ids, lengths, chars = [], [], [], 0
         for batch in batches:
-            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+            split = batch.column(1)
+            n = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+            sizes = np.concatenate([[0], np.cumsum(pc.binary_length(split.flatten()).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            ends = sizes[np.cumsum(n, dtype=np.int64)]
             start = 0
             while start < batch.num_rows:
                 before = int(ends[start - 1]) if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_CHARS, "right")))
+                stop = max(start + 1, int(np.searchsorted(ends, before + chunk_chars - chars, "right")))
                 part = batch.slice(start, stop - start)
-                split = splitter.split(part.column(1))
-                units.append(split.flatten())
-                lengths.append(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+                words.append(part.column(1).flatten())
                 ids.append(part.column(0))
+                lengths.append(n[start:stop])
                 chars += int(ends[stop - 1]) - before
                 start = stop
-                if chars >= chunk_chars:
-                    yield from flush(chunk, units, ids, lengths)
-                    chunk, units, ids, lengths, chars = chunk + 1, [], [], [], 0
+                if start < batch.num_rows or chars >= chunk_chars:
+                    yield flush(chunk, words, ids, lengths)
+                    chunk, words, ids, lengths, chars = chunk + 1, [], [], [], 0
         if ids:
-            yield from flush(chunk, units, ids, lengths)
-        units, ids, lengths = [], [], []
+            yield flush(chunk, words, ids, lengths)
+        words, ids, lengths = [], [], []
         give_back()
 
     return of
 
 
-def _encode_words(vocabulary: str):
-    """mapInArrow body over requests sorted by bucket: each distinct word of
-    a bucket is encoded once, when first met. Answers go out every few MB."""
+def _encode_words(vocabulary: str, step: int = 1 << 14):
+    """mapInArrow body: distinct words with their ids."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
-        import zstandard
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        unpacker = zstandard.ZstdDecompressor()
-        here, table = None, {}
-
-        def answer(bucket: int, data: bytes) -> tuple[bytes, bytes]:
-            nonlocal here, table
-            if bucket != here:
-                here, table = bucket, {}
-            raw = unpacker.decompress(data)
-            n = int(np.frombuffer(raw, np.uint32, 1)[0])
-            ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint32, n, 4).astype(np.int64))]).tolist()
-            text = raw[4 + 4 * n :]
-            words = [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-            fresh = [w for w in words if w not in table]
-            for w, e in zip(fresh, tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-                table[w] = np.array(e.ids, np.uint32).tobytes()
-            found = [table[w] for w in words]
-            return pack(np.fromiter(map(len, found), np.uint32, n) // 4), pack(np.frombuffer(b"".join(found), np.uint32))
-
         for batch in batches:
-            start, counts, coded = 0, [], []
-            for k, bucket in enumerate(batch.column(1).to_pylist()):
-                a, b = answer(bucket, batch.column(3)[k].as_py())
-                counts.append(a)
-                coded.append(b)
-                if k + 1 == batch.num_rows or sum(map(len, coded)) > 4 << 20:
-                    head = batch.slice(start, k + 1 - start)
-                    yield pa.RecordBatch.from_arrays([*head.columns[:3], pa.array(counts, pa.binary()), pa.array(coded, pa.binary())], names=["chunk", "bucket", "mark", "counts", "word_ids"])
-                    start, counts, coded = k + 1, [], []
-        here, table, tokenizer = None, {}, None
+            for at in range(0, batch.num_rows, step):
+                words = batch.column(0).slice(at, step)
+                ids = [e.ids for e in tokenizer.encode_batch(words.to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], names=["word", "word_ids"])
+        tokenizer = None
         give_back()
 
     return of
@@ -231,91 +169,104 @@ def _gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, used: np.nd
     return ids, ends
 
 
-def _put_together(vocabulary: str, decoded: bool):
-    """applyInArrow body: a chunk's positions and its table of ids as its
-    documents' ids, and on demand their decoded text."""
-
-    def of(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, documents, texts = [], [], []
-        right = right.take(pc.sort_indices(right, [("bucket", "ascending")]))
-        counts = np.concatenate([unpack(c.as_py()) for c in right.column("counts")] or [np.zeros(0, np.uint32)]).astype(np.int32)
-        flat = np.concatenate([unpack(c.as_py()) for c in right.column("word_ids")] or [np.zeros(0, np.uint32)]).astype(np.int32)
-        pieces = Pieces(vocabulary) if decoded else None
-        for row in left.to_batches():
-            for k in range(row.num_rows):
-                bucket = unpack(row.column("buckets")[k].as_py())
-                mark = row.column("mark")[k].as_py()
-                if len(counts) != len(bucket) or any(m.as_py() != mark for m in right.column("mark")):
-                    raise RuntimeError("a chunk's words changed between two reads; write the source as a table first")
-                place = np.empty(len(bucket), np.int32)
-                place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket), dtype=np.int32)
-                begin = (np.cumsum(counts, dtype=np.int64) - counts)[place]
-                ids, ends = _gathered(flat, begin, counts[place], unpack(row.column("numbers")[k].as_py()))
-                lengths = row.column("lengths")[k].values.to_numpy(zero_copy_only=False)
-                bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
-                documents.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)))
-                rows.append(row.column("ids")[k].values)
-                if pieces is not None:
-                    texts.append(pa.array([pieces.text(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)], pa.string()))
-        columns, names = [pa.chunked_array(rows), pa.chunked_array(documents, pa.list_(pa.int32()))], ["id", "ids"]
-        if decoded:
-            columns, names = [*columns, pa.chunked_array(texts, pa.string())], [*names, "decoded"]
-        made = pa.Table.from_arrays(columns, names=names)
-        del rows, documents, texts, columns, counts, flat, right, left, pieces
-        give_back()
-        return made
-
-    return of
-
-
-def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", decoded: bool = False, chunk_chars: int = CHUNK_CHARS, buckets: int | None = None) -> DataFrame:
-    """(id, ids): the token ids of every row of ``docs``; with ``decoded``
-    also the text that ``decode`` gives for them, made in the same task. The
-    number of buckets bounds a bucket's table; by default it is the session's
-    number of shuffle partitions, 32 at least."""
-    buckets = buckets or max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _put_together(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A chunk's positions and its words' ids as its documents' ids."""
+    lists = right.take(pc.sort_indices(right, [("k", "ascending")])).column("word_ids").combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = np.cumsum(size) - size
+    rows, documents = [], []
+    for k in range(left.num_rows):
+        ids, ends = _gathered(flat, begin, size, unpack(left.column("numbers")[k].as_py()))
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(unpack(left.column("lengths")[k].as_py()), dtype=np.int64)])]
+        documents.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)))
+        rows.append(left.column("ids")[k].values)
+    made = pa.Table.from_arrays([pa.chunked_array(rows), pa.chunked_array(documents, pa.list_(pa.int32()))], names=["id", "ids"])
+    del lists, flat, left, right, rows, documents
+    give_back()
+    return made
+
+
+def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(id, ids): the token ids of every row of ``docs``."""
     kind = docs.schema[id_column].dataType.simpleString()
-    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    requests = source.mapInArrow(_chunks(vocabulary, chunk_chars, buckets, True), REQUEST)
-    answers = requests.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_encode_words(vocabulary), ANSWER)
-    places = source.mapInArrow(_chunks(vocabulary, chunk_chars, buckets, False), f"chunk bigint, mark bigint, buckets binary, numbers binary, ids array<{kind}>, lengths array<int>")
-    made = f"id {kind}, ids array<int>" + ", decoded string" * decoded
-    return places.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_put_together(vocabulary, decoded), made)
+    source = docs.select(F.col(id_column).alias("id"), words_of(F.col(text_column), added_tokens(vocabulary)).alias("words"))
+    chunks = materialize(source.mapInArrow(_chunks(chunk_chars), f"chunk bigint, words array<string>, numbers binary, ids array<{kind}>, lengths binary"), "chunks")
+    table = chunks.select("chunk", F.posexplode("words").alias("k", "word"))
+    coded = table.select("word").distinct().mapInArrow(_encode_words(vocabulary), "word string, word_ids array<int>")
+    answers = table.join(coded, "word").select(F.col("chunk").alias("of"), "k", "word_ids")
+    return chunks.drop("words").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_put_together, f"id {kind}, ids array<int>")
 
 
-class Pieces:
-    """The vocabulary as an array from id to the piece's bytes."""
+def pieces(vocabulary: str) -> list[tuple[int, bytes]]:
+    """The vocabulary's ids and the bytes that they stand for."""
+    from tokenizers import Tokenizer
 
-    def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
+    # Byte level: printable bytes stand for themselves, the others for
+    # characters from 256 on, in order.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    char_of = {b: chr(b) for b in plain}
+    char_of |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in char_of)}
+    byte_of = {c: b for b, c in char_of.items()}
+    vocab = Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True)
+    return [(i, bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()) for piece, i in vocab.items()]
 
-        # Byte level: printable bytes stand for themselves, the others for
-        # characters from 256 on, in order.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        char_of = {b: chr(b) for b in plain}
-        char_of |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in char_of)}
-        byte_of = {c: b for b, c in char_of.items()}
-        vocab = Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True)
-        self.pieces = [b""] * (max(vocab.values()) + 1)
-        for piece, i in vocab.items():
-            self.pieces[i] = bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()
 
-    def text(self, ids: list[int]) -> str:
-        return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
+def _regrouped(names: list[str], ids_column: str, text_column: str):
+    """mapInArrow body: (piece, row) rows, in which row is set at the first
+    piece of each and null after it, as rows with their text."""
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: pa.RecordBatch | None = None
+        held, count = b"", 0
 
-def decode(coded: DataFrame, vocabulary: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
-    """``coded`` with the text of its ids; null ids give null."""
+        def told(rows: pa.RecordBatch, texts: list[bytes], counts: list[int]) -> pa.RecordBatch:
+            ids = rows.column(names.index(ids_column))
+            if pc.fill_null(pc.list_value_length(ids), 0).to_pylist() != counts:
+                raise RuntimeError("a row's pieces are not in one run")
+            made = [t.decode("utf-8", "replace") if known else None for t, known in zip(texts, pc.is_valid(ids).to_pylist(), strict=True)]
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(made, pa.string())], names=[*names, text_column])
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(vocabulary)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids_column))
-            texts = [pieces.text(ids.values.to_numpy(zero_copy_only=False).tolist()) if ids.is_valid else None for ids in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_column])
+            piece = pc.fill_null(batch.column(0), b"")
+            known = pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False)
+            begins = batch.column(2).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(known)
+            offsets = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1]
+            data = memoryview(piece.buffers()[2]) if piece.buffers()[2] is not None else b""
+            tokens = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
+            first = int(at[0]) if len(at) else len(piece)
+            held, count = held + bytes(data[offsets[0] : offsets[first]]), count + int(tokens[first])
+            if not len(at):
+                continue
+            if head is not None:
+                yield told(head, [held], [count])
+            rows = pa.RecordBatch.from_arrays(batch.column(1).filter(pa.array(known)).flatten(), names=names)
+            if len(at) > 1:
+                yield told(rows.slice(0, len(at) - 1), [bytes(data[offsets[a] : offsets[b]]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.diff(tokens[at]).tolist())
+            head = rows.slice(len(at) - 1)
+            held, count = bytes(data[offsets[at[-1]] : offsets[len(piece)]]), int(tokens[-1] - tokens[at[-1]])
+        if head is not None:
+            yield told(head, [held], [count])
+        give_back()
+
+    return of
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
-    return coded.mapInArrow(of, f"{fields}, `{text_column}` string")
+
+def decode(coded: DataFrame, vocabulary: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
+    """``coded`` with the text of its ids."""
+    names = coded.columns
+    if text_column in names:
+        raise ValueError(f"there is a column {text_column} already")
+    # A vocabulary file bounds this table.
+    table = coded.sparkSession.createDataFrame(pieces(vocabulary), "piece_id int, piece binary")
+    row = F.struct(*[F.col(f"`{n}`") for n in names])
+    ids = F.col(f"`{ids_column}`")
+    none = F.array(F.struct(F.lit(None).cast("int").alias("piece_id"), row.alias("row"), F.lit(0).cast("tinyint").alias("n")))
+    some = F.transform(ids, lambda i, k: F.struct(i.cast("int").alias("piece_id"), F.when(k == 0, row).alias("row"), F.lit(1).cast("tinyint").alias("n")))
+    parts = coded.select(F.explode(F.when(F.size(ids) > 0, some).otherwise(none)).alias("x")).select("x.piece_id", "x.row", "x.n")
+    met = parts.join(F.broadcast(table), "piece_id", "left").select("piece", "row", "n")
+    return met.mapInArrow(_regrouped(names, ids_column, text_column), StructType([*coded.schema.fields, StructField(text_column, StringType())]))
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -140,7 +140,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = vocabulary_path()
-    return bpe.digests(bpe.encode(docs, path, decoded=True)).withColumnRenamed("id", "doc_id")
+    return bpe.digests(bpe.decode(bpe.encode(docs, path), path)).withColumnRenamed("id", "doc_id")
+
 
 _Q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
 _FIND = lambda rank, pattern, ok: f"SELECT rid, {rank} AS rk, string_split_regex(t, {_Q(pattern)}) AS p, regexp_extract_all(t, {_Q(pattern)}) AS m, {ok} AS ok FROM d WHERE regexp_matches(t, {_Q(pattern)})"

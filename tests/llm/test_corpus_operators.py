@@ -199,16 +199,61 @@ def test_bpe_equals_the_library(spark, chunk):
 
     t = Tokenizer.from_file(VOCABULARY)
     df = spark.createDataFrame(ODD, "doc_id long, text string").withColumn("ids", F.lit("clash")).repartition(3)
-    coded = bpe.encode(df, VOCABULARY, decoded=True, chunk_chars=chunk)
-    got = sorted(((r.id is None, r.id), list(r.ids), r.decoded) for r in bpe.decode(coded.drop("decoded"), VOCABULARY, text_column="decoded").collect())
+    coded = bpe.encode(df, VOCABULARY, chunk_chars=chunk)
+    got = sorted(((r.id is None, r.id), list(r.ids), r.decoded) for r in bpe.decode(coded, VOCABULARY).collect())
     want = sorted(((i is None, i), t.encode(x or "", add_special_tokens=False).ids, t.decode(t.encode(x or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, x in ODD)
     assert got == want
-    assert sorted(((r.id is None, r.id), list(r.ids), r.decoded) for r in coded.collect()) == want
+
+
+def test_bpe_query_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t, sf = Tokenizer.from_file(VOCABULARY), "/root/testdata/sf0.001"
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))
+    got = queries.op10_bpe(spark, sf).collect()
+    assert len(got) == len(want) and {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
+
+
+def test_bpe_encodes_each_distinct_word_once(spark):
+    df = spark.createDataFrame([(k, "one two one") for k in range(40)], "doc_id long, text string").repartition(4)
+    counted = spark.sparkContext.accumulator(0)
+    real = bpe._encode_words(VOCABULARY)
+
+    def counting(batches):
+        def seen():
+            for b in batches:
+                counted.add(b.num_rows)
+                yield b
+
+        yield from real(seen())
+
+    words = df.select(F.explode(bpe.words_of(F.col("text"), bpe.added_tokens(VOCABULARY))).alias("word")).distinct()
+    assert sorted(r.word for r in words.mapInArrow(counting, "word string, word_ids array<int>").collect()) == [" one", " two", "one"] and counted.value == 3
+
+
+def test_bpe_words_are_the_text(spark):
+    from tokenizers import Tokenizer
+
+    t, added = Tokenizer.from_file(VOCABULARY), bpe.added_tokens(VOCABULARY)
+    for r in spark.createDataFrame(ODD, "doc_id long, text string").withColumn("w", bpe.words_of(F.col("text"), added)).collect():
+        assert "".join(r.w) == (r.text or "")
+        assert [i for w in r.w for i in t.encode(w, add_special_tokens=False).ids] == t.encode(r.text or "", add_special_tokens=False).ids
+
+
+def test_decode_odd_ids(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [10, None, 99_999_999, 11]), (4, [232])], "k int, ids array<int>")
+    assert [(r.k, r.ids, r.decoded) for r in bpe.decode(df, VOCABULARY).orderBy("k").collect()] == [(1, None, None), (2, [], ""), (3, [10, None, 99_999_999, 11], "+,"), (4, [232], "\ufffd")]
+    with pytest.raises(ValueError):
+        bpe.decode(df.withColumn("decoded", F.lit("")), VOCABULARY)
 
 
 def test_bpe_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert bpe.encode(df, VOCABULARY).count() == 0
+    assert bpe.decode(bpe.encode(df, VOCABULARY), VOCABULARY).count() == 0
 
 
 def test_shards_are_exact_and_mixed(spark):
