@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import html_text, quality_rules, secrets
+from brindle.llm import html_text, quality_rules, queries, secrets
 
 ODD = [
     (1, None, "x"),
@@ -105,6 +107,38 @@ def test_lines_and_rejection(spark):
     assert [(r.doc_id, r.text, r.q) for r in kept] == [(1, good[:-1], 0)]
 
 
+@pytest.mark.parametrize(
+    "line, ok",
+    [
+        ("A whole sentence stands here.", True),
+        ("Yes.", True),
+        ("A heading of some words", False),
+        ("a line that is wrapped in the middle of a sentence", True),
+        ("Accueil > Produits > Livres > Romans.", False),
+        ("eins | zwei | drei | vier.", False),
+        ("https://example.org/a/b/c.", False),
+        ("See https://example.org/a/b/c for all of it.", True),
+        ("ALL OF IT IS LOUD.", False),
+        ("Tous droits réservés.", False),
+        ("Alle Rechte vorbehalten.", False),
+        ("Todos los derechos reservados.", False),
+        ("© 2024 somebody.", False),
+        ("This work is licensed under terms " + "that go on and on " * 40 + "here.", False),
+        ("一行の文。", True),
+        (" \t ", True),
+    ],
+)
+def test_line_rules(spark, line, ok):
+    assert spark.createDataFrame([(line,)], "t string").select(quality_rules.line_ok(F.col("t")).alias("ok")).first().ok is ok
+
+
+def test_names_that_clash_are_refused(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string").withColumn("quality", F.lit(1)).withColumn("secret_spans", F.lit(1))
+    for operator in (quality_rules.judge, secrets.scan):
+        with pytest.raises(ValueError):
+            operator(df)
+
+
 @pytest.mark.parametrize("window", [1, 3, 5, 8])
 def test_window_widths(spark, window):
     text = "a b c a b c d e f g h a b c d e f g"
@@ -148,6 +182,109 @@ def test_html_rows(spark):
         html_text.extract(df.withColumn("text", F.lit(1)))
 
 
+class Dom(HTMLParser):
+    """A plain tree of a page: closes p before blocks and li before li."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = ["root", []]
+        self.open = [self.root]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        names = [n[0] for n in self.open]
+        for closed, by in (("p", ("p", "ul", "div", "article", "h1", "footer", "nav")), ("li", ("li",))):
+            if tag in by and closed in names and (closed != "li" or "ul" not in names[names.index("li") :]):
+                del self.open[len(names) - 1 - names[::-1].index(closed) :]
+                names = [n[0] for n in self.open]
+        node = [tag, []]
+        self.open[-1][1].append(node)
+        if tag not in ("br", "meta"):
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        names = [n[0] for n in self.open]
+        if tag in names:
+            del self.open[len(names) - 1 - names[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        self.open[-1][1].append(data)
+
+
+def plainly(page):
+    """Text with marks for line ends, gaps and bullets, then set as lines."""
+    out = []
+
+    def walk(node):
+        if isinstance(node, str):
+            out.append(re.sub("[ \t\n\r\f]+", " ", node))
+            return
+        tag, children = node
+        if tag in ("head", "script", "style"):
+            return
+        mark = "\x01" if tag in ("p", "h1", "ul") else "\x02" if tag in ("div", "article", "footer", "nav", "li", "html", "body") else "\x03" if tag == "br" else ""
+        out.append(mark + ("\x04" if tag == "li" else ""))
+        for c in children:
+            walk(c)
+        out.append(mark if tag != "br" else "")
+
+    walk(Dom(page).root)
+    text = re.sub(" +", " ", "".join(out)).replace("\x03", "\x02")
+    blocks = [re.sub("[\x02\n ]*\x02[\x02\n ]*", "\n", b).strip("\n ") for b in text.split("\x01")]
+    return "\n\n".join(re.sub("\n?\x04 ?", "\n- ", b).strip("\n") for b in blocks if b.strip("\x04 \n"))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_pages_against_a_plain_tree(spark, sf):
+    rows = queries.op1_html_text(spark, f"/root/testdata/{sf}").collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()}
+    assert len(rows) == len(pages)
+    for r in rows:
+        assert r.text == plainly(pages[r.page_id] or "")
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><tr><th colspan=2>Head<th>C<tr><td>a<td>b<td>c</table>", "Head  | C\na | b | c"),
+        ("<table><tr><td rowspan=2>long<td>x<tr><td>y<tr><td>p<td>q</table>", "long | x\n     | y\np    | q"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c</table>", "a | b\n  | c"),
+        ("<table><tr><td>a<td colspan=3>wide one<tr><td>b<td>1<td>2<td>3</table>", "a | wide one\nb | 1 | 2 | 3"),
+        ("<table><caption>title</caption><form><tr><td>a<td><input>b</form></table>", "title\na | b"),
+        ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no<br>no</div>", "yes"),
+        ("<div style='display:none'>no<b style='visibility:visible'>no</b></div>x", "x"),
+        ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+        ("<ol reversed><li>a<li>b<ol><li>z</ol><li>c</ol>", "3. a\n2. b\n  1. z\n1. c"),
+        ("<ol reversed start=9><li>a<li>b</ol>", "9. a\n8. b"),
+    ],
+)
+def test_spans_visibility_and_numbers(page, text):
+    assert html_text.render(page) == text
+
+
+def test_tables_in_tables_beyond_the_limit_are_blocks():
+    text = html_text.render("<table><tr><td>a<td>" * 12 + "<table><tr><td>x<td>y</table>")
+    assert re.findall(r"\w", text) == ["a"] * 12 + ["x", "y"]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><tr><td>" + "w" * 2_000_000 + "<td>x" + "<tr><td>a<td>b" * 2000 + "</table>", "w" * 2_000_000 + "x" + "ab" * 2000),
+        ("<table><tr><td>t" * 20_000, "t" * 20_000),
+        ("<ul><li>x" * 20_000, "x" * 20_000),
+        ("<table><tr>" + "<td rowspan=60000>x" * 1000 + "<tr><td>x" * 20_000, "x" * 21_000),
+        ("<dt><dl>" + "<div>" * 50_000 + "<dt>a</dt>" * 20_000, "a" * 20_000),
+    ],
+)
+def test_hard_pages_take_linear_time_and_room(page, text):
+    began = time.perf_counter()
+    got = html_text.render(page)
+    assert time.perf_counter() - began < 10 and len(got) < 40 * len(page) + 10**6
+    assert re.sub(r"[-| \n]", "", got) == text
+
+
 def test_unchanged_words_after_html():
     words = "alpha beta gamma".split()
     assert html_text.render("<div>" + "</div><div>".join(words) + "</div>") == "\n".join(words)
