@@ -11,11 +11,24 @@ Of records with equal payloads of ``least`` bytes or more, the one with the
 largest identifier is stored, as a response; the others are revisit records
 that refer to it. Smaller payloads are stored each time.
 
+Which payloads are shared is found from digests and identifiers alone, into a
+table of the shared digests, which Spark broadcasts where its size allows;
+payloads then go straight to their bundles.
+
 A task writes bundles under names of its attempt's own and reports them in the
 index; only an index that was written as a table counts, so files of lost
-attempts are never read. Memory holds one frame at a time.
-
-Defined cases: a null payload is empty; a null identifier counts as the least
+attempts are never read. Memory holds one frame at a time. The bundles are read
+by as many tasks as there are bundles.
+
+Headers are those that WARC 1.1 asks for, with the identical-payload-digest
+profile for revisits. A record's identifier is made from the page's, so that a
+revisit can name its response before that is written; repeated rows are one
+record stored again, with the same identifier. ``X-Payload-Length`` is an
+extension field. Frames and records are below 4 GiB, as the seek table and
+Spark's strings (2 GiB) have it.
+
+Defined cases: a null payload is empty; one of any length is a record of its
+own frame; a null identifier counts as the least
 one, so its record is a revisit where another has the payload, and a response
 where none has; repeated rows of the largest identifier are all responses; a
 null address has no header; an empty table gives no bundle and no rows; other
@@ -28,6 +41,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,18 +50,20 @@ from pyspark.sql import functions as F
 from brindle.llm.store import materialize, new_path
 
 SEEK_MAGIC, SKIPPABLE = 0x8F92EAB1, 0x184D2A5E
+# Fixed value: the profile's name in the WARC 1.1 standard.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "record_id bigint, bundle string, frame int, at int, length int"
 
 
-def record(record_id: int | None, url: str | None, kind: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(record_id: int | None, url: str | None, kind: str, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """One WARC record."""
     body = payload if kind == "response" else b""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{'' if record_id is None else record_id}>"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{'' if record_id is None else record_id}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:record:{refers_to}>", f"X-Payload-Length: {len(payload)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:record:{refers_to}>", f"X-Payload-Length: {len(payload)}"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -125,13 +141,18 @@ def classify(pages: DataFrame, id_column: str, url_column: str, payload_column:
     rows = pages.select(F.col(id_column).cast("bigint").alias("record_id"), F.col(url_column).alias("url"), F.coalesce(payload_column, F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     large = F.octet_length("payload") >= least
-    shared = rows.where(large).groupBy("digest").agg(F.max("record_id").alias("largest"), F.count("*").alias("n")).where("n > 1").select("digest", "largest")
+    # A table, so that the join is planned by its size and payloads are not
+    # shuffled to meet a small one.
+    shared = materialize(rows.where(large).groupBy("digest").agg(F.max("record_id").alias("largest"), F.count("*").alias("n")).where("n > 1").select("digest", "largest"), "shared")
     refers = F.when(large & (F.col("record_id").isNull() | (F.col("record_id") < F.col("largest"))), F.col("largest"))
     return rows.join(shared, "digest", "left").select("record_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def write(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least: int = 1000, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 26) -> DataFrame:
-    """Write bundles into ``folder`` and return their index, itself written."""
+def write(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least: int = 1000, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 26, date: str | None = None) -> DataFrame:
+    """Write bundles into ``folder`` and return their index, itself written.
+    ``date`` (UTC, 2024-01-31T12:00:00Z) is when the pages were got, now where
+    it isn't given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -153,7 +174,7 @@ def write(pages: DataFrame, folder: str, id_column: str = "page_id", url_column:
                     name = f"{part:06d}-{made:04d}-{uuid.uuid4().hex}.warc.zst"
                     bundle = Bundle(store.open_output_stream(f"{base}/{name}", compression=None), frame_bytes)
                     made += 1
-                data = record(key, url, "response" if refers is None else "revisit", payload.encode(), digest, refers)
+                data = record(key, url, "response" if refers is None else "revisit", payload.encode(), digest, refers, date)
                 index.append((key, name, *bundle.add(data), len(data)))
                 if bundle.written >= bundle_bytes:
                     bundle.close()
@@ -165,7 +186,7 @@ def write(pages: DataFrame, folder: str, id_column: str = "page_id", url_column:
             yield told()
 
     rows = classify(pages, id_column, url_column, payload_column, least)
-    return materialize(rows.mapInArrow(of, INDEX), "warc-index")
+    return materialize(rows.mapInArrow(of, INDEX), "warc-index", keep=True)
 
 
 READ = "record_id bigint, url string, record_type string, payload binary, payload_bytes bigint, payload_digest string, refers_to bigint"
@@ -203,7 +224,9 @@ def read(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["record_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"])
 
-    dealt = index.repartition("bundle").sortWithinPartitions("bundle", "frame", "at")
+    # By number, as the index's own size says nothing about the bundles'.
+    n = max(1, index.select("bundle").distinct().count())
+    dealt = index.repartition(n, "bundle").sortWithinPartitions("bundle", "frame", "at")
     return dealt.mapInArrow(of, READ)
 
 
