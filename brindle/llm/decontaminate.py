@@ -2,13 +2,15 @@
 
 A test item is short and a document long, so their Jaccard similarity says
 little; what counts is the share of the item's word shingles that the document
-holds. Items are partitioned by their number m of distinct shingles. At that
-size, containment of t or more leaves at most m - ceil(t * m) shingles
-missing, so of the k = m - ceil(t * m) + 1 least hashes of the item (its
-bottom-k MinHash sketch) the document must hold one. Documents too short for a
-size are not probed for it, and a shingle of a document is looked up in the
-sketches of all items at once. The search therefore loses nothing; candidates
-are then verified by exact shingle containment.
+holds. Items are partitioned by their number m of distinct shingles (and the
+shingles' width). In the partition of size m, containment of t or more leaves
+at most m - ceil(t * m) shingles missing, so of the k = m - ceil(t * m) + 1
+least hashes of an item (its bottom-k MinHash sketch) the document must hold
+one. Documents with fewer shingles than a partition asks for are not probed in
+it. The document's shingle hashes are held against the sketches of all
+partitions at once, and those that any sketch has are looked up in each
+partition's table from hash to items. The search therefore loses nothing;
+candidates are then verified by exact shingle containment.
 
 Words are runs of other than ASCII white space, A-Z in lower case. Shingles
 have ``width`` words (default five); an item with fewer words is one shingle
@@ -18,9 +20,11 @@ The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text,
 whose sizes are counted first; more blocks mean more passes over the
 documents, never a larger broadcast.
 
-Defined cases: a null or empty text holds nothing and is kept; an item without
-words is never found; repeated documents or items give repeated rows; empty
-tables give no rows; of other columns only those asked for are read.
+Defined cases: a null or empty text holds nothing and is kept; a text of any
+length is probed whole, in one worker's memory; an item without words is never
+found; items and documents with null identifiers are compared like others;
+repeated documents or items give repeated rows; empty tables give no rows; of
+other columns only those asked for are read, and ``decontaminate`` keeps all.
 """
 
 from __future__ import annotations
@@ -43,18 +47,18 @@ class Items:
 
     def __init__(self, texts: list[str | None], threshold: float, width: int):
         self.words: dict[bytes, int] = {}
-        self.widths: dict[int, dict] = {}
+        #: By width, the sizes' partitions in order: (shingles to hold, sketch hashes, their items).
+        self.widths: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
         rng = np.random.default_rng(20240229)
         tokens = [words_of(t) for t in texts]
         for ws in tokens:
             for w in ws:
                 self.words.setdefault(w, len(self.words))
         self.code = rng.integers(0, 2**63, (width, len(self.words) + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        parts: dict[int, list] = {}
+        parts: dict[tuple[int, int], list] = {}
         self.size = [0] * len(texts)
         self.need = [0] * len(texts)
         self.shingles: list[set] = [set() for _ in texts]
-        self.width_of = [0] * len(texts)
         for item, ws in enumerate(tokens):
             if not ws:
                 continue
@@ -63,20 +67,15 @@ class Items:
             hashes = self.hashes(ids, n)
             unique, first = np.unique(hashes, return_index=True)
             m = len(unique)
-            self.size[item], self.need[item], self.width_of[item] = m, max(1, math.ceil(threshold * m - 1e-9)), n
+            self.size[item], self.need[item] = m, max(1, math.ceil(threshold * m - 1e-9))
             self.shingles[item] = {tuple(ids[i : i + n].tolist()) for i in first}
-            sketch = unique[: m - self.need[item] + 1]
-            parts.setdefault(n, []).append((item, sketch, unique))
-        for n, entries in parts.items():
-            items = np.repeat([e[0] for e in entries], [len(e[1]) for e in entries])
-            keys = np.concatenate([e[1] for e in entries])
+            parts.setdefault((n, m), []).append((item, unique[: m - self.need[item] + 1]))
+        for (n, m), entries in sorted(parts.items()):
+            items = np.repeat([item for item, _ in entries], [len(sketch) for _, sketch in entries])
+            keys = np.concatenate([sketch for _, sketch in entries])
             order = np.argsort(keys, kind="stable")
-            self.widths[n] = {
-                "keys": keys[order],
-                "items": items[order],
-                "all": np.unique(np.concatenate([e[2] for e in entries])),
-                "least": min(self.need[e[0]] for e in entries),
-            }
+            self.widths.setdefault(n, []).append((self.need[entries[0][0]], keys[order], items[order]))
+        self.sketched = {n: np.unique(np.concatenate([keys for _, keys, _ in p])) for n, p in self.widths.items()}
 
     def hashes(self, ids: np.ndarray, n: int) -> np.ndarray:
         """A hash of each ``n`` consecutive word numbers."""
@@ -94,27 +93,26 @@ class Items:
             return []
         get = self.words.get
         ids = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
+        unknown = np.concatenate([[0], np.cumsum(ids < 0)])
         found = []
-        for n, part in self.widths.items():
-            if len(ids) - n + 1 < part["least"]:
+        for n, parts in self.widths.items():
+            windows = len(ids) - n + 1
+            if windows < parts[0][0]:
                 continue
-            unknown = np.concatenate([[0], np.cumsum(ids < 0)])
-            at = np.flatnonzero(unknown[n:] == unknown[: len(unknown) - n])
-            if not len(at):
-                continue
-            hashes = self.hashes(ids, n)[at]
-            place = np.searchsorted(part["all"], hashes)
-            hit = part["all"][np.minimum(place, len(part["all"]) - 1)] == hashes
-            at, hashes = at[hit], hashes[hit]
-            if not len(at):
-                continue
-            distinct = np.unique(hashes)
-            lo, hi = np.searchsorted(part["keys"], distinct, "left"), np.searchsorted(part["keys"], distinct, "right")
-            candidates = {int(i) for a, b in zip(lo, hi, strict=True) for i in part["items"][a:b]}
-            candidates = {i for i in candidates if len(ids) - n + 1 >= self.need[i]}
+            at = np.flatnonzero(unknown[n:] == unknown[:windows])
+            distinct, sketched = np.unique(self.hashes(ids, n)[at]), self.sketched[n]
+            place = np.minimum(np.searchsorted(sketched, distinct), len(sketched) - 1)
+            hit = distinct[sketched[place] == distinct]
+            candidates: set[int] = set()
+            for need, keys, items in parts if len(hit) else []:
+                if need > windows:
+                    break  # so do all larger sizes
+                lo, hi = np.searchsorted(keys, hit, "left"), np.searchsorted(keys, hit, "right")
+                for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                    candidates.update(items[a:b].tolist())
             if candidates:
                 here = {tuple(ids[i : i + n].tolist()) for i in at}
-                for item in sorted(candidates):
+                for item in candidates:
                     shared = len(self.shingles[item] & here)
                     if shared >= self.need[item]:
                         found.append((item, shared))
