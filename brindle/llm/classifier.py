@@ -8,17 +8,21 @@ fitted on labelled texts that the dictionaries have not seen turns the feature
 into a probability. Blocks keep the dictionaries at work all through a long
 text, of which every byte counts.
 
-Learning takes a bounded sample: ``per_class`` labelled documents of each
-class, those of least hash of the identifier, and of each up to ``pieces``
-blocks spread evenly over the text; so the driver receives at most
-2 * per_class * pieces blocks however large the corpus. Scoring covers every
-row and shuffles nothing.
+Learning takes a bounded sample of labelled rows: of each class the
+``per_class`` identifiers of least hash, of their documents those of
+``row_bytes`` at most, and of these, in that order, as many as ``class_bytes``
+hold. So the driver receives 2 * class_bytes however large the corpus. Their
+texts are used whole: three of four teach the dictionaries, every fourth the
+curve. Scoring covers every row and whole texts and shuffles nothing.
 
 Defined cases: null and empty texts have feature 0 and so the curve's value
-there; identifiers labelled twice count with the lower label; labels or
-identifiers that are null teach nothing; with labels of one class only, or
-none, scores are the class's share (0.5 without labels); repeated rows score
-alike; columns other than the identifier and the text are not read.
+there; a text of any length is scored whole, in one worker's memory;
+identifiers labelled twice count with the lower label, and of rows that repeat
+an identifier the least text teaches; labels or identifiers that are null teach
+nothing; where a class has fewer than two documents to learn from, scores are
+the labels' share (0.5 without labels); repeated rows score alike; an empty
+table gives no rows; other columns are kept by ``score``, whose result column
+must not be among them.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
@@ -79,24 +83,21 @@ def is_held_out(id_column: Column, folds: int = 3, held: int = 1) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds == held, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int, pieces: int, id_column: str, text_column: str, label_column: str) -> list[tuple[int, int, list[bytes]]]:
-    """(fold, label, blocks) of the bounded sample that learning uses."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int, row_bytes: int, class_bytes: int, id_column: str, text_column: str, label_column: str) -> dict[int, list[str]]:
+    """The whole texts of the bounded sample that learning uses, by label."""
     named = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     named = named.where(~is_held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.octet_length("text").between(1, row_bytes))
     order = F.xxhash64("id")
     chosen = None
     for label in (0, 1):
         part = named.where(F.col("label") == label).orderBy(order, "id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
-    data = F.col("text").cast("binary")
-    n = F.ceil(F.octet_length("text") / BLOCK).cast("int")
-    take = F.least(n, F.lit(pieces))
-    cut = F.transform(F.sequence(F.lit(0), take - 1), lambda k: F.substring(data, (F.floor(k * n / take) * BLOCK + 1).cast("int"), F.lit(BLOCK)))
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("octet_length(text) > 0")
     # 2 * per_class rows at most are broadcast; one text for each identifier.
-    found = texts.join(F.broadcast(chosen), "id").select("id", "label", cut.alias("blocks")).groupBy("id").agg(F.first("label").alias("label"), F.min("blocks").alias("blocks"))
-    rows = found.select(F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(4)).alias("fold"), "label", "blocks", "id").orderBy("id").collect()
-    return [(r["fold"], r["label"], [bytes(b) for b in r["blocks"]]) for r in rows]
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    size = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("label").orderBy(order, "id"))  # per_class rows at most
+    rows = found.withColumn("sum", size).where(F.col("sum") <= class_bytes).select("label", "text", order.alias("order"), "id").orderBy("order", "id").collect()
+    return {label: [r["text"] for r in rows if r["label"] == label] for label in (0, 1)}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -114,27 +115,26 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, pieces: int = 8, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, row_bytes: int = 1 << 20, class_bytes: int = 1 << 23, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Model:
     """A model learned from the labels of documents that are not held out."""
     import zstandard
 
-    rows = sample(docs, labels, per_class, pieces, id_column, text_column, label_column)
-    seen = [label for _, label, _ in rows]
-    if len(set(seen)) < 2:
-        share = (sum(seen) + 1) / (len(seen) + 2) if seen else 0.5
+    texts = sample(docs, labels, per_class, row_bytes, class_bytes, id_column, text_column, label_column)
+    good, bad = len(texts[1]), len(texts[0])
+    if min(good, bad) < 2:
+        share = (good + 1) / (good + bad + 2)
         return Model(b"", b"", 0.0, math.log(share / (1 - share)))
     dictionaries = {}
-    for label in (0, 1):
-        texts = [b for fold, x, blocks in rows if x == label and fold != 0 for b in blocks] or [b for _, x, blocks in rows if x == label for b in blocks]
+    for label, own in texts.items():
+        data = [t.encode() for k, t in enumerate(own) if k % 4]
+        blocks = [d[at : at + BLOCK] for d in data for at in range(0, len(d), BLOCK)]
         try:
-            dictionaries[label] = zstandard.train_dictionary(DICTIONARY, texts, level=LEVEL).as_bytes()
+            dictionaries[label] = zstandard.train_dictionary(DICTIONARY, blocks, level=LEVEL).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: use it as it is
-            dictionaries[label] = b"".join(texts)[-DICTIONARY:].rjust(8, b" ")
+            dictionaries[label] = b"".join(blocks).rjust(8, b" ")
     model = Model(dictionaries[1], dictionaries[0], 0.0, 0.0).open()
-    held = [r for r in rows if r[0] == 0]
-    held = held if len({x for _, x, _ in held}) == 2 else rows
-    x = np.array([model.feature(b"".join(blocks).decode("utf-8", "ignore")) for _, _, blocks in held])
-    model.slope, model.offset = logistic(x, np.array([label for _, label, _ in held], float))
+    held = [(model.feature(t), label) for label, own in texts.items() for t in own[::4]]
+    model.slope, model.offset = logistic(*(np.array(c, float) for c in zip(*held, strict=True)))
     return model.plain()
 
 
@@ -152,4 +152,6 @@ def scorer(model: Model):
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", score_column: str = "score") -> DataFrame:
     """``docs`` with the probability that its label is 1."""
+    if score_column in docs.columns:
+        raise ValueError(f"the documents have a column {score_column} already")
     return docs.withColumn(score_column, scorer(model)(docs[text_column]))
