@@ -171,7 +171,7 @@ def _strip(column: str) -> str:
 
 
 _COUNT = lambda text, chars: f"(length({text}) - length(translate({text}, '{chars}', '')))"
-_BOILER = " OR ".join(f"contains(lower(s), '{p}')" for p in quality_rules.BOILERPLATE)
+_BOILER = " OR ".join(f"contains(lower(s), {_Q(p)})" for p in quality_rules.BOILERPLATE)
 OP9_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
@@ -180,13 +180,13 @@ r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
 c AS (SELECT rid, CAST(sum(least(8, coalesce(nx - i, 8))) AS BIGINT) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nx FROM r) GROUP BY rid),
 l AS (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d),
 j AS (SELECT rid, x, {_strip("x")} AS s FROM l),
-k AS (SELECT rid, x, s, len(string_split(s, ' ')) AS n FROM j),
+k AS (SELECT rid, x, s, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS n, length(s) - length(translate(s, '{quality_rules.SEPARATORS}', '')) AS bars FROM j),
 v AS (SELECT rid, x, s <> '' AS worded, CASE WHEN s = '' THEN true
     WHEN n >= 4 AND NOT regexp_matches(s, '\p{{Ll}}') AND regexp_matches(s, '\p{{Lu}}') THEN false
-    WHEN n < 3 AND NOT regexp_matches(s, '[.!?…:;"''”»)\]]$') THEN false
-    WHEN {_COUNT("s", "|")} >= 3 AND {_COUNT("s", "|")} * 4 >= n THEN false
+    WHEN n < {quality_rules.SENTENCE} AND NOT regexp_matches(s, {_Q(quality_rules.SENTENCE_END)}) THEN false
+    WHEN bars >= 3 AND bars * 4 >= n OR n = 1 AND regexp_matches(s, {_Q(quality_rules.ADDRESS)}) THEN false
     WHEN {_COUNT("s", quality_rules.SYMBOLS)} > n THEN false
-    ELSE NOT (n <= 40 AND ({_BOILER})) END AS ok FROM k),
+    ELSE NOT ({_BOILER}) END AS ok FROM k),
 a AS (SELECT rid, count(*) FILTER (worded) - count(DISTINCT x) FILTER (worded) AS dup, coalesce(sum(length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))) FILTER (ok), 0) AS stay FROM v GROUP BY rid),
 b AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, {_COUNT("t", quality_rules.SYMBOLS)} AS n_symbols, dup AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, stay
   FROM w JOIN a USING (rid) LEFT JOIN c USING (rid))

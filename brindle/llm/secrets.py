@@ -9,10 +9,10 @@ against the threshold of the string's character class. Candidates that an
 allow-list pattern matches are suppressed; base spans never are.
 
 Defined cases: a null text counts as empty (no spans); spans of different
-kinds may overlap; repeated rows are scanned alike and all returned; columns
-of the input stay as they are, and the result columns are put after them
-(``result_column`` names the struct, so clashing names cannot arise).
-Spans count code points, end exclusive.
+kinds may overlap; repeated rows are scanned alike and all returned; a text of
+any length is scanned whole; an empty table gives no rows; columns of the input
+stay as they are, and ``scan`` refuses a ``result_column`` that is there
+already. Spans count code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -149,6 +149,8 @@ def digest(found: Column) -> Column:
 
 def scan(docs: DataFrame, text_column: str = "text", result_column: str = "secret_spans") -> DataFrame:
     """``docs`` with ``result_column``: the spans of secrets in each text."""
+    if result_column in docs.columns:
+        raise ValueError(f"the documents have a column {result_column} already")
     return docs.withColumn(result_column, spans(docs[text_column]))
 
 
