@@ -38,16 +38,16 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.col("v") % 1000003))).first())
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: long) but the roots;
     root is the least node of the component. Loops and repeated edges do no
-    harm; no edges: no rows."""
+    harm; no edges: no rows. Rounds go on until nothing changes; their number
+    is about the square of the logarithm of the nodes."""
     now = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
     mark = _mark(now)
-    for _ in range(max_rounds):
+    while True:
         then = materialize(_small_star(_large_star(now)), "edges")
         discard(now)
         now, last, mark = then, mark, _mark(then)
         if mark == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
