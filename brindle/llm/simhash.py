@@ -77,26 +77,33 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(of, f"id {kind}, fp bigint")
 
 
-def trie_pairs(fps: np.ndarray, starts: np.ndarray, middles: np.ndarray, ends: np.ndarray, budget: int, leaf: int = 16, slice_pairs: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(fps: np.ndarray, starts: np.ndarray, middles: np.ndarray, ends: np.ndarray, budget: int, leaf: int = 16, slice_pairs: int = 1 << 18, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of the linked fingerprints of many tries at once, in
     parts. fps has a row of 64-bit words for each fingerprint.
 
     Trie t holds the fingerprints from starts[t] to ends[t]. Up to middles[t]
     they are its left side and from there on its right one, each sorted; only
     pairs across are asked for. With middles[t] = ends[t], all pairs within.
+
+    All node pairs of a level go down together; where they are more than
+    ``most``, in parts that are walked to the end one after another.
     """
     bits = 64 * fps.shape[1]
     inner = middles == ends
-    al, ah = starts, middles
-    bl, bh = np.where(inner, starts, middles), ends
-    errors = np.zeros(len(starts), np.int64)
-    for depth in range(bits + 1):
+    first = (starts, middles, np.where(inner, starts, middles), ends, np.zeros(len(starts), np.int64))
+    stack = [(0, first)]
+    while stack:
+        depth, pairs = stack.pop()
+        if len(pairs[0]) > most:
+            stack += [(depth, tuple(x[at : at + most] for x in pairs)) for at in range(0, len(pairs[0]), most)]
+            continue
+        al, ah, bl, bh, errors = pairs
         na, nb = ah - al, bh - bl
         done = (na * nb <= leaf) if depth < bits else np.ones(len(al), bool)
         if done.any():  # leaf buckets: compare outright
             yield from _leaves(fps, al[done], na[done], bl[done], nb[done], budget, slice_pairs)
         if done.all():
-            return
+            continue
         go = ~done
         al, ah, bl, bh, errors = al[go], ah[go], bl[go], bh[go], errors[go]
         bit = (fps[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)
@@ -106,7 +113,7 @@ def trie_pairs(fps: np.ndarray, starts: np.ndarray, middles: np.ndarray, ends: n
         parts = [(al, am, bl, bm, errors, every), (am, ah, bm, bh, errors, every), (al, am, bm, bh, errors + 1, every), (am, ah, bl, bm, errors + 1, ~own)]
         al, ah, bl, bh, errors, use = (np.concatenate(x) for x in zip(*parts, strict=True))
         live = use & (ah > al) & (bh > bl) & (errors <= budget) & ~((al == bl) & (ah - al == 1))
-        al, ah, bl, bh, errors = al[live], ah[live], bl[live], bh[live], errors[live]
+        stack.append((depth + 1, (al[live], ah[live], bl[live], bh[live], errors[live])))
 
 
 def _leaves(fps: np.ndarray, al: np.ndarray, na: np.ndarray, bl: np.ndarray, nb: np.ndarray, budget: int, slice_pairs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -322,7 +329,7 @@ def wide_links(nodes: DataFrame, budget: int, max_node: int = 2048) -> DataFrame
         pairs = split.select(F.xxhash64("key", F.least("own", "b"), F.greatest("own", "b")).alias("key"), (F.col("own") > F.col("b")).cast("long").alias("side"), "node", "fp")
         found = plain.join(hot, "key", "left_anti").unionByName(pairs)
     dealt = found.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_join_tries(budget, ("key",), "fp", "node", 1), "u bigint, v bigint")
+    return dealt.mapInArrow(_join_tries(budget, ("key",), "fp", "node"), "u bigint, v bigint")
 
 
 def similar(sets: list[np.ndarray]) -> np.ndarray:
@@ -381,7 +388,7 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
-def similar_links(texts: DataFrame, width: int, max_members: int = 1024, block_bytes: int = 1 << 23) -> DataFrame:
+def similar_links(texts: DataFrame, width: int, max_members: int = 1024, block_bytes: int = 1 << 22) -> DataFrame:
     """Edges (u, v) that connect those ``texts`` (root, node, text) of a
     candidate class ``root`` that are 0.8 similar. A class is a task's work; one
     of more than ``max_members`` texts or ``block_bytes`` is dealt out in pairs
