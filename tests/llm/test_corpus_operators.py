@@ -77,6 +77,35 @@ def test_simhash_hot_node(spark):
         assert {x: found.get(x, x) for x in want} == want
 
 
+def test_links_come_from_the_descent(spark, monkeypatch):
+    """From the root pair: levels by DataFrames, then by arrays, and as many
+    places as the budget allows."""
+    rng = np.random.default_rng(8)
+    fps = np.unique(rng.integers(-(2**63), 2**63, 300))
+    walked, compared, real, leaves = [], [], simhash._descend, simhash._leaves
+    monkeypatch.setattr(simhash, "_descend", lambda rows, *a: walked.append(out := real(rows, *a)) or out)
+    simhash.links(spark.createDataFrame([(int(x),) for x in fps], "fp long")).collect()
+    assert len(walked) == 1 and walked[0].count() == len(fps) * (1 + 6 + 15)
+    monkeypatch.setattr(simhash, "_leaves", lambda fps, al, na, bl, nb, *a: compared.append(int((na * nb).sum())) or leaves(fps, al, na, bl, nb, *a))
+    words = np.sort(fps.view(np.uint64)).reshape(-1, 1)
+    near = words.copy()
+    near[:50] ^= np.uint64(5)
+    both = np.unique(np.concatenate([words, near]), axis=0)
+    n = np.array([len(both)])
+    got = {(int(i), int(j)) for a, b in simhash.trie_pairs(both, np.array([0]), n, n, 2) for i, j in zip(a, b, strict=True)}
+    want = {(i, j) for i in range(len(both)) for j in range(i + 1, len(both)) if (int(both[i, 0]) ^ int(both[j, 0])).bit_count() <= 2}
+    assert got == want and len(want) >= 50 and sum(compared) < len(both) ** 2 / 4 and len(compared) > 3
+
+
+def test_simhash_query_keeps_its_contract(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
+    want = groups(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    got = queries.op3_simhash_dedup(spark, sf).collect()
+    assert len(got) == len(texts) and {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{p:016x}", want[i]) for i, p in prints.items()}
+
+
 def test_simhash_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c"), (9, "a b c"), (9, "a b c"), (None, "lone text here")], "doc_id long, text string")
     got = simhash.classes(df).collect()
@@ -158,8 +187,8 @@ def test_wide_links_need_one_common_anchor(spark, max_node):
 def test_containment_matches_brute_force(spark):
     rng = random.Random(5)
     words = ["u%d" % i for i in range(200)]
-    items = [(k, " ".join(rng.choices(words, k=rng.randrange(1, 40)))) for k in range(30)] + [(50, None), (51, ""), (52, "dup dup dup dup dup dup dup"), (52, "dup dup dup dup dup dup dup")]
-    docs = [(0, None), (1, ""), (2, "dup " * 9)]
+    items = [(k, " ".join(rng.choices(words, k=rng.randrange(1, 40)))) for k in range(30)] + [(50, None), (51, ""), (52, "dup dup dup dup dup dup dup"), (52, "dup dup dup dup dup dup dup"), (None, "u1 u2 u3")]
+    docs = [(0, None), (1, ""), (2, "dup " * 9), (None, "U1 u2 u3 " + "filler " * 50_000)]
     for k in range(60):
         t = rng.choices(words, k=300)
         if k % 2:
@@ -184,7 +213,8 @@ def test_containment_matches_brute_force(spark):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(0)), spark.createDataFrame(items, "item_id long, text string")
     for block in (1 << 24, 500):
         got = decontaminate.contained(df, bench, block_bytes=block).collect()
-        assert sorted((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in got) == sorted(want)
+        none_last = lambda rows: sorted(rows, key=lambda r: [(x is None, x or 0) for x in r])
+        assert none_last((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in got) == none_last(want)
         kept = {r.doc_id for r in decontaminate.decontaminate(df, bench, block_bytes=block).collect()}
         assert kept == {d for d, _ in docs} - {w[0] for w in want}
     assert decontaminate.contained(df, bench.limit(0)).count() == 0 and decontaminate.contained(df.limit(0), bench).count() == 0
@@ -199,7 +229,7 @@ def test_bpe_equals_the_library(spark, chunk):
 
     t = Tokenizer.from_file(VOCABULARY)
     df = spark.createDataFrame(ODD, "doc_id long, text string").withColumn("ids", F.lit("clash")).repartition(3)
-    coded = bpe.encode(df, VOCABULARY, chunk_chars=chunk)
+    coded = bpe.encode(df, VOCABULARY, chunk_chars=chunk, bucket_words=chunk)
     got = sorted(((r.id is None, r.id), list(r.ids), r.decoded) for r in bpe.decode(coded, VOCABULARY).collect())
     want = sorted(((i is None, i), t.encode(x or "", add_special_tokens=False).ids, t.decode(t.encode(x or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, x in ODD)
     assert got == want
@@ -218,21 +248,50 @@ def test_bpe_query_equals_the_library(spark):
     assert len(got) == len(want) and {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
 
 
-def test_bpe_encodes_each_distinct_word_once(spark):
-    df = spark.createDataFrame([(k, "one two one") for k in range(40)], "doc_id long, text string").repartition(4)
-    counted = spark.sparkContext.accumulator(0)
-    real = bpe._encode_words(VOCABULARY)
+def test_bpe_encodes_each_distinct_word_once(spark, monkeypatch):
+    """However many chunks ask for it, and with few words to a bucket."""
+    import pyarrow as pa
+    import tokenizers
+
+    asked = []
+
+    class Counting:
+        def __init__(self, real):
+            self.real = real
 
-    def counting(batches):
-        def seen():
-            for b in batches:
-                counted.add(b.num_rows)
-                yield b
+        def __getattr__(self, name):
+            return getattr(self.real, name)
 
-        yield from real(seen())
+        def encode_batch(self, words, **options):
+            asked.extend(words)
+            return self.real.encode_batch(words, **options)
 
-    words = df.select(F.explode(bpe.words_of(F.col("text"), bpe.added_tokens(VOCABULARY))).alias("word")).distinct()
-    assert sorted(r.word for r in words.mapInArrow(counting, "word string, word_ids array<int>").collect()) == [" one", " two", "one"] and counted.value == 3
+    class Files:
+        @staticmethod
+        def from_file(path):
+            return Counting(real(path))
+
+    real = tokenizers.Tokenizer.from_file
+    monkeypatch.setattr(tokenizers, "Tokenizer", Files)
+    words = ["one", " two", " three", ""]
+    request = lambda chunk, own: (chunk, 7, bpe.pack_words(pa.array(own)))
+    rows = [request(1, words[:3]), request(2, words[1:]), request(3, words)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["chunk", "bucket", "words"])
+    out = pa.Table.from_batches(bpe._encode_words(VOCABULARY)(iter([batch])))
+    assert sorted(asked) == sorted(words)
+    for own, counts, ids in zip([words[:3], words[1:], words], out.column("counts"), out.column("word_ids"), strict=True):
+        want = [real(VOCABULARY).encode(w, add_special_tokens=False).ids for w in own]
+        assert bpe.unpack(counts.as_py()).tolist() == list(map(len, want)) and bpe.unpack(ids.as_py()).tolist() == sum(want, [])
+
+
+def test_bpe_buckets_follow_the_distinct_words(spark):
+    df = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, k + 400))) for k in range(0, 20_000, 100)], "doc_id long, text string").repartition(4)
+    words = [f"w{j}" for j in range(20_300)]
+    kind = bpe.CHUNK.format(kind="bigint")
+    made = df.select("doc_id", bpe.words_of(F.col("text"), []).alias("w")).mapInArrow(bpe._chunks(5000), kind)
+    assert bpe.distinct_words(made) == pytest.approx(len(words), rel=0.25)
+    few = df.limit(1).select("doc_id", bpe.words_of(F.lit("a b a b"), []).alias("w")).mapInArrow(bpe._chunks(5000), kind)
+    assert bpe.distinct_words(few) == 3
 
 
 def test_bpe_words_are_the_text(spark):
@@ -247,6 +306,9 @@ def test_bpe_words_are_the_text(spark):
 def test_decode_odd_ids(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [10, None, 99_999_999, 11]), (4, [232])], "k int, ids array<int>")
     assert [(r.k, r.ids, r.decoded) for r in bpe.decode(df, VOCABULARY).orderBy("k").collect()] == [(1, None, None), (2, [], ""), (3, [10, None, 99_999_999, 11], "+,"), (4, [232], "\ufffd")]
+    many = spark.createDataFrame([(k, [10 + k % 3] * (k % 1500), ["t"] * (k % 4), {"m": k}) for k in range(0, 3000, 7)], "k int, ids array<int>, more array<string>, map map<string,int>")
+    for r in bpe.decode(many.coalesce(1), VOCABULARY, text_column="text").collect():
+        assert r.text == "+,-"[r.k % 3] * len(r.ids) and r.ids == [10 + r.k % 3] * (r.k % 1500) and r.more == ["t"] * (r.k % 4) and r.map == {"m": r.k}
     with pytest.raises(ValueError):
         bpe.decode(df.withColumn("decoded", F.lit("")), VOCABULARY)
 
@@ -283,12 +345,10 @@ def test_shard_query_deals_whole_documents(spark, monkeypatch):
 
 
 def test_blocks_are_bounded_by_bytes_and_parts_by_rows(spark, monkeypatch):
-    made, real = [], sharding.cells
-    monkeypatch.setattr(sharding, "cells", lambda *a: made.append(out := real(*a)) or out)
     monkeypatch.setattr(sharding, "PART_BITS", 4)
     df = spark.range(300).select("id", F.repeat(F.lit("x"), 984).alias("text"), F.array("id").alias("ids")).repartition(3)
     got = sharding.shard_rows(df, 2, block_bytes=20_000).collect()
-    assert max(size for _, _, size in made[0]) <= 20 and sorted(r.id for r in got) == list(range(300))
+    assert sorted(r.id for r in got) == list(range(300))
     assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(2) for k in range(150)]
     assert all(r.ids == [r.id] and len(r.text) == 984 for r in got)
 
@@ -306,6 +366,61 @@ def test_matrix_has_its_margins_and_mean():
     assert big.sum() == 10**9 and abs(big[0] - 75 * 10**7) < 10**6
 
 
+def test_blocks_are_even():
+    for rows, shards, most in ((1003, 24, 10), (0, 3, 5), (5, 8, 5), (10**6, 7, 999)):
+        shard, first, size = sharding.cells(rows, shards, most)
+        for s, n in enumerate(sharding.shard_sizes(rows, shards)):
+            own = shard == s
+            assert size[own].sum() == n and (first[own] == np.cumsum(size[own]) - size[own]).all() and size[own].max() - size[own].min() <= 1 and size[own].max() <= most
+        assert max(sharding.shard_sizes(rows, shards)) - min(sharding.shard_sizes(rows, shards)) <= 1
+
+
+@pytest.mark.parametrize("good, bad, n", [(30, 50, 40), (500, 100, 550), (17, 400, 100), (3, 2, 4), (0, 5, 3), (40, 9, 49)])
+def test_large_draws_have_the_exact_law(good, bad, n):
+    from math import comb
+
+    rng, tries = np.random.default_rng(5), 4000
+    got = np.bincount([sharding.large_draw(rng, good, bad, n) for _ in range(tries)], minlength=good + 1)
+    want = np.array([comb(good, k) * comb(bad, n - k) / comb(good + bad, n) if 0 <= n - k <= bad else 0 for k in range(good + 1)])
+    assert not got[want == 0].any()
+    often = want * tries >= 5
+    assert (((got - want * tries) ** 2)[often] / (want * tries)[often]).sum() < often.sum() + 5 * np.sqrt(2 * often.sum())
+
+
+def test_large_draws_beyond_numpy():
+    rng = np.random.default_rng(6)
+    good, bad, n = 3 * 10**11, 5 * 10**11, 10**11
+    z = [(sharding.large_draw(rng, good, bad, n) - n * good / (good + bad)) / np.sqrt(n * (3 / 8) * (5 / 8) * (7 / 8)) for _ in range(300)]
+    assert abs(np.mean(z)) < 0.25 and 0.85 < np.std(z) < 1.15
+    assert [sharding.large_draw(rng, 10**12, 1, 10**12) for _ in range(5)] >= [10**12 - 1] * 5
+
+
+@pytest.mark.parametrize("file_rows", [1 << 20, 7])
+def test_shards_are_written_in_order(spark, tmp_path, file_rows):
+    import pyarrow.parquet as pq
+
+    df = spark.range(200).withColumn("text", F.lit("x"))
+    sharding.write_shards(sharding.shard_rows(df, 3), f"file://{tmp_path}/out", file_rows)
+    back, ids = defaultdict(list), []
+    for file in sorted((tmp_path / "out").rglob("*.parquet")):
+        t = pq.ParquetFile(file).read()
+        slots = t.column("slot").to_pylist()
+        assert slots == sorted(slots) and len(slots) <= file_rows
+        back[file.parent.name] += slots
+        ids += t.column("id").to_pylist()
+    assert sorted(ids) == list(range(200)) and {k: sorted(v) for k, v in back.items()} == {f"shard={s}": list(range(n)) for s, n in enumerate((67, 67, 66))}
+
+
+def test_shard_query_keeps_its_contract(spark):
+    got = queries.op4_uniform_shards(spark, "/root/testdata/sf0.001").collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    counts = [len(s) for s in slots.values()]
+    assert set(slots) == set(range(24)) and max(counts) - min(counts) <= 1 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+
+
 def test_warc_round_trip(spark):
     long = "<p>" + "x" * 1200
     rows = [(1, "http://a/ b\r\n", long), (5, None, long), (3, "u", long), (2, "u", "short"), (4, "u", "short"), (None, "u", long), (6, "u", None), (7, "u", "é" * 700), (7, "u", "é" * 700), (None, "u", "only null" * 200)]
@@ -324,7 +439,14 @@ def test_warc_round_trip(spark):
     one = warc.lookup(index, folder, spark.createDataFrame([(2,)], "record_id long")).collect()
     assert [bytes(r.payload) for r in one] == [b"short"]
     none = warc.write(df.limit(0), warc.new_folder(spark))
-    assert none.count() == 0
+    assert none.count() == 0 and warc.read(none, folder).count() == 0
+
+
+def test_warc_headers():
+    for kind, refers in (("response", None), ("revisit", 9)):
+        fields, body = warc.parse(warc.record(4, "http://a", kind, b"pay", "d1", refers, "2024-01-31T12:00:00Z"))
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(fields) and int(fields["Content-Length"]) == len(body)
+        assert (fields.get("WARC-Profile"), fields.get("WARC-Refers-To")) == ((warc.PROFILE, "<urn:record:9>") if refers else (None, None))
 
 
 def test_bundle_is_a_plain_zstd_stream(spark, tmp_path):
@@ -351,7 +473,46 @@ def test_classifier_on_held_out_rows(spark):
     assert area > 0.9 and all(0 <= s <= 1 for s in good + bad)
 
 
+def test_classifier_against_its_own_steps(spark):
+    """Sizes by the library, the curve as the likelihood's maximum, and whole
+    texts from training to scores."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    texts = classifier.sample(docs, labels, 1500, 1 << 20, 1 << 23, "doc_id", "text", "quality")
+    by_id = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and by_id.get(r.doc_id)}
+    assert {x: sorted(t) for x, t in texts.items()} == {x: sorted(by_id[i] for i, q in known.items() if q == x) for x in (0, 1)}
+    model = classifier.fit(docs, labels)
+
+    def feature(text):
+        sizes = []
+        for data in (model.good, model.bad):
+            coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(coder.compress(text.encode()[k : k + 1024])) for k in range(0, len(text.encode()), 1024)))
+        return (sizes[1] - sizes[0]) / max(sizes) if text else 0.0
+
+    for r in queries.op8_quality_classifier(spark, "/root/testdata/sf0.001").collect():
+        x = 1 / (1 + np.exp(-(model.slope * feature(by_id[r.doc_id] or "") + model.offset)))
+        assert r.score == pytest.approx(x, abs=0.02) and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    held = np.array([(feature(t), x) for x, own in texts.items() for t in own[::4]])
+    p = 1 / (1 + np.exp(-(model.slope * held[:, 0] + model.offset)))
+    assert abs((p - held[:, 1]).sum()) < 0.1
+
+
+def test_classifier_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = classifier.sample(docs, labels, 10, 200, 500, "doc_id", "text", "quality")
+    whole = {("word " * (i + 1)) for i in range(60)}
+    for own in got.values():
+        assert 0 < len(own) <= 10 and set(own) <= whole and max(map(len, own)) <= 200 and sum(map(len, own)) <= 500
+
+
 def test_classifier_odd_inputs(spark):
+    with pytest.raises(ValueError):
+        classifier.score(spark.createDataFrame([(1, "x", 0.5)], "doc_id long, text string, score double"), classifier.Model(b"", b"", 0.0, 0.0))
+    assert classifier.score(spark.createDataFrame([], "doc_id long, text string"), classifier.Model(b"", b"", 0.0, 0.0)).count() == 0
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x y"), (4, "good text"), (4, "good text")], "doc_id long, text string").withColumn("label", F.lit(1))
     for labels in ([], [(4, 1)], [(1, 0), (2, 1), (4, 1), (4, 0), (None, 1)]):
         model = classifier.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
@@ -365,8 +526,22 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_shared_folder_follows_the_session(spark):
+def test_shared_folder_follows_the_session(spark, monkeypatch):
     assert store.shared_dir(spark)
-    kept = store.materialize(spark.range(3), "t")
-    assert kept.count() == 3
+    kept, other = (store.materialize(spark.range(3), "t", keep=k) for k in (True, False))
+    assert kept.count() == 3 and kept._brindle_path not in store._written and other._brindle_path in store._written
     store.discard(kept)
+    monkeypatch.setattr(store, "_written", {other._brindle_path: spark})
+    store.release()
+    assert not store._written
+
+    class Context:
+        master, _conf = "local-cluster[2,1,1024]", {}
+
+    class Session:
+        conf, sparkContext = {}, Context
+
+    with pytest.raises(RuntimeError):
+        store.shared_dir(Session)
+    Context.master = "local[4]"
+    assert store.shared_dir(Session).startswith("file:")
