@@ -114,6 +114,35 @@ def recover(steps: DataFrame, config: RecoveryConfig = RecoveryConfig()) -> tupl
     return nodes, edges
 
 
+def has_node(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (node_id) with ``known``: whether the graph has the node."""
+    return wanted.join(nodes.select("node_id", F.lit(True).alias("known")).distinct(), "node_id", "left").fillna(False, ["known"])
+
+
+def get_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The nodes that ``wanted`` (node_id) names; an unknown one is an error."""
+    lost = wanted.join(nodes, "node_id", "left_anti").limit(5).collect()
+    if lost:
+        raise KeyError("unknown nodes: " + ", ".join(str(r["node_id"]) for r in lost))
+    return nodes.join(wanted.select("node_id").distinct(), "node_id", "left_semi")
+
+
+def out_edges(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The edges that leave the nodes of ``wanted`` (node_id)."""
+    return edges.join(wanted.select(F.col("node_id").alias("source_id")).distinct(), "source_id", "left_semi").select(*edges.columns)
+
+
+def in_edges(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The edges that lead to the nodes of ``wanted`` (node_id)."""
+    return edges.join(wanted.select(F.col("node_id").alias("target_id")).distinct(), "target_id", "left_semi").select(*edges.columns)
+
+
+def edges_by_class(edges: DataFrame, classification: int) -> DataFrame:
+    if classification not in CLASS_WEIGHTS:
+        raise ValueError(f"no edge class {classification}")
+    return edges.where(F.col("classification") == classification)
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node_id, out_degree, in_degree; nodes without edges have zeros."""
     count = lambda side, name: edges.groupBy(F.col(side).alias("node_id")).agg(F.count("*").alias(name))
@@ -137,11 +166,18 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(median, "key").drop("key")
 
 
+def _path_sum() -> Column:
+    """Sum of paths over arcs, null on overflow or where a term is null."""
+    term = F.try_multiply("n_paths", F.col("parallel").cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.when(F.count(term) == F.count("*"), F.try_sum(term)).cast("decimal(38,0)")
+
+
 def assembly_indices(nodes: DataFrame, edges: DataFrame, weights: dict[int, float] | None = None, max_rounds: int | None = None) -> DataFrame:
     """node_id, assembly_index_unweighted, assembly_index_weighted, n_paths.
 
     Shortest steps and least class weight from any root, and the number of
-    shortest step paths, parallel edges counted each. Roots have 0, 0, 1;
+    shortest step paths, parallel edges counted each, as decimal(38, 0); null
+    where there are more than that holds. Roots have 0, 0, 1;
     unreachable nodes null, null, 0. Rounds of frontier joins, each written to
     the shared folder; as many as the longest shortest path has steps."""
     weights = weights or CLASS_WEIGHTS
@@ -151,11 +187,11 @@ def assembly_indices(nodes: DataFrame, edges: DataFrame, weights: dict[int, floa
     if start.isEmpty():
         raise ValueError("the graph has no root")
     limit = max_rounds or 10**9
-    seen = cut_lineage(start.select("node_id", F.lit(0).alias("steps"), F.lit(1).cast("long").alias("n_paths")), "levels")
+    seen = cut_lineage(start.select("node_id", F.lit(0).alias("steps"), F.lit(1).cast("decimal(38,0)").alias("n_paths")), "levels")
     frontier, depth = seen, 0
     while depth < limit:
         depth += 1
-        reached = frontier.join(arcs, frontier.node_id == arcs.source_id).groupBy(F.col("target_id").alias("node_id")).agg(F.sum(F.col("n_paths") * F.col("parallel")).alias("n_paths"))
+        reached = frontier.join(arcs, frontier.node_id == arcs.source_id).groupBy(F.col("target_id").alias("node_id")).agg(_path_sum().alias("n_paths"))
         fresh = cut_lineage(reached.join(seen.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(depth).alias("steps"), "n_paths"), "levels")
         if fresh.isEmpty():
             break
@@ -171,7 +207,7 @@ def assembly_indices(nodes: DataFrame, edges: DataFrame, weights: dict[int, floa
         best = cut_lineage(best.join(better.select("node_id"), "node_id", "left_anti").unionByName(better), "costs")
         changed = better
     out = nodes.select("node_id").join(seen, "node_id", "left").join(best, "node_id", "left")
-    return out.select("node_id", F.col("steps").alias("assembly_index_unweighted"), F.col("cost").alias("assembly_index_weighted"), F.coalesce("n_paths", F.lit(0)).alias("n_paths"))
+    return out.select("node_id", F.col("steps").alias("assembly_index_unweighted"), F.col("cost").alias("assembly_index_weighted"), F.when(F.col("steps").isNull(), 0).otherwise(F.col("n_paths")).cast("decimal(38,0)").alias("n_paths"))
 
 
 def voi_flatness(steps: DataFrame, edges: DataFrame) -> DataFrame:

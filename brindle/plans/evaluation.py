@@ -81,12 +81,12 @@ ORACLES["stratified_auc"] = f"WITH {X.DOC_SCORES}, lg AS (SELECT lang, 'n_chars'
 def condition_comparison(spark, sf_dir):
     """One score for each condition (source), unioned in one grouped query."""
     keys = ["source", "score_column"]
-    long = doc_long(spark, sf_dir, "source").where(F.col("source").isin("src0", "src1", "src2", "src3", "src4"))
+    long = doc_long(spark, sf_dir, "source").where("source is not null")
     return E.deferral_auc(long, keys).where("n_pos > 0 and n_neg > 0").select(*keys, *[c() for c in AUC_COLS])
 
 
 QUERIES["condition_comparison"] = condition_comparison
-ORACLES["condition_comparison"] = f"WITH {X.DOC_SCORES}, lg AS (SELECT source, 'n_chars' AS score_column, score, target FROM scored WHERE source IN ('src0','src1','src2','src3','src4')), {auc_sql('lg', 'source, score_column')} SELECT source, score_column, {AUC_OUT} FROM roc JOIN pr USING (source, score_column) WHERE n_pos > 0 AND n_neg > 0"
+ORACLES["condition_comparison"] = f"WITH {X.DOC_SCORES}, lg AS (SELECT source, 'n_chars' AS score_column, score, target FROM scored WHERE source IS NOT NULL), {auc_sql('lg', 'source, score_column')} SELECT source, score_column, {AUC_OUT} FROM roc JOIN pr USING (source, score_column) WHERE n_pos > 0 AND n_neg > 0"
 
 
 def component_table(spark, sf_dir):

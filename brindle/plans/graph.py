@@ -82,6 +82,37 @@ QUERIES["terminal_nodes"] = lambda s, d: G.terminal_nodes(*_pair(s, d))
 ORACLES["terminal_nodes"] = f"WITH {BASE} SELECT node_id FROM dg WHERE out_degree = 0"
 QUERIES["roots"] = lambda s, d: G.roots(*_pair(s, d))
 ORACLES["roots"] = f"WITH {BASE} SELECT node_id FROM dg WHERE in_degree = 0"
+LOOKUP = "('view@0'), ('click@3'), ('nowhere@0')"
+
+
+def _wanted(spark):
+    return spark.createDataFrame([("view@0",), ("click@3",), ("nowhere@0",)], "node_id string")
+
+
+def graph_lookup(spark, sf_dir):
+    """Whether the graph has nodes, with their out and in edges counted by the
+    lookups."""
+    nodes, edges = _pair(spark, sf_dir)
+    wanted = _wanted(spark)
+    counted = lambda found, side, name: found.groupBy(F.col(side).alias("node_id")).agg(F.sum("frequency").alias(name))
+    out = G.has_node(nodes, wanted).join(counted(G.out_edges(edges, wanted), "source_id", "left_by"), "node_id", "left")
+    return out.join(counted(G.in_edges(edges, wanted), "target_id", "reached_by"), "node_id", "left").fillna(0, ["left_by", "reached_by"])
+
+
+QUERIES["graph_lookup"] = graph_lookup
+ORACLES["graph_lookup"] = f"WITH {BASE}, w(node_id) AS (VALUES {LOOKUP}) SELECT node_id, node_id IN (SELECT node_id FROM nd) AS known, CAST(coalesce((SELECT sum(frequency) FROM ed WHERE source_id = w.node_id), 0) AS BIGINT) AS left_by, CAST(coalesce((SELECT sum(frequency) FROM ed WHERE target_id = w.node_id), 0) AS BIGINT) AS reached_by FROM w"
+QUERIES["edges_by_class"] = lambda s, d: G.edges_by_class(_graph(s, d)[1], G.CONSENSUS).select("source_id", "action_id", "target_id", "frequency")
+ORACLES["edges_by_class"] = f"WITH {VOI} SELECT source_id, action_id, target_id, frequency FROM ed JOIN kl USING (source_id, action_id) WHERE classification = 0"
+
+
+def outcomes_per_edge(spark, sf_dir):
+    return G.adjacent(_steps(spark, sf_dir)).where("target_id is not null").groupBy("source_id", "action_id", "target_id", "outcome").agg(F.count("*").alias("n"))
+
+
+QUERIES["outcomes_per_edge"] = outcomes_per_edge
+ORACLES["outcomes_per_edge"] = f"WITH {BASE} SELECT source_id, action_id, target_id, outcome, count(*) AS n FROM nx GROUP BY ALL"
+QUERIES["outcomes_overall"] = lambda s, d: _steps(s, d).groupBy("trajectory_id").agg(F.max("outcome").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+ORACLES["outcomes_overall"] = f"WITH {VOI} SELECT outcome, count(*) AS n FROM ends GROUP BY 1"
 QUERIES["f_edge_frequency"] = lambda s, d: G.transitions(_steps(s, d)).where("frequency >= 3 and source_id <> target_id")
 ORACLES["f_edge_frequency"] = f"WITH {BASE} SELECT * FROM ed WHERE frequency >= 3 AND source_id <> target_id"
 QUERIES["voi_flatness"] = lambda s, d: G.voi_flatness(_steps(s, d), _graph(s, d)[1].where("frequency > 1")).select("trajectory_id", rounded("voi_flatness"))
@@ -91,7 +122,7 @@ SELECT trajectory_id, {sql_rounded('coalesce(avg(CASE WHEN ad.target_id IS NOT N
 
 def assembly(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return G.assembly_indices(nodes, edges)
+    return G.assembly_indices(nodes, edges).withColumn("n_paths", F.col("n_paths").cast("long"))
 
 
 QUERIES["assembly_indices"] = assembly

@@ -149,14 +149,16 @@ ORACLES["join_anti_resume"] = "SELECT doc_id FROM documents WHERE doc_id NOT IN
 
 
 def zip_agreement(spark, sf_dir):
-    """Two snapshots aligned by (question, position); the shorter one rules."""
+    """Two snapshots of the same walks aligned by (trajectory, position); the
+    shorter one rules. The other one has other buckets and six steps."""
     t = X.transitions(spark, sf_dir)
-    a, b = t.where("position < 5"), t.select("trajectory_id", "position", F.col("action_id").alias("other")).where("position > 1")
-    return a.join(b, ["trajectory_id", "position"]).select("trajectory_id", "position", (F.col("action_id") == F.col("other")).alias("same"))
+    other = F.when(F.col("value") < 6, "lo").when(F.col("value") < 15, "mid").otherwise("hi")
+    b = t.where("position < 6").select("trajectory_id", "position", other.alias("other"))
+    return t.join(b, ["trajectory_id", "position"]).select("trajectory_id", "position", (F.col("action_id") == F.col("other")).alias("same"))
 
 
 QUERIES["zip_agreement"] = zip_agreement
-ORACLES["zip_agreement"] = f"WITH {X.TRANSITIONS} SELECT trajectory_id, position, true AS same FROM walk WHERE position BETWEEN 2 AND 4"
+ORACLES["zip_agreement"] = f"WITH {X.TRANSITIONS} SELECT trajectory_id, position, action_id = CASE WHEN value < 6 THEN 'lo' WHEN value < 15 THEN 'mid' ELSE 'hi' END AS same FROM walk WHERE position < 6"
 
 
 def join_pairs(spark, sf_dir):

@@ -116,13 +116,13 @@ FROM benchmark, range(0, 4) r(k) WHERE k <= item_id % 3 + 1"""
 
 def lcp(spark, sf_dir):
     """Longest common prefix of two documents' words, by neighbouring ids."""
-    d = X.table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 40).alias("w"))
+    d = X.table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
     a, b = d.select(F.floor(F.col("doc_id") / 2).alias("pair"), "w").where("doc_id % 2 = 0"), d.select(F.floor(F.col("doc_id") / 2).alias("pair"), F.col("w").alias("v")).where("doc_id % 2 = 1")
     return a.join(b, "pair").select("pair", T.common_prefix(F.array("w", "v")).alias("n"))
 
 
 QUERIES["lcp"] = lcp
-ORACLES["lcp"] = """WITH d AS (SELECT doc_id, string_split(text, ' ')[1:40] AS w FROM documents), p AS (SELECT a.doc_id // 2 AS pair, a.w AS w, b.w AS v FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0)
+ORACLES["lcp"] = """WITH d AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), p AS (SELECT a.doc_id // 2 AS pair, a.w AS w, b.w AS v FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0)
 SELECT pair, CAST(coalesce(list_min(list_filter(range(1, least(len(w), len(v)) + 1), lambda i: w[i] <> v[i])) - 1, least(len(w), len(v))) AS INTEGER) AS n FROM p"""
 
 

@@ -76,32 +76,33 @@ truth AS (
 )"""
 
 
-def transitions(spark: SparkSession, sf_dir: str, steps: int = 8) -> DataFrame:
-    """First events of each user as trajectory steps: trajectory_id, position,
-    node_id, action_id (to the next step), outcome."""
+#: Steps of a trajectory of events, and the days that one may span.
+STEPS, DAYS = 8, 3
+
+
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as trajectory steps: trajectory_id, position, node_id,
+    action_id (to the next step), outcome, value. A user's events of ``DAYS``
+    days, in runs of ``STEPS``, are a trajectory each, so that no user is one
+    window; a user's first one bears the user's number."""
     events = table(spark, sf_dir, "events")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    days = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - 1704067200) / (86400 * DAYS))
+    order = Window.partitionBy("user_id", "span").orderBy("ts", "event_id")
+    numbered = events.withColumn("span", F.pmod(days, F.lit(1000))).withColumn("n", F.row_number().over(order) - 1)
+    number = F.col("user_id") + 1_000_000 * (F.col("span") * 1000 + F.floor(F.col("n") / STEPS))
+    steps = numbered.withColumn("trajectory_id", number).withColumn("position", F.col("n") % STEPS)
     bucket = F.when(F.col("value") < 5, "lo").when(F.col("value") < 20, "mid").otherwise("hi")
-    last = F.last("event_type").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    numbered = events.select("user_id", (F.row_number().over(order) - 1).alias("position"), "event_type", bucket.alias("action_id"), last.alias("outcome"))
-    return numbered.where(F.col("position") < steps).select(
-        F.col("user_id").alias("trajectory_id"),
-        "position",
-        F.concat_ws("@", "event_type", F.col("position").cast("string")).alias("node_id"),
-        "action_id",
-        "outcome",
-    )
+    last = F.max_by("event_type", "position").over(Window.partitionBy("user_id", "span", "trajectory_id"))
+    return steps.select("trajectory_id", "position", F.concat_ws("@", "event_type", F.col("position").cast("string")).alias("node_id"), bucket.alias("action_id"), last.alias("outcome"), "value")
 
 
-TRANSITIONS = """
+TRANSITIONS = f"""
 steps AS (
-  SELECT * FROM (
-    SELECT user_id AS trajectory_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position, event_type,
-      CASE WHEN value < 5 THEN 'lo' WHEN value < 20 THEN 'mid' ELSE 'hi' END AS action_id,
-      last_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS outcome
-    FROM events) WHERE position < 8
+  SELECT user_id + 1000000 * (span * 1000 + n // {STEPS}) AS trajectory_id, n % {STEPS} AS position, event_type, CASE WHEN value < 5 THEN 'lo' WHEN value < 20 THEN 'mid' ELSE 'hi' END AS action_id, value
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, span ORDER BY ts, event_id) - 1 AS n
+    FROM (SELECT *, CAST(floor((epoch(ts)::BIGINT - 1704067200) / {86400 * DAYS}) AS BIGINT) % 1000 AS span FROM events))
 ), walk AS (
-  SELECT trajectory_id, position, event_type || '@' || position AS node_id, action_id, outcome FROM steps
+  SELECT trajectory_id, position, event_type || '@' || position AS node_id, action_id, arg_max(event_type, position) OVER (PARTITION BY trajectory_id) AS outcome, value FROM steps
 )"""
 
 
