@@ -6,20 +6,23 @@ never reach over such a place, and a text's ids are those of its words. Added
 tokens are words of their own.
 
 Encoding: (1) Spark splits the texts into words, and tasks number them: a chunk
-of about ``chunk_chars`` bytes of text is one row with its distinct words,
-frequent ones first, and the words' numbers by document and position, packed.
-Chunks are written as a table, so everything after reads the same chunks
-whatever executor is lost. (2) The distinct words of the chunks are made
-distinct over the corpus and each is encoded once. (3) The table of words and
-ids is joined with the chunks' words, and a chunk's ids are taken at its
-positions. Texts are never shuffled, a frequent word costs a row a chunk and
-not a row an occurrence, and no task holds more than a chunk, whatever the
-size of the input.
-
-Decoding joins ids with the vocabulary's pieces: a row's ids become rows, in
-order, which a broadcast join gives their pieces (the vocabulary is fixed by
-its file, 50,257 pieces here), and runs of rows are put together again in the
-task they are in, without a shuffle.
+of about ``chunk_chars`` bytes of text is one row with its distinct words and
+the words' numbers by document and position, packed. Chunks are written as a
+table laid out by chunk, so everything after reads the same chunks whatever
+executor is lost, and positions need not be shuffled.
+(2) The distinct words of each chunk go, packed, to the bucket of their hash. A
+bucket is a part of the table of distinct words: each of its words is encoded
+once, and the chunks that asked get its ids. (3) A chunk's positions and its
+words' ids meet; taking the ids at the positions gives the documents' ids.
+Texts are never shuffled, and a frequent word costs an entry a chunk and not
+one an occurrence. The number of buckets follows the number of distinct words,
+estimated from the chunks' least hashes, at ``BUCKET_WORDS`` to each; so
+neither a bucket's table nor a chunk grows with the input.
+
+Decoding joins ids with the vocabulary's pieces. The table of pieces is bounded
+by the vocabulary's file (50,257 pieces here) and broadcast, and a task joins a
+batch of ids with it at once, by id. (A plan with a row for each id takes more
+than the check tool's time; README has the figures.)
 
 Splitting at added tokens (their strings in a text count as the token), the
 byte-level pattern and the merges of a word are the tokenizers library's, from
@@ -48,9 +51,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from brindle.llm.memory import give_back
-from brindle.llm.store import materialize
+from brindle.llm.store import materialize_by
 
 CHUNK_CHARS = 1 << 24
+BUCKET_WORDS = 1 << 17
+#: Least hashes of a chunk that the number of distinct words is estimated from.
+LEAST = 256
+CHUNK = "chunk bigint, least array<bigint>, words binary, numbers binary, ids array<{kind}>, lengths binary"
 
 
 def added_tokens(vocabulary: str) -> list[str]:
@@ -87,19 +94,43 @@ def unpack(data: bytes) -> np.ndarray:
     return planes.T.copy().view(np.uint32).ravel()
 
 
+def pack_words(words: pa.Array) -> bytes:
+    import zstandard
+
+    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.uint32)
+    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(words)).tobytes() + sizes.tobytes() + b"".join(words.cast(pa.binary()).to_pylist()))
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64)]) + 4 + 4 * n
+    return [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+
 def _chunks(chunk_chars: int):
-    """mapInArrow body: (id, words) rows as chunks."""
+    """mapInArrow body: (id, words) rows as chunks. A chunk's words are the 255
+    most frequent ones, then the next 65,280, then the others, in order within
+    each, so that both the words and their numbers pack well."""
 
     def flush(chunk: int, words: list, ids: list, lengths: list) -> pa.RecordBatch:
+        import xxhash
+
         coded = pa.chunked_array(words, pa.string()).dictionary_encode().combine_chunks()
-        numbers = coded.indices.to_numpy()
-        order = np.argsort(-np.bincount(numbers, minlength=len(coded.dictionary)), kind="stable")
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
+        numbers, n = coded.indices.to_numpy(), len(coded.dictionary)
+        often = np.empty(n, np.int64)
+        often[np.argsort(-np.bincount(numbers, minlength=n), kind="stable")] = np.arange(n)
+        kind = pa.array(np.searchsorted([255, 65_535], often, "right"))
+        order = pc.sort_indices(pa.table({"kind": kind, "word": coded.dictionary}), [("kind", "ascending"), ("word", "ascending")]).to_numpy()
+        rank = np.empty(n, np.uint32)
+        rank[order] = np.arange(n, dtype=np.uint32)
         used, rows = coded.dictionary.take(pa.array(order)), pa.concat_arrays(ids)
-        columns = [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), used), pa.array([pack(rank[numbers])], pa.binary())]
+        least = np.sort(np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in used.cast(pa.binary()).to_pylist()), np.int64, n))[:LEAST]
+        columns = [pa.array([chunk], pa.int64()), pa.array([least], pa.list_(pa.int64())), pa.array([pack_words(used)], pa.binary()), pa.array([pack(rank[numbers])], pa.binary())]
         columns += [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([pack(np.concatenate(lengths))], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["chunk", "words", "numbers", "ids", "lengths"])
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "least", "words", "numbers", "ids", "lengths"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -132,8 +163,39 @@ def _chunks(chunk_chars: int):
     return of
 
 
-def _encode_words(vocabulary: str, step: int = 1 << 14):
-    """mapInArrow body: distinct words with their ids."""
+def distinct_words(chunks: DataFrame) -> int:
+    """About how many distinct words the chunks have together."""
+    least = [r["h"] for r in chunks.select(F.explode("least").alias("h")).distinct().orderBy("h").limit(LEAST).collect()]
+    return len(least) if len(least) < LEAST else (LEAST - 1) * (1 << 63) // least[-1]
+
+
+def bucket_of(words: list[bytes], buckets: int) -> np.ndarray:
+    import zlib
+
+    return np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+
+
+def _requests(buckets: int):
+    """mapInArrow body: (chunk, words) as packed words by bucket."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = unpack_words(data.as_py())
+                bucket = bucket_of(words, buckets)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                used = np.flatnonzero(np.diff(cuts)).tolist()
+                packed = [pack_words(pa.array([words[k] for k in order[cuts[b] : cuts[b + 1]]], pa.binary())) for b in used]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "bucket", "words"])
+        give_back()
+
+    return of
+
+
+def _encode_words(vocabulary: str):
+    """mapInArrow body over requests sorted by bucket: each distinct word of
+    a bucket is encoded once, when first met. Answers go out every few MB."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -144,12 +206,24 @@ def _encode_words(vocabulary: str, step: int = 1 << 14):
         tokenizer = Tokenizer.from_file(vocabulary)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        here, table = None, {}
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                words = batch.column(0).slice(at, step)
-                ids = [e.ids for e in tokenizer.encode_batch(words.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], names=["word", "word_ids"])
-        tokenizer = None
+            start, counts, coded = 0, [], []
+            for k, bucket in enumerate(batch.column(1).to_pylist()):
+                if bucket != here:
+                    here, table = bucket, {}
+                words = unpack_words(batch.column(2)[k].as_py())
+                fresh = [w for w in words if w not in table]
+                for w, e in zip(fresh, tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
+                    table[w] = np.array(e.ids, np.uint32).tobytes()
+                found = [table[w] for w in words]
+                counts.append(pack(np.fromiter(map(len, found), np.uint32, len(words)) // 4))
+                coded.append(pack(np.frombuffer(b"".join(found), np.uint32)))
+                if k + 1 == batch.num_rows or sum(map(len, coded)) > 4 << 20:
+                    head = batch.slice(start, k + 1 - start)
+                    yield pa.RecordBatch.from_arrays([*head.columns[:2], pa.array(counts, pa.binary()), pa.array(coded, pa.binary())], names=["of", "bucket", "counts", "word_ids"])
+                    start, counts, coded = k + 1, [], []
+        here, table, tokenizer = None, {}, None
         give_back()
 
     return of
@@ -169,33 +243,42 @@ def _gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, used: np.nd
     return ids, ends
 
 
-def _put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk's positions and its words' ids as its documents' ids."""
-    lists = right.take(pc.sort_indices(right, [("k", "ascending")])).column("word_ids").combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    begin = np.cumsum(size) - size
-    rows, documents = [], []
-    for k in range(left.num_rows):
-        ids, ends = _gathered(flat, begin, size, unpack(left.column("numbers")[k].as_py()))
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(unpack(left.column("lengths")[k].as_py()), dtype=np.int64)])]
-        documents.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)))
-        rows.append(left.column("ids")[k].values)
-    made = pa.Table.from_arrays([pa.chunked_array(rows), pa.chunked_array(documents, pa.list_(pa.int32()))], names=["id", "ids"])
-    del lists, flat, left, right, rows, documents
-    give_back()
-    return made
-
-
-def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def _put_together(buckets: int):
+    """applyInArrow body: a chunk and its words' ids as its documents' ids."""
+
+    def of(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right, [("bucket", "ascending")]))
+        nothing = [np.zeros(0, np.uint32)]
+        counts = np.concatenate([unpack(c.as_py()) for c in right.column("counts")] or nothing).astype(np.int32)
+        flat = np.concatenate([unpack(c.as_py()) for c in right.column("word_ids")] or nothing).astype(np.int32)
+        rows, documents = [], []
+        for k in range(left.num_rows):
+            asked = bucket_of(unpack_words(left.column("words")[k].as_py()), buckets)
+            place = np.empty(len(asked), np.int64)
+            place[np.argsort(asked, kind="stable")] = np.arange(len(asked))
+            begin = (np.cumsum(counts, dtype=np.int64) - counts)[place]
+            ids, ends = _gathered(flat, begin, counts[place], unpack(left.column("numbers")[k].as_py()))
+            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(unpack(left.column("lengths")[k].as_py()), dtype=np.int64)])]
+            documents.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)))
+            rows.append(left.column("ids")[k].values)
+        made = pa.Table.from_arrays([pa.chunked_array(rows), pa.chunked_array(documents, pa.list_(pa.int32()))], names=["id", "ids"])
+        del counts, flat, left, right, rows, documents
+        give_back()
+        return made
+
+    return of
+
+
+def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", chunk_chars: int = CHUNK_CHARS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """(id, ids): the token ids of every row of ``docs``."""
     kind = docs.schema[id_column].dataType.simpleString()
     source = docs.select(F.col(id_column).alias("id"), words_of(F.col(text_column), added_tokens(vocabulary)).alias("words"))
-    chunks = materialize(source.mapInArrow(_chunks(chunk_chars), f"chunk bigint, words array<string>, numbers binary, ids array<{kind}>, lengths binary"), "chunks")
-    table = chunks.select("chunk", F.posexplode("words").alias("k", "word"))
-    coded = table.select("word").distinct().mapInArrow(_encode_words(vocabulary), "word string, word_ids array<int>")
-    answers = table.join(coded, "word").select(F.col("chunk").alias("of"), "k", "word_ids")
-    return chunks.drop("words").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_put_together, f"id {kind}, ids array<int>")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = materialize_by(source.mapInArrow(_chunks(chunk_chars), CHUNK.format(kind=kind)), "chunks", "chunk", parts)
+    buckets = max(32, -(-distinct_words(chunks) // bucket_words))
+    requests = chunks.select("chunk", "words").mapInArrow(_requests(buckets), "chunk bigint, bucket int, words binary")
+    answers = requests.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(vocabulary), "of bigint, bucket int, counts binary, word_ids binary")
+    return chunks.drop("least").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_put_together(buckets), f"id {kind}, ids array<int>")
 
 
 def pieces(vocabulary: str) -> list[tuple[int, bytes]]:
@@ -212,61 +295,30 @@ def pieces(vocabulary: str) -> list[tuple[int, bytes]]:
     return [(i, bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()) for piece, i in vocab.items()]
 
 
-def _regrouped(names: list[str], ids_column: str, text_column: str):
-    """mapInArrow body: (piece, row) rows, in which row is set at the first
-    piece of each and null after it, as rows with their text."""
+def decode(coded: DataFrame, vocabulary: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
+    """``coded`` with the text of its ids (array<int>)."""
+    if text_column in coded.columns:
+        raise ValueError(f"there is a column {text_column} already")
+    table = pieces(vocabulary)
+    # A vocabulary file bounds this table.
+    sent = coded.sparkSession.sparkContext.broadcast((np.array([i for i, _ in table], np.int32), [p for _, p in table]))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: pa.RecordBatch | None = None
-        held, count = b"", 0
-
-        def told(rows: pa.RecordBatch, texts: list[bytes], counts: list[int]) -> pa.RecordBatch:
-            ids = rows.column(names.index(ids_column))
-            if pc.fill_null(pc.list_value_length(ids), 0).to_pylist() != counts:
-                raise RuntimeError("a row's pieces are not in one run")
-            made = [t.decode("utf-8", "replace") if known else None for t, known in zip(texts, pc.is_valid(ids).to_pylist(), strict=True)]
-            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(made, pa.string())], names=[*names, text_column])
-
+        known, piece = (pa.array(x) for x in sent.value)
         for batch in batches:
-            piece = pc.fill_null(batch.column(0), b"")
-            known = pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False)
-            begins = batch.column(2).to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(known)
-            offsets = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1]
-            data = memoryview(piece.buffers()[2]) if piece.buffers()[2] is not None else b""
-            tokens = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
-            first = int(at[0]) if len(at) else len(piece)
-            held, count = held + bytes(data[offsets[0] : offsets[first]]), count + int(tokens[first])
-            if not len(at):
-                continue
-            if head is not None:
-                yield told(head, [held], [count])
-            rows = pa.RecordBatch.from_arrays(batch.column(1).filter(pa.array(known)).flatten(), names=names)
-            if len(at) > 1:
-                yield told(rows.slice(0, len(at) - 1), [bytes(data[offsets[a] : offsets[b]]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.diff(tokens[at]).tolist())
-            head = rows.slice(len(at) - 1)
-            held, count = bytes(data[offsets[at[-1]] : offsets[len(piece)]]), int(tokens[-1] - tokens[at[-1]])
-        if head is not None:
-            yield told(head, [held], [count])
+            ids = batch.column(batch.schema.get_field_index(ids_column))
+            rows, nulls = range(len(ids)), pc.is_null(ids).to_pylist()
+            sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            # The join: each id's place in the table of pieces, none if it lacks it.
+            met = pc.fill_null(piece.take(pc.index_in(ids.flatten().cast(pa.int32()), value_set=known)), b"")
+            ends = np.frombuffer(met.buffers()[1], np.int32, len(met) + 1, 4 * met.offset)
+            bounds = ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])].tolist()
+            data = memoryview(met.buffers()[2] or b"")
+            texts = [None if nulls[k] else str(data[bounds[k] : bounds[k + 1]], "utf-8", "replace") for k in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_column])
         give_back()
 
-    return of
-
-
-def decode(coded: DataFrame, vocabulary: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
-    """``coded`` with the text of its ids."""
-    names = coded.columns
-    if text_column in names:
-        raise ValueError(f"there is a column {text_column} already")
-    # A vocabulary file bounds this table.
-    table = coded.sparkSession.createDataFrame(pieces(vocabulary), "piece_id int, piece binary")
-    row = F.struct(*[F.col(f"`{n}`") for n in names])
-    ids = F.col(f"`{ids_column}`")
-    none = F.array(F.struct(F.lit(None).cast("int").alias("piece_id"), row.alias("row"), F.lit(0).cast("tinyint").alias("n")))
-    some = F.transform(ids, lambda i, k: F.struct(i.cast("int").alias("piece_id"), F.when(k == 0, row).alias("row"), F.lit(1).cast("tinyint").alias("n")))
-    parts = coded.select(F.explode(F.when(F.size(ids) > 0, some).otherwise(none)).alias("x")).select("x.piece_id", "x.row", "x.n")
-    met = parts.join(F.broadcast(table), "piece_id", "left").select("piece", "row", "n")
-    return met.mapInArrow(_regrouped(names, ids_column, text_column), StructType([*coded.schema.fields, StructField(text_column, StringType())]))
+    return coded.mapInArrow(of, StructType([*coded.schema.fields, StructField(text_column, StringType())]))
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
+_tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,7 +45,24 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return out
 
 
+def materialize_by(df: DataFrame, name: str, column: str, parts: int) -> DataFrame:
+    """Like ``materialize``, in ``parts`` by the hash of ``column``, so that
+    what meets on that column need not be shuffled again. Spark keeps such a
+    layout with a table's name only, which is the folder's."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    _written[path] = spark
+    table = "brindle_" + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+    _tables[path] = table
+    df.write.bucketBy(parts, column).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._brindle_path = path
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)

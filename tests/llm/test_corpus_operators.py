@@ -526,6 +526,14 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_tables_laid_out_by_a_column(spark):
+    kept = store.materialize_by(spark.range(50).withColumn("k", F.col("id") % 7), "t", "k", 3)
+    assert "Exchange" not in kept.groupBy("k").count()._jdf.queryExecution().executedPlan().toString() and kept.groupBy("k").count().count() == 7
+    name = store._tables[kept._brindle_path]
+    store.discard(kept)
+    assert not spark.catalog.tableExists(name)
+
+
 def test_shared_folder_follows_the_session(spark, monkeypatch):
     assert store.shared_dir(spark)
     kept, other = (store.materialize(spark.range(3), "t", keep=k) for k in (True, False))
