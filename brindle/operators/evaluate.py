@@ -7,11 +7,13 @@ Input is long: one row a (score_column, unit) with ``score`` and a 0/1
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.uncertainty import clipped, present
+from brindle.operators import resample
 from brindle.operators.ordered import ordered_sums, quantiles, rank_percentile
+from brindle.sources.store import cut_lineage
 
 KEY = ["score_column"]
 NAN = float("nan")
@@ -22,11 +24,16 @@ class EvaluationError(ValueError):
 
 
 def long_scores(scores: DataFrame, truth: DataFrame, columns: list[str], unit: str = "trajectory_id", target: str = "target", extra: tuple[str, ...] = ()) -> DataFrame:
-    """Inner join of scores with labels, unpivoted to one row a score."""
+    """Inner join of scores with labels, unpivoted to one row a score. An
+    empty join, or labels of one class, is an error."""
     missing = [c for c in (unit, *columns) if c not in scores.columns] + [c for c in (unit, target) if c not in truth.columns]
     if missing:
         raise EvaluationError(f"columns not found: {missing}")
-    joined = scores.select(unit, *columns).join(truth.select(unit, F.col(target).alias("target"), *extra), unit)
+    require_both_classes(truth, target)
+    # Written, as areas and totals both read it and so does the check.
+    joined = cut_lineage(scores.select(unit, *columns).join(truth.select(unit, F.col(target).alias("target"), *extra), unit), "joined")
+    if joined.isEmpty():
+        raise EvaluationError(f"no {unit} is in both the scores and the labels")
     pairs = F.array(*[F.struct(F.lit(c).alias("score_column"), F.col(c).cast("double").alias("score")) for c in columns])
     return joined.select(unit, "target", *extra, F.inline(pairs))
 
@@ -54,9 +61,17 @@ def class_totals(long: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def deferral_auc(long: DataFrame, keys: list[str] = KEY) -> DataFrame:
+def deferral_auc(long: DataFrame, keys: list[str] = KEY, compute_ci: bool = False, n_bootstrap: int = 5000, seed: int = 42) -> DataFrame:
     """ROC area (raw, sign-aware, direction) and PR area for each key; keys
-    whose scores are all missing have NaN."""
+    whose scores are all missing have NaN. With ``compute_ci`` also 95 %
+    bootstrap intervals of the raw area, of the sign-aware one (replicates
+    turned in the point's direction, not clipped at 0.5) and of the PR area."""
+    if compute_ci:
+        points = cut_lineage(deferral_auc(long, keys), "areas")
+        found = resample.intervals(resample.bootstrap_areas(long, keys, n_bootstrap, seed), points, keys)
+        ends = [f"{c}_ci_{e}" for c in ("roc_auc", "roc_auc_sign_aware", "pr_auc") for e in ("low", "high")]
+        out = points.join(found.select(*keys, *ends), keys, "left")
+        return out.select(*points.columns, *[F.coalesce(c, F.lit(NAN)).alias(c) for c in ends])
     totals = class_totals(long, keys)
     terms = tie_groups(long, keys)
     above_pos, above_neg = F.col("total_pos") - F.col("before_pos"), F.col("total_neg") - F.col("before_neg")
@@ -78,6 +93,46 @@ def deferral_auc(long: DataFrame, keys: list[str] = KEY) -> DataFrame:
     )
 
 
+def auc_with_ci(long: DataFrame, keys: list[str] = KEY, n_bootstrap: int = 5000, seed: int = 42) -> DataFrame:
+    """keys, raw, sign_aware, direction, ci_low, ci_high, n_pos, n_neg: the
+    interval is that of the area turned in the point's direction. With one
+    class the areas are NaN and the direction is '?'."""
+    found = deferral_auc(long, keys, True, n_bootstrap, seed)
+    return found.select(
+        *keys, F.col("roc_auc").alias("raw"), F.col("roc_auc_sign_aware").alias("sign_aware"), F.coalesce("direction", F.lit("?")).alias("direction"), F.col("roc_auc_sign_aware_ci_low").alias("ci_low"), F.col("roc_auc_sign_aware_ci_high").alias("ci_high"), "n_pos", "n_neg"
+    )
+
+
+COMPONENTS = ("entropy_plateau", "voi_flatness", "distance_from_trajectory", "composite")
+
+
+def component_table(scores: DataFrame, truth: DataFrame, target: str = "target", compute_ci: bool = True, n_bootstrap: int = 5000, seed: int = 42) -> DataFrame:
+    """``deferral_auc`` of the three components and the composite."""
+    return deferral_auc(long_scores(scores, truth, list(COMPONENTS), target=target), KEY, compute_ci, n_bootstrap, seed)
+
+
+def grouped_comparison(scores: dict[str, DataFrame], truths: DataFrame | dict[str, DataFrame], name: str, score: str | dict[str, str] = "composite", mask: DataFrame | None = None, unit: str = "trajectory_id", target: str = "target", compute_ci: bool = True, n_bootstrap: int = 5000, seed: int = 42) -> DataFrame:
+    """``deferral_auc`` of one score column of each named table, in one query
+    with ``name`` as a key: of several models or conditions on the same labels,
+    or of domains that have labels each (the same names are needed then).
+    ``mask`` (unit) keeps some units only."""
+    if isinstance(truths, dict) and set(truths) != set(scores):
+        raise EvaluationError(f"scores and labels have different names: {sorted(scores)}, {sorted(truths)}")
+    if isinstance(score, dict) and set(scores) - set(score):
+        raise EvaluationError(f"no score column is named for {sorted(set(scores) - set(score))}")
+    long = None
+    for key, table in scores.items():
+        own = truths[key] if isinstance(truths, dict) else truths
+        own = own if mask is None else own.join(mask.select(unit).distinct(), unit, "left_semi")
+        part = long_scores(table, own, [score[key] if isinstance(score, dict) else score], unit, target).withColumn(name, F.lit(key))
+        long = part if long is None else long.unionByName(part)
+    return deferral_auc(long, [name, "score_column"], compute_ci, n_bootstrap, seed)
+
+
+#: The score that each condition is judged by.
+CONDITION_SCORES = {"A": "deferral_signal", "B": "deferral_signal", "C": "composite"}
+
+
 def _fractions(n: int) -> list[float]:
     return [k / n for k in range(n)]
 
@@ -142,45 +197,61 @@ def calibration_metrics(long: DataFrame, bins: int = 10, binning: str = "equal_c
     return out.select(*keys, "ece", "mce", "brier_score")
 
 
-def roc_table(long: DataFrame, direction: str = "greater", keys: list[str] = KEY) -> DataFrame:
-    """Curve points (idx, threshold, fpr, tpr, fnr, tnr) from the strictest
-    threshold on. The first threshold is infinite; points within a straight
-    stretch are dropped. The window runs over distinct scores."""
+def _curve(long: DataFrame, direction: str, keys: list[str]) -> tuple[DataFrame, int]:
+    """(keys, s, fpr, tpr) of the ROC curve's corners by signed score, from the
+    distinct scores and their neighbours' counts.
+
+    A neighbour is found without one window over all scores: by the number of
+    distinct scores before, which ``ordered_sums`` gives, a join on the next
+    number."""
     if direction not in ("greater", "less"):
         raise EvaluationError(f"direction must be 'greater' or 'less', not {direction!r}")
     sign = 1 if direction == "greater" else -1
-    signed = long.withColumn("score", F.col("score") * sign)
-    groups = tie_groups(signed, keys)
-    down = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    step = lambda c: F.lead(c).over(down)
-    bend = (step("pos") != F.col("pos")) | (step("neg") != F.col("neg"))
-    first, last = F.lag("score").over(down).isNull(), step("score").isNull()
-    kept = groups.withColumn("keep", first | last | bend).where("keep")
+    kept = long.where(present(F.col("score"))).withColumn("score", F.col("score") * sign)
+    groups = kept.groupBy(*keys, "score").agg(F.sum("target").cast("long").alias("pos"), F.sum(1 - F.col("target")).cast("long").alias("neg")).withColumn("one", F.lit(1).cast("long"))
+    placed = cut_lineage(ordered_sums(groups, keys, "score", ["pos", "neg", "one"]), "curve")
+    lower = placed.select(*keys, (F.col("before_one") + 1).alias("before_one"), F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg"))
+    met = placed.join(lower, [*keys, "before_one"], "left")
+    first, last = F.col("before_one") == F.col("total_one") - 1, F.col("before_one") == 0
+    kept_points = met.where(first | last | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
     rate = lambda c: F.try_divide(F.col(f"total_{c}") - F.col(f"before_{c}"), F.col(f"total_{c}"))
-    tpr, fpr = rate("pos"), rate("neg")
-    start = signed.select(*keys).distinct().select(*keys, F.lit(float("inf")).alias("s"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
-    points = kept.select(*keys, F.col("score").alias("s"), tpr.alias("tpr"), fpr.alias("fpr")).unionByName(start)
-    idx = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("s"))) - 1
-    return points.select(*keys, idx.alias("idx"), (F.col("s") * sign).alias("threshold"), "fpr", "tpr", (1 - F.col("tpr")).alias("fnr"), (1 - F.col("fpr")).alias("tnr"))
+    start = placed.select(*keys).distinct().select(*keys, F.lit(float("inf")).alias("s"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return kept_points.select(*keys, F.col("score").alias("s"), rate("neg").alias("fpr"), rate("pos").alias("tpr")).unionByName(start), sign
+
+
+def _told(points: DataFrame, sign: int, keys: list[str], *more) -> DataFrame:
+    return points.select(*keys, *more, (F.col("s") * sign).alias("threshold"), "fpr", "tpr", (1 - F.col("tpr")).alias("fnr"), (1 - F.col("fpr")).alias("tnr"))
+
+
+def roc_table(long: DataFrame, direction: str = "greater", keys: list[str] = KEY) -> DataFrame:
+    """Curve points (idx, threshold, fpr, tpr, fnr, tnr) from the strictest
+    threshold on. The first threshold is infinite; points within a straight
+    stretch are dropped."""
+    points, sign = _curve(long, direction, keys)
+    numbered = ordered_sums(points.withColumn("one", F.lit(1).cast("long")), keys, "s", ["one"])
+    return _told(numbered, sign, keys, (F.col("total_one") - 1 - F.col("before_one")).cast("int").alias("idx"))
 
 
-def _first_point(points: DataFrame, keys: list[str], *order) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return points.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "idx")
+def _first_point(points: DataFrame, sign: int, keys: list[str], order) -> DataFrame:
+    """The point of least ``order`` of each key, as one aggregate."""
+    best = points.groupBy(*keys).agg(F.min_by(F.struct("s", "fpr", "tpr"), order).alias("p")).select(*keys, "p.*")
+    return _told(best, sign, keys)
 
 
 def threshold_at_fpr(long: DataFrame, target_fpr: float, direction: str = "greater", keys: list[str] = KEY) -> DataFrame:
     """The point of largest TPR whose FPR is at most ``target_fpr``."""
     if not 0 <= target_fpr <= 1:
         raise EvaluationError("target_fpr must be in [0, 1]")
-    return _first_point(roc_table(long, direction, keys).where(F.col("fpr") <= target_fpr), keys, F.desc("tpr"), "idx")
+    points, sign = _curve(long, direction, keys)
+    return _first_point(points.where(F.col("fpr") <= target_fpr), sign, keys, F.struct(-F.col("tpr"), -F.col("s")))
 
 
 def threshold_at_sensitivity(long: DataFrame, target: float, direction: str = "greater", keys: list[str] = KEY) -> DataFrame:
     """The point of least FPR whose TPR is at least ``target``."""
     if not 0 <= target <= 1:
         raise EvaluationError("the target sensitivity must be in [0, 1]")
-    return _first_point(roc_table(long, direction, keys).where(F.col("tpr") >= target), keys, "fpr", "idx")
+    points, sign = _curve(long, direction, keys)
+    return _first_point(points.where(F.col("tpr") >= target), sign, keys, F.struct("fpr", -F.col("s")))
 
 
 def failure_table(long: DataFrame, n: int, unit: str = "trajectory_id") -> DataFrame:

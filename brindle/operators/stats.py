@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,10 +57,45 @@ def mann_whitney(rows: DataFrame, value: str, target: str = "target") -> DataFra
 
 
 def ks_two_sample(rows: DataFrame, value: str, target: str = "target") -> DataFrame:
-    """The largest distance of the classes' distribution functions."""
+    """The largest distance d of the classes' distribution functions, and the
+    chance p of one as large: exact up to 10,000 values a class, then by the
+    limiting law, which p_limit has in any case."""
     t = two_samples(rows, value, target)
     share = lambda c: F.try_divide(F.col(f"before_{c}") + F.col(c), F.col(f"total_{c}"))
-    return t.agg(F.max(F.abs(share("pos") - share("neg"))).alias("d"), F.first("total_pos").alias("n1"), F.first("total_neg").alias("n0"))
+    found = t.agg(F.max(F.abs(share("pos") - share("neg"))).alias("d"), F.first("total_pos").alias("n1"), F.first("total_neg").alias("n0"))
+    x = F.col("d") * F.sqrt(F.col("n1") * F.col("n0") / (F.col("n1") + F.col("n0")))
+    limit = sum((2 * (-1) ** (k - 1) * F.exp(-2.0 * k * k * x * x) for k in range(1, 101)), F.lit(0.0))
+
+    @F.pandas_udf("double")
+    def exact(d: pd.Series, n1: pd.Series, n0: pd.Series) -> pd.Series:
+        return pd.Series([ks_exact(float(x), int(a), int(b)) if max(a, b) <= 10_000 else None for x, a, b in zip(d, n1, n0, strict=True)], dtype=float)
+
+    p_limit = F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), limit)))
+    found = found.where("n1 > 0 and n0 > 0").withColumn("p_limit", p_limit)
+    return found.select("d", "n1", "n0", "p_limit", F.coalesce(exact("d", "n1", "n0"), "p_limit").alias("p"))
+
+
+def ks_exact(d: float, n1: int, n0: int) -> float:
+    """The chance that two samples of one law are ``d`` or more apart: the
+    share of lattice paths that leave the band, counted row by row."""
+    bound = round(d * n1 * n0)  # |i * n0 - j * n1| of a path that stays inside is less
+    if bound <= 0:
+        return 1.0
+    row, low, scale = np.ones(min(n0, (bound - 1) // n1) + 1), 0, 0.0
+    for i in range(1, n1 + 1):
+        first = max(0, (i * n0 - bound) // n1 + 1)
+        last = min(n0, (i * n0 + bound - 1) // n1)
+        if first > last:
+            return 1.0
+        wide = np.zeros(last - low + 1)
+        wide[: len(row)] = row
+        row, low = np.cumsum(wide[first - low :]), first
+        top = row.max()
+        if top == 0:
+            return 1.0
+        row, scale = row / top, scale + np.log(top)
+    total = math.lgamma(n1 + n0 + 1) - math.lgamma(n1 + 1) - math.lgamma(n0 + 1)
+    return float(min(1.0, max(0.0, 1 - math.exp(scale + np.log(row[n0 - low]) - total))))
 
 
 def ecdf(rows: DataFrame, value: str) -> DataFrame:
@@ -76,79 +112,6 @@ def standardized(rows: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(*rows.columns, *z)
 
 
-def _replicates(spark, n: int) -> DataFrame:
-    return spark.range(0, n, 1, max(1, min(n // 50, spark.sparkContext.defaultParallelism)))
-
-
-def weighted_auc(pos: np.ndarray, neg: np.ndarray) -> float:
-    """ROC area of class counts by ascending score."""
-    p, n = pos.sum(), neg.sum()
-    if not p or not n:
-        return float("nan")
-    return float((pos * (np.cumsum(neg) - neg / 2)).sum() / (p * n))
-
-
-def bootstrap_auc(groups: DataFrame, n: int = 5000, seed: int = 42, max_groups: int = 2_000_000) -> DataFrame:
-    """replicate, auc of ``n`` resamples of the scored units.
-
-    ``groups`` has distinct scores with pos and neg counts. A resample of the
-    units is a multinomial draw over these groups, so tasks need the counts
-    only and never sort again. They travel to tasks as arrays; beyond
-    ``max_groups`` distinct scores the call is refused rather than broadcast."""
-    rows = groups.select("score", "pos", "neg").orderBy("score").limit(max_groups + 1).toPandas()
-    if len(rows) > max_groups:
-        raise ValueError(f"over {max_groups} distinct scores; bin them first")
-    counts = np.concatenate([rows["pos"].to_numpy(np.int64), rows["neg"].to_numpy(np.int64)])
-    total = int(counts.sum())
-
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for b in batch["id"]:
-                drawn = np.random.default_rng([seed, int(b)]).multinomial(total, counts / total)
-                half = len(drawn) // 2
-                out.append((int(b), weighted_auc(drawn[:half], drawn[half:])))
-            yield pd.DataFrame(out, columns=["replicate", "auc"])
-
-    return _replicates(groups.sparkSession, n).mapInPandas(resample, "replicate long, auc double")
-
-
-def bootstrap_ci(replicates: DataFrame, point: float, folded: bool = False) -> DataFrame:
-    """Percentile interval; oriented like the point estimate, or each
-    replicate folded to max(a, 1 - a). Degenerate replicates are left out."""
-    a = F.col("auc")
-    value = F.greatest(a, 1 - a) if folded else (a if point >= 0.5 else 1 - a)
-    return replicates.where(~F.isnan(a)).agg(F.percentile(value, 0.025).alias("lo"), F.percentile(value, 0.975).alias("hi"), F.count("*").alias("n"))
-
-
-def paired_bootstrap(rows: DataFrame, a: str, b: str, target: str = "target", n: int = 2000, seed: int = 42, max_rows: int = 2_000_000) -> DataFrame:
-    """replicate, delta: AUC of ``a`` less that of ``b`` on the same resample."""
-    data = rows.select(a, b, target).orderBy(a, b, target).limit(max_rows + 1).toPandas()
-    if len(data) > max_rows:
-        raise ValueError(f"over {max_rows} rows; resample groups instead")
-    y = data[target].to_numpy(np.int64)
-    ranked = []
-    for c in (a, b):
-        _, inverse = np.unique(data[c].to_numpy(np.float64), return_inverse=True)
-        ranked.append(inverse)
-
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch["id"]:
-                w = np.bincount(np.random.default_rng([seed, int(r)]).integers(0, len(y), len(y)), minlength=len(y))
-                areas = [weighted_auc(np.bincount(g, w * y), np.bincount(g, w * (1 - y))) for g in ranked]
-                out.append((int(r), areas[0] - areas[1]))
-            yield pd.DataFrame(out, columns=["replicate", "delta"])
-
-    return _replicates(rows.sparkSession, n).mapInPandas(resample, "replicate long, delta double")
-
-
-def paired_summary(replicates: DataFrame) -> DataFrame:
-    d = F.col("delta")
-    return replicates.where(~F.isnan(d)).agg(F.percentile(d, 0.025).alias("lo"), F.percentile(d, 0.975).alias("hi"), F.avg((d > 0).cast("int")).alias("p_positive"), F.count("*").alias("n"))
-
-
 def cv_logistic(rows: DataFrame, features: list[str], target: str = "target", folds: int = 5, fold: str = "fold") -> DataFrame:
     """Out-of-fold probabilities by L2 logistic regression (C = 1, free
     intercept). The fold is a column, so any assignment can be given."""

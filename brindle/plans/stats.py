@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from brindle.functions import uncertainty as U
+from brindle.operators import resample as R
 from brindle.operators import stats as S
-from brindle.operators.evaluate import deferral_auc, tie_groups
+from brindle.operators.evaluate import auc_with_ci, deferral_auc
 from brindle.operators.ordered import quantiles
 from brindle.plans.common import rounded, sql_rounded
 from brindle.plans.evaluation import CELLS, cells, doc_long
@@ -46,10 +45,12 @@ ORACLES["mann_whitney"] = f"""WITH {X.DOC_SCORES}, r AS (SELECT target, {RANKS.f
 a AS (SELECT sum(r) FILTER (target = 1) - count(*) FILTER (target = 1) * (count(*) FILTER (target = 1) + 1) / 2.0::DOUBLE AS u, count(*) FILTER (target = 1) AS n1, count(*) FILTER (target = 0) AS n0 FROM r),
 z AS (SELECT u, n1, n0, greatest(abs(u - n1 * n0 / 2.0::DOUBLE) - 0.5, 0) / sqrt(n1 * n0 / 12.0::DOUBLE * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS z FROM a, t)
 SELECT u, n1, n0, {sql_rounded('z', 'z')}, round(2 * (SELECT sum(exp(-((z + k * 0.001 + 0.0005) * (z + k * 0.001 + 0.0005)) / 2) * 0.001) / sqrt(2 * pi()) FROM range(0, 9000) q(k)), 5) AS p FROM z"""
-QUERIES["ks_2samp"] = lambda s, d: S.ks_two_sample(_docs(s, d), "score").select(rounded("d"), "n1", "n0")
+QUERIES["ks_2samp"] = lambda s, d: S.ks_two_sample(_docs(s, d), "score").select(rounded("d"), "n1", "n0", rounded("p_limit"))
 ORACLES["ks_2samp"] = f"""WITH {X.DOC_SCORES}, g AS (SELECT score, count(*) FILTER (target = 1) AS p, count(*) FILTER (target = 0) AS n FROM scored GROUP BY score),
-c AS (SELECT sum(p) OVER (ORDER BY score) / (SELECT sum(p) FROM g) AS a, sum(n) OVER (ORDER BY score) / (SELECT sum(n) FROM g) AS b FROM g)
-SELECT {sql_rounded('max(abs(a - b))', 'd')}, (SELECT CAST(sum(p) AS BIGINT) FROM g) AS n1, (SELECT CAST(sum(n) AS BIGINT) FROM g) AS n0 FROM c"""
+c AS (SELECT sum(p) OVER (ORDER BY score) / (SELECT sum(p) FROM g) AS a, sum(n) OVER (ORDER BY score) / (SELECT sum(n) FROM g) AS b FROM g),
+m AS (SELECT max(abs(a - b)) AS d, (SELECT CAST(sum(p) AS BIGINT) FROM g) AS n1, (SELECT CAST(sum(n) AS BIGINT) FROM g) AS n0 FROM c),
+x AS (SELECT *, d * sqrt(n1::DOUBLE * n0 / (n1 + n0)) AS x FROM m)
+SELECT {sql_rounded('d', 'd')}, n1, n0, {sql_rounded('CASE WHEN x < 0.2 THEN 1 ELSE (SELECT sum(CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * k * k * x * x)) FROM range(1, 101) t(k)) END', 'p_limit')} FROM x"""
 QUERIES["ecdf"] = lambda s, d: S.ecdf(_docs(s, d), "score").select("score", rounded("share"))
 ORACLES["ecdf"] = f"WITH {X.DOC_SCORES} SELECT DISTINCT score, {sql_rounded('count(*) OVER (ORDER BY score) / count(*) OVER ()', 'share')} FROM scored"
 QUERIES["standardize"] = lambda s, d: S.standardized(_docs(s, d), ["score"]).select("doc_id", rounded("z_score"))
@@ -211,19 +212,28 @@ ORACLES["metadata_diff"] = "SELECT event_id, CASE WHEN json_extract_string(props
 
 # Resampling and models: rows only.
 def bootstrap_ci(spark, sf_dir):
-    long = doc_long(spark, sf_dir)
-    area = deferral_auc(long).first()
-    point = area["roc_auc"] if area else math.nan
-    return S.bootstrap_ci(S.bootstrap_auc(tie_groups(long, ["score_column"])), point)
+    """Raw, sign-aware and PR intervals, turned in the point's direction."""
+    return deferral_auc(doc_long(spark, sf_dir), compute_ci=True)
+
+
+def auc_interval(spark, sf_dir):
+    return auc_with_ci(doc_long(spark, sf_dir))
 
 
 def boot_auc_folded(spark, sf_dir):
-    groups = tie_groups(doc_long(spark, sf_dir), ["score_column"])
-    return S.bootstrap_ci(S.bootstrap_auc(groups), 0.5, folded=True)
+    long = doc_long(spark, sf_dir)
+    found = R.intervals(R.bootstrap_areas(long, ["score_column"]), deferral_auc(long), ["score_column"])
+    return found.select("score_column", F.col("roc_auc_folded_ci_low").alias("lo"), F.col("roc_auc_folded_ci_high").alias("hi"), F.col("n_replicates").alias("n"))
 
 
 def paired_bootstrap(spark, sf_dir):
-    return S.paired_summary(S.paired_bootstrap(cells(spark, sf_dir), "me", "js"))
+    return R.percentile_interval(R.paired_bootstrap(cells(spark, sf_dir), "trajectory_id", "me", "js"), "delta")
+
+
+def spearman_interval(spark, sf_dir):
+    rows = cells(spark, sf_dir)
+    found = R.percentile_interval(R.spearman_bootstrap(rows, "trajectory_id", "me", "js"), "rho").select(F.lit(0).alias("key"), "lo", "hi", F.col("n").alias("n_replicates"))
+    return S.spearman(rows, "trajectory_id", "me", "js").withColumn("key", F.lit(0)).join(found, "key").drop("key")
 
 
 def cv_logistic(spark, sf_dir):
@@ -236,4 +246,4 @@ def perturb(spark, sf_dir):
     return S.perturb_disagree(s, "p", 0.5).select("trajectory_id", "position", "perturb_disagree")
 
 
-QUERIES |= {"bootstrap_ci": bootstrap_ci, "boot_auc_folded": boot_auc_folded, "paired_bootstrap": paired_bootstrap, "cv_logistic": cv_logistic, "perturb_disagree": perturb}
+QUERIES |= {"bootstrap_ci": bootstrap_ci, "auc_with_ci": auc_interval, "spearman_ci": spearman_interval, "boot_auc_folded": boot_auc_folded, "paired_bootstrap": paired_bootstrap, "cv_logistic": cv_logistic, "perturb_disagree": perturb}

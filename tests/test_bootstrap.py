@@ -1,20 +1,141 @@
-"""The registered bootstrap queries: resample counts and orientation."""
+"""Resampling against plain recomputation with the same counts."""
 
+import math
+from itertools import combinations
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.plans import stats
+from brindle.operators import evaluate, resample, stats
+from brindle.plans import stats as plans
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name, n", [("bootstrap_ci", 5000), ("boot_auc_folded", 5000), ("paired_bootstrap", 2000)])
-def test_production_resample_counts(spark, name, n):
-    assert stats.QUERIES[name](spark, SF).first().n == n
+def area(score, pos, neg):
+    ahead = sum(p * n * ((s > t) + 0.5 * (s == t)) for s, p in zip(score, pos) for t, n in zip(score, neg))  # noqa: B905
+    return ahead / (sum(pos) * sum(neg)) if sum(pos) and sum(neg) else math.nan
+
+
+def precision(score, pos, neg):
+    out = 0.0
+    for s, p in zip(score, pos, strict=True):
+        tp, fp = sum(q for t, q in zip(score, pos, strict=True) if t >= s), sum(q for t, q in zip(score, neg, strict=True) if t >= s)
+        out += p * tp / (tp + fp) if p else 0
+    return out / sum(pos)
+
+
+@pytest.fixture(scope="module")
+def units(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(rng.integers(0, 12)), float(rng.normal()), int(rng.random() < 0.4)) for i in range(60)]
+    return rows, spark.createDataFrame(rows, "unit long, a double, b double, target int")
+
 
+@pytest.mark.parametrize("per_range", [1000, 5])
+def test_areas_of_the_drawn_counts(spark, units, per_range):
+    rows, df = units
+    long = df.select(F.lit("s").alias("score_column"), F.col("a").alias("score"), "target").unionByName(spark.createDataFrame([("s", None, 1)], "score_column string, score double, target int"))
+    got = {r.replicate: (r.roc_auc, r.pr_auc) for r in resample.bootstrap_areas(long, ["score_column"], 30, 7, per_range).collect()}
+    score = sorted({r[1] for r in rows})
+    for b in range(30):
+        pos, neg = [], []
+        for cut in range(0, len(score), per_range):
+            own = score[cut : cut + per_range]
+            rng = np.random.default_rng([7, cut // per_range, b])
+            count = lambda y: np.array([sum(r[1] == s and r[3] == y for r in rows) for s in own])  # noqa: B023, E731
+            pos += rng.poisson(count(1)).tolist()
+            neg += rng.poisson(count(0)).tolist()
+        assert got[b] == (pytest.approx(area(score, pos, neg)), pytest.approx(precision(score, pos, neg)))
 
-def test_interval_of_an_area_below_a_half_is_oriented(spark, monkeypatch):
+
+@pytest.mark.parametrize("per_range", [1000, 7])
+def test_paired_areas_and_ranks_see_the_same_counts(spark, units, per_range):
+    rows, df = units
+    hashes = np.array([r.h for r in df.select("unit", F.xxhash64("unit").alias("h")).orderBy("unit").collect()], np.int64)
+    delta = {r.replicate: r.delta for r in resample.paired_bootstrap(df, "unit", "a", "b", n=120, seed=5, per_range=per_range).collect()}
+    rho = {r.replicate: r.rho for r in resample.spearman_bootstrap(df, "unit", "a", "b", n=120, seed=5, per_range=per_range).collect()}
+    y = np.array([r[3] for r in rows])
+    for b in (0, 1, 99, 100, 119):
+        w = resample.unit_counts(hashes, b, 5)
+        areas = [area([r[k] for r in rows], (w * y).tolist(), (w * (1 - y)).tolist()) for k in (1, 2)]
+        assert delta[b] == pytest.approx(areas[0] - areas[1])
+        again = [np.repeat([r[k] for r in rows], w) for k in (1, 2)]
+        ranks = [(x[:, None] > x).sum(1) + (x[:, None] == x).sum(1) / 2 for x in again]
+        assert rho[b] == pytest.approx(np.corrcoef(*ranks)[0, 1])
+    assert len(delta) == len(rho) == 120
+
+
+def test_counts_are_poisson():
+    w = resample.unit_counts(np.arange(200_000), 3, 42)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - math.exp(-1)) < 0.005
+    assert not np.array_equal(w, resample.unit_counts(np.arange(200_000), 4, 42))
+
+
+def test_intervals_follow_the_point(spark):
     low = spark.range(200).select(F.lit("s").alias("score_column"), F.pmod(F.col("id") * 37, F.lit(200)).cast("double").alias("score"), (F.pmod(F.col("id") * 37, F.lit(200)) < F.pmod("id", F.lit(150))).cast("int").alias("target"))
-    monkeypatch.setattr(stats, "doc_long", lambda *_: low)
-    row = stats.bootstrap_ci(spark, SF).first()
-    assert 0.5 < row.lo < row.hi
+    row = evaluate.deferral_auc(low, compute_ci=True, n_bootstrap=400).first()
+    assert row.roc_auc < 0.5 and row.direction == "less" and row.roc_auc_ci_high < 0.5
+    assert 0.5 < row.roc_auc_sign_aware_ci_low < row.roc_auc_sign_aware < row.roc_auc_sign_aware_ci_high
+    assert row.roc_auc_sign_aware_ci_low == pytest.approx(1 - row.roc_auc_ci_high)
+    assert row.pr_auc_ci_low < row.pr_auc < row.pr_auc_ci_high
+    told = evaluate.auc_with_ci(low, n_bootstrap=400).first()
+    assert (told.ci_low, told.ci_high) == (row.roc_auc_sign_aware_ci_low, row.roc_auc_sign_aware_ci_high)
+    one = evaluate.auc_with_ci(low.withColumn("target", F.lit(1)), n_bootstrap=20).first()
+    assert math.isnan(one.sign_aware) and one.direction == "?" and math.isnan(one.ci_low)
+
+
+def test_interval_covers_like_the_normal_one(spark):
+    """Hanley and McNeil's standard error as a yardstick."""
+    rng = np.random.default_rng(1)
+    rows = [("s", float(rng.normal(0.5 * (i % 2))), i % 2) for i in range(1000)]
+    row = evaluate.deferral_auc(spark.createDataFrame(rows, "score_column string, score double, target int"), compute_ci=True, n_bootstrap=1000).first()
+    a, n = row.roc_auc, 500
+    se = math.sqrt((a * (1 - a) + (n - 1) * (a / (2 - a) - a * a) + (n - 1) * (2 * a * a / (1 + a) - a * a)) / n / n)
+    assert row.roc_auc_ci_high - row.roc_auc_ci_low == pytest.approx(2 * 1.96 * se, rel=0.15)
+
+
+def test_component_table_and_comparisons(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, *map(float, rng.normal(size=4)), 0.5) for i in range(80)]
+    scores = spark.createDataFrame(rows, "trajectory_id long, entropy_plateau double, voi_flatness double, distance_from_trajectory double, composite double, deferral_signal double")
+    truth = spark.createDataFrame([(i, i % 2) for i in range(80)], "trajectory_id long, target int")
+    table = {r.score_column: r for r in evaluate.component_table(scores, truth, n_bootstrap=50).collect()}
+    assert set(table) == set(evaluate.COMPONENTS) and all(r.roc_auc_ci_low <= r.roc_auc <= r.roc_auc_ci_high for r in table.values())
+    by = evaluate.grouped_comparison({"m1": scores, "m2": scores.where("trajectory_id < 40")}, truth, "llm_name", compute_ci=False)
+    assert {r.llm_name: r.n_pos + r.n_neg for r in by.collect()} == {"m1": 80, "m2": 40}
+    by = evaluate.grouped_comparison({"A": scores, "C": scores}, truth, "condition_id", evaluate.CONDITION_SCORES, truth.where("trajectory_id < 30"), compute_ci=False)
+    assert {(r.condition_id, r.score_column): (r.n_pos, r.roc_auc == 0.5) for r in by.collect()} == {("A", "deferral_signal"): (15, True), ("C", "composite"): (15, False)}
+    by = evaluate.grouped_comparison({"d1": scores}, {"d1": truth}, "domain_name", compute_ci=False)
+    assert by.first().domain_name == "d1"
+    for bad in (lambda: evaluate.grouped_comparison({"d1": scores}, {"d2": truth}, "domain_name"), lambda: evaluate.grouped_comparison({"Z": scores}, truth, "c", evaluate.CONDITION_SCORES), lambda: evaluate.long_scores(scores, truth.where("target = 1"), ["composite"]), lambda: evaluate.long_scores(scores.where("trajectory_id < 0"), truth, ["composite"])):
+        with pytest.raises(evaluate.EvaluationError):
+            bad()
+
+
+@pytest.mark.parametrize("name, n", [("boot_auc_folded", 5000), ("paired_bootstrap", 2000)])
+def test_production_resample_counts(spark, name, n):
+    assert plans.QUERIES[name](spark, SF).first().n == n
+
+
+@pytest.mark.parametrize("n1, n0", [(4, 5), (3, 3), (6, 4), (1, 5)])
+def test_ks_chance_is_exact(spark, n1, n0):
+    places = list(combinations(range(n1 + n0), n1))
+
+    def apart(chosen):
+        i = j = 0
+        most = 0.0
+        for k in range(n1 + n0):
+            i, j = i + (k in chosen), j + (k not in chosen)
+            most = max(most, abs(i / n1 - j / n0))
+        return most
+
+    found = [apart(set(c)) for c in places]
+    for d in sorted(set(found)):
+        assert stats.ks_exact(d, n1, n0) == pytest.approx(np.mean([x >= d - 1e-12 for x in found]))
+
+
+def test_ks_chance_of_large_samples():
+    x = 0.05 * math.sqrt(5000 * 4000 / 9000)
+    assert stats.ks_exact(0.05, 5000, 4000) == pytest.approx(2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 50)), rel=0.05)
