@@ -1,11 +1,13 @@
 """Column functions over model output: steps, answers, confidences, hashes.
 
 Patterns use the flags (?imdU) so that lines end at line feeds only and
-classes are Unicode's, as in the reference's regular expressions.
+classes are Unicode's.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,12 +81,14 @@ def extract_letter(text: Column, letters: Column) -> Column:
     return F.when(F.array_contains(letters, letter), letter)
 
 
-def question_hash(question: Column, choices: Column, question_id: Column | None = None) -> Column:
-    """SHA-256 that identifies a question by its text and sorted choices."""
+def question_hash(question: Column, choices: Column, question_id: Column | None = None, digest: bool = True) -> Column:
+    """SHA-256 that identifies a question by its text and sorted choices; or
+    the text that is hashed."""
     zero = F.lit("\0")
     listed = F.array_join(F.transform(F.array_sort(F.map_entries(choices)), lambda e: F.concat(e["key"], F.lit("="), e["value"], zero)), "")
     head = F.concat(F.lit("qid:"), question_id, zero) if question_id is not None else F.lit("")
-    return F.sha2(F.concat(head, F.lit("q:"), question, zero, F.lit("choices:"), listed), 256)
+    text = F.concat(head, F.lit("q:"), question, zero, F.lit("choices:"), listed)
+    return F.sha2(text, 256) if digest else text
 
 
 def format_choices(choices: Column) -> Column:
@@ -93,11 +97,10 @@ def format_choices(choices: Column) -> Column:
 
 
 def fill(template: str, **fields: Column) -> Column:
-    """``template`` with its {name} places filled."""
-    out = F.lit(template)
-    for name, value in fields.items():
-        out = F.replace(out, F.lit("{" + name + "}"), value)
-    return out
+    """``template`` with its {name} places filled, all at once: what is filled
+    in is not looked through again."""
+    parts = re.split("\\{(" + "|".join(map(re.escape, fields)) + ")\\}", template) if fields else [template]
+    return F.concat(*[fields[part] if k % 2 else F.lit(part) for k, part in enumerate(parts)])
 
 
 def prefix_prompts(template: str, question: Column, choices: Column, steps: Column) -> Column:

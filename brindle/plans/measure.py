@@ -1,10 +1,15 @@
-"""Measurement runs with scripted models, and the whole score table: no SQL
-can run a model, so these are checked by tests."""
+"""Measurement runs with a scripted model whose replies depend on the prompt,
+and the whole score table."""
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+
 from pyspark.sql import functions as F
 
+from brindle.functions import text as T
 from brindle.operators import conditions as C
 from brindle.operators import measure as M
 from brindle.operators import signatures
@@ -17,32 +22,134 @@ from brindle.sources.questions import subject_questions
 QUERIES, ORACLES = {}, {}
 
 
-def _model():
-    return M.ScriptedModel("Reasoning step 1: a\nReasoning step 2: b\nReasoning step 3: c\nFinal answer: B\nConfidence: 0.75", "ABC")
+class DigestModel:
+    """Replies made of the prompt's MD5 digits, which SQL can follow: one in
+    sixteen is blank and one has neither steps nor an answer; the others have
+    steps, an answer and a confidence.
+    At a temperature the seed counts as part of the prompt."""
+
+    def generate(self, prompt, max_tokens=None, temperature=0.0, seed=None):
+        asked = prompt if temperature <= 0 else f"{prompt}#{seed}"
+        text = hashlib.md5(asked.encode()).hexdigest()
+        d = [int(x, 16) for x in text]
+        if d[0] >= 14:
+            return "hm" if d[0] == 14 else " "
+        steps = "".join(f"Reasoning step {i}: s{text[3:5]}{i}\n" for i in range(1, 3 + d[2] % 3))
+        return f"{steps}Final answer: {'ABC'[d[1] % 3]}\nConfidence: {d[5] / 16}"
+
+    def top_logprobs(self, prompt, k):
+        weights = [1 + int(x, 16) for x in hashlib.md5(prompt.encode()).hexdigest()[:3]]
+        return {t: math.log(0.9 * w / sum(weights)) for t, w in zip("ABC", weights, strict=True)}
+
+    def metadata(self):
+        return {"adapter_name": "DigestModel", "model": "md5"}
 
 
 def _questions(spark, sf_dir):
     return questions(spark, sf_dir).withColumn("question_id", F.col("question_id").cast("string"))
 
 
-QUERIES["cond_a"] = lambda s, d: C.condition_a(_questions(s, d), _model).select("question_id", "condition_id", "predicted_answer", "deferral_signal", "success")
-ORACLES["cond_a"] = "SELECT CAST(item_id AS VARCHAR) AS question_id, 'A' AS condition_id, 'B' AS predicted_answer, 0.5::DOUBLE AS deferral_signal, true AS success FROM benchmark"
-QUERIES["cond_b"] = lambda s, d: C.condition_b(_questions(s, d), _model).select("question_id", "condition_id", "predicted_answer", "deferral_signal", "success")
-ORACLES["cond_b"] = "SELECT CAST(item_id AS VARCHAR) AS question_id, 'B' AS condition_id, 'B' AS predicted_answer, 0.25::DOUBLE AS deferral_signal, true AS success FROM benchmark"
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _filled(name: str, **fields: str) -> str:
+    """A template as an SQL expression."""
+    parts = re.split(r"\{(\w+)\}", C.template(name))
+    return " || ".join(fields[p] if k % 2 else _quoted(p) for k, p in enumerate(parts))
+
+
+def _digit(text: str, k: int) -> str:
+    return f"(strpos('0123456789abcdef', substr(md5({text}), {k + 1}, 1)) - 1)"
+
+
+_CHOICES = "'A. first' || chr(10) || 'B. b' || item_id || chr(10) || 'C. ' || substr(text, 1, 5)"
+_TEXT = "'q:' || text || chr(0) || 'choices:A=first' || chr(0) || 'B=b' || item_id || chr(0) || 'C=' || substr(text, 1, 5) || chr(0)"
+
+
+def _asked_sql(name: str, least: int = 14) -> str:
+    """Common tables: fp, the prompt whose reply counts, and whether it can be
+    read; the first digit is ``least`` or more where not."""
+    return f"""a AS (SELECT CAST(item_id AS VARCHAR) AS question_id, item_id, text, {_filled(name, question='text', choices=_CHOICES)} AS p FROM benchmark),
+r AS (SELECT *, {_digit('p', 0)} >= {least} AS again, CASE WHEN {_digit('p', 0)} >= {least} THEN {_filled('repair', prompt='p', reply=f"CASE WHEN {_digit('p', 0)} = 14 THEN 'hm' ELSE ' ' END")} ELSE p END AS fp FROM a),
+f AS (SELECT *, {_digit('fp', 0)} < {least} AS ok, {_digit('fp', 0)} = 14 AS hm FROM r)"""
+
+
+RESULT = ("question_id", "condition_id", "predicted_answer", "deferral_signal", "success", "n_calls", "repair_attempts")
+
+
+def _answers_sql(condition: str, signal: str) -> str:
+    return f"""SELECT question_id, '{condition}' AS condition_id, CASE WHEN ok THEN substr('ABC', {_digit('fp', 1)} % 3 + 1, 1) END AS predicted_answer, {signal} AS deferral_signal, ok AS success,
+  CASE WHEN again THEN 2 ELSE 1 END AS n_calls, CASE WHEN again THEN 1 ELSE 0 END AS repair_attempts FROM f"""
+
+
+_SIGNAL_B = f"CASE WHEN ok THEN 1 - {_digit('fp', 5)} / 16.0::DOUBLE ELSE 0.5::DOUBLE END"
+QUERIES["cond_a"] = lambda s, d: C.condition_a(_questions(s, d), DigestModel).select(*RESULT)
+ORACLES["cond_a"] = f"WITH {_asked_sql('condition_a')} {_answers_sql('A', '0.5::DOUBLE')}"
+QUERIES["cond_b"] = lambda s, d: C.condition_b(_questions(s, d), DigestModel).select(*RESULT)
+ORACLES["cond_b"] = f"WITH {_asked_sql('condition_b')} {_answers_sql('B', _SIGNAL_B)}"
+
+_STEP = "CASE WHEN hm THEN 'hm' ELSE 's' || substr(md5(fp), 4, 2) || {} END"
+_SO_FAR = f"coalesce((SELECT string_agg('Reasoning step ' || i || ': ' || {_STEP.format('i')} || chr(10), '' ORDER BY i) FROM range(1, k + 1) t(i)), '')"
+_STATES_SQL = f"""{_asked_sql('condition_c_initial', 15)},
+n AS (SELECT *, CASE WHEN hm THEN 1 WHEN ok THEN 2 + {_digit('fp', 2)} % 3 ELSE 0 END AS n FROM f),
+m AS (SELECT *, {_filled('condition_c_measurement', question='text', choices=_CHOICES, reasoning_so_far=_SO_FAR)} AS mp FROM n, range(0, 5) s(k) WHERE k <= n),
+w AS (SELECT *, 1 + {_digit('mp', 0)} AS wa, 1 + {_digit('mp', 1)} AS wb, 1 + {_digit('mp', 2)} AS wc FROM m)"""
 
 
 def cond_c(spark, sf_dir):
-    _, states = C.condition_c(_questions(spark, sf_dir), _model, ["A", "B", "C"])
-    return states.select("trajectory_id", "position", "step_text", rounded("mass_capture"), F.size("truncated").alias("n_truncated"))
+    _, states = C.condition_c(_questions(spark, sf_dir), DigestModel, ["A", "B", "C"])
+    p = F.col("distribution")["A"]
+    return states.select("trajectory_id", "position", "node_id", "step_text", rounded(p, "p_a"), rounded("mass_capture"), F.size("truncated").alias("n_truncated"), F.col("action_metadata.step_text_len").alias("next_len"), F.col("metadata.failure_reason").alias("failure"))
 
 
 QUERIES["cond_c"] = cond_c
-ORACLES["cond_c"] = f"SELECT CAST(item_id AS VARCHAR) AS trajectory_id, CAST(k AS INTEGER) AS position, ['a', 'b', 'c'][k] AS step_text, {sql_rounded('0.9::DOUBLE', 'mass_capture')}, 0 AS n_truncated FROM benchmark, range(0, 4) t(k)"
+ORACLES["cond_c"] = f"""WITH {_STATES_SQL} SELECT question_id AS trajectory_id, CAST(k AS INTEGER) AS position, CASE WHEN k = 0 THEN sha256({_TEXT}) ELSE sha256({_TEXT} || mp) END AS node_id, CASE WHEN k > 0 THEN {_STEP.format('k')} END AS step_text,
+  {sql_rounded('CASE WHEN ok THEN wa::DOUBLE / (wa + wb + wc) END', 'p_a')}, {sql_rounded('CASE WHEN ok THEN 0.9::DOUBLE END', 'mass_capture')}, CASE WHEN ok THEN 0 END AS n_truncated, CASE WHEN k < n THEN CASE WHEN hm THEN 2 ELSE 4 END END AS next_len, CASE WHEN NOT ok THEN 'no steps in the response' END AS failure FROM w"""
+
+
+def cond_c_results(spark, sf_dir):
+    results, _ = C.condition_c(_questions(spark, sf_dir), DigestModel, ["A", "B", "C"], embedder=M.HashEmbedder)
+    return results.select("question_id", "predicted_answer", "success", "n_calls", "repair_attempts", "n_steps_raw", "n_truncated")
+
+
+QUERIES["cond_c_results"] = cond_c_results
+ORACLES["cond_c_results"] = f"""WITH {_STATES_SQL} SELECT question_id, CASE WHEN ok THEN CASE WHEN wa >= wb AND wa >= wc THEN 'A' WHEN wb >= wc THEN 'B' ELSE 'C' END END AS predicted_answer, ok AS success,
+  CASE WHEN again THEN 2 ELSE 1 END + CASE WHEN ok THEN 1 ELSE 0 END AS n_calls, CASE WHEN again THEN 1 ELSE 0 END AS repair_attempts, CAST(n AS INTEGER) AS n_steps_raw, CASE WHEN ok THEN 0 END AS n_truncated FROM w WHERE k = n"""
+
+
+def lean_capture(spark, sf_dir):
+    asked = _questions(spark, sf_dir).withColumn("answer_letter", F.lit("B"))
+    _, states = C.condition_c(asked, DigestModel, ["A", "B", "C"])
+    found = C.lean_capture(states, asked, ["A", "B", "C"])
+    return found.select("question_id", "gold", "pred", "n_steps", F.posexplode("ent").alias("position", "ent"), "entfull", "varent").select("question_id", "gold", "pred", "n_steps", "position", rounded("ent"), rounded(F.get("entfull", "position"), "entfull"), rounded(F.get("varent", "position"), "varent"))
+
+
+QUERIES["lean_capture"] = lean_capture
+_P = "list_transform([wa, wb, wc], lambda x: x::DOUBLE / (wa + wb + wc))"
+ORACLES["lean_capture"] = f"""WITH {_STATES_SQL}, e AS (SELECT *, -list_sum(list_transform({_P}, lambda x: x * ln(x))) AS h, list_sum(list_transform({_P}, lambda x: x * ln(x) * ln(x))) AS h2 FROM w WHERE ok)
+SELECT question_id, 'B' AS gold, (SELECT CASE WHEN v.wa >= v.wb AND v.wa >= v.wc THEN 'A' WHEN v.wb >= v.wc THEN 'B' ELSE 'C' END FROM w v WHERE v.question_id = e.question_id AND v.k = e.n) AS pred, CAST(n + 1 AS INTEGER) AS n_steps, CAST(k AS INTEGER) AS position, {sql_rounded('h / ln(2)', 'ent')}, {sql_rounded('h', 'entfull')}, {sql_rounded('h2 - h * h', 'varent')} FROM e"""
+
+
+def semantic_entropy(spark, sf_dir):
+    """Six seeded samples a question; unreadable ones are read by the belief
+    after them."""
+    asked = _questions(spark, sf_dir).withColumn("prompt", T.fill("{question}\n{choices}\nReason, then answer.\n", question=F.col("question"), choices=T.format_choices(F.col("choices"))))
+    return M.semantic_entropy(asked, DigestModel, ["A", "B", "C"]).select("question_id", rounded("semantic_entropy"), "n_valid_samples", "n_forced")
+
+
+QUERIES["semantic_entropy"] = semantic_entropy
+ORACLES["semantic_entropy"] = f"""WITH a AS (SELECT CAST(item_id AS VARCHAR) AS question_id, text || chr(10) || {_CHOICES} || chr(10) || 'Reason, then answer.' || chr(10) AS p FROM benchmark),
+s AS (SELECT question_id, p || '#' || seed AS sp, p || 'hm' || chr(10) || 'Answer:' AS fp FROM a, range(42, 48) t(seed)),
+w AS (SELECT *, {_digit('sp', 0)} = 14 AS forced, {_digit('fp', 0)} AS wa, {_digit('fp', 1)} AS wb, {_digit('fp', 2)} AS wc FROM s WHERE {_digit('sp', 0)} < 15),
+l AS (SELECT question_id, forced, CASE WHEN NOT forced THEN substr('ABC', {_digit('sp', 1)} % 3 + 1, 1) WHEN wa >= wb AND wa >= wc THEN 'A' WHEN wb >= wc THEN 'B' ELSE 'C' END AS letter FROM w),
+c AS (SELECT question_id, letter, count(*) AS c, count(*) FILTER (forced) AS f FROM l GROUP BY ALL)
+SELECT question_id, {sql_rounded('greatest(0, log2(sum(c)) - sum(c * log2(c)) / sum(c))', 'semantic_entropy')}, CAST(sum(c) AS BIGINT) AS n_valid_samples, CAST(sum(f) AS BIGINT) AS n_forced FROM c GROUP BY question_id"""
 
 
 def embed(spark, sf_dir):
     items = X.table(spark, sf_dir, "benchmark")
-    rows = M.embedding_hash(M.embed(items, M.HashEmbedder), name="action_id")
+    rows = M.action_hash(M.embed(items, M.HashEmbedder), name="action_id")
     return rows.select("item_id", F.size("embedding").alias("dimension"), "action_id")
 
 
@@ -60,13 +167,17 @@ QUERIES["src_mmlu"] = src_mmlu
 ORACLES["src_mmlu"] = "SELECT 'mmlu-Brand#11-test-' || p_partkey AS question_id, p_name AS question, p_type AS b, substr('ABCD', p_size % 4 + 1, 1) AS answer_letter FROM part WHERE p_brand = 'Brand#11'"
 
 
+def _logits(s):
+    return s.where("distribution is not null").select("trajectory_id", "position", F.array(*[F.ln(F.col("distribution")[x] + 0.001) for x in X.SPACE]).alias("logits"))
+
+
 def sample_token(spark, sf_dir):
-    s = X.states(spark, sf_dir).where("size(top_k) > 0").select("trajectory_id", "position", "top_k")
-    return M.sample_token(M.sample_token(s, "top_k"), "top_k", 0.7, name="drawn").select("trajectory_id", "position", F.col("token").cast("long").alias("token"), (F.col("drawn") < F.size("top_k")).alias("within"))
+    """The likeliest token; draws are held against their law by tests."""
+    return M.sample_token(_logits(X.states(spark, sf_dir)), "logits", ["trajectory_id", "position"]).select("trajectory_id", "position", F.col("token").cast("long").alias("token"))
 
 
 QUERIES["sample_token"] = sample_token
-ORACLES["sample_token"] = f"WITH {X.STATES} SELECT trajectory_id, position, 0::BIGINT AS token, true AS within FROM states WHERE len(tk) > 0"
+ORACLES["sample_token"] = f"WITH {X.STATES} SELECT trajectory_id, position, CAST(list_position(dist, list_max(dist)) - 1 AS BIGINT) AS token FROM states WHERE dist IS NOT NULL"
 
 
 def compute_signatures(spark, sf_dir):
@@ -80,10 +191,16 @@ QUERIES["compute_signatures"] = compute_signatures
 
 
 def repair_summary(spark, sf_dir):
-    """Counts over results: successes, answers, mean signal."""
-    r = C.condition_b(_questions(spark, sf_dir), _model).unionByName(C.condition_a(_questions(spark, sf_dir), _model))
-    return C.successful(r).groupBy("condition_id").agg(F.count("*").alias("n"), rounded(F.avg("deferral_signal"), "signal"))
+    """Counts by condition: successes, repairs, calls, mean signal."""
+    r = C.condition_b(_questions(spark, sf_dir), DigestModel).unionByName(C.condition_a(_questions(spark, sf_dir), DigestModel))
+    return C.repair_summary(r).select("condition_id", "n", "n_success", "n_repaired", "n_calls", rounded("signal"))
 
 
 QUERIES["repair_summary"] = repair_summary
-ORACLES["repair_summary"] = "SELECT 'A' AS condition_id, count(*) AS n, 0.5::DOUBLE AS signal FROM benchmark UNION ALL SELECT 'B', count(*), 0.25::DOUBLE FROM benchmark"
+
+
+def _summary_sql(name: str, condition: str, signal: str) -> str:
+    return f"SELECT condition_id, count(*) AS n, CAST(sum(success::INT) AS BIGINT) AS n_success, CAST(sum((repair_attempts > 0)::INT) AS BIGINT) AS n_repaired, CAST(sum(n_calls) AS BIGINT) AS n_calls, {sql_rounded('avg(deferral_signal) FILTER (success)', 'signal')} FROM (WITH {_asked_sql(name)} {_answers_sql(condition, signal)}) GROUP BY 1"
+
+
+ORACLES["repair_summary"] = f"{_summary_sql('condition_a', 'A', '0.5::DOUBLE')} UNION ALL {_summary_sql('condition_b', 'B', _SIGNAL_B)}"

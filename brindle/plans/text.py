@@ -137,14 +137,3 @@ def explore(spark, sf_dir):
 
 QUERIES["explore"] = explore
 ORACLES["explore"] = f"SELECT lang, count(*) AS docs, min(length(text)) AS least, max(length(text)) AS most, {sql_rounded('avg(length(text))', 'mean')}, {sql_rounded('quantile_cont(length(text), 0.5)', 'median')} FROM documents GROUP BY lang"
-
-
-def semantic_entropy(spark, sf_dir):
-    """Entropy of sampled answers: sources as samples of a language's answer."""
-    from brindle.operators.graph import label_entropy
-
-    return label_entropy(X.table(spark, sf_dir, "documents").withColumn("outcome", F.col("source")), ["lang"]).select("lang", "n_outcomes", rounded("entropy", "semantic_entropy"))
-
-
-QUERIES["semantic_entropy"] = semantic_entropy
-ORACLES["semantic_entropy"] = f"WITH c AS (SELECT lang, source, count(*) AS c FROM documents WHERE source IS NOT NULL GROUP BY 1, 2) SELECT lang, CAST(sum(c) AS BIGINT) AS n_outcomes, {sql_rounded('log2(sum(c)) - sum(c * log2(c)) / sum(c)', 'semantic_entropy')} FROM c GROUP BY lang"

@@ -189,8 +189,55 @@ def test_statistics(spark):
     assert stats.cohen_d(df, "a").first().d == pytest.approx(5 / math.sqrt(2.5))
 
 
+QUESTION = [("q1", "why {choices}?", {"A": "x", "B": "y"})]
+REPLY = "Reasoning step 1: a\nReasoning step 2: b\nReasoning step 3: c\nFinal answer: A"
+
+
+def asked(spark, n=1):
+    return spark.createDataFrame([(f"q{k}", q, c) for k in range(1, n + 1) for _, q, c in QUESTION], "question_id string, question string, choices map<string,string>")
+
+
+class Logged(measure.ScriptedModel):
+    """Writes each call's prompt to a folder that all tasks see."""
+
+    folder = ""
+
+    def _log(self, kind, prompt):
+        import uuid
+        from pathlib import Path
+
+        Path(self.folder, f"{kind}-{uuid.uuid4().hex}").write_text(prompt)
+
+    def generate(self, prompt, **k):
+        self._log("generate", prompt)
+        return self.response
+
+    def top_logprobs(self, prompt, k):
+        self._log("measure", prompt)
+        return super().top_logprobs(prompt, k)
+
+
+def calls(folder, kind):
+    return [p.read_text() for p in folder.glob(f"{kind}-*")]
+
+
+def test_each_prompt_is_asked_once(spark, tmp_path):
+    def factory():
+        model = Logged(REPLY, "AB")
+        model.folder = str(tmp_path)
+        return model
+
+    q = asked(spark, 10)
+    a = conditions.condition_a(q, factory)
+    assert a.count() == 10 and a.where("success and n_calls = 1").count() == 10 and len(calls(tmp_path, "generate")) == 10
+    results, states = conditions.condition_c(q, factory, ["A", "B"])
+    assert results.count() == 10 and states.count() == 40 and states.where("error is null" if "error" in states.columns else "true").count() == 40
+    assert len(calls(tmp_path, "generate")) == 20 and len(calls(tmp_path, "measure")) == 40
+    assert "why {choices}?" in calls(tmp_path, "generate")[0]
+
+
 def test_conditions(spark):
-    q = spark.createDataFrame([("q1", "why?", {"A": "x", "B": "y"})], "question_id string, question string, choices map<string,string>")
+    q = asked(spark)
     a = conditions.condition_a(q, measure.ScriptedModel).first()
     assert (a.predicted_answer, a.deferral_signal, a.success) == ("A", 0.5, True)
     results, states = conditions.condition_c(q, lambda: measure.ScriptedModel(space="AB"), ["A", "B"])
@@ -205,9 +252,158 @@ def test_conditions(spark):
 
     broken = conditions.condition_a(q, Broken).first()
     assert not broken.success and "down" in broken.error
+    results, states = conditions.condition_c(q, Broken, ["A", "B"])
+    assert "down" in results.first().error and states.count() == 1
     assert conditions.versions()["condition_a"] == 1
 
 
+def digest(*parts):
+    import hashlib
+
+    return hashlib.sha256(b"".join(parts)).hexdigest()
+
+
+def binned(*vectors):
+    import numpy as np
+
+    return np.round(np.asarray(vectors, np.float32), 8).astype(np.float32).tobytes()
+
+
+def test_identities_of_states_and_actions(spark):
+    _, states = conditions.condition_c(asked(spark), lambda: measure.ScriptedModel(REPLY, "AB"), ["A", "B"], embedder=measure.HashEmbedder)
+    rows = states.orderBy("position").collect()
+    text = b"q:why {choices}?\0choices:A=x\0B=y\0"
+    vectors = [r.embedding for r in rows]
+    assert [r.node_id for r in rows] == [digest(text), *[digest(text, b"steps:", binned(*vectors[1 : k + 1])) for k in (1, 2, 3)]]
+    assert [r.action_id_to_next for r in rows] == [*[digest(b"pos:%d\0" % k, b"step:", binned(vectors[k + 1])) for k in range(3)], None]
+    embed = measure.HashEmbedder().embed_batch(["why {choices}?", "a", "b", "c"])
+    assert [list(map(float, v)) for v in vectors] == [pytest.approx(list(map(float, v))) for v in embed]
+    assert [r.action_metadata.step_text_len if r.action_metadata else None for r in rows] == [1, 1, 1, None]
+    _, named = conditions.condition_c(asked(spark), lambda: measure.ScriptedModel(REPLY, "AB"), ["A", "B"], embedder=measure.HashEmbedder, id_in_hash=True)
+    assert named.where("position = 0").first().node_id == digest(b"qid:q1\0", text)
+    for bad in (lambda d: measure.action_hash(d, precision=0), lambda d: measure.state_hashes(d, "t", "e", 0)):
+        with pytest.raises(ValueError):
+            bad(states)
+
+
+def test_reasoning_is_repaired_at_the_right_place(spark, tmp_path):
+    class Late(measure.ScriptedModel):
+        """No steps at first; a measurement that fails when first made."""
+
+        def generate(self, prompt, **k):
+            return REPLY if "could not be read" in prompt else ""
+
+        def top_logprobs(self, prompt, k):
+            mark = tmp_path / "failed"
+            if "step 2" in prompt and "step 3" not in prompt and not mark.exists():
+                mark.write_text("x")
+                raise OSError("once")
+            return super().top_logprobs(prompt, k)
+
+    results, states = conditions.condition_c(asked(spark), lambda: Late(space="AB"), ["A", "B"])
+    r = results.first()
+    assert (r.success, r.repair_attempts, r.n_calls, r.n_steps_raw, states.count()) == (True, 2, 4, 3, 4)
+
+    class Never(measure.ScriptedModel):
+        def top_logprobs(self, prompt, k):
+            raise OSError("never")
+
+    results, states = conditions.condition_c(asked(spark), lambda: Never(REPLY), ["A", "B"])
+    s = states.collect()
+    assert not results.first().success and "a measurement failed" in results.first().error
+    assert [(x.position, x.distribution, x.embedding, x.action_id_to_next) for x in s] == [(0, None, None, None)] and "measurement" in s[0].metadata.failure_reason
+    with pytest.raises(ValueError):
+        conditions.condition_a(asked(spark), measure.ScriptedModel, repairs=-1)
+
+
+def test_samples_have_seeds_of_their_own(spark):
+    class Seeded(measure.ScriptedModel):
+        def generate(self, prompt, temperature=0.0, seed=None, **k):
+            return f"{temperature}:{seed}"
+
+    rows = measure.generate(asked(spark).withColumn("prompt", F.lit("p")), Seeded, samples=3, temperature=0.5, seed=7).orderBy("sample").collect()
+    assert [r.response for r in rows] == ["0.5:7", "0.5:8", "0.5:9"]
+
+
+def test_batches_are_repaired_one_by_one():
+    class Batched:
+        single = []
+
+        def generate_batch(self, prompts, temperature=0.0, seeds=()):
+            raise measure.ModelError("third", 2, [f"batch {p}" for p in prompts])
+
+        def generate(self, prompt, **k):
+            self.single.append(prompt)
+            return f"single {prompt}"
+
+    assert measure._batch(lambda p: Batched().generate_batch(p), list("abcd")) == ["batch a", "batch b", None, "batch d"]
+
+    def atomic(p):
+        raise OSError("all")
+
+    assert measure._batch(atomic, [1, 2]) == [None, None]
+
+
+def test_prefixes_and_batched_measurement(spark):
+    told = spark.createDataFrame([("g", "same start one"), ("g", "same start two"), ("h", "x")], "g string, prompt string")
+    with_prefix = measure.shared_prefix(told, "g")
+    assert {(r.g, r.prefix) for r in with_prefix.collect()} == {("g", "same start "), ("h", "x")}
+
+    class Prefixed(measure.ScriptedModel):
+        def prefill(self, prefix):
+            self.prefix = prefix
+
+        def top_logprobs_batch(self, prompts, k):
+            return [super(Prefixed, self).top_logprobs(p, k) if not p.endswith("two") else {"A": -1.0} for p in prompts]
+
+        def top_logprobs(self, prompt, k):
+            assert prompt.startswith(self.prefix)
+            return super().top_logprobs(prompt, k)
+
+    rows = measure.measure(with_prefix, Prefixed, "ABCD").collect()
+    assert all(r.error is None and len(r.distribution) == 4 and r.truncated == [] for r in rows)
+
+
+def test_draws_follow_the_softmax(spark):
+    df = spark.range(20_000).select(F.col("id"), F.array(F.lit(0.0), F.lit(1.0), F.lit(-1.0)).alias("l"))
+    share = {r.token: r["count"] / 20_000 for r in measure.sample_token(df, "l", ["id"], 0.5).groupBy("token").count().collect()}
+    z = [1, math.exp(2), math.exp(-2)]
+    assert all(abs(share[k] - z[k] / sum(z)) < 0.015 for k in range(3))
+    assert measure.sample_token(df, "l", ["id"]).select("token").distinct().first().token == 1
+
+
+def test_servers(monkeypatch):
+    import io
+    import json
+    import urllib.error
+
+    sent = []
+
+    def answers(reply):
+        def urlopen(request, timeout):
+            sent.append(json.loads(request.data))
+            if isinstance(reply, Exception):
+                raise reply
+            return io.BytesIO(reply if isinstance(reply, bytes) else json.dumps(reply).encode())
+
+        monkeypatch.setattr(measure.urllib.request, "urlopen", urlopen)
+
+    server, plain = measure.CompletionServer("http://x/v1", "m"), measure.TextServer("http://x/api", "m")
+    answers({"choices": [{"text": "hi", "logprobs": {"top_logprobs": [{"A": -0.5}]}}]})
+    assert server.generate("p", seed=9) == "hi" and sent[-1]["seed"] == 9 and server.top_logprobs("p", 4) == {"A": -0.5} and sent[-1]["logprobs"] == 4
+    answers({"choices": [{"logprobs": {"content": [{"top_logprobs": [{"token": "B", "logprob": -1}]}]}}]})
+    assert server.top_logprobs("p", 4) == {"B": -1.0}
+    answers({"response": "text"})
+    assert plain.generate("p", max_tokens=5, temperature=0.3, seed=1) == "text" and sent[-1]["options"] == {"temperature": 0.3, "seed": 1, "num_predict": 5}
+    assert plain.metadata() == {"adapter_name": "TextServer", "model": "m"}
+    with pytest.raises(measure.ModelError):
+        plain.top_logprobs("p", 1)
+    for reply, kind in ((urllib.error.HTTPError("u", 503, "busy", {}, None), measure.ModelStatus), (TimeoutError(), measure.ModelTimeout), (urllib.error.URLError("refused"), measure.ModelUnreachable), (urllib.error.URLError(TimeoutError()), measure.ModelTimeout), (b"<html>", measure.ModelReply), ({"choices": []}, measure.ModelReply)):
+        answers(reply)
+        with pytest.raises(kind):
+            server.generate("p")
+
+
 def test_measurement():
     class Sparse:
         asked = []
@@ -224,8 +420,8 @@ def test_measurement():
 
 def test_embedding(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "i int, text string")
-    rows = measure.embedding_hash(measure.embed(df, measure.HashEmbedder)).orderBy("i").collect()
-    assert rows[0].action_id == rows[2].action_id and rows[1].embedding is None and rows[1].action_id is None
+    rows = measure.action_hash(measure.embed(df, measure.HashEmbedder)).orderBy("i").collect()
+    assert rows[0].action_id == rows[2].action_id == digest(b"step:", binned(rows[0].embedding)) and rows[1].embedding is None and rows[1].action_id is None
     assert sum(x * x for x in rows[0].embedding) == pytest.approx(1, abs=1e-5)
 
 
