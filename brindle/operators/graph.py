@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators import guards
 from brindle.operators.ordered import quantiles
 from brindle.sources.store import cut_lineage
 
@@ -77,7 +78,10 @@ def edge_class(voi: Column, rate: Column, voi_high: Column, voi_low: Column, rat
 def recover(steps: DataFrame, config: RecoveryConfig = RecoveryConfig()) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges). nodes: node_id, visit_count, is_terminal, prior, level;
     edges: source_id, action_id, target_id, frequency, voi, consensus_rate,
-    classification, posterior level."""
+    classification, posterior level. Steps with a metadata_json column must
+    have one value of it a node."""
+    if "metadata_json" in steps.columns:
+        guards.metadata_consistent(steps)
     near = adjacent(steps)
     node_count = steps.groupBy("node_id").agg(F.count("*").alias("visit_count"))
     node_h = label_entropy(steps, ["node_id"])

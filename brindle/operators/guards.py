@@ -18,14 +18,23 @@ def embeddings_uniform(states: DataFrame, column: str = "embedding") -> bool:
     return n["some"] > 0
 
 
+def metadata_conflicts(states: DataFrame, column: str = "metadata_json") -> DataFrame:
+    """node_id, n: nodes with more than one metadata value."""
+    return states.groupBy("node_id").agg(F.count_distinct(F.coalesce(column, F.lit("null"))).alias("n")).where("n > 1")
+
+
 def metadata_consistent(states: DataFrame, column: str = "metadata_json") -> None:
     """Every node has one metadata value."""
-    bad = states.groupBy("node_id").agg(F.count_distinct(F.coalesce(column, F.lit("null"))).alias("n")).where("n > 1").orderBy("node_id").limit(5).collect()
+    bad = metadata_conflicts(states, column).orderBy("node_id").limit(5).collect()
     if bad:
         raise GuardError("nodes with differing metadata: " + ", ".join(str(r["node_id"]) for r in bad))
 
 
-def one_provenance(states: DataFrame, metadata: str = "metadata", keys: tuple[str, ...] = ("adapter_name", "model", "quantization", "schema_version"), force: bool = False) -> None:
+# What a measurement's provenance is told by.
+PROVENANCE = ("adapter_name", "model", "quantization", "schema_version")
+
+
+def one_provenance(states: DataFrame, metadata: str = "metadata", keys: tuple[str, ...] = PROVENANCE, force: bool = False) -> None:
     """At most one value of each key over all states."""
     found = states.agg(*[F.min(F.try_element_at(metadata, F.lit(k))).alias(f"lo_{i}") for i, k in enumerate(keys)], *[F.max(F.try_element_at(metadata, F.lit(k))).alias(f"hi_{i}") for i, k in enumerate(keys)]).first()
     mixed = [k for i, k in enumerate(keys) if found[f"lo_{i}"] != found[f"hi_{i}"]]

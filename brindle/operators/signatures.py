@@ -12,15 +12,21 @@ from brindle.sources.store import cut_lineage
 WEIGHTS = {"entropy_plateau": 1 / 3, "voi_flatness": 1 / 3, "distance_from_trajectory": 1 / 3}
 
 
-def compute_signatures(states: DataFrame, steps: DataFrame, edges: DataFrame, queries: DataFrame, visits: DataFrame, weights: dict[str, float] | None = None, k: int = 5, exclude_self: bool = False) -> DataFrame:
+def compute_signatures(states: DataFrame, steps: DataFrame, edges: DataFrame, queries: DataFrame, visits: DataFrame, weights: dict[str, float] | None = None, k: int = 5, exclude_self: bool = False, force: bool = False) -> DataFrame:
     """One row a trajectory of ``states``: the seven score columns as floats.
 
     composite is the weighted sum of the components' rank percentiles, ranked
     on doubles. ``steps`` and ``edges`` give voi_flatness, ``queries`` (with
     trajectory_id) and ``visits`` the distance; trajectories that lack either
-    have 0 there. No states: no rows."""
+    have 0 there. No states: no rows. States with a metadata map must have one
+    provenance, unless ``force`` is set; embeddings are there for all or none."""
     weights = weights or WEIGHTS
     guards.weights_valid(weights)
+    if "metadata" in states.columns:
+        guards.one_provenance(states, force=force)
+    for table in (states, queries):
+        if "embedding" in table.columns:
+            guards.embeddings_uniform(table)
     base = trajectory.scores(states).select("trajectory_id", "mean_entropy", "entropy_plateau", "mass_capture_mean", "mass_capture_min")
     parts = base.join(graph.voi_flatness(steps, edges), "trajectory_id", "left").join(knn.distance_from_trajectory(queries, visits, k=k, exclude_self=exclude_self), "trajectory_id", "left").fillna(0.0, ["voi_flatness", "distance_from_trajectory"])
     parts = cut_lineage(parts, "components")  # ranked and joined again

@@ -106,27 +106,6 @@ QUERIES["src_csv_jsonl"] = files_round_trip
 ORACLES["src_csv_jsonl"] = f"WITH {PER_TRAJECTORY} SELECT trajectory_id, {sql_rounded('mean_entropy', 'mean_entropy')}, {sql_rounded('mean_entropy', 'from_json')} FROM tr"
 
 
-def missing_columns(spark, sf_dir):
-    """Required names that a table lacks, for each table."""
-    required = {"documents": ["doc_id", "text", "embedding"], "labels": ["doc_id", "quality"], "embeddings": ["vec_id", "text"]}
-    rows = [(t, c) for t, names in required.items() for c in names if c not in X.table(spark, sf_dir, t).columns]
-    return spark.createDataFrame(rows, "table_name string, missing string")
-
-
-QUERIES["missing_columns"] = missing_columns
-ORACLES["missing_columns"] = "SELECT 'documents' AS table_name, 'embedding' AS missing UNION ALL SELECT 'embeddings', 'text'"
-
-
-def metadata_consistent(spark, sf_dir):
-    """Nodes with more than one metadata value (the guard's own query)."""
-    e = X.table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count_distinct(F.coalesce("props", F.lit("null"))).alias("values")).select("event_type", "values", (F.col("values") > 1).alias("inconsistent"))
-
-
-QUERIES["g_metadata_consistent"] = metadata_consistent
-ORACLES["g_metadata_consistent"] = "SELECT event_type, count(DISTINCT coalesce(props, 'null')) AS values, count(DISTINCT coalesce(props, 'null')) > 1 AS inconsistent FROM events GROUP BY 1"
-
-
 def no_roots(spark, sf_dir):
     """Events by type alone: every node has an incoming edge."""
     from brindle.operators import graph as G

@@ -17,12 +17,16 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators import guards
+
+# The artifacts' versions and columns.
 TRAJECTORIES_VERSION, READS = 3, (1, 2, 3)
-GRAPH_VERSION = SCORES_VERSION = 1
+GRAPH_VERSION = SCORES_VERSION = VISITS_VERSION = 1
 
 STATES_SCHEMA = "trajectory_id string, position int, node_id string, timestep int, embedding array<float>, metadata_json string, hypothesis_distribution_json string, mass_capture float, top_k_logprobs_json string, action_id_to_next string, action_category_to_next string, action_metadata_to_next_json string"
 TRAJECTORIES_SCHEMA = "trajectory_id string, primary_label string, confidence float, secondary_labels_json string, n_states int, n_actions int"
 VISIT_COLUMNS = ("visit_seq", "trajectory_id", "timestep", "node_id", "embedding")
+ASSEMBLY_COLUMNS = ("node_id", "assembly_index")
 SCORE_COLUMNS = ("trajectory_id", "entropy_plateau", "voi_flatness", "distance_from_trajectory", "composite")
 
 
@@ -88,6 +92,21 @@ def swapped(spark: SparkSession, path: str, overwrite: bool = False):
             store.delete(temp)
 
 
+def write_file(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    """One small text file, whole or not at all: written beside and renamed."""
+    with swapped(spark, path, overwrite) as temp:
+        store = Store(spark, temp)
+        out = store.fs.create(store.of(temp), False)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    if not Store(spark, path).exists(path):
+        raise ArtifactMissing(path)
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def _put_metadata(spark: SparkSession, folder: str, fields: dict) -> None:
     fields = {"created_at": datetime.now(UTC).isoformat()} | fields
     spark.createDataFrame([(json.dumps(fields, sort_keys=True),)], "value string").coalesce(1).write.text(f"{folder}/metadata")
@@ -121,8 +140,19 @@ def conformed(df: DataFrame, schema: str) -> DataFrame:
 
 
 def save_trajectories(trajectories: DataFrame, states: DataFrame, path: str, overwrite: bool = False, source_dataset: str | None = None, condition_id: str | None = None) -> None:
-    """Cached trajectories, always in the newest version."""
+    """Cached trajectories, always in the newest version. JSON columns must
+    hold JSON, and the two tables the same trajectories, each with as many
+    states as it says and positions from 0 on."""
     spark = states.sparkSession
+    for df in (trajectories, states):
+        require_json(df, [c for c in df.columns if c.endswith("_json")])
+    counted = states.groupBy("trajectory_id").agg(F.count("*").alias("_n"), F.count_distinct("position").alias("_d"), F.min("position").alias("_lo"), F.max("position").alias("_hi"))
+    both = trajectories.withColumn("_here", F.lit(True)).join(counted, "trajectory_id", "full")
+    whole = F.col("_here") & (F.col("_n") == F.col("_d")) & (F.col("_lo") == 0) & (F.col("_hi") == F.col("_n") - 1)
+    if "n_states" in trajectories.columns:
+        whole = whole & (F.col("n_states").isNull() | (F.col("n_states") == F.col("_n")))
+    if not both.where(~F.coalesce(whole, F.lit(False))).isEmpty():
+        raise ArtifactError("trajectories and states do not agree, or positions are not 0, 1, ...")
     with swapped(spark, path, overwrite) as temp:
         conformed(trajectories, TRAJECTORIES_SCHEMA).write.parquet(f"{temp}/trajectories.parquet")
         conformed(states, STATES_SCHEMA).write.parquet(f"{temp}/states.parquet")
@@ -136,15 +166,49 @@ def load_trajectories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return conformed(spark.read.parquet(f"{path}/trajectories.parquet"), TRAJECTORIES_SCHEMA), conformed(spark.read.parquet(f"{path}/states.parquet"), STATES_SCHEMA)
 
 
+def require_json(df: DataFrame, columns: list[str]) -> None:
+    """Raise where a value that is not null is no JSON: one aggregate."""
+    if not columns:
+        return
+    bad = df.agg(*[F.sum((F.col(c).isNotNull() & F.try_parse_json(c).isNull()).cast("int")).alias(c) for c in columns]).first()
+    wrong = [c for c in columns if bad[c]]
+    if wrong:
+        raise ArtifactError(f"no JSON in {', '.join(wrong)}")
+
+
 def decoded_states(states: DataFrame) -> DataFrame:
-    """JSON columns as maps."""
+    """JSON columns as maps; a state's action to the next one as a struct, null
+    at the end."""
+    action = F.struct(F.col("action_id_to_next").alias("action_id"), F.col("action_category_to_next").alias("action_category"), F.from_json("action_metadata_to_next_json", "map<string,string>").alias("metadata"))
     return states.select(
         "*",
         F.from_json("hypothesis_distribution_json", "map<string,double>").alias("distribution"),
         F.from_json("top_k_logprobs_json", "map<string,double>").alias("top_k_logprobs"),
+        F.from_json("metadata_json", "map<string,string>").alias("metadata"),
+        F.when(F.col("action_id_to_next").isNotNull(), action).alias("action"),
     )
 
 
+def decoded_outcomes(trajectories: DataFrame) -> DataFrame:
+    """A trajectory's outcome as a struct; null without a primary label."""
+    outcome = F.struct("primary_label", "confidence", F.from_json("secondary_labels_json", "map<string,string>").alias("secondary_labels"))
+    return trajectories.select("*", F.when(F.col("primary_label").isNotNull(), outcome).alias("outcome"))
+
+
+class StoredTrajectories:
+    """A trajectory source that reads cached trajectories."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def metadata(self) -> dict:
+        return _checked(self.spark, self.path, READS)
+
+    def load(self) -> tuple[DataFrame, DataFrame]:
+        trajectories, states = load_trajectories(self.spark, self.path)
+        return decoded_outcomes(trajectories), decoded_states(states)
+
+
 def nested(trajectories: DataFrame, states: DataFrame) -> DataFrame:
     """One row a trajectory with its states in order."""
     row = F.struct("position", *[c for c in states.columns if c not in ("trajectory_id", "position")])
@@ -158,6 +222,7 @@ def iter_trajectories(spark: SparkSession, path: str):
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str, overwrite: bool = False, extra: dict | None = None) -> None:
     spark = nodes.sparkSession
+    guards.edges_valid(nodes, edges)
     with swapped(spark, path, overwrite) as temp:
         conformed(nodes, "node_id string, visit_count int, is_terminal boolean").write.parquet(f"{temp}/nodes.parquet")
         conformed(edges, "source_id string, action_id string, target_id string, frequency int, voi float, consensus_rate float, classification tinyint").write.parquet(f"{temp}/edges.parquet")
@@ -169,19 +234,44 @@ def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes.parquet"), spark.read.parquet(f"{path}/edges.parquet")
 
 
-def save_visits(visits: DataFrame, path: str) -> None:
-    """Visits by timestep (the vector index: a folder for each)."""
+def vector_dimension(visits: DataFrame, dimension: int | None = None) -> int:
+    """The length that all embeddings have, or must have if it is given."""
+    seen = visits.agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"), F.sum(F.col("embedding").isNull().cast("int")).alias("none")).first()
+    want = dimension or seen["hi"] or 0
+    if seen["none"] or (seen["hi"] is not None and (seen["lo"], seen["hi"]) != (want, want)):
+        raise ArtifactError(f"embeddings must have {want} dimensions; found {seen['lo']} to {seen['hi']}, {seen['none']} missing")
+    return want
+
+
+def save_visits(visits: DataFrame, path: str, dimension: int | None = None, file_rows: int = 1 << 18) -> None:
+    """Visits by timestep (the vector index: a folder for each), with a
+    manifest of their numbers. A timestep's visits are dealt to several tasks,
+    as many as its files of about ``file_rows`` ask for."""
     require_columns(visits, VISIT_COLUMNS)
     if not visits.groupBy("visit_seq").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         raise ArtifactError("visit_seq repeats")
+    length = vector_dimension(visits, dimension)
+    counts = {str(r["timestep"]): r["n"] for r in visits.groupBy("timestep").agg(F.count("*").alias("n")).collect()}
+    files = -(-max(counts.values(), default=1) // file_rows)
     with swapped(visits.sparkSession, path, True) as temp:
-        visits.select(*VISIT_COLUMNS).repartition("timestep").write.partitionBy("timestep").parquet(f"{temp}/visits.parquet")
-        counts = {str(r["timestep"]): r["n"] for r in visits.groupBy("timestep").agg(F.count("*").alias("n")).collect()}
-        _put_metadata(visits.sparkSession, temp, {"schema_version": 1, "timesteps": counts})
+        part = F.pmod(F.xxhash64("visit_seq"), F.lit(files))
+        visits.select(*VISIT_COLUMNS).repartition("timestep", part).write.partitionBy("timestep").parquet(f"{temp}/visits.parquet")
+        _put_metadata(visits.sparkSession, temp, {"schema_version": VISITS_VERSION, "timesteps": counts, "dimension": length})
+
+
+def vector_manifest(spark: SparkSession, path: str) -> dict[int, int]:
+    """Timesteps with their numbers of visits."""
+    return {int(k): n for k, n in _checked(spark, path, (VISITS_VERSION,))["timesteps"].items()}
 
 
 def load_visits(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(f"{path}/visits.parquet") if Store(spark, path).exists(path) else None
+    """The visits, or None where there is no such artifact."""
+    if not Store(spark, path).exists(path):
+        return None
+    _checked(spark, path, (VISITS_VERSION,))
+    found = spark.read.parquet(f"{path}/visits.parquet")
+    require_columns(found, VISIT_COLUMNS)
+    return found.select(*VISIT_COLUMNS)
 
 
 def save_table(df: DataFrame, path: str, required: tuple[str, ...], extra: dict | None = None, overwrite: bool = True) -> None:
@@ -205,6 +295,24 @@ def load_weights(spark: SparkSession, path: str) -> dict[str, float]:
     return _checked(spark, path, (SCORES_VERSION,))["weights"]
 
 
+def save_assembly(indices: DataFrame, path: str) -> None:
+    save_table(indices, path, ASSEMBLY_COLUMNS)
+
+
+def save_results(tables: dict[str, DataFrame], summary: dict, path: str, overwrite: bool = True) -> None:
+    """Result tables, each as one CSV file with a header, and a JSON summary:
+    for tables that people read, of a row a rule, score or composite."""
+    spark = next(iter(tables.values())).sparkSession
+    with swapped(spark, path, overwrite) as temp:
+        for name, table in tables.items():
+            table.coalesce(1).write.option("header", True).csv(f"{temp}/{name}")
+        spark.createDataFrame([(json.dumps(summary, sort_keys=True),)], "value string").coalesce(1).write.text(f"{temp}/summary")
+
+
+def load_results(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.option("header", True).option("inferSchema", True).csv(f"{path}/{name}")
+
+
 def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
@@ -214,8 +322,19 @@ def remaining(work: DataFrame, done: DataFrame, key: str = "question_id") -> Dat
     return work.join(done.select(key), key, "left_anti")
 
 
-def resumed(spark: SparkSession, work: DataFrame, path: str, process: Callable[[DataFrame], DataFrame], key: str = "question_id") -> DataFrame:
-    """Process what the log at ``path`` lacks, append it, return the log."""
-    todo = remaining(work, spark.read.json(path), key) if Store(spark, path).exists(path) else work
-    append_json(process(todo), path)
+def resumed(spark: SparkSession, work: DataFrame, path: str, process: Callable[[DataFrame], DataFrame], key: str = "question_id", parts: int = 1) -> DataFrame:
+    """Process what the log at ``path`` lacks, append it, return the log. With
+    ``parts`` the work is done in so many pieces, by the key's hash, each
+    logged when it is done, so that a stop loses one piece at most."""
+    kind = work.schema[key].dataType
+
+    def logged() -> DataFrame:
+        if not Store(spark, path).exists(path):
+            return spark.createDataFrame([], f"`{key}` {kind.simpleString()}")
+        log = spark.read.json(path)
+        return log.select(F.col(key).cast(kind).alias(key)) if key in log.columns else spark.createDataFrame([], f"`{key}` {kind.simpleString()}")
+
+    for part in range(parts):
+        todo = remaining(work.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part) if parts > 1 else work, logged(), key)
+        append_json(process(todo), path)
     return spark.read.json(path)

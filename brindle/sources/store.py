@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one of our own only
-    where that is unset."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a folder
+    of our own if all tasks run in the driver; on a cluster it would be another
+    one on each machine, so that is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or "file:///tmp/checkpoints/brindle").rstrip("/")
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = df.sparkSession
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def release() -> None:
+    """Delete the tables written here, once nothing reads them: when the
+    program ends, or when called."""
+    for path, spark in list(_written.items()):
+        try:
+            sc = spark.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may be gone
+            return
+        del _written[path]
