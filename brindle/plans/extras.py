@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from brindle.functions import uncertainty as U
 from brindle.operators import evaluate as E
-from brindle.operators import trajectory
-from brindle.operators.ordered import quantiles
+from brindle.operators import prereg, trajectory
+from brindle.operators import stats as S
+from brindle.operators.ordered import quantiles, rank_percentiles
 from brindle.plans.common import rounded, sql_rounded
-from brindle.plans.evaluation import LONG, auc_sql, trajectory_long
-from brindle.plans.scores import PER_TRAJECTORY
+from brindle.plans.evaluation import auc_sql
+from brindle.plans.scores import PER_TRAJECTORY, TOP_K, K, _rp
 from brindle.sources import fixtures as X
-from brindle.sources.store import shared_dir
+from brindle.sources.store import cut_lineage, shared_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -41,17 +42,81 @@ QUERIES["fig_pos_median"] = fig_pos_median
 ORACLES["fig_pos_median"] = f"WITH {X.STATES}, {X.TRUTH}, p AS (SELECT position, target, round(h, 9) AS h FROM ent JOIN truth USING (trajectory_id) WHERE h IS NOT NULL AND position <= 5) SELECT position, target, {sql_rounded('quantile_cont(h, 0.5)', 'median')} FROM p GROUP BY 1, 2"
 
 
-def prereg_rules(spark, sf_dir):
-    """Threshold predicates over result rows."""
-    auc = E.deferral_auc(trajectory_long(spark, sf_dir, ["mean_entropy", "mass_capture_min", "entropy_plateau"]))
-    area = lambda c: F.max(F.when(F.col("score_column") == c, F.round("roc_auc_sign_aware", 9)))
-    wide = auc.agg(area("mean_entropy").alias("me"), area("mass_capture_min").alias("mc"), area("entropy_plateau").alias("ep"))
-    return wide.select((F.col("me") >= 0.6).alias("p1_level"), (F.col("me") - F.col("ep") > 0).alias("p2_level_over_slope"), F.col("mc").between(0.45, 0.55).alias("p3_mass_flat"))
+FEATURES = ["mean_entropy", "terminal_entropy", "entropy_plateau", "corrected_3", "mean_p_max", "mean_top_k_mass", "mean_gap_top2"]
+SMOKE = 0.55
+
+
+def features(spark, sf_dir):
+    """One row a trajectory: the scores that the rules are about."""
+    base = trajectory.scores(X.states(spark, sf_dir)).where("n_positions > 0")
+    top = trajectory.top_k_scores(X.states(spark, sf_dir), K).select("trajectory_id", "mean_p_max", "mean_top_k_mass", "mean_gap_top2")
+    r = lambda c, s: F.round(F.col(c) * s, 9) + 0.0
+    ranks = rank_percentiles(base, "trajectory_id", {"a": r("max_entropy", 1), "b": r("terminal_entropy", 1), "c": r("entropy_plateau", -1)})
+    rows = base.join(top, "trajectory_id").join(ranks.select("trajectory_id", ((F.col("a") + F.col("b") + F.col("c")) / 3).alias("corrected_3")), "trajectory_id")
+    rows = rows.select("trajectory_id", *[F.round(c, 9).alias(c) for c in [*FEATURES, "mass_capture_mean"]]).join(X.truth(spark, sf_dir), "trajectory_id")
+    return cut_lineage(rows, "features")
+
 
+def _facts(spark, sf_dir, rows):
+    keyed = rows.withColumn("key", F.lit(0))
+    med = lambda t, name: quantiles(keyed.where(F.col("target") == t), ["key"], "mass_capture_mean", {name: 0.5})
+    mass = prereg.bottom_decile(rows, "mass_capture_mean").select(F.lit(0).alias("key"), "lift_pp", "lift_low_pp")
+    gap = prereg.bottom_decile(rows, "mean_gap_top2").select(F.lit(0).alias("key"), F.col("lift_pp").alias("gap_lift_pp"))
+    d = S.cohen_d(rows, "mass_capture_mean").select(F.lit(0).alias("key"), F.col("d").alias("cohen_d"))
+    rho = S.spearman(rows, "trajectory_id", "mean_top_k_mass", "mean_entropy").select(F.lit(0).alias("key"), F.col("rho").alias("spearman"))
+    failed = X.states(spark, sf_dir).groupBy(F.lit(0).alias("key")).agg(F.avg(F.col("distribution").isNull().cast("int")).alias("failure_rate"))
+    out = med(1, "m1").join(med(0, "m0"), "key").withColumn("delta_median", F.col("m1") - F.col("m0"))
+    for more in (mass, gap, d, rho, failed):
+        out = out.join(more, "key")
+    return out.withColumn("smoke", F.lit(SMOKE))
 
-QUERIES["prereg_rules"] = prereg_rules
-_A = "(SELECT round(greatest(roc_auc, 1 - roc_auc), 9) FROM roc WHERE score_column = '{}')"
-ORACLES["prereg_rules"] = f"WITH {LONG}, {auc_sql('lg')} SELECT {_A.format('mean_entropy')} >= 0.6 AS p1_level, {_A.format('mean_entropy')} - {_A.format('entropy_plateau')} > 0 AS p2_level_over_slope, {_A.format('mass_capture_min')} BETWEEN 0.45 AND 0.55 AS p3_mass_flat"
+
+def _areas(spark, sf_dir, rows, with_ci):
+    long = rows.select("trajectory_id", "target", F.inline(F.array(*[F.struct(F.lit(c).alias("score_column"), F.col(c).alias("score")) for c in FEATURES])))
+    if with_ci:
+        return E.auc_with_ci(long)
+    return E.deferral_auc(long).select("score_column", F.round("roc_auc_sign_aware", 9).alias("sign_aware"), "direction", F.lit(None).cast("double").alias("ci_low"))
+
+
+def prereg_rules(spark, sf_dir):
+    """The predictions that need no interval."""
+    rows = features(spark, sf_dir)
+    return prereg.rules(_areas(spark, sf_dir, rows, False), _facts(spark, sf_dir, rows)).where("rule not in ('P1', 'P4')").select("rule", rounded("measured"), "held")
+
+
+def prereg_rules_ci(spark, sf_dir):
+    """All ten, with bootstrap intervals."""
+    rows = features(spark, sf_dir)
+    return prereg.rules(_areas(spark, sf_dir, rows, True), _facts(spark, sf_dir, rows)).select("rule", "measured", "held")
+
+
+QUERIES["prereg_rules"], QUERIES["prereg_rules_ci"] = prereg_rules, prereg_rules_ci
+_TK = ", ".join(f"coalesce(avg(CASE WHEN tk IS NOT NULL THEN {TOP_K[n][1]} END), 0) AS {n}" for n in ("mean_p_max", "mean_top_k_mass", "mean_gap_top2"))
+_RANKED = " + ".join(_rp(f"(round({c} * {s}, 9) + 0.0)") for c, s in (("max_entropy", 1), ("terminal_entropy", 1), ("entropy_plateau", -1)))
+_NUMBERED = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
+_LOWEST = "(k / n + {z} * {z} / (2 * n) - {z} * sqrt(k / n * (1 - k / n) / n + {z} * {z} / (4 * n * n))) / (1 + {z} * {z} / n)".format(z=U.Z_ONE_SIDED)
+_DECILE = "(SELECT {} FROM (SELECT avg(target) AS base, count(*) FILTER ({c} <= q) AS n, sum(target) FILTER ({c} <= q)::DOUBLE AS k FROM ft, (SELECT quantile_cont({c}, 0.1) AS q FROM ft)))"
+ORACLES["prereg_rules"] = f"""WITH {PER_TRAJECTORY}, {X.TRUTH}, tp AS (SELECT trajectory_id, {_TK} FROM ent GROUP BY 1),
+cr AS (SELECT trajectory_id, ({_RANKED}) / 3 AS corrected_3 FROM tr WHERE n_positions > 0),
+ft AS (SELECT trajectory_id, target, {', '.join(f'round({c}, 9) AS {c}' for c in [*FEATURES, 'mass_capture_mean'])} FROM tr JOIN tp USING (trajectory_id) JOIN cr USING (trajectory_id) JOIN truth USING (trajectory_id)),
+lg AS ({' UNION ALL '.join(f"SELECT '{c}' AS score_column, {c} AS score, target FROM ft" for c in FEATURES)}), {auc_sql('lg')},
+sa AS (SELECT score_column, round(greatest(roc_auc, 1 - roc_auc), 9) AS a FROM roc),
+ar AS (SELECT {', '.join(f"max(a) FILTER (score_column = '{c}') AS {c}" for c in FEATURES)} FROM sa),
+rk2 AS (SELECT {_NUMBERED('mean_top_k_mass')} AS x, {_NUMBERED('mean_entropy')} AS y FROM ft),
+st2 AS (SELECT avg(mass_capture_mean) FILTER (target = 1) - avg(mass_capture_mean) FILTER (target = 0) AS dm, count(*) FILTER (target = 1) AS n1, count(*) FILTER (target = 0) AS n0, var_samp(mass_capture_mean) FILTER (target = 1) AS v1, var_samp(mass_capture_mean) FILTER (target = 0) AS v0,
+  quantile_cont(mass_capture_mean, 0.5) FILTER (target = 1) - quantile_cont(mass_capture_mean, 0.5) FILTER (target = 0) AS med FROM ft),
+fc AS (SELECT med, dm / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS d, {_DECILE.format('(k / n - base) * 100', c='mass_capture_mean')} AS lift, {_DECILE.format(f'({_LOWEST} - base) * 100', c='mass_capture_mean')} AS low,
+  {_DECILE.format('(k / n - base) * 100', c='mean_gap_top2')} AS gap, (SELECT corr(x, y) FROM rk2) AS rho, (SELECT avg(CASE WHEN dist IS NULL THEN 1 ELSE 0 END) FROM states) AS failed FROM st2),
+ru AS (SELECT unnest([
+  {{'rule': 'P2', 'measured': mean_entropy - corrected_3, 'held': mean_entropy - corrected_3 >= {prereg.P2_DELTA}}},
+  {{'rule': 'P3', 'measured': abs(mean_entropy - {SMOKE}), 'held': abs(mean_entropy - {SMOKE}) <= {prereg.P3_BAND}}},
+  {{'rule': 'P5a', 'measured': med, 'held': abs(med) < {prereg.P5A_MEDIAN} AND abs(d) < {prereg.P5A_D}}},
+  {{'rule': 'P5b', 'measured': lift, 'held': lift BETWEEN {prereg.P5B_LIFT[0]} AND {prereg.P5B_LIFT[1]} AND low > 0}},
+  {{'rule': 'P6', 'measured': failed, 'held': failed < {prereg.P6_FAILED}}},
+  {{'rule': 'E1', 'measured': mean_p_max, 'held': mean_p_max BETWEEN {prereg.E1_AUC[0]} AND {prereg.E1_AUC[1]}}},
+  {{'rule': 'E2', 'measured': mean_top_k_mass - mean_entropy, 'held': mean_top_k_mass - mean_entropy >= {prereg.E2_DELTA} AND rho >= {prereg.E2_SPEARMAN}}},
+  {{'rule': 'E3', 'measured': mean_gap_top2, 'held': mean_gap_top2 >= {prereg.E3_AUC} AND gap >= {prereg.E3_LIFT}}}]) AS r FROM ar, fc)
+SELECT r.rule AS rule, {sql_rounded('r.measured', 'measured')}, r.held AS held FROM ru"""
 
 
 def f_dropnan(spark, sf_dir):

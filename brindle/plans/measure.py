@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 from brindle.operators import conditions as C
 from brindle.operators import measure as M
-from brindle.operators import signatures
+from brindle.operators import evaluate, signatures, trajectory
+from brindle.operators.ordered import rank_percentiles
 from brindle.plans.common import rounded, sql_rounded
-from brindle.plans.graph import _graph
+from brindle.plans.evaluation import auc_sql
+from brindle.plans.graph import KNN, VOI, _graph
+from brindle.plans.scores import PER_TRAJECTORY, _rp
 from brindle.plans.text import questions
 from brindle.sources import fixtures as X
 from brindle.sources.questions import subject_questions
+from brindle.sources.store import cut_lineage
 
 QUERIES, ORACLES = {}, {}
 
@@ -184,10 +188,50 @@ def compute_signatures(spark, sf_dir):
     steps = X.transitions(spark, sf_dir)
     _, edges = _graph(spark, sf_dir)
     v = X.visits(spark, sf_dir)
-    return signatures.compute_signatures(X.states(spark, sf_dir), steps, edges, v.withColumn("trajectory_id", F.pmod("visit_seq", F.lit(50))), v)
+    found = signatures.compute_signatures(X.states(spark, sf_dir), steps, edges, v.withColumn("trajectory_id", F.pmod("visit_seq", F.lit(50))), v)
+    return found.select("trajectory_id", *[rounded(F.col(c).cast("double"), c) for c in found.columns[1:]])
 
 
 QUERIES["compute_signatures"] = compute_signatures
+_FLOAT = lambda e, name: sql_rounded(f"CAST(CAST({e} AS FLOAT) AS DOUBLE)", name)
+SIGNATURES = f"""{PER_TRAJECTORY}, {VOI.lstrip()}, ge AS (SELECT source_id, action_id, target_id, abs(voi) AS gain FROM ed JOIN kl USING (source_id, action_id)),
+vf AS (SELECT trajectory_id, coalesce(avg(CASE WHEN ad.target_id IS NOT NULL THEN coalesce(gain, (SELECT max(gain) FROM ge)) END), 0) AS voi_flatness FROM ad LEFT JOIN ge USING (source_id, action_id, target_id) GROUP BY 1),
+{KNN}, ds AS (SELECT query_seq, 1 - avg(similarity) AS d FROM kn WHERE rank <= 5 GROUP BY 1), dt AS (SELECT query_seq % 50 AS trajectory_id, max(d) AS distance FROM ds GROUP BY 1),
+sg AS (SELECT tr.*, coalesce(voi_flatness, 0) AS voi_flatness, coalesce(distance, 0) AS distance_from_trajectory FROM tr LEFT JOIN vf USING (trajectory_id) LEFT JOIN dt USING (trajectory_id)),
+cp AS (SELECT *, ({_rp('entropy_plateau')} + {_rp('voi_flatness')} + {_rp('distance_from_trajectory')}) / 3 AS composite FROM sg)"""
+ORACLES["compute_signatures"] = f"WITH {SIGNATURES} SELECT trajectory_id, " + ", ".join(_FLOAT(c, c) for c in ("entropy_plateau", "voi_flatness", "distance_from_trajectory", "mean_entropy", "mass_capture_mean", "mass_capture_min", "composite")) + " FROM cp"
+
+
+def _signatures(spark, sf_dir):
+    return cut_lineage(compute_signatures(spark, sf_dir).join(trajectory.scores(X.states(spark, sf_dir)).select("trajectory_id", "terminal_entropy"), "trajectory_id"), "signatures")
+
+
+def component_table(spark, sf_dir):
+    """The three components and the composite, with intervals."""
+    return evaluate.component_table(_signatures(spark, sf_dir), X.truth(spark, sf_dir))
+
+
+def composite_areas(spark, sf_dir):
+    """The area of each composite of rank percentiles."""
+    rows = _signatures(spark, sf_dir).where("terminal_entropy is not null")
+    up = {"d": ("distance_from_trajectory", 1), "f": ("terminal_entropy", 1), "s": ("entropy_plateau", -1), "p": ("entropy_plateau", 1), "e": ("distance_from_trajectory", -1), "g": ("terminal_entropy", -1), "m": ("mass_capture_mean", -1), "l": ("mass_capture_min", -1)}
+    ranks = rank_percentiles(rows, "trajectory_id", {k: F.round(F.col(c) * x, 6) + 0.0 for k, (c, x) in up.items()})
+    mean = lambda names: sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
+    made = ranks.join(rows, "trajectory_id").select("trajectory_id", F.col("composite").alias("orig_3"), *[F.round(mean(v), 9).alias(n) for n, v in SWEEP.items()], F.round("mean_entropy", 6).alias("mean_h_only"))
+    long = evaluate.long_scores(made, X.truth(spark, sf_dir), ["orig_3", *SWEEP, "mean_h_only"])
+    return evaluate.deferral_auc(long).select("score_column", rounded("roc_auc"), "direction", "n_pos", "n_neg")
+
+
+#: Composites by the names of their ranked parts.
+SWEEP = {"corrected_3": "dfs", "mass_flipped": "dfsml", "all_flipped": "egp"}
+QUERIES["component_table_ci"], QUERIES["composite_areas"] = component_table, composite_areas
+_R6 = lambda c, x=1: _rp(f"(round({c} * {x}, 6) + 0.0)")
+_F6 = {c: f"round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 6)" for c in ("distance_from_trajectory", "entropy_plateau", "mass_capture_mean", "mass_capture_min", "composite", "mean_entropy")}
+ORACLES["composite_areas"] = f"""WITH {SIGNATURES}, {X.TRUTH}, fl AS (SELECT trajectory_id, terminal_entropy, {', '.join(f'{e} AS {c}' for c, e in _F6.items())} FROM cp WHERE terminal_entropy IS NOT NULL),
+ra AS (SELECT *, {_R6('distance_from_trajectory')} AS d, {_R6('terminal_entropy')} AS f, {_R6('entropy_plateau', -1)} AS s, {_R6('entropy_plateau')} AS p, {_R6('distance_from_trajectory', -1)} AS e, {_R6('terminal_entropy', -1)} AS g, {_R6('mass_capture_mean', -1)} AS m, {_R6('mass_capture_min', -1)} AS l FROM fl),
+sw AS (SELECT trajectory_id, composite AS orig_3, {', '.join(f"round(({' + '.join(v)}) / {len(v)}, 9) AS {n}" for n, v in SWEEP.items())}, mean_entropy AS mean_h_only FROM ra),
+lg AS ({' UNION ALL '.join(f"SELECT '{c}' AS score_column, {c} AS score, target FROM sw JOIN truth USING (trajectory_id)" for c in ('orig_3', *SWEEP, 'mean_h_only'))}), {auc_sql('lg')}
+SELECT score_column, {sql_rounded('roc_auc', 'roc_auc')}, CASE WHEN roc_auc >= 0.5 THEN 'greater' ELSE 'less' END AS direction, n_pos, n_neg FROM roc"""
 
 
 def repair_summary(spark, sf_dir):

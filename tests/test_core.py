@@ -172,6 +172,25 @@ def test_neighbours(spark):
         knn.nearest(v, v.withColumn("embedding", F.array(F.lit(2.0), F.lit(0.0)).cast("array<float>"))).collect()
 
 
+def test_neighbours_by_blocks_equal_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[200:220] = x[0]  # ties
+    rows = [(i, int(i % 7 == 0), x[i].tolist()) for i in range(300)]
+    v = spark.createDataFrame(rows, "visit_seq long, timestep int, embedding array<float>")
+    y = np.array([np.float32(r[2]) for r in rows], float)
+    for exclude in (False, True):
+        got = {(r.query_seq, r["rank"]): r.visit_seq for r in knn.nearest(v, v, 4, exclude, block=40).collect()}
+        for i in range(0, 300, 17):
+            near = sorted((-round(float(y[i] @ y[j]), 9), j) for j in range(300) if rows[i][1] == rows[j][1] and not (exclude and i == j))[:4]
+            assert [got[i, k + 1] for k in range(4)] == [j for _, j in near]
+    with pytest.raises(Exception, match="differ in length"):
+        knn.nearest(v, v.withColumn("embedding", F.when(F.col("visit_seq") > 0, F.col("embedding")))).collect()
+
+
 def test_trajectory_defaults(spark):
     s = spark.createDataFrame([(1, 0, None, None), (2, 0, {"A": 0.5, "B": 0.5}, 0.9), (2, 1, None, None), (2, 2, {"A": 1.0, "B": 0.0}, 0.8)], "trajectory_id int, position int, distribution map<string,double>, mass_capture double")
     got = {r.trajectory_id: r for r in trajectory.scores(s).collect()}
