@@ -19,8 +19,11 @@ identifier, as its one output row needs them.
 Defined cases: a null text or role is empty; unknown part types are refused
 with an error; turns with the same number are ordered by role and then
 content, a null number comes first; rows of a null conversation form one
-conversation; repeated rows are turns of their own; an empty table gives no
-rows; other columns are not read.
+conversation; a conversation is one row, so all its turns, however many or
+long, must fit one; repeated rows are turns of their own; an empty table gives
+no rows; other columns are not read, so their names can't clash. ``parse``
+gives back turns of texts; of other parts it shows the placeholders, which
+``attachments`` tells apart.
 """
 
 from __future__ import annotations
@@ -140,5 +143,29 @@ def parse(formatted: Column) -> Column:
 
 
 def under_loss(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    """All text under the loss mask, unescaped, nothing between. A span is cut
+    out of the turn that ends where it ends; ends are matched by sorting, so
+    the work follows the text and not its length times the turns."""
+    pieces = F.split(formatted, END.replace("|", r"\|"), -1)
+
+    def cut(p: Column) -> Column:
+        size = lambda x: F.char_length(x).cast("long")
+        ends = prefix_sums(p, lambda x: size(x) + len(END), lambda at, x: at + size(x), "bigint")
+        mark = lambda end, tag, of: F.struct(end.alias("end"), F.lit(tag).alias("tag"), of.cast("long").alias("of"))
+        marks = F.array_sort(F.concat(F.transform(spans, lambda s: mark(s["end"], 0, s["start"])), F.transform(ends, lambda e, i: mark(e, 1, i))))
+
+        def told(m: Column) -> Column:
+            def text(x: Column, k: Column) -> Column:
+                return let(
+                    F.struct(F.get(m, k - 1).alias("span"), F.get(p, x["of"].cast("int")).alias("piece")),
+                    lambda v: F.when(
+                        (x["tag"] == 1) & (v["span"]["tag"] == 0) & (v["span"]["end"] == x["end"]),
+                        let((x["end"] - v["span"]["of"]).cast("int"), lambda n: unescape(F.substr(v["piece"], F.char_length(v["piece"]) - n + 1, n))),
+                    ),
+                )
+
+            return F.array_join(F.filter(F.transform(m, text), lambda t: t.isNotNull()), "")
+
+        return let(marks, told)
+
+    return let(pieces, cut)

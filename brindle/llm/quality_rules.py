@@ -139,7 +139,10 @@ def line_ok(line: Column) -> Column:
 
     def judged(v: Column) -> Column:
         text, n = v["line"], v["n"]
-        bars = (F.char_length(text) - F.char_length(F.translate(text, SEPARATORS, ""))).cast("long")
+        without = text
+        for mark in SEPARATORS:
+            without = F.replace(without, F.lit(mark), F.lit(""))
+        bars = (F.char_length(text) - F.char_length(without)).cast("long")
         navigation = let(bars, lambda b: (b >= 3) & (b * 4 >= n)) | ((n == 1) & text.rlike(ADDRESS))
         symbols = count_chars(text, SYMBOLS) > n
         shouting = (n >= 4) & ~text.rlike(r"\p{Ll}") & text.rlike(r"\p{Lu}")
@@ -153,8 +156,15 @@ def line_ok(line: Column) -> Column:
 
         return F.when(text == "", F.lit(True)).when(shouting | unfinished | navigation | symbols, F.lit(False)).otherwise(~let(F.lower(text), boilerplate))
 
+    def words(t: Column) -> Column:
+        """Of a trimmed line; plain counting where single spaces part them."""
+        odd = F.contains(t, F.lit("  "))
+        for mark in SPACE[1:]:
+            odd = odd | F.contains(t, F.lit(mark))
+        return F.when(odd, F.regexp_count(t, F.lit(SPACE_RUN)).cast("long")).otherwise(count_chars(t, " ")) + 1
+
     trimmed = F.btrim(line, F.lit(SPACE))
-    return let(trimmed, lambda t: let(F.struct(t.alias("line"), (F.regexp_count(t, F.lit(SPACE_RUN)) + 1).alias("n")), judged))
+    return let(trimmed, lambda t: let(F.struct(t.alias("line"), words(t).alias("n")), judged))
 
 
 def word_chars(text: Column) -> Column:

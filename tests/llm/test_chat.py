@@ -36,3 +36,11 @@ def test_parts_and_attachments(spark):
 
 def test_empty(spark):
     assert chat.format_conversations(spark.createDataFrame([], f"conv_id long, turn long, role string, parts array<{chat.PART}>")).count() == 0
+
+
+def test_long_conversations(spark):
+    rows = [(1, i, "assistant" if i % 3 else "user", f"é{i}<" * (i % 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_part(F.col("text")))
+    r = chat.format_conversations(df).select("formatted", "loss_spans", chat.under_loss(F.col("formatted"), F.col("loss_spans")).alias("learned")).first()
+    assert r.learned == "".join(t for _, _, role, t in rows if role == "assistant")
+    assert [r.formatted[s.start : s.end].replace("<\\", "<") for s in r.loss_spans] == [t for _, _, role, t in rows if role == "assistant"]
