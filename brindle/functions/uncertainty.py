@@ -7,6 +7,7 @@ JVM; an empty or null input gives the documented default.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -149,6 +150,15 @@ def js_divergence(p: Column, q: Column) -> Column:
     return F.when(both, F.greatest(F.lit(0.0), half(p) / 2 + half(q) / 2))
 
 
+def mean_pairwise(items: Column, distance: Callable[[Column, Column], Column]) -> Column:
+    """Mean of ``distance`` over all unordered pairs i < j of an array; 0 with
+    fewer than two items."""
+    n = F.size(items)
+    row = lambda i: F.aggregate(F.slice(items, i + 2, F.greatest(n - i - 1, F.lit(0))), F.lit(0.0), lambda b, q: b + distance(F.get(items, i), q))
+    total = F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0.0), lambda a, i: a + row(i))
+    return F.when(n > 1, total / (n * (n - 1) / 2)).otherwise(0.0)
+
+
 def l1_distance(p: Column, q: Column) -> Column:
     return F.aggregate(F.zip_with(p, q, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v)
 

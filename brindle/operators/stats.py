@@ -44,16 +44,42 @@ def two_samples(rows: DataFrame, value: str, target: str = "target") -> DataFram
     return ordered_sums(g, ["key"], value, ["pos", "neg"])
 
 
+def mann_whitney_exact(u: float, n1: int, n0: int) -> float:
+    """The two-sided chance of a U as far out, without ties: the number of
+    arrangements by U, counted class by class."""
+    ways = np.ones(1)  # by U, of n1 and j values
+    for j in range(1, n0 + 1):
+        wide = np.zeros(n1 * j + 1)
+        # Gaussian binomials: times 1 - q^(n1 + j), over 1 - q^j.
+        wide[: len(ways)] = ways
+        up = np.concatenate([wide, np.zeros(n1 + j)])
+        up[n1 + j :] -= wide
+        for k in range(j, len(up)):
+            up[k] += up[k - j]
+        ways = up[: n1 * j + 1]
+    far = max(u, n1 * n0 - u)
+    return float(min(1.0, 2 * ways[round(far) :].sum() / ways.sum()))
+
+
 def mann_whitney(rows: DataFrame, value: str, target: str = "target") -> DataFrame:
     """U of class 1, and the two-sided p of the normal approximation with tie
-    and continuity corrections."""
+    and continuity corrections. p_exact counts arrangements where the smaller
+    class has 8 values at most, the larger 1,000, and there are no ties; it is
+    the approximation's p elsewhere."""
     t = two_samples(rows, value, target)
     n = F.col("pos") + F.col("neg")
     s = t.agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("n1"), F.sum("neg").alias("n0"), F.sum(n.cast("double") ** 3 - n).alias("ties"))
     total, mean = F.col("n1") + F.col("n0"), F.col("n1") * F.col("n0") / 2
     var = F.col("n1") * F.col("n0") / 12.0 * ((total + 1) - F.col("ties") / (total * (total - 1)))
-    z = (F.greatest(F.abs(F.col("u") - mean) - 0.5, F.lit(0.0))) / F.sqrt(var)
-    return s.select("u", "n1", "n0", z.alias("z"), normal_cdf_two_sided(z).alias("p"))
+    z = F.try_divide(F.greatest(F.abs(F.col("u") - mean) - 0.5, F.lit(0.0)), F.sqrt(var))  # null if all are tied
+
+    @F.pandas_udf("double")
+    def exact(u: pd.Series, n1: pd.Series, n0: pd.Series, ties: pd.Series) -> pd.Series:
+        few = lambda a, b: 0 < min(a, b) <= 8 and max(a, b) <= 1000
+        return pd.Series([mann_whitney_exact(float(x), int(a), int(b)) if few(a, b) and t == 0 else None for x, a, b, t in zip(u, n1, n0, ties, strict=True)], dtype=float)
+
+    p = normal_cdf_two_sided(z)
+    return s.select("u", "n1", "n0", z.alias("z"), p.alias("p"), F.coalesce(exact("u", "n1", "n0", "ties"), p).alias("p_exact"))
 
 
 def ks_two_sample(rows: DataFrame, value: str, target: str = "target") -> DataFrame:
@@ -130,6 +156,18 @@ def cv_logistic(rows: DataFrame, features: list[str], target: str = "target", fo
     return out
 
 
+def cv_areas(rows: DataFrame, models: dict[str, list[str]], target: str = "target", folds: int = 5, fold: str = "fold") -> DataFrame:
+    """model, n_features and ROC area of the out-of-fold probabilities of each
+    model's features."""
+    from brindle.operators.evaluate import deferral_auc
+
+    long = None
+    for name, features in models.items():
+        part = cv_logistic(rows, features, target, folds, fold).select(F.lit(name).alias("model"), F.lit(len(features)).alias("n_features"), F.col("oof").alias("score"), F.col(target).alias("target"))
+        long = part if long is None else long.unionByName(part)
+    return deferral_auc(cut_lineage(long, "models"), ["model", "n_features"]).select("model", "n_features", "roc_auc", "roc_auc_sign_aware", "direction")
+
+
 def perturb_disagree(rows: DataFrame, dist: str, sigma: float, copies: int = 16, seed: int = 42) -> DataFrame:
     """``rows`` with the mean pairwise JS divergence (bits) of ``copies`` noisy
     softmax copies of the list ``dist``; noise is seeded by the list itself."""

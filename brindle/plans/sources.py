@@ -154,6 +154,14 @@ QUERIES["src_medqa"] = lambda s, d: _medqa(s, d).select("question_id", "question
 ORACLES["src_medqa"] = "SELECT 'medqa-test-' || p_partkey AS question_id, p_name AS question, p_type AS a, CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END AS answer_letter, p_brand AS usmle_step FROM part"
 
 
+QUERIES["explore_questions"] = lambda s, d: Q.profile(_medqa(s, d)).select("section", "key", rounded("value"))
+ORACLES["explore_questions"] = f"""WITH q AS (SELECT length(p_name) AS n, p_brand AS meta, CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END AS answer FROM part)
+SELECT section, key, {sql_rounded('value', 'value')} FROM (
+  SELECT 'size' AS section, 'questions' AS key, count(*)::DOUBLE AS value FROM q UNION ALL SELECT 'length', 'min', min(n) FROM q UNION ALL SELECT 'length', 'max', max(n) FROM q UNION ALL SELECT 'length', 'mean', avg(n) FROM q
+  UNION ALL SELECT 'length', 'median', quantile_cont(n, 0.5) FROM q UNION ALL SELECT 'mismatch', 'answer', 0 UNION ALL SELECT 'mismatch', 'blank choice', 0
+  UNION ALL SELECT 'choices', '2', count(*) FROM q UNION ALL SELECT 'meta', meta, count(*) FROM q GROUP BY meta UNION ALL SELECT 'answer', answer, count(*) FROM q GROUP BY answer)"""
+
+
 def with_outcome(spark, sf_dir):
     """answer_key and with_outcome: gold labels put beside trajectories."""
     q = _medqa(spark, sf_dir)

@@ -12,6 +12,7 @@ from brindle.operators.ordered import quantiles
 from brindle.plans.common import rounded, sql_rounded
 from brindle.plans.evaluation import CELLS, cells, doc_long
 from brindle.sources import fixtures as X
+from brindle.sources import questions as Q
 
 QUERIES, ORACLES = {}, {}
 RANKS = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0::DOUBLE"
@@ -163,14 +164,11 @@ ORACLES["zip_agreement"] = f"WITH {X.TRANSITIONS} SELECT trajectory_id, position
 
 
 def join_pairs(spark, sf_dir):
-    """Mean pairwise JS of a trajectory's distributions with their neighbours:
-    replicate pairs i < j within a state, by higher-order functions."""
+    """Mean JS of all replicate pairs i < j within a state."""
     s = X.states(spark, sf_dir).where("distribution is not null")
     p = U.projected(F.col("distribution"), X.SPACE)
     copies = F.array(p, F.array(*[F.lit(1 / 3)] * 3), F.transform(p, lambda x: (x + 1 / 3) / 2))
-    pairs = [(0, 1), (0, 2), (1, 2)]
-    total = sum((U.js_divergence(F.get(copies, F.lit(i)), F.get(copies, F.lit(j))) for i, j in pairs), F.lit(0.0))
-    return s.select("trajectory_id", "position", rounded(total / 3, "spread"))
+    return s.select("trajectory_id", "position", rounded(U.mean_pairwise(copies, U.js_divergence), "spread"))
 
 
 QUERIES["join_pairs"] = join_pairs
@@ -189,11 +187,12 @@ ORACLES["union_all"] = "SELECT 'pages' AS source, count(*) AS n, max(page_id) AS
 
 
 def limit_records(spark, sf_dir):
-    return X.table(spark, sf_dir, "documents").where("doc_id < 25").select("doc_id", "lang")
+    """The first 25 records: what the operator is about."""
+    return Q.first_records(X.table(spark, sf_dir, "documents").select("doc_id", "lang"), 25, "doc_id")
 
 
 QUERIES["limit_records"] = limit_records
-ORACLES["limit_records"] = "SELECT doc_id, lang FROM documents WHERE doc_id < 25"
+ORACLES["limit_records"] = "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 25"
 
 
 def metadata_diff(spark, sf_dir):
@@ -241,9 +240,17 @@ def cv_logistic(spark, sf_dir):
     return S.cv_logistic(rows.select("trajectory_id", "z_me", "z_js", "target", "fold"), ["z_me", "z_js"]).select("trajectory_id", "oof")
 
 
+def interaction_models(spark, sf_dir):
+    """Out-of-fold areas of M0 (entropy), M1 (and divergence) and M2 (and their
+    product)."""
+    z = S.standardized(cells(spark, sf_dir), ["me", "js"]).withColumn("z_both", F.col("z_me") * F.col("z_js")).withColumn("fold", F.pmod(F.xxhash64("trajectory_id"), F.lit(5)).cast("int"))
+    rows = z.select("trajectory_id", "z_me", "z_js", "z_both", "target", "fold")
+    return S.cv_areas(rows, {"M0": ["z_me"], "M1": ["z_me", "z_js"], "M2": ["z_me", "z_js", "z_both"]})
+
+
 def perturb(spark, sf_dir):
     s = X.states(spark, sf_dir).where("distribution is not null").select("trajectory_id", "position", U.projected(F.col("distribution"), X.SPACE).alias("p"))
     return S.perturb_disagree(s, "p", 0.5).select("trajectory_id", "position", "perturb_disagree")
 
 
-QUERIES |= {"bootstrap_ci": bootstrap_ci, "auc_with_ci": auc_interval, "spearman_ci": spearman_interval, "boot_auc_folded": boot_auc_folded, "paired_bootstrap": paired_bootstrap, "cv_logistic": cv_logistic, "perturb_disagree": perturb}
+QUERIES |= {"bootstrap_ci": bootstrap_ci, "auc_with_ci": auc_interval, "spearman_ci": spearman_interval, "boot_auc_folded": boot_auc_folded, "paired_bootstrap": paired_bootstrap, "cv_logistic": cv_logistic, "interaction_models": interaction_models, "perturb_disagree": perturb}

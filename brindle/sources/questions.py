@@ -41,3 +41,30 @@ def answer_key(questions: DataFrame) -> DataFrame:
 
 def with_outcome(trajectories: DataFrame, outcomes: DataFrame) -> DataFrame:
     return trajectories.join(outcomes, "trajectory_id", "left")
+
+
+def first_records(rows: DataFrame, n: int, order: str) -> DataFrame:
+    """The first ``n`` rows by ``order``, alike in every run."""
+    if n < 0:
+        raise ValueError("the number of records must not be negative")
+    return rows.orderBy(order).limit(n)
+
+
+def profile(questions: DataFrame) -> DataFrame:
+    """section, key, value: what a table of questions holds. Sections: size;
+    choices (how many questions have so many); meta and answer (counts of the
+    values); length (of questions: min, max, mean, median); mismatch (answers
+    that are not among the choices, choices without text)."""
+    from brindle.operators.ordered import quantiles
+
+    meta = F.col("usmle_step") if "usmle_step" in questions.columns else F.lit(None).cast("string")
+    told = questions.select(F.size("choices").alias("k"), meta.alias("meta"), F.col("answer_letter").alias("answer"), F.char_length("question").alias("n"), "choices")
+    counted = lambda section, key: told.groupBy(key.cast("string").alias("key")).agg(F.count("*").cast("double").alias("value")).select(F.lit(section).alias("section"), F.coalesce("key", F.lit("none")).alias("key"), "value")
+    lost = ~F.coalesce(F.array_contains(F.map_keys("choices"), F.col("answer")), F.lit(False))
+    blank = F.exists(F.map_values("choices"), lambda x: F.coalesce(F.trim(x) == "", F.lit(True)))
+    keyed = told.withColumn("_k", F.lit(0))
+    base = keyed.groupBy("_k").agg(F.count("*").alias("n_all"), F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean"), F.sum(lost.cast("int")).alias("answer"), F.sum(blank.cast("int")).alias("blank"))
+    wide = base.join(quantiles(keyed, ["_k"], "n", {"median": 0.5}), "_k")
+    row = lambda section, key, column: F.struct(F.lit(section).alias("section"), F.lit(key).alias("key"), F.col(column).cast("double").alias("value"))
+    single = wide.select(F.inline(F.array(row("size", "questions", "n_all"), *[row("length", x, x) for x in ("min", "max", "mean", "median")], row("mismatch", "answer", "answer"), row("mismatch", "blank choice", "blank"))))
+    return single.unionByName(counted("choices", F.col("k"))).unionByName(counted("meta", F.col("meta"))).unionByName(counted("answer", F.col("answer")))

@@ -212,6 +212,51 @@ QUESTION = [("q1", "why {choices}?", {"A": "x", "B": "y"})]
 REPLY = "Reasoning step 1: a\nReasoning step 2: b\nReasoning step 3: c\nFinal answer: A"
 
 
+@pytest.mark.parametrize("n1, n0", [(3, 4), (5, 2), (1, 6)])
+def test_small_mann_whitney_is_exact(spark, n1, n0):
+    from itertools import combinations
+
+    places = [sum(p > q for p in c for q in set(range(n1 + n0)) - set(c)) for c in combinations(range(n1 + n0), n1)]
+    for u in set(places):
+        far = max(u, n1 * n0 - u)
+        assert stats.mann_whitney_exact(u, n1, n0) == pytest.approx(min(1, 2 * sum(x >= far for x in places) / len(places)))
+    df = spark.createDataFrame([(float(k), int(k < n1)) for k in range(n1 + n0)], "v double, target int")
+    r = stats.mann_whitney(df, "v").first()
+    assert r.u == 0 and r.p_exact == stats.mann_whitney_exact(0, n1, n0) != r.p
+    tied = stats.mann_whitney(df.withColumn("v", F.lit(1.0)), "v").first()
+    assert tied.p_exact == tied.p or math.isnan(tied.p_exact)
+
+
+def test_logistic_folds_equal_newton(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 2))
+    y = (x[:, 0] + rng.normal(size=90) > 0).astype(int)
+    df = spark.createDataFrame([(i, float(x[i, 0]), float(x[i, 1]), int(y[i]), i % 3) for i in range(90)], "id int, a double, b double, target int, fold int")
+    got = {r.id: r.oof for r in stats.cv_logistic(df, ["a", "b"], folds=3).collect()}
+    for k in range(3):
+        train = np.arange(90) % 3 != k
+        design, w = np.c_[x, np.ones(90)], np.zeros(3)
+        for _ in range(50):  # half the squared weights, but not the intercept's, and the sum of losses
+            p = 1 / (1 + np.exp(-design[train] @ w))
+            ridge = np.diag([1.0, 1.0, 0.0])
+            w -= np.linalg.solve((design[train].T * (p * (1 - p))) @ design[train] + ridge, design[train].T @ (p - y[train]) + ridge @ w)
+        for i in np.flatnonzero(~train):
+            assert got[int(i)] == pytest.approx(1 / (1 + math.exp(-design[i] @ w)), abs=1e-5)
+    areas = {r.model: r.roc_auc for r in stats.cv_areas(df, {"M0": ["a"], "M1": ["a", "b"]}, folds=3).collect()}
+    p = np.array([got[i] for i in range(90)])
+    assert areas["M1"] == pytest.approx(np.mean([(s > t) + 0.5 * (s == t) for s in p[y == 1] for t in p[y == 0]]), abs=1e-3) and set(areas) == {"M0", "M1"}
+
+
+def test_noise_disagreement(spark):
+    df = spark.createDataFrame([(1, [0.2, 0.3, 0.5]), (2, [0.2, 0.3, 0.5]), (3, [1.0, 0.0, 0.0])], "id int, p array<double>")
+    still = stats.perturb_disagree(df, "p", 0.0).collect()
+    assert all(abs(r.perturb_disagree) < 1e-12 for r in still)
+    small, large = ({r.id: r.perturb_disagree for r in stats.perturb_disagree(df, "p", s).collect()} for s in (0.1, 2.0))
+    assert small[1] == small[2] and 0 < small[1] < large[1] <= 1 and small[3] < 1e-6
+
+
 def asked(spark, n=1):
     return spark.createDataFrame([(f"q{k}", q, c) for k in range(1, n + 1) for _, q, c in QUESTION], "question_id string, question string, choices map<string,string>")
 
