@@ -155,7 +155,7 @@ def _row_bytes(schema: StructType) -> Column:
     return total
 
 
-def shard_rows(rows: DataFrame, shards: int, seed: int = 20240229, block_rows: int = 1 << 20, block_bytes: int = 1 << 26) -> DataFrame:
+def shard_rows(rows: DataFrame, shards: int, seed: int = 20240229, block_rows: int = 1 << 20, block_bytes: int = 1 << 25) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``, uniformly at random."""
     if shards < 1 or {"shard", "slot"} & set(rows.columns):
         raise ValueError("one shard at least, and no columns named shard or slot")

@@ -332,77 +332,157 @@ def wide_links(nodes: DataFrame, budget: int, max_node: int = 2048) -> DataFrame
     return dealt.mapInArrow(_join_tries(budget, ("key",), "fp", "node"), "u bigint, v bigint")
 
 
-def similar(sets: list[np.ndarray]) -> np.ndarray:
+class Overlaps:
+    """Sets of distinct values, and how many a set shares with each other."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[np.argsort(self.codes, kind="stable")]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.codes))])
+        self.firsts = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def shared(self, i: int) -> np.ndarray:
+        own = self.codes[self.firsts[i] : self.firsts[i + 1]]
+        low, many = self.starts[own], self.starts[own + 1] - self.starts[own]
+        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        return np.bincount(self.owners[k], minlength=len(self.sizes))
+
+    def linked(self, shared: np.ndarray, i: int) -> np.ndarray:
+        """Whether the similarity to set i is 0.8 or more."""
+        return 9 * shared >= 4 * (self.sizes + self.sizes[i])
+
+    def apart(self, shared: np.ndarray, i: int) -> np.ndarray:
+        """1 - Jaccard similarity to set i, which is a metric."""
+        union = self.sizes + self.sizes[i] - shared
+        return 1 - np.divide(shared, union, out=np.ones(len(shared)), where=union > 0)
+
+
+def similar(sets: list[np.ndarray], overlaps: Overlaps | None = None) -> np.ndarray:
     """For each set of distinct values, the least position in its class, where
     sets of a Jaccard similarity of 0.8 or more are linked. Exact: every pair
     is counted that is not in one class yet and whose sizes allow it."""
-    n = len(sets)
-    groups, sizes = Groups(n), np.array([len(s) for s in sets], np.int64)
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    owners = np.repeat(np.arange(n), sizes)[np.argsort(codes, kind="stable")]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(codes))])
-    firsts = np.concatenate([[0], np.cumsum(sizes)])
-    after = np.arange(n)
-    for i in range(n - 1):
+    groups, over = Groups(len(sets)), overlaps or Overlaps(sets)
+    sizes, after = over.sizes, np.arange(len(sets))
+    for i in range(len(sets) - 1):
         ask = (after > i) & (groups.label != groups.label[i]) & (5 * np.minimum(sizes, sizes[i]) >= 4 * np.maximum(sizes, sizes[i]))
-        if not ask.any():
-            continue
-        own = codes[firsts[i] : firsts[i + 1]]
-        low, many = starts[own], starts[own + 1] - starts[own]
-        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-        shared = np.bincount(owners[k], minlength=n)
-        near = np.flatnonzero(ask & (9 * shared >= 4 * (sizes + sizes[i])))  # 0.8 of the union
-        groups.add(np.full(len(near), i), near)
+        if ask.any():
+            near = np.flatnonzero(ask & over.linked(over.shared(i), i))
+            groups.add(np.full(len(near), i), near)
     return groups.label
 
 
-def _verify(width: int):
-    """mapInArrow body over (key, node, text) sorted by key: stars of the
-    links among a key's texts."""
+def _by_key(width: int, kinds: dict[str, pa.DataType], solve):
+    """mapInArrow body over (key, node, text, extra) rows sorted by key:
+    ``solve`` gets a key's nodes, sets and extras and gives rows of ``kinds``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets, found = None, [], [], []
+        now, nodes, sets, extras, found = None, [], [], [], []
 
-        def solve() -> None:
-            if len(nodes) > 1:
-                found.extend((nodes[i], nodes[j]) for i, j in enumerate(similar(sets).tolist()) if i != j)
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
         for batch in batches:
-            keys, own, texts = batch.columns
-            for key, node, text in zip(keys.to_pylist(), own.to_pylist(), texts, strict=True):
+            keys, own, texts, more = batch.columns
+            for key, node, text, extra in zip(keys.to_pylist(), own.to_pylist(), texts, more.to_pylist(), strict=True):
                 if key != now:
-                    solve()
-                    now, nodes, sets = key, [], []
+                    found += solve(nodes, sets, extras) if nodes else []
+                    now, nodes, sets, extras = key, [], [], []
                 nodes.append(node)
                 sets.append(shingle_hashes(text.as_py(), width))
-            yield _edges(found)
+                extras.append(extra)
+            yield told()
             found = []
-        solve()
-        yield _edges(found)
+        found += solve(nodes, sets, extras) if nodes else []
+        yield told()
         give_back()
 
     return of
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+VERIFIED = {"u": pa.int64(), "v": pa.int64(), "radius": pa.float64()}
+COMPARED = {"u": pa.int64(), "v": pa.int64(), "open": pa.bool_()}
+
+
+def _classes_of_block(nodes: list, sets: list, large: list) -> list[tuple]:
+    """(u, v, null) stars of a block's classes; of a part of a larger class
+    also (v, v, radius): each class's least node and how far the others are."""
+    if len(nodes) == 1:
+        return [(nodes[0], nodes[0], 0.0)] if large[0] else []
+    over = Overlaps(sets)
+    label = similar(sets, over)
+    rows = [(nodes[i], nodes[j], None) for i, j in enumerate(label.tolist()) if i != j]
+    for j in np.unique(label).tolist() if large[0] else []:
+        own = np.flatnonzero(label == j)
+        rows.append((nodes[j], nodes[j], float(over.apart(over.shared(j), j)[own].max()) if len(own) > 1 else 0.0))
+    return rows
+
+
+def _compared(nodes: list, sets: list, radius: list) -> list[tuple]:
+    """(u, v, open) of classes' least nodes: links of 0.8 between them, and
+    open pairs whose other members may be as similar, by the triangle
+    inequality, and which the links do not connect."""
+    if len(nodes) == 1:
+        return []
+    over, groups, r, after = Overlaps(sets), Groups(len(sets)), np.array(radius), np.arange(len(sets))
+    maybe, rows = [], []
+    for i in range(len(sets) - 1):
+        shared = over.shared(i)
+        near = (after > i) & over.linked(shared, i)
+        groups.add(np.full(int(near.sum()), i), np.flatnonzero(near))
+        open_ = (after > i) & ~near & (r + r[i] > 0) & (over.apart(shared, i) <= 0.2 + r + r[i] + 1e-9)
+        maybe += [(i, j) for j in np.flatnonzero(open_).tolist()]
+    rows = [(nodes[i], nodes[j], False) for i, j in enumerate(groups.label.tolist()) if i != j]
+    return rows + [(nodes[i], nodes[j], True) for i, j in maybe if groups.label[i] != groups.label[j]]
+
+
+def _dealt(rows: DataFrame, width: int, kinds: dict[str, pa.DataType], solve) -> DataFrame:
+    schema = ", ".join(f"{n} {'bigint' if t == pa.int64() else 'double' if t == pa.float64() else 'boolean'}" for n, t in kinds.items())
+    return rows.select("key", "node", "text", "extra").repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(width, kinds, solve), schema)
+
+
+def _in_blocks(rows: DataFrame, max_members: int, block_bytes: int) -> DataFrame:
+    """root, blocks: in how many parts each class of ``rows`` is dealt."""
+    sized = rows.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / max_members), F.ceil(F.col("bytes") / block_bytes), F.lit(1)).cast("int")
+    return sized.select("root", F.least(blocks, F.col("n").cast("int")).alias("blocks")).where("blocks > 1")
 
 
 def similar_links(texts: DataFrame, width: int, max_members: int = 1024, block_bytes: int = 1 << 22) -> DataFrame:
     """Edges (u, v) that connect those ``texts`` (root, node, text) of a
-    candidate class ``root`` that are 0.8 similar. A class is a task's work; one
-    of more than ``max_members`` texts or ``block_bytes`` is dealt out in pairs
-    of blocks."""
-    sized = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / max_members), F.ceil(F.col("bytes") / block_bytes), F.lit(1)).cast("int")
-    large = materialize(sized.select("root", F.least(blocks, F.col("n").cast("int")).alias("blocks")).where("blocks > 1"), "large-classes")
-    dealt = texts.select(F.col("root").alias("key"), "node", "text")
-    if not large.isEmpty():
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        split = texts.join(large, "root").withColumn("own", own).select("root", "node", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")).where("own <> b")
-        pairs = split.select(F.xxhash64("root", F.least("own", "b"), F.greatest("own", "b")).alias("key"), "node", "text")
-        dealt = texts.join(large, "root", "left_anti").select(F.col("root").alias("key"), "node", "text").unionByName(pairs)
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(width), "u bigint, v bigint")
+    candidate class ``root`` that are 0.8 similar. A class is a task's work.
+
+    One of more than ``max_members`` texts or ``block_bytes`` is dealt out in
+    blocks, no text twice. Each block finds its own classes; then only their
+    least members meet. Where two of those are not similar, but so near that
+    other members might be, the two classes are compared in full; nearness is
+    decided by the triangle inequality, so no link is lost. A large group of
+    near copies is thus a few classes a block and costs no pairs of blocks."""
+    large = materialize(_in_blocks(texts, max_members, block_bytes), "large-classes")
+    own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))
+    first = texts.join(large, "root", "left").select(F.xxhash64("root", own).alias("key"), "node", "text", F.col("blocks").isNotNull().alias("extra"))
+    verified = materialize(_dealt(first, width, VERIFIED, _classes_of_block), "verified")
+    edges = verified.where("radius is null").select("u", "v")
+    if large.isEmpty():
+        return edges
+    reps = materialize(verified.where("radius is not null").select(F.col("v").alias("node"), "radius").join(texts, "node"), "least-members")
+    again = materialize(_in_blocks(reps, max_members, block_bytes), "many-classes")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
+    split = reps.join(again, "root", "left").withColumn("own", part).withColumn("b", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    met = split.where("blocks is null or own <> b").select(F.xxhash64("root", F.least("own", "b"), F.greatest("own", "b")).alias("key"), "node", "text", F.col("radius").alias("extra"))
+    compared = materialize(_dealt(met, width, COMPARED, _compared), "compared")
+    known = edges.unionByName(compared.where("not open").select("u", "v"))
+    doubt = compared.where("open").select("u", "v").distinct()
+    if doubt.isEmpty():
+        return known
+    known = materialize(known, "links")
+    rooted = components(known)
+    at = lambda side: rooted.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    doubt = doubt.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
+    pairs = doubt.select(F.xxhash64("u", "v").alias("key"), F.explode(F.array("u", "v")).alias("rep"))
+    members = edges.select(F.col("u").alias("node"), F.col("v").alias("rep")).unionByName(reps.select("node", F.col("node").alias("rep")))
+    full = pairs.join(members, "rep").select("key", "node").distinct().join(texts.select("node", "text"), "node").withColumn("extra", F.lit(False))
+    return known.unionByName(_dealt(full, width, VERIFIED, _classes_of_block).select("u", "v"))
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, budget: int = 128) -> DataFrame:

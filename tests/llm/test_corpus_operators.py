@@ -163,6 +163,29 @@ def test_near_classes_hold_at_the_threshold(spark, monkeypatch, max_members):
     assert got == {i: i - (i % 3 == 1) for i in range(60)}
 
 
+@pytest.mark.parametrize("max_members", [1024, 5, 2])
+def test_similar_links_equal_brute_force(spark, max_members):
+    """Chains of near copies in one candidate class: links that only members
+    far from a class's least one have, blocks of any size, and no text twice."""
+    rng, rows, words = random.Random(9), [], ["y%d" % i for i in range(400)]
+    for _ in range(6):
+        t = rng.sample(words, 60)
+        for step in range(9):
+            rows.append(" ".join(t))
+            for _ in range(1 + step % 2):
+                t = t[:-2] + [f"e{rng.randrange(10**6)}"] if rng.random() < 0.5 else [f"e{rng.randrange(10**6)}"] + t[1:]
+            if step == 4:
+                t[30] = "middle"
+    rows = list(dict.fromkeys(rows))
+    sets = [simhash.shingle_hashes(t) for t in rows]
+    jaccard = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    want = groups(range(len(rows)), lambda a, b: jaccard(a, b) >= 0.8)
+    assert 6 < len(set(want.values())) < len(rows)
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(rows)], "root long, node long, text string")
+    found = {r.node: r.root for r in components.components(simhash.similar_links(df, 5, max_members)).collect()}
+    assert {i: found.get(i, i) for i in range(len(rows))} == want
+
+
 def test_similar_equals_brute_force():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 14, 12).astype(np.uint64)) for _ in range(60)] + [np.empty(0, np.uint64)]
