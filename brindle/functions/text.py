@@ -41,6 +41,8 @@ def decompose(text: Column, max_steps: int = 10, min_steps: int = 3, strict: boo
 
     Steps are the marked lines of the text without its answers; without any,
     its paragraphs. More than ``max_steps`` are thinned evenly."""
+    if not 1 <= min_steps <= max_steps:
+        raise ValueError("1 <= min_steps <= max_steps is needed")
     body = F.regexp_replace(text, ANSWER, "")
     marked = F.transform(F.regexp_extract_all(body, F.lit(STEP), F.lit(2)), stripped)
     paragraphs = F.filter(F.transform(F.split(body, r"(?U)\n\s*\n"), stripped), lambda p: p != "")

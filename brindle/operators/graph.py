@@ -185,6 +185,8 @@ def assembly_indices(nodes: DataFrame, edges: DataFrame, weights: dict[int, floa
     unreachable nodes null, null, 0. Rounds of frontier joins, each written to
     the shared folder; as many as the longest shortest path has steps."""
     weights = weights or CLASS_WEIGHTS
+    if set(weights) - set(CLASS_WEIGHTS) or any(w < 0 for w in weights.values()) or (max_rounds is not None and max_rounds < 1):
+        raise ValueError("weights are of edge classes and not negative, rounds are positive")
     weight = F.coalesce(*[F.when(F.col("classification") == k, F.lit(v)) for k, v in weights.items()], F.lit(1.0))
     arcs = cut_lineage(edges.groupBy("source_id", "target_id").agg(F.count("*").alias("parallel"), F.min(weight).alias("weight")), "arcs")
     start = roots(nodes, edges)

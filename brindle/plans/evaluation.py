@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import uncertainty as U
 from brindle.operators import evaluate as E
-from brindle.operators import trajectory
+from brindle.operators import prereg, trajectory
 from brindle.operators.ordered import quantiles
 from brindle.plans.common import rounded, sql_rounded
 from brindle.plans.scores import PER_TRAJECTORY, STEPS
@@ -272,15 +272,12 @@ SELECT {sql_rounded('base', 'base')}, n, CAST(k AS BIGINT) AS k, {sql_rounded('(
 
 
 def bottom_decile_lift(spark, sf_dir):
-    rows = cells(spark, sf_dir)
-    cut = quantiles(rows, ["key"], "me", {"cut": 0.1})
-    low = F.col("me") <= F.col("cut")
-    out = rows.join(cut, "key").agg(F.avg("target").alias("base"), F.avg(F.when(low, F.col("target"))).alias("rate"), F.sum(low.cast("int")).alias("n"))
-    return out.select("n", rounded(F.col("rate") - F.col("base"), "lift"))
+    return prereg.bottom_decile(cells(spark, sf_dir), "me").select("n", "k", rounded("base"), rounded("lift_pp"), rounded("lift_low_pp"))
 
 
 QUERIES["bottom_decile_lift"] = bottom_decile_lift
-ORACLES["bottom_decile_lift"] = f"WITH {CELLS}, ct AS (SELECT quantile_cont(me, 0.1) AS mc FROM cl) SELECT count(*) FILTER (me <= mc) AS n, {sql_rounded('avg(target) FILTER (me <= mc) - avg(target)', 'lift')} FROM cl, ct"
+ORACLES["bottom_decile_lift"] = f"""WITH {CELLS}, ct AS (SELECT quantile_cont(me, 0.1) AS mc FROM cl), t AS (SELECT count(*) FILTER (me <= mc) AS n, sum(target) FILTER (me <= mc) AS k, avg(target) AS base FROM cl, ct)
+SELECT n, CAST(k AS BIGINT) AS k, {sql_rounded('base', 'base')}, {sql_rounded('(k / n - base) * 100', 'lift_pp')}, {sql_rounded(f'({_LO1} - base) * 100', 'lift_low_pp')} FROM t"""
 
 
 def position_medians(spark, sf_dir):

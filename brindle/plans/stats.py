@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from brindle.functions import uncertainty as U
 from brindle.operators import resample as R
 from brindle.operators import stats as S
+from brindle.operators import trajectory
 from brindle.operators.evaluate import auc_with_ci, deferral_auc
 from brindle.operators.ordered import quantiles
 from brindle.plans.common import rounded, sql_rounded
 from brindle.plans.evaluation import CELLS, cells, doc_long
+from brindle.plans.scores import PER_TRAJECTORY
 from brindle.sources import fixtures as X
 from brindle.sources import questions as Q
+from brindle.sources.store import cut_lineage
 
 QUERIES, ORACLES = {}, {}
 RANKS = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0::DOUBLE"
@@ -88,6 +91,19 @@ ORACLES["mass_shape"] = f"""WITH {X.STATES}, {X.TRUTH}, m AS (SELECT target, rou
 SELECT target, count(*) AS n, {sql_rounded('min(m)', 'least')}, {sql_rounded('max(m)', 'most')}, {sql_rounded('avg(m)', 'mean')}, {sql_rounded('stddev_pop(m)', 'sd')}, {sql_rounded('quantile_cont(m, 0.5)', 'median')} FROM m GROUP BY target"""
 
 
+def mass_shape_tests(spark, sf_dir):
+    """How the classes' mean mass capture differs: means, medians, d, rank and
+    distribution tests."""
+    m = trajectory.scores(X.states(spark, sf_dir)).select("trajectory_id", F.round("mass_capture_mean", 9).alias("score")).join(X.truth(spark, sf_dir), "trajectory_id").withColumn("key", F.lit(0))
+    m = cut_lineage(m, "mass")
+    med = lambda t, name: quantiles(m.where(F.col("target") == t), ["key"], "score", {name: 0.5})
+    at = lambda df, *columns: df.select(F.lit(0).alias("key"), *columns)
+    base = m.groupBy("key").agg((F.avg(F.when(F.col("target") == 1, F.col("score"))) - F.avg(F.when(F.col("target") == 0, F.col("score")))).alias("delta_mean"))
+    out = base.join(med(1, "m1"), "key").join(med(0, "m0"), "key").join(at(S.cohen_d(m, "score"), "d", "n0", "n1"), "key")
+    out = out.join(at(S.mann_whitney(m, "score"), "u", "z"), "key").join(at(S.ks_two_sample(m, "score"), F.col("d").alias("ks"), "p_limit"), "key")
+    return out.select("n0", "n1", rounded("delta_mean"), rounded(F.col("m1") - F.col("m0"), "delta_median"), rounded("d"), "u", rounded("z"), rounded("ks"), rounded("p_limit"))
+
+
 def codec_stats(spark, sf_dir):
     """js on the agreeing and right subset: mean, median, sd, p10, p90."""
     r = cells(spark, sf_dir).where("target = 0")
@@ -209,6 +225,13 @@ QUERIES["metadata_diff"] = metadata_diff
 ORACLES["metadata_diff"] = "SELECT event_id, CASE WHEN json_extract_string(props, '$.k') = '1' THEN 'z' ELSE 'k,z' END AS keys FROM events"
 
 
+QUERIES["mass_shape_tests"] = mass_shape_tests
+_INNER = lambda name: ORACLES[name].replace(f"WITH {X.DOC_SCORES}, ", "WITH ")
+ORACLES["mass_shape_tests"] = f"""WITH {PER_TRAJECTORY}, {X.TRUTH}, scored AS (SELECT round(mass_capture_mean, 9) AS score, target FROM tr JOIN truth USING (trajectory_id)),
+b AS (SELECT avg(score) FILTER (target = 1) - avg(score) FILTER (target = 0) AS dm, quantile_cont(score, 0.5) FILTER (target = 1) - quantile_cont(score, 0.5) FILTER (target = 0) AS md FROM scored)
+SELECT e.n0, e.n1, {sql_rounded('dm', 'delta_mean')}, {sql_rounded('md', 'delta_median')}, e.d, u.u, u.z, k.d AS ks, k.p_limit FROM b, ({_INNER('cohen_d')}) e, ({_INNER('mann_whitney')}) u, ({_INNER('ks_2samp')}) k"""
+
+
 # Resampling and models: rows only.
 def bootstrap_ci(spark, sf_dir):
     """Raw, sign-aware and PR intervals, turned in the point's direction."""

@@ -137,3 +137,13 @@ def explore(spark, sf_dir):
 
 QUERIES["explore"] = explore
 ORACLES["explore"] = f"SELECT lang, count(*) AS docs, min(length(text)) AS least, max(length(text)) AS most, {sql_rounded('avg(length(text))', 'mean')}, {sql_rounded('quantile_cont(length(text), 0.5)', 'median')} FROM documents GROUP BY lang"
+
+
+def prompt_versions(spark, sf_dir):
+    """Prompts with a version header as versions and bodies."""
+    raw = F.concat(F.lit("\n# version: "), (F.col("item_id") % 7 + 1).cast("string"), F.lit(" of it\nBody "), "text")
+    return X.table(spark, sf_dir, "benchmark").select("item_id", T.prompt_version(raw).alias("version"), T.prompt_body(raw).alias("body"))
+
+
+QUERIES["prompt_versions"] = prompt_versions
+ORACLES["prompt_versions"] = "SELECT item_id, CAST(item_id % 7 + 1 AS INTEGER) AS version, 'Body ' || text AS body FROM benchmark"

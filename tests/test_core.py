@@ -68,6 +68,33 @@ def test_decompose(spark):
         value(spark, T.decompose(F.lit("nothing"), strict=True))
 
 
+def test_configurations_are_checked(spark):
+    nodes, edges = spark.createDataFrame([("a",)], "node_id string"), edge_table(spark, [("a", "x", "b", 0)])
+    for bad in (lambda: T.decompose(F.lit("x"), max_steps=2), lambda: T.decompose(F.lit("x"), min_steps=0), lambda: graph.assembly_indices(nodes, edges, {0: -1.0}), lambda: graph.assembly_indices(nodes, edges, {9: 1.0}), lambda: graph.assembly_indices(nodes, edges, max_rounds=0)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_many_paths_do_not_overflow(spark):
+    rows = [(f"n{k}", f"x{j}", f"n{k + 1}", 0) for k in range(14) for j in range(1000)]
+    got = {r.node_id: r.n_paths for r in graph.assembly_indices(spark.createDataFrame([(f"n{k}",) for k in range(15)], "node_id string"), edge_table(spark, rows)).collect()}
+    assert got["n12"] == 1000**12 and got["n0"] == 1 and got["n13"] is None and got["n14"] is None
+
+
+def test_lookups(spark):
+    nodes, edges = spark.createDataFrame([("a",), ("b",)], "node_id string"), edge_table(spark, [("a", "x", "b", 0), ("b", "x", "a", 3)])
+    wanted = spark.createDataFrame([("a",), ("z",)], "node_id string")
+    assert {r.node_id: r.known for r in graph.has_node(nodes, wanted).collect()} == {"a": True, "z": False}
+    assert graph.out_edges(edges, wanted).first().target_id == "b" and graph.in_edges(edges, wanted).first().source_id == "b"
+    assert graph.edges_by_class(edges, 3).count() == 1 and graph.get_nodes(nodes, wanted.where("node_id = 'a'")).count() == 1
+    with pytest.raises(KeyError):
+        graph.get_nodes(nodes, wanted)
+
+
+def test_fill_is_one_pass(spark):
+    assert value(spark, T.fill("{a}-{b}-{c}", a=F.lit("{b}"), b=F.lit("{a}"))) == "{b}-{a}-{c}"
+
+
 def test_parsers(spark):
     assert value(spark, T.parse_confidence(F.lit("x\n Confidence: 0.8 \nConfidence: 0.1"))) == 0.8
     assert value(spark, T.parse_confidence(F.lit("Confidence: 1.5"))) is None
