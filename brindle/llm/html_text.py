@@ -191,6 +191,7 @@ class Listing:
         # known at its end: (line, place) of the markers until then.
         self.waiting: list[tuple[int, int]] | None = [] if self.back and first is None else None
         self.items = 0
+        self.known = self.waiting is None  # whether the next number is
 
     def marker(self, given: dict[str, str]) -> str:
         self.items += 1
@@ -199,7 +200,7 @@ class Listing:
         value = number(given, "value")
         if value is not None:
             self.next, self.known = value, True
-        if self.waiting is not None and not getattr(self, "known", False):
+        if not self.known:
             return f"\0{self.items}\0. "
         self.next += -1 if self.back else 1
         return f"{self.next + (1 if self.back else -1)}. "
