@@ -448,6 +448,15 @@ def _in_blocks(rows: DataFrame, max_members: int, block_bytes: int) -> DataFrame
     return sized.select("root", F.least(blocks, F.col("n").cast("int")).alias("blocks")).where("blocks > 1")
 
 
+def _in_pairs(rows: DataFrame, max_members: int, block_bytes: int) -> DataFrame:
+    """``rows`` (root, node, text, extra) with the key of the task that has
+    their class, or of each pair of blocks that theirs is in."""
+    parts = materialize(_in_blocks(rows, max_members, block_bytes), "parts")
+    own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
+    split = rows.join(parts, "root", "left").withColumn("own", own).withColumn("b", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    return split.where("blocks is null or own <> b").select(F.xxhash64("root", F.least("own", "b"), F.greatest("own", "b")).alias("key"), "node", "text", "extra")
+
+
 def similar_links(texts: DataFrame, width: int, max_members: int = 1024, block_bytes: int = 1 << 22) -> DataFrame:
     """Edges (u, v) that connect those ``texts`` (root, node, text) of a
     candidate class ``root`` that are 0.8 similar. A class is a task's work.
@@ -455,9 +464,10 @@ def similar_links(texts: DataFrame, width: int, max_members: int = 1024, block_b
     One of more than ``max_members`` texts or ``block_bytes`` is dealt out in
     blocks, no text twice. Each block finds its own classes; then only their
     least members meet. Where two of those are not similar, but so near that
-    other members might be, the two classes are compared in full; nearness is
-    decided by the triangle inequality, so no link is lost. A large group of
-    near copies is thus a few classes a block and costs no pairs of blocks."""
+    other members might be, by the triangle inequality, all members of the
+    classes concerned meet, in pairs of blocks; so no link is lost. A large
+    group of copies that are all near each other is a class a block and costs
+    no pairs of blocks; in a looser one a text is read once for each block."""
     large = materialize(_in_blocks(texts, max_members, block_bytes), "large-classes")
     own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))
     first = texts.join(large, "root", "left").select(F.xxhash64("root", own).alias("key"), "node", "text", F.col("blocks").isNotNull().alias("extra"))
@@ -465,24 +475,22 @@ def similar_links(texts: DataFrame, width: int, max_members: int = 1024, block_b
     edges = verified.where("radius is null").select("u", "v")
     if large.isEmpty():
         return edges
-    reps = materialize(verified.where("radius is not null").select(F.col("v").alias("node"), "radius").join(texts, "node"), "least-members")
-    again = materialize(_in_blocks(reps, max_members, block_bytes), "many-classes")
-    part = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
-    split = reps.join(again, "root", "left").withColumn("own", part).withColumn("b", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    met = split.where("blocks is null or own <> b").select(F.xxhash64("root", F.least("own", "b"), F.greatest("own", "b")).alias("key"), "node", "text", F.col("radius").alias("extra"))
-    compared = materialize(_dealt(met, width, COMPARED, _compared), "compared")
-    known = edges.unionByName(compared.where("not open").select("u", "v"))
+    reps = materialize(verified.where("radius is not null").select(F.col("v").alias("node"), F.col("radius").alias("extra")).join(texts, "node"), "least-members")
+    compared = materialize(_dealt(_in_pairs(reps, max_members, block_bytes), width, COMPARED, _compared), "compared")
+    known = materialize(edges.unionByName(compared.where("not open").select("u", "v")), "links")
     doubt = compared.where("open").select("u", "v").distinct()
     if doubt.isEmpty():
         return known
-    known = materialize(known, "links")
     rooted = components(known)
     at = lambda side: rooted.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    doubt = doubt.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
-    pairs = doubt.select(F.xxhash64("u", "v").alias("key"), F.explode(F.array("u", "v")).alias("rep"))
-    members = edges.select(F.col("u").alias("node"), F.col("v").alias("rep")).unionByName(reps.select("node", F.col("node").alias("rep")))
-    full = pairs.join(members, "rep").select("key", "node").distinct().join(texts.select("node", "text"), "node").withColumn("extra", F.lit(False))
-    return known.unionByName(_dealt(full, width, VERIFIED, _classes_of_block).select("u", "v"))
+    apart = doubt.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")).where("u <> v")
+    met = materialize(components(apart), "doubts")
+    met = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct())
+    members = rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct()).select("node", F.col("root").alias("of"))
+    every = texts.select("node").join(members, "node", "left").select("node", F.coalesce("of", "node").alias("of"))
+    full = every.join(met.select(F.col("node").alias("of"), "root"), "of").select("root", "node").join(texts.select("node", "text"), "node").withColumn("extra", F.lit(False))
+    full = materialize(full, "in-doubt")
+    return known.unionByName(_dealt(_in_pairs(full, max_members, block_bytes), width, VERIFIED, _classes_of_block).select("u", "v"))
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, budget: int = 128) -> DataFrame:
