@@ -53,7 +53,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from brindle.llm.memory import give_back
 from brindle.llm.store import materialize_by
 
-CHUNK_CHARS = 1 << 24
+CHUNK_CHARS = 1 << 23
 BUCKET_WORDS = 1 << 17
 #: Least hashes of a chunk that the number of distinct words is estimated from.
 LEAST = 256
@@ -155,6 +155,7 @@ def _chunks(chunk_chars: int):
                 if start < batch.num_rows or chars >= chunk_chars:
                     yield flush(chunk, words, ids, lengths)
                     chunk, words, ids, lengths, chars = chunk + 1, [], [], [], 0
+                    give_back()
         if ids:
             yield flush(chunk, words, ids, lengths)
         words, ids, lengths = [], [], []
