@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chat, classifier, decontaminate, html_text, quality_rules, secrets, sharding, simhash, warc
+from brindle.llm import bpe, chat, classifier, decontaminate, html_text, quality_rules, secrets, sharding, simhash, spelling, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,6 +143,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, path), path)).withColumnRenamed("id", "doc_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.count_words(docs, least=7, drop_every=31), least=7)
+
+
 _Q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
 _FIND = lambda rank, pattern, ok: f"SELECT rid, {rank} AS rk, string_split_regex(t, {_Q(pattern)}) AS p, regexp_extract_all(t, {_Q(pattern)}) AS m, {ok} AS ok FROM d WHERE regexp_matches(t, {_Q(pattern)})"
 _CANDIDATE = secrets.CANDIDATE.removesuffix("+")
@@ -207,6 +212,7 @@ def queries() -> dict:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
         "op10_bpe": op10_bpe,
+        "op11_spelling_variants": op11_spelling_variants,
     }
 
 

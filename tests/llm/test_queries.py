@@ -30,8 +30,8 @@ def test_oracles(spark, name):
     same(spark, name)
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_queries_by_number():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 12))
 
 
 def shingles(text, n=5):
