@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chat, classifier, decontaminate, html_text, quality_rules, secrets, sharding, simhash, spelling, warc
+from brindle.llm import bpe, chat, classifier, decontaminate, html_text, quality_rules, repair, secrets, sharding, simhash, spelling, warc
+from brindle.llm.oracles import OP11_SQL, OP12_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,6 +149,30 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(docs, least=7, drop_every=31), least=7)
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults in them, by the CRC-32 of ``conv_id:turn``."""
+    given = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
+    name = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    fault = given.withColumn("fault", F.crc32(name.cast("binary")) % 20)
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.when(F.col("fault") == 0, F.array().cast("array<int>")).when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return fault.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(times).alias("again")).drop("again")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ordered = repair.in_order(damaged(given))
+    found = repair.repairs(ordered)
+    gaps = ordered.groupBy(F.col("conv_id").alias("conv")).agg(F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn"), F.lit(0)).alias("gaps"))
+    parts = repair.repaired(ordered, found).where(F.size("turns") > 0).groupBy(F.col("conv_id").alias("conv")).agg(F.array_sort(F.collect_list(F.struct("part", "at", repair.lines(F.col("turns")).alias("lines")))).alias("parts"))
+    said = parts.select("conv", F.sha2(F.array_join(F.col("parts.lines"), "\n"), 256).alias("repaired_sha256"))
+    out = given.select("conv_id").distinct()
+    for more in (gaps, found.drop("edits").withColumnRenamed("conv_id", "conv"), said):
+        out = out.join(more, out["conv_id"].eqNullSafe(more["conv"]), "left").drop("conv")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 _Q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
 _FIND = lambda rank, pattern, ok: f"SELECT rid, {rank} AS rk, string_split_regex(t, {_Q(pattern)}) AS p, regexp_extract_all(t, {_Q(pattern)}) AS m, {ok} AS ok FROM d WHERE regexp_matches(t, {_Q(pattern)})"
 _CANDIDATE = secrets.CANDIDATE.removesuffix("+")
@@ -213,8 +238,9 @@ def queries() -> dict:
         "op9_quality_rules": op9_quality_rules,
         "op10_bpe": op10_bpe,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op5_warc": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op2_chat_format": OP2_SQL, "op5_warc": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_quality_rules": OP9_SQL, "op11_spelling_variants": OP11_SQL, "op12_conversation_repair": OP12_SQL}
