@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from brindle.llm import licenses
+
 #: CRC-32 of a string in SQL: the table of its 256 remainders, and a step for each byte.
 _CRC = "list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, o: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END))"
 
@@ -59,3 +61,25 @@ SELECT q.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)
   CAST(coalesce(z.best.cost, 0) AS BIGINT) AS cost, coalesce(z.best.audit, '') AS audit, sha256(substr(coalesce(z.best.said, ''), 2)) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN n ON q.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN z ON q.conv_id IS NOT DISTINCT FROM z.conv_id
 """
+
+
+def _texts(rows) -> str:
+    return ", ".join(f"({', '.join(str(v) if isinstance(v, int) else chr(39) + v + chr(39) for v in r)})" for r in rows)
+
+
+#: Phrases are looked for in words joined by blanks, which stand twice so that neighbours don't share one.
+#: Blocks are held against all templates of their size class.
+OP13_SQL = rf"""
+WITH phrases(label, phrase) AS (VALUES {_texts(licenses.PHRASES)}),
+templates AS MATERIALIZED (SELECT label, size, list_distinct(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda w: w <> '')) AS mine FROM (VALUES {_texts((label, licenses.size_class(len(licenses.split_words(text))), text) for label, text in licenses.TEMPLATES)}) t(label, size, body)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT rid, label, unnest(range(len(w))) AS i, w, string_split(phrase, ' ') AS x FROM d, phrases WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' ')),
+q AS (SELECT rid, label, i FROM p WHERE w[i + 1:i + len(x)] = x),
+b AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, list(DISTINCT label) AS labels FROM q GROUP BY rid),
+s AS (SELECT rid, size, unnest(range(0, len(w), size)) AS i, w FROM d, (SELECT DISTINCT size FROM templates)),
+h AS (SELECT rid, label, len(list_intersect(mine, w[i + 1:i + 2 * s.size])) / len(mine) AS c FROM s JOIN templates t ON t.size = s.size),
+k AS (SELECT rid, max(c) AS c, list(DISTINCT label) AS labels FROM h WHERE c >= {licenses.THRESHOLD} GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(b.labels, k.labels))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(k.c, 0)::DOUBLE END AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN k USING (rid)
+"""

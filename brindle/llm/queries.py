@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chat, classifier, decontaminate, html_text, quality_rules, repair, secrets, sharding, simhash, spelling, warc
-from brindle.llm.oracles import OP11_SQL, OP12_SQL
+from brindle.llm import bpe, chat, classifier, decontaminate, html_text, licenses, quality_rules, repair, secrets, sharding, simhash, spelling, warc
+from brindle.llm.oracles import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -173,6 +173,23 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, "text", "found").select("doc_id", "found")
+    starts = F.col("found.places.start")
+    joined = lambda c: F.array_join(c, ",")
+    return found.select(
+        "doc_id",
+        F.col("found.n_words").alias("n_words"),
+        F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        joined(F.array_sort(F.array_distinct(F.col("found.places.label")))).alias("base_labels"),
+        joined(licenses.labels(F.col("found"))).alias("labels"),
+        licenses.score(F.col("found")).alias("score"),
+    )
+
+
 _Q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
 _FIND = lambda rank, pattern, ok: f"SELECT rid, {rank} AS rk, string_split_regex(t, {_Q(pattern)}) AS p, regexp_extract_all(t, {_Q(pattern)}) AS m, {ok} AS ok FROM d WHERE regexp_matches(t, {_Q(pattern)})"
 _CANDIDATE = secrets.CANDIDATE.removesuffix("+")
@@ -239,8 +256,9 @@ def queries() -> dict:
         "op10_bpe": op10_bpe,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_license_scan": op13_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op5_warc": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_quality_rules": OP9_SQL, "op11_spelling_variants": OP11_SQL, "op12_conversation_repair": OP12_SQL}
+    return {"op2_chat_format": OP2_SQL, "op5_warc": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_quality_rules": OP9_SQL, "op11_spelling_variants": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_license_scan": OP13_SQL}

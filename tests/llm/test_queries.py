@@ -31,7 +31,7 @@ def test_oracles(spark, name):
 
 
 def test_queries_by_number():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def shingles(text, n=5):
