@@ -493,54 +493,69 @@ def similar_links(texts: DataFrame, width: int, max_members: int = 1024, block_b
     return known.unionByName(_dealt(_in_pairs(full, max_members, block_bytes), width, VERIFIED, _classes_of_block).select("u", "v"))
 
 
-def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, budget: int = 128) -> DataFrame:
-    """(id, component_id) of the near-duplicates: texts linked by a Jaccard
-    similarity of 0.8 or more of their distinct word shingles.
-
-    Candidates come from 512-bit SimHash fingerprints, where 0.8 is 77 bits
-    with a deviation of 8, six of which are below the budget, and from anchors
-    in place of the first levels of the trie, where all nodes would be open
-    pairs: texts of similarity s share one of six least hashes with
-    1 - (1 - s)**6, 0.99994 at 0.8. What the candidates chain together is then
-    compared by its shingles, and only links of 0.8 or more remain. A node is a
-    set of shingles, so only equal sets are one."""
+def _classes(docs: DataFrame, id_column: str, text_column: str, width: int, budget: int) -> tuple[DataFrame, DataFrame]:
+    """Tables of rows (rid, id, row, identity) and of classes' identities
+    (identity, component_id, keep): see ``near_classes``. ``row`` has all
+    columns; ``keep`` is the number of the class's first row by identifier,
+    identity and place, rows without an identifier last."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            made, nodes = [], []
-            for t in batch.column(1):
+            made, identities = [], []
+            for t in batch.column(2):
                 hashes = shingle_hashes(t.as_py(), width)
-                made.append(wide_sketch(hashes))
-                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-            columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["id", "text", "node", "fp", "anchors"])
+                fp, anchors = wide_sketch(hashes)
+                words = (t.as_py() or "").encode().lower().split()
+                # A single shingle is its text's identity: such texts are equal or apart.
+                identities.append(xxhash.xxh3_128_digest(b" ".join(words[:width] if len(hashes) < 2 else words)))
+                made.append((fp, anchors if len(hashes) > 1 else []))
+            columns = [pa.array(identities, pa.binary()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["rid", "id", "identity", "fp", "anchors"])
         give_back()
 
     kind = docs.schema[id_column].dataType.simpleString()
-    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    each = source.mapInArrow(of, f"id {kind}, text string, node bigint, fp binary, anchors array<bigint>")
-    each = materialize(each.withColumn("rid", F.monotonically_increasing_id()), "wide")
-    distinct = materialize(each.groupBy("node").agg(F.min("fp").alias("fp"), F.min("anchors").alias("anchors"), F.min("id").alias("least"), F.min("rid").alias("rid")), "wide-distinct")
+    rows = materialize(docs.select(F.struct("*").alias("row")).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    id_, text = F.col("row").getField(id_column).alias("id"), F.col("row").getField(text_column).alias("text")
+    each = materialize(rows.select("rid", id_, text).mapInArrow(of, f"rid bigint, id {kind}, identity binary, fp binary, anchors array<bigint>"), "wide")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "identity", "rid"))
+    distinct = materialize(each.groupBy("identity").agg(F.min("fp").alias("fp"), F.min("anchors").alias("anchors"), first.alias("first"), F.min("rid").alias("node")), "wide-distinct")
     maybe = components(wide_links(distinct, budget))
     members = maybe.unionByName(maybe.select(F.col("root").alias("node"), "root").distinct())
-    texts = members.join(distinct.select("node", "rid"), "node").join(each.select("rid", "text"), "rid").select("root", "node", "text")
+    texts = members.join(rows.select(F.col("rid").alias("node"), text), "node").select("root", "node", "text")
     roots = components(similar_links(materialize(texts, "candidates"), width))
-    rooted = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    names = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
-    named = rooted.join(names, "root").select("node", "component_id")
-    return each.select("id", "node").join(named, "node").select("id", "component_id")
+    rooted = distinct.join(roots, "node", "left").select("identity", "first", F.coalesce("root", "node").alias("root"))
+    names = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")), "names")
+    named = rooted.select("identity", "root").join(names, "root").select("identity", F.col("first.id").alias("component_id"), F.col("first.rid").alias("keep"))
+    return rows.join(each.select("rid", "identity"), "rid").withColumn("id", id_), named
+
+
+def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, budget: int = 128) -> DataFrame:
+    """(id, component_id) of the near-duplicates: texts linked by a Jaccard
+    similarity of 0.8 or more of their distinct word shingles.
+
+    Candidates come from 512-bit SimHash fingerprints, where 0.8 is 77 bits
+    with a deviation of 8, six of which are below the budget, and from anchors
+    in place of the first levels of the trie, where all nodes would be open
+    pairs: texts of similarity s share one of six least hashes with
+    1 - (1 - s)**6, 0.99994 at 0.8. What the candidates chain together is then
+    compared by its shingles, and only links of 0.8 or more remain. A node is a
+    sequence of words, by a 128-bit hash; two of one and the same single
+    shingle are one node, and others with a single shingle have no links."""
+    each, named = _classes(docs, id_column, text_column, width, budget)
+    return each.select("id", "identity").join(named, "identity").select("id", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, budget: int = 128) -> DataFrame:
-    """``docs`` with the row of the least id of each class of near-duplicates.
-    Rows that repeat a kept id count as one. Rows without an id can't be told
-    apart and are all kept."""
-    found = materialize(near_classes(docs, id_column, text_column, width, budget), "classes")
-    repeated = not found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null").isEmpty()
-    kept = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias(id_column)).distinct()
+    """``docs`` with one row of each class of near-duplicates: that of the
+    least id; of several with that id the one of the least identity of its
+    words, and of rows that repeat it the first. An id that has unlike texts
+    keeps a row of each. Rows without an id can't be told apart and are all
+    kept."""
+    each, named = _classes(docs, id_column, text_column, width, budget)
+    # A class has one row to keep, so rows meet by their numbers and no class is hot.
+    keep = named.select(F.col("keep").alias("rid")).distinct()
     # One plan at every size: an automatic broadcast would stop at some size.
-    named = docs.where(F.col(id_column).isNotNull()).join(kept.hint("merge"), id_column, "left_semi")
-    named = named.dropDuplicates([id_column]) if repeated else named
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_column).isNull()))
+    held = each.where("id is not null").join(keep.hint("merge"), "rid", "left_semi").unionByName(each.where("id is null"))
+    return held.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

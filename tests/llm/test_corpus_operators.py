@@ -576,3 +576,14 @@ def test_shared_folder_follows_the_session(spark, monkeypatch):
         store.shared_dir(Session)
     Context.master = "local[4]"
     assert store.shared_dir(Session).startswith("file:")
+
+
+def test_deduplicate_keeps_rows_and_not_ids(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in ("left", "right"))
+    rows = [(2, a), (3, a), (3, b), (4, a.replace("left7 ", "other ")), (5, "one two"), (5, "ONE two"), (6, "one two three"), (7, "w " * 9), (8, "w w w w w"), (9, b + " end")]
+    for given in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(given, "doc_id long, text string").withColumn("rid", F.lit("clash")).withColumn("identity", F.lit(1))
+        kept = simhash.deduplicate(df)
+        assert kept.columns == df.columns
+        got = sorted((r.doc_id, r.text.lower()) for r in kept.collect())
+        assert got == [(2, a), (3, b), (4, rows[3][1]), (5, "one two"), (6, "one two three"), (7, "w " * 9)]
