@@ -2,79 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.sources.store import cut_lineage
+from brindle.operators import vector_index
 
-#: Rows of a block of either side, and of queries multiplied at once.
-BLOCK, STRIP = 8192, 256
-TOLERANCE = 1e-3
 
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Embeddings as rows; one that is not of unit length, or of another
-    length than the first, is an error."""
-    vectors = column.combine_chunks()
-    if len(vectors) == 0:
-        return np.zeros((0, 0))
-    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
-    if vectors.null_count or (sizes != sizes[0]).any():
-        raise ValueError("embeddings are missing or differ in length")
-    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), int(sizes[0]))
-    if (np.abs(np.sqrt((rows * rows).sum(1)) - 1) > TOLERANCE).any():
-        raise ValueError("embedding is not of unit length")
-    return rows
-
-
-def _block_best(k: int, exclude_self: bool):
-    """applyInArrow body: the best k visits of a block for each query of one."""
-
-    def of(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_seq", "timestep", "visit_seq", "similarity"]
-        kinds = [pa.int64(), left.schema.field("timestep").type, pa.int64(), pa.float64()]
-        right = right.take(pc.sort_indices(right, [("visit_seq", "ascending")]))
-        q, v = _matrix(left.column("q")), _matrix(right.column("v"))
-        if not len(q) or not len(v):
-            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=names)
-        seq, visit, found = left.column("query_seq").to_numpy(), right.column("visit_seq").to_numpy(), []
-        for at in range(0, len(q), STRIP):
-            near = np.round(q[at : at + STRIP] @ v.T, 9)
-            if exclude_self:
-                near[seq[at : at + STRIP, None] == visit] = -np.inf
-            # Visits are in order, so a stable sort breaks ties by visit_seq.
-            best = np.argsort(-near, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(near, best, 1)
-            row, col = np.nonzero(value > -np.inf)
-            found.append((seq[at + row], visit[best[row, col]], value[row, col]))
-        a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
-        step = pa.array([left.column("timestep")[0].as_py()] * len(a), kinds[1])
-        return pa.Table.from_arrays([pa.array(a), step, pa.array(b), pa.array(c)], names=names)
-
-    return of
-
-
-def nearest(queries: DataFrame, visits: DataFrame, k: int = 5, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, visits: DataFrame, k: int = 5, exclude_self: bool = False, leaf: int = vector_index.LEAF) -> DataFrame:
     """query_seq, timestep, visit_seq, similarity, rank of each query's k
-    nearest visits of the same timestep; ties by visit_seq.
-
-    Both sides of a timestep are dealt into blocks of about ``block`` rows, as
-    many as the timestep's rows ask for, so a hot timestep is many tasks. A
-    pair of blocks is one matrix product, of which each query's best k leave
-    the task; the product is never a table."""
-    sizes = lambda rows, name: rows.groupBy("timestep").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    parts = cut_lineage(sizes(queries, "nq").join(sizes(visits, "nv"), "timestep"), "parts")
-    own = lambda n: F.pmod(F.xxhash64("visit_seq"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = queries.join(parts, "timestep").select(F.col("visit_seq").cast("long").alias("query_seq"), "timestep", F.col("embedding").alias("q"), own("nq").alias("qb"), every("nv").alias("vb"))
-    v = visits.join(parts, "timestep").select(F.col("visit_seq").cast("long").alias("visit_seq"), F.col("timestep").alias("step"), F.col("embedding").alias("v"), own("nv").alias("own"), every("nq").alias("other"))
-    kind = queries.schema["timestep"].dataType.simpleString()
-    local = q.groupBy("timestep", "qb", "vb").cogroup(v.groupBy("step", "other", "own")).applyInArrow(_block_best(k, exclude_self), f"query_seq bigint, timestep {kind}, visit_seq bigint, similarity double")
-    order = Window.partitionBy("query_seq").orderBy(F.desc("similarity"), "visit_seq")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    nearest visits of the same timestep; ties by visit_seq. The visits are
+    indexed for it: see ``vector_index``."""
+    return vector_index.search(vector_index.build(visits, leaf), queries, k, exclude_self)
 
 
 def distance_from_trajectory(queries: DataFrame, visits: DataFrame, trajectory: str = "trajectory_id", k: int = 5, exclude_self: bool = False) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.operators import graph as G
-from brindle.operators import knn
+from brindle.operators import knn, vector_index
 from brindle.plans.common import rounded, sql_rounded
+from brindle.sources import artifacts as A
 from brindle.sources import fixtures as X
+from brindle.sources.store import placed
 
 QUERIES, ORACLES = {}, {}
 MIN = 5
@@ -149,6 +151,18 @@ QUERIES["join_knn"] = nearest
 ORACLES["join_knn"] = f"WITH {KNN} SELECT query_seq, timestep, visit_seq, {sql_rounded('similarity', 'similarity')}, rank FROM kn WHERE rank <= 5"
 
 
+def nearest_by_index(spark, sf_dir):
+    """bld_vec, snk_vec, src_vec: an index of small leaves is saved, read back
+    and searched."""
+    v, path = X.visits(spark, sf_dir), placed(spark, "vector-index")
+    A.save_index(vector_index.build(v, leaf=64), path)
+    return vector_index.search(A.load_index(spark, path), v, 5).select("query_seq", "timestep", "visit_seq", rounded("similarity"), "rank")
+
+
+QUERIES["knn_index"] = nearest_by_index
+ORACLES["knn_index"] = ORACLES["join_knn"]
+
+
 def distance(spark, sf_dir):
     v = X.visits(spark, sf_dir)
     return knn.distance_from_trajectory(v.withColumn("trajectory_id", F.pmod("visit_seq", F.lit(50))), v, k=5).select("trajectory_id", rounded("distance_from_trajectory"))

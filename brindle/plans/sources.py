@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from brindle.operators import evaluate, graph, guards, trajectory
@@ -13,15 +11,11 @@ from brindle.plans.scores import PER_TRAJECTORY
 from brindle.sources import artifacts as A
 from brindle.sources import fixtures as X
 from brindle.sources import questions as Q
-from brindle.sources.store import shared_dir
+from brindle.sources.store import placed
 
 QUERIES, ORACLES = {}, {}
 
 
-def _place(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _artifact(spark, sf_dir):
     """The fixture's states as cached trajectories: JSON columns, positions,
     actions, and whole trajectories only."""
@@ -41,7 +35,7 @@ def _artifact(spark, sf_dir):
 
 def cached_trajectories(spark, sf_dir):
     """snk_cached_traj, src_cached_traj, src_row_decoders, src_prerecovered."""
-    path = _place(spark, "trajectories")
+    path = placed(spark, "trajectories")
     A.save_trajectories(*_artifact(spark, sf_dir), path, source_dataset="orders", condition_id="C")
     trajectories, states = A.StoredTrajectories(spark, path).load()
     told = states.join(trajectories.select("trajectory_id", "outcome"), "trajectory_id")
@@ -55,7 +49,7 @@ ORACLES["cached_trajectories"] = f"""WITH {X.STATES}, {X.TRUTH} SELECT CAST(traj
 
 def nested_trajectories(spark, sf_dir):
     """src_iter's rows: a trajectory with its states in order."""
-    path = _place(spark, "trajectories")
+    path = placed(spark, "trajectories")
     A.save_trajectories(*_artifact(spark, sf_dir), path)
     rows = A.nested(*A.load_trajectories(spark, path))
     return rows.select("trajectory_id", "n_states", F.array_join(F.transform("states", lambda s: s["node_id"]), ",").alias("walk"))
@@ -67,7 +61,7 @@ ORACLES["nested_trajectories"] = f"WITH {X.STATES} SELECT CAST(trajectory_id AS
 
 def graph_round_trip(spark, sf_dir):
     """snk_graph, src_graph; g_builder checks the edges as they are saved."""
-    path = _place(spark, "graph")
+    path = placed(spark, "graph")
     A.save_graph(*_graph(spark, sf_dir), path, extra={"min_count": 5})
     nodes, edges = A.load_graph(spark, path)
     leaving = edges.groupBy(F.col("source_id").alias("node_id")).agg(F.count("*").alias("out_degree"), F.sum("frequency").alias("moves"))
@@ -81,7 +75,7 @@ ORACLES["graph_round_trip"] = f"WITH {BASE} SELECT node_id, visit_count, out_deg
 def visits_round_trip(spark, sf_dir):
     """snk_visits, src_visits, bld_vec, snk_vec, src_vec: visits by timestep
     and the manifest's numbers."""
-    path = _place(spark, "visits")
+    path = placed(spark, "visits")
     v = X.visits(spark, sf_dir).select("visit_seq", F.col("visit_seq").cast("string").alias("trajectory_id"), "timestep", F.concat(F.lit("n"), F.col("timestep").cast("string")).alias("node_id"), "embedding")
     A.save_visits(v, path)
     manifest = spark.createDataFrame([(k, n) for k, n in A.vector_manifest(spark, path).items()], "timestep int, listed long")
@@ -95,7 +89,7 @@ ORACLES["visits_round_trip"] = "SELECT label AS timestep, count(*) AS n, min(vec
 
 def scores_round_trip(spark, sf_dir):
     """snk_scores, src_scores, src_weights."""
-    path, weights = _place(spark, "scores"), {"entropy_plateau": 0.5, "composite": 0.5}
+    path, weights = placed(spark, "scores"), {"entropy_plateau": 0.5, "composite": 0.5}
     found = trajectory.scores(X.states(spark, sf_dir)).select("trajectory_id", "entropy_plateau", F.lit(0.0).alias("voi_flatness"), F.lit(0.0).alias("distance_from_trajectory"), F.col("mean_entropy").alias("composite"))
     A.save_scores(found, path, weights, {"condition_c": 1})
     back = A.load_weights(spark, path)
@@ -108,7 +102,7 @@ ORACLES["scores_round_trip"] = f"WITH {PER_TRAJECTORY} SELECT trajectory_id, {sq
 
 def assembly_round_trip(spark, sf_dir):
     """snk_ai, src_ai."""
-    path = _place(spark, "assembly")
+    path = placed(spark, "assembly")
     A.save_assembly(assembly(spark, sf_dir).withColumnRenamed("assembly_index_unweighted", "assembly_index"), path)
     return A.load_table(spark, path).groupBy("assembly_index").agg(F.count("*").alias("n"))
 
@@ -122,7 +116,7 @@ def resumed_log(spark, sf_dir):
     """snk_jsonl_append, checkpoint, join_anti_resume: half of the work is in
     the log already, the rest is done in three pieces and logged."""
     work = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"))
-    path = _place(spark, "log")
+    path = placed(spark, "log")
     A.append_json(work.where("question_id % 2 = 0").withColumn("turn", F.lit(1)), path)
     return A.resumed(spark, work, path, lambda todo: todo.withColumn("turn", F.lit(2)), parts=3).select("question_id", F.col("turn").cast("int").alias("turn"))
 
@@ -135,7 +129,7 @@ def results_round_trip(spark, sf_dir):
     """snk_csv/json: result tables as one CSV file each, and their summary."""
     found = trajectory.scores(X.states(spark, sf_dir)).select("trajectory_id", F.round("mean_entropy", 6).alias("mean_entropy"))
     areas = evaluate.deferral_auc(evaluate.long_scores(found, X.truth(spark, sf_dir), ["mean_entropy"])).select("score_column", "n_pos", "n_neg")
-    path = _place(spark, "results")
+    path = placed(spark, "results")
     A.save_results({"scores": found, "areas": areas}, {"rows": 1}, path)
     return A.load_results(spark, path, "areas").select("score_column", F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg")).withColumn("scores", F.lit(A.load_results(spark, path, "scores").count()))
 
@@ -205,9 +199,9 @@ def guard_verdicts(spark, sf_dir):
         "both_classes": (lambda: evaluate.require_both_classes(truth), lambda: evaluate.require_both_classes(truth.where("target = 1"))),
         "columns": (lambda: A.require_columns(s, ("node_id",)), lambda: A.require_columns(s, ("nothing",))),
         "json": (lambda: A.require_json(s, ["metadata_json"]), lambda: A.require_json(s.withColumn("metadata_json", F.lit("{")), ["metadata_json"])),
-        "cached": (lambda: A.save_trajectories(t, s, _place(spark, "t")), lambda: A.save_trajectories(t, s.where("position <> 1"), _place(spark, "t"))),
+        "cached": (lambda: A.save_trajectories(t, s, placed(spark, "t")), lambda: A.save_trajectories(t, s.where("position <> 1"), placed(spark, "t"))),
         "class": (lambda: graph.edges_by_class(edges, 0), lambda: graph.edges_by_class(edges, 9)),
-        "missing": (lambda: A.write_file(spark, place := _place(spark, "file"), "x") or A.read_file(spark, place), lambda: A.read_file(spark, _place(spark, "file"))),
+        "missing": (lambda: A.write_file(spark, place := placed(spark, "file"), "x") or A.read_file(spark, place), lambda: A.read_file(spark, placed(spark, "file"))),
     }
     return spark.createDataFrame([(name, _raises(good), _raises(bad)) for name, (good, bad) in checks.items()], "name string, raises boolean, broken_raises boolean")
 

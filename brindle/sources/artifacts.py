@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import guards
+from brindle.operators.vector_index import Index
 
 # The artifacts' versions and columns.
 TRAJECTORIES_VERSION, READS = 3, (1, 2, 3)
@@ -274,6 +275,22 @@ def load_visits(spark: SparkSession, path: str) -> DataFrame | None:
     return found.select(*VISIT_COLUMNS)
 
 
+def save_index(index: Index, path: str) -> None:
+    """A vector index: its tree of centres and radii, and the members in a
+    folder for each timestep, with the leaf that each is in."""
+    with swapped(index.tree.sparkSession, path, True) as temp:
+        index.members.repartition("timestep", "node").write.partitionBy("timestep").parquet(f"{temp}/members.parquet")
+        index.tree.write.parquet(f"{temp}/tree.parquet")
+        kind = index.members.schema["timestep"].dataType.simpleString()
+        _put_metadata(index.tree.sparkSession, temp, {"schema_version": VISITS_VERSION, "depth": index.depth, "timestep": kind})
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    found = _checked(spark, path, (VISITS_VERSION,))
+    members = spark.read.parquet(f"{path}/members.parquet").withColumn("timestep", F.col("timestep").cast(found["timestep"]))
+    return Index(members.select("visit_seq", "timestep", "embedding", "node"), spark.read.parquet(f"{path}/tree.parquet"), found["depth"])
+
+
 def save_table(df: DataFrame, path: str, required: tuple[str, ...], extra: dict | None = None, overwrite: bool = True) -> None:
     """One table with metadata: scores, assembly indices."""
     require_columns(df, required)

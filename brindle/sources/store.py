@@ -22,10 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
 _written: dict[str, SparkSession] = {}
 
 
+def placed(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there is deleted in the end."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _written[path] = df.sparkSession
+    path = placed(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.functions import uncertainty as U
-from brindle.operators import conditions, evaluate, graph, guards, knn, measure, ordered, signatures, stats, trajectory
+from brindle.operators import conditions, evaluate, graph, guards, knn, measure, ordered, signatures, stats, trajectory, vector_index
 from brindle.sources import artifacts
 from brindle.streaming import scoring
 
@@ -210,7 +210,7 @@ def test_neighbours_by_blocks_equal_brute_force(spark):
     v = spark.createDataFrame(rows, "visit_seq long, timestep int, embedding array<float>")
     y = np.array([np.float32(r[2]) for r in rows], float)
     for exclude in (False, True):
-        got = {(r.query_seq, r["rank"]): r.visit_seq for r in knn.nearest(v, v, 4, exclude, block=40).collect()}
+        got = {(r.query_seq, r["rank"]): r.visit_seq for r in knn.nearest(v, v, 4, exclude, leaf=40).collect()}
         for i in range(0, 300, 17):
             near = sorted((-round(float(y[i] @ y[j]), 9), j) for j in range(300) if rows[i][1] == rows[j][1] and not (exclude and i == j))[:4]
             assert [got[i, k + 1] for k in range(4)] == [j for _, j in near]
@@ -218,6 +218,38 @@ def test_neighbours_by_blocks_equal_brute_force(spark):
         knn.nearest(v, v.withColumn("embedding", F.when(F.col("visit_seq") > 0, F.col("embedding")))).collect()
 
 
+def test_index_leaves_out_clusters_and_nothing_else(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 8))
+    x = np.concatenate([centres[rng.integers(0, 12, 500)] + 0.05 * rng.normal(size=(500, 8)), np.repeat(centres[:1], 60, 0)])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("float32")
+    v = spark.createDataFrame([(i, i % 2, x[i].tolist()) for i in range(560)], "visit_seq long, timestep int, embedding array<float>")
+    monkeypatch.setattr(vector_index, "FAN", 4)
+    monkeypatch.setattr(vector_index, "BLOCK", 50)
+    index = vector_index.build(v, leaf=30)
+    sizes = {(r.timestep, r.node): r["count"] for r in index.members.groupBy("timestep", "node").count().collect()}
+    assert sum(sizes.values()) == 560 and index.depth > 1 and len(sizes) > 12
+    for r in index.tree.collect():
+        assert r.n == sum(n for (t, node), n in sizes.items() if t == r.timestep and (node + ".").startswith(r.node + "."))
+    artifacts.save_index(index, f"file://{tmp_path}/index")
+    index = artifacts.load_index(spark, f"file://{tmp_path}/index")
+    y = x.astype(float)
+    for exclude, k in ((False, 3), (True, 5), (False, 100)):
+        got = {(r.query_seq, r["rank"]): r.visit_seq for r in vector_index.search(index, v, k, exclude).collect()}
+        for i in range(0, 560, 29):
+            near = sorted((-round(float(y[i] @ y[j]), 9), j) for j in range(i % 2, 560, 2) if not (exclude and i == j))[:k]
+            assert [got.get((i, n + 1)) for n in range(k)] == [j for _, j in near]
+    # Of all pairs of a query and a leaf of its timestep few are looked at.
+    _, further = vector_index.reached(index, v, 3, False)
+    pairs = sum(280 for _ in sizes)
+    assert 560 + further.count() < pairs / 3
+    other = v.where("visit_seq < 5").withColumn("timestep", F.lit(9))
+    assert vector_index.search(index, other, 3).count() == 0 and vector_index.search(index, v.limit(0), 3).count() == 0
+    assert vector_index.search(vector_index.build(v.limit(0)), v, 3).count() == 0
+
+
 def test_trajectory_defaults(spark):
     s = spark.createDataFrame([(1, 0, None, None), (2, 0, {"A": 0.5, "B": 0.5}, 0.9), (2, 1, None, None), (2, 2, {"A": 1.0, "B": 0.0}, 0.8)], "trajectory_id int, position int, distribution map<string,double>, mass_capture double")
     got = {r.trajectory_id: r for r in trajectory.scores(s).collect()}
