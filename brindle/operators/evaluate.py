@@ -7,11 +7,13 @@ Input is long: one row a (score_column, unit) with ``score`` and a 0/1
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.uncertainty import clipped, present
-from brindle.operators import resample
+from brindle.operators import guards, resample
 from brindle.operators.ordered import ordered_sums, quantiles, rank_percentile
 from brindle.sources.store import cut_lineage
 
@@ -30,10 +32,17 @@ def long_scores(scores: DataFrame, truth: DataFrame, columns: list[str], unit: s
     if missing:
         raise EvaluationError(f"columns not found: {missing}")
     require_both_classes(truth, target)
-    # Written, as areas and totals both read it and so does the check.
-    joined = cut_lineage(scores.select(unit, *columns).join(truth.select(unit, F.col(target).alias("target"), *extra), unit), "joined")
-    if joined.isEmpty():
+    # Written, as areas and totals both read it; the counts are seen meanwhile.
+    found = scores.select(unit, *columns).join(truth.select(unit, F.col(target).alias("target"), *extra), unit)
+    metrics = {"n": F.count(F.lit(1))} | {f"none_{i}": F.sum((~present(F.col(c).cast("double"))).cast("long")) for i, c in enumerate(columns)}
+    found, seen = guards.watched(found, metrics)
+    joined = cut_lineage(found, "joined")
+    counts = seen.get
+    if not counts.get("n"):
         raise EvaluationError(f"no {unit} is in both the scores and the labels")
+    dropped = {c: counts[f"none_{i}"] for i, c in enumerate(columns) if counts[f"none_{i}"]}
+    if dropped:
+        warnings.warn(f"of {counts['n']} rows these scores are missing and left out: {dropped}", stacklevel=2)
     pairs = F.array(*[F.struct(F.lit(c).alias("score_column"), F.col(c).cast("double").alias("score")) for c in columns])
     return joined.select(unit, "target", *extra, F.inline(pairs))
 

@@ -1,8 +1,16 @@
-"""Checks that raise eagerly; each costs one small aggregate when called."""
+"""Checks of invariants, as tables of what breaks them and as errors.
+
+Guards over groups (nodes, trajectories, edges) are DataFrames of the groups at
+fault. Guards over all rows are metrics that are observed while the rows are
+written or aggregated for their own purpose, and looked at after: they cost no
+job. The functions that raise are for tables that nothing else reads yet.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -10,12 +18,35 @@ class GuardError(ValueError):
     """Data that break an invariant."""
 
 
+# What a measurement's provenance is told by.
+PROVENANCE = ("adapter_name", "model", "quantization", "schema_version")
+
+
+def watched(rows: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """``rows``, and what is known of them once an action has read them."""
+    seen = Observation(f"guard-{uuid.uuid4().hex}")
+    return rows.observe(seen, *[m.alias(name) for name, m in metrics.items()]), seen
+
+
+def embedding_metrics(column: str = "embedding") -> dict[str, Column]:
+    return {"states": F.count(F.lit(1)), "embedded": F.count(column)}
+
+
+def embeddings_verdict(seen: dict) -> bool:
+    if 0 < seen.get("embedded", 0) < seen["states"]:
+        raise GuardError(f"{seen['embedded']} of {seen['states']} states have an embedding")
+    return seen.get("embedded", 0) > 0
+
+
 def embeddings_uniform(states: DataFrame, column: str = "embedding") -> bool:
     """Whether states have embeddings; some with and some without raise."""
-    n = states.agg(F.count("*").alias("all"), F.count(column).alias("some")).first()
-    if 0 < n["some"] < n["all"]:
-        raise GuardError(f"{n['some']} of {n['all']} states have an embedding")
-    return n["some"] > 0
+    return embeddings_verdict(states.agg(*[m.alias(n) for n, m in embedding_metrics(column).items()]).first().asDict())
+
+
+def embedding_gaps(states: DataFrame, by: list[str], column: str = "embedding") -> DataFrame:
+    """``by``, states, embedded: groups of which some have an embedding and
+    some have none."""
+    return states.groupBy(*by).agg(*[m.alias(n) for n, m in embedding_metrics(column).items()]).where("embedded > 0 and embedded < states")
 
 
 def metadata_conflicts(states: DataFrame, column: str = "metadata_json") -> DataFrame:
@@ -30,32 +61,65 @@ def metadata_consistent(states: DataFrame, column: str = "metadata_json") -> Non
         raise GuardError("nodes with differing metadata: " + ", ".join(str(r["node_id"]) for r in bad))
 
 
-# What a measurement's provenance is told by.
-PROVENANCE = ("adapter_name", "model", "quantization", "schema_version")
+def provenance_metrics(metadata: str = "metadata", keys: tuple[str, ...] = PROVENANCE) -> dict[str, Column]:
+    value = lambda k: F.try_element_at(metadata, F.lit(k))
+    return {f"{end}_{k}": least(value(k)) for k in keys for end, least in (("lo", F.min), ("hi", F.max))}
 
 
-def one_provenance(states: DataFrame, metadata: str = "metadata", keys: tuple[str, ...] = PROVENANCE, force: bool = False) -> None:
-    """At most one value of each key over all states."""
-    found = states.agg(*[F.min(F.try_element_at(metadata, F.lit(k))).alias(f"lo_{i}") for i, k in enumerate(keys)], *[F.max(F.try_element_at(metadata, F.lit(k))).alias(f"hi_{i}") for i, k in enumerate(keys)]).first()
-    mixed = [k for i, k in enumerate(keys) if found[f"lo_{i}"] != found[f"hi_{i}"]]
+def provenance_verdict(seen: dict, keys: tuple[str, ...] = PROVENANCE, force: bool = False) -> None:
+    mixed = [k for k in keys if seen.get(f"lo_{k}") != seen.get(f"hi_{k}")]
     if mixed and not force:
         raise GuardError(f"mixed provenance: {mixed}")
 
 
+def one_provenance(states: DataFrame, metadata: str = "metadata", keys: tuple[str, ...] = PROVENANCE, force: bool = False) -> None:
+    """At most one value of each key over all states."""
+    provenance_verdict(states.agg(*[m.alias(n) for n, m in provenance_metrics(metadata, keys).items()]).first().asDict(), keys, force)
+
+
+def provenance_conflicts(states: DataFrame, by: list[str], metadata: str = "metadata", keys: tuple[str, ...] = PROVENANCE) -> DataFrame:
+    """``by`` and the comma-joined ``mixed`` keys of groups with several values
+    of one."""
+    found = states.groupBy(*by).agg(*[m.alias(n) for n, m in provenance_metrics(metadata, keys).items()])
+    mixed = F.array_compact(F.array(*[F.when(F.col(f"lo_{k}") != F.col(f"hi_{k}"), k) for k in keys]))
+    return found.select(*by, F.array_join(mixed, ",").alias("mixed")).where("mixed <> ''")
+
+
+def broken_trajectories(states: DataFrame) -> DataFrame:
+    """trajectory_id, n, d, lo, hi of trajectories whose positions are not 0
+    to n - 1."""
+    each = states.groupBy("trajectory_id").agg(F.count("*").alias("n"), F.count_distinct("position").alias("d"), F.min("position").alias("lo"), F.max("position").alias("hi"))
+    return each.where("n <> d or lo <> 0 or hi <> n - 1")
+
+
 def trajectories_whole(states: DataFrame) -> None:
     """Positions of a trajectory are 0 to n - 1."""
-    each = states.groupBy("trajectory_id").agg(F.count("*").alias("n"), F.count_distinct("position").alias("d"), F.min("position").alias("lo"), F.max("position").alias("hi"))
-    if not each.where("n <> d or lo <> 0 or hi <> n - 1").isEmpty():
+    if not broken_trajectories(states).isEmpty():
         raise GuardError("positions are not 0, 1, ... of some trajectory")
 
 
+def edge_faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """source_id, action_id, target_id, fault of edges that repeat, have a
+    negative frequency or an unknown end; the first fault of these counts."""
+    each = edges.groupBy("source_id", "action_id", "target_id").agg(F.count("*").alias("n"), F.min("frequency").alias("least"))
+    for end in ("source", "target"):
+        known = nodes.select(F.col("node_id").alias(f"{end}_id"), F.lit(True).alias(f"known_{end}")).distinct()
+        each = each.join(known, f"{end}_id", "left")
+    fault = F.when(F.col("n") > 1, "repeats").when(F.col("least") < 0, "negative").when(F.col("known_source").isNull() | F.col("known_target").isNull(), "unknown node")
+    return each.select("source_id", "action_id", "target_id", fault.alias("fault")).where("fault is not null")
+
+
 def edges_valid(nodes: DataFrame, edges: DataFrame) -> None:
     """Endpoints exist, keys are unique, frequencies are not negative."""
-    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("node_id")).distinct()
-    if not ends.join(nodes, "node_id", "left_anti").isEmpty():
-        raise GuardError("an edge ends at an unknown node")
-    if not edges.groupBy("source_id", "action_id", "target_id").agg(F.count("*").alias("n"), F.min("frequency").alias("f")).where("n > 1 or f < 0").isEmpty():
-        raise GuardError("an edge repeats or has a negative frequency")
+    bad = edge_faults(nodes, edges).first()
+    if bad is not None:
+        raise GuardError(f"an edge from {bad['source_id']} to {bad['target_id']}: {bad['fault']}")
+
+
+def weights_ok(weights: Column) -> Column:
+    """Whether a map of weights has none below 0 and a sum of 1."""
+    values = F.map_values(weights)
+    return ~F.exists(values, lambda w: w < 0) & (F.abs(F.aggregate(values, F.lit(0.0), lambda a, w: a + w) - 1) <= 1e-6)
 
 
 def weights_valid(weights: dict[str, float]) -> None:
@@ -63,6 +127,12 @@ def weights_valid(weights: dict[str, float]) -> None:
         raise GuardError("weights must not be negative and sum to 1")
 
 
+def keys_differ(a: Column, b: Column) -> Column:
+    """The keys that only one of two maps has, in order, comma-joined."""
+    x, y = F.map_keys(a), F.map_keys(b)
+    return F.array_join(F.array_sort(F.concat(F.array_except(x, y), F.array_except(y, x))), ",")
+
+
 def same_keys(a: dict, b: dict) -> None:
     if set(a) != set(b):
         raise GuardError(f"keys differ: {sorted(set(a) ^ set(b))}")

@@ -58,12 +58,23 @@ def _ranged(rows: DataFrame, keys: list[str], value: str, per_range: int) -> Dat
     return cut_lineage(rows.join(place, [*keys, value]), "ranged")
 
 
-def _blocks(rows: DataFrame, n: int) -> DataFrame:
-    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // BLOCK))))
+def _runs(rows: DataFrame, keys: list[str], n: int) -> int:
+    """How many replicates a task draws for its range: all, unless there are
+    fewer ranges than twice the session's cores. Then a range goes to several
+    tasks, so that what is copied is bounded by the cores and not by the rows.
+    Every replicate has counts of its own, so this changes no result."""
+    ranges = rows.select(*keys, "_cut").distinct().count()
+    tasks = -(-2 * rows.sparkSession.sparkContext.defaultParallelism // max(1, ranges))
+    return BLOCK * -(-n // (BLOCK * max(1, min(tasks, -(-n // BLOCK)))))
 
 
-def _of_block(block: int, n: int) -> range:
-    return range(block * BLOCK, min(n, (block + 1) * BLOCK))
+def _blocks(rows: DataFrame, n: int, run: int) -> DataFrame:
+    """``rows`` once for each ``run`` of replicates."""
+    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // run))))
+
+
+def _of_block(block: int, n: int, run: int = BLOCK) -> range:
+    return range(block * run, min(n, (block + 1) * run))
 
 
 def _below(sums: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -99,14 +110,16 @@ def bootstrap_areas(long: DataFrame, keys: list[str], n: int = 5000, seed: int =
     has NaN."""
     kept = long.where(present(F.col("score")))
     groups = kept.groupBy(*keys, "score").agg(F.sum("target").cast("long").alias("pos"), F.sum(1 - F.col("target")).cast("long").alias("neg"))
-    dealt = _blocks(_ranged(groups, keys, "score", per_range), n)
+    ranged = _ranged(groups, keys, "score", per_range)
+    run = _runs(ranged, keys, n)
+    dealt = _blocks(ranged, n, run)
     kinds = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "_cut bigint", "replicate int", "p double", "n double", "area double", "precision double"])
 
     def drawn(part: pd.DataFrame):
         part = part.sort_values("score")
         pos, neg, cut = part["pos"].to_numpy(), part["neg"].to_numpy(), int(part["_cut"].iloc[0])
-        for b in _of_block(int(part["_block"].iloc[0]), n):
+        for b in _of_block(int(part["_block"].iloc[0]), n, run):
             rng = np.random.default_rng([seed, cut, b])
             yield cut, b, rng.poisson(pos), rng.poisson(neg)
 
@@ -119,7 +132,7 @@ def bootstrap_areas(long: DataFrame, keys: list[str], n: int = 5000, seed: int =
 
     by = [*keys, "_cut", "_block"]
     sums = cut_lineage(dealt.groupBy(*by).applyInPandas(first, schema), "resampled")
-    below = cut_lineage(_below(sums, keys, ["p", "n"]).withColumn("_block", F.floor(F.col("replicate") / BLOCK).cast("int")), "below")
+    below = cut_lineage(_below(sums, keys, ["p", "n"]).withColumn("_block", F.floor(F.col("replicate") / run).cast("int")), "below")
 
     # Ranges with others above them count their precision again below those.
     def second(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -171,13 +184,15 @@ def _unpivoted(rows: DataFrame, unit: str, columns: list[str], target: str | Non
 
 def _column_sums(long: DataFrame, n: int, seed: int, per_range: int) -> DataFrame:
     """_column, _cut, replicate, p, n, area of the columns' ranges."""
-    dealt = _blocks(_ranged(long, ["_column"], "_value", per_range), n)
+    ranged = _ranged(long, ["_column"], "_value", per_range)
+    run = _runs(ranged, ["_column"], n)
+    dealt = _blocks(ranged, n, run)
 
     def of(part: pd.DataFrame) -> pd.DataFrame:
         _, tie = np.unique(part["_value"].to_numpy(), return_inverse=True)
         units, y = part["_unit"].to_numpy(), part["_target"].to_numpy()
         rows = []
-        for b in _of_block(int(part["_block"].iloc[0]), n):
+        for b in _of_block(int(part["_block"].iloc[0]), n, run):
             w = unit_counts(units, b, seed)
             rows.append((part["_column"].iloc[0], int(part["_cut"].iloc[0]), b, *_sums(np.bincount(tie, w * y), np.bincount(tie, w * (1 - y)))))
         return pd.DataFrame(rows, columns=["_column", "_cut", "replicate", "p", "n", "area"])
@@ -189,7 +204,7 @@ def spearman_bootstrap(rows: DataFrame, unit: str, a: str, b: str, n: int = 2000
     """replicate, rho: the rank correlation of ``a`` and ``b`` in resamples of
     the units. Ranks are made range by range and meet by unit, a row a unit
     and ``BLOCK`` replicates."""
-    dealt = _blocks(_ranged(_unpivoted(rows, unit, [a, b], None), ["_column"], "_value", per_range), n)
+    dealt = _blocks(_ranged(_unpivoted(rows, unit, [a, b], None), ["_column"], "_value", per_range), n, BLOCK)
     sums = _column_sums(_unpivoted(rows, unit, [a, b], None), n, seed, per_range)
     below = cut_lineage(_below(sums, ["_column"], ["n"]).withColumn("_block", F.floor(F.col("replicate") / BLOCK).cast("int")), "below")
     by = ["_column", "_cut", "_block"]

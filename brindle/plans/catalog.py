@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that hold registered queries, in build order.
-MODULES: tuple[str, ...] = ("scores", "evaluation", "graph", "text", "stats", "measure", "extras", "sources")
+MODULES: tuple[str, ...] = ("scores", "evaluation", "graph", "text", "stats", "measure", "extras", "sources", "guards")
 
 
 def queries() -> dict[str, Query]:

@@ -194,3 +194,32 @@ def distributed_auc(spark, sf_dir):
 
 QUERIES["state_level_auc"] = distributed_auc
 ORACLES["state_level_auc"] = f"WITH {X.STATES}, {X.TRUTH}, lg AS (SELECT 'entropy' AS score_column, round(h, 6) AS score, target FROM ent JOIN truth USING (trajectory_id) WHERE dist IS NOT NULL UNION ALL SELECT 'mass', round(mass_capture, 6), target FROM ent JOIN truth USING (trajectory_id) WHERE dist IS NOT NULL), {auc_sql('lg')} SELECT score_column, {sql_rounded('roc_auc', 'roc_auc')}, {sql_rounded('pr_auc', 'pr_auc')}, n_pos, n_neg FROM roc JOIN pr USING (score_column)"
+
+
+def _domains(spark, sf_dir):
+    orders = X.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("target"), "o_orderpriority")
+    names = [f"{k}-{n}" for k, n in zip("12345", ("URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW"), strict=True)]
+    return {n: orders.where(F.col("o_orderpriority") == n) for n in names}
+
+
+def cross_domain(spark, sf_dir):
+    """Domains (order priorities) with labels of their own."""
+    d = _domains(spark, sf_dir)
+    found = E.grouped_comparison(d, d, "domain", "o_totalprice", unit="o_orderkey", compute_ci=False)
+    return found.select("domain", rounded("roc_auc"), "n_pos", "n_neg")
+
+
+def cross_llm(spark, sf_dir):
+    """Models with a score column each, on the same labels."""
+    orders = X.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.pmod("o_custkey", F.lit(97)).cast("double").alias("rest"), (F.col("o_orderstatus") == "F").cast("int").alias("target"))
+    found = E.grouped_comparison({"price": orders, "customer": orders}, orders, "model", {"price": "o_totalprice", "customer": "rest"}, unit="o_orderkey", compute_ci=False)
+    return found.select("model", rounded("roc_auc"), "n_pos", "n_neg")
+
+
+_AREA = "(sum(r) FILTER (t = 1) - count(*) FILTER (t = 1) * (count(*) FILTER (t = 1) + 1) / 2) / (count(*) FILTER (t = 1) * count(*) FILTER (t = 0))"
+_AREAS = lambda key, rows: f"""WITH o AS ({rows}), r AS (SELECT *, rank() OVER (PARTITION BY {key} ORDER BY s) + (count(*) OVER (PARTITION BY {key}, s) - 1) / 2 AS r FROM o)
+SELECT {key}, {sql_rounded(_AREA, 'roc_auc')}, count(*) FILTER (t = 1) AS n_pos, count(*) FILTER (t = 0) AS n_neg FROM r GROUP BY 1"""
+QUERIES["cross_domain"] = cross_domain
+ORACLES["cross_domain"] = _AREAS("domain", "SELECT o_orderpriority AS domain, o_totalprice AS s, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS t FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')")
+QUERIES["cross_llm"] = cross_llm
+ORACLES["cross_llm"] = _AREAS("model", "SELECT 'price' AS model, o_totalprice AS s, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS t FROM orders UNION ALL SELECT 'customer', o_custkey % 97, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END FROM orders")

@@ -155,7 +155,7 @@ def nearest_by_index(spark, sf_dir):
     """bld_vec, snk_vec, src_vec: an index of small leaves is saved, read back
     and searched."""
     v, path = X.visits(spark, sf_dir), placed(spark, "vector-index")
-    A.save_index(vector_index.build(v, leaf=64), path)
+    A.save_index(vector_index.build(v, leaf=16), path)
     return vector_index.search(A.load_index(spark, path), v, 5).select("query_seq", "timestep", "visit_seq", rounded("similarity"), "rank")
 
 

@@ -157,16 +157,17 @@ SELECT section, key, {sql_rounded('value', 'value')} FROM (
 
 
 def with_outcome(spark, sf_dir):
-    """answer_key and with_outcome: gold labels put beside trajectories."""
+    """answer_key and with_outcome: gold labels put beside trajectories, which
+    are all the parts that were ordered; some have no question."""
     q = _medqa(spark, sf_dir)
-    t = spark.range(0, 50).select(F.concat(F.lit("medqa-test-"), F.col("id").cast("string")).alias("trajectory_id"))
+    t = X.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("medqa-test-"), (F.col("l_partkey") + F.when(F.col("l_linenumber") > 5, 1_000_000).otherwise(0)).cast("string")).alias("trajectory_id")).distinct()
     return Q.with_outcome(t, Q.answer_key(q)).select("trajectory_id", "primary_label", "confidence", F.col("secondary_labels")["question_id"].alias("of"))
 
 
 QUERIES["with_outcome"] = with_outcome
 QUERIES["answer_key"] = lambda s, d: Q.answer_key(_medqa(s, d)).groupBy("primary_label").agg(F.count("*").alias("n"), F.sum("confidence").alias("sure"))
 _GOLD = "SELECT 'medqa-test-' || p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END AS gold FROM part"
-ORACLES["with_outcome"] = f"SELECT 'medqa-test-' || k AS trajectory_id, gold AS primary_label, CASE WHEN gold IS NOT NULL THEN 1.0::DOUBLE END AS confidence, id AS of FROM range(0, 50) t(k) LEFT JOIN ({_GOLD}) ON id = 'medqa-test-' || k"
+ORACLES["with_outcome"] = f"SELECT 'medqa-test-' || k AS trajectory_id, gold AS primary_label, CASE WHEN gold IS NOT NULL THEN 1.0::DOUBLE END AS confidence, id AS of FROM (SELECT DISTINCT l_partkey + CASE WHEN l_linenumber > 5 THEN 1000000 ELSE 0 END AS k FROM lineitem) LEFT JOIN ({_GOLD}) ON id = 'medqa-test-' || k"
 ORACLES["answer_key"] = f"SELECT gold AS primary_label, count(*) AS n, count(*)::DOUBLE AS sure FROM ({_GOLD}) GROUP BY 1"
 
 

@@ -121,10 +121,11 @@ def agreement(spark, sf_dir):
     from brindle.operators.ordered import ordered_sums
 
     groups = ordered_sums(d.groupBy("key", "d").agg(F.count("*").alias("n")), ["key"], "d", ["n"])
-    total = d.groupBy("key").agg(F.count("*").alias("total"), F.avg((F.col("d") <= 0.5).cast("int")).alias("within_half"), F.avg((F.col("d") <= 0.9).cast("int")).alias("within_most"))
+    # One row, which is the side to be sent; the distinct values stay where they are.
+    total = d.agg(F.count("*").alias("total"), F.avg((F.col("d") <= 0.5).cast("int")).alias("within_half"), F.avg((F.col("d") <= 0.9).cast("int")).alias("within_most"))
     place = F.bround(0.95 * (F.col("total") - 1))
     hit = (F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n"))
-    return groups.join(total, "key").where(hit).select("total", rounded("within_half"), rounded("within_most"), rounded("d", "p95"))
+    return groups.join(F.broadcast(total), F.col("before_n") <= F.col("total")).where(hit).select("total", rounded("within_half"), rounded("within_most"), rounded("d", "p95"))
 
 
 QUERIES["agreement"] = agreement

@@ -67,11 +67,13 @@ ORACLES["extract_letter"] = f"WITH {RESPONSES} SELECT doc_id, CASE WHEN answer <
 
 
 def downsample(spark, sf_dir):
-    return spark.range(1, 40).select(F.col("id").alias("n"), F.array_join(T.even_places(F.col("id").cast("int"), 10), ",").alias("places"))
+    """Ten even places of the lines of each supplier."""
+    n = X.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").cast("int").alias("n"))
+    return n.select("l_suppkey", "n", F.array_join(T.even_places(F.col("n"), 10), ",").alias("places"))
 
 
 QUERIES["downsample"] = downsample
-ORACLES["downsample"] = "SELECT n, array_to_string(CASE WHEN n <= 10 THEN range(0, n) ELSE list_transform(range(0, 10), lambda i: CAST(round_even(i * (n - 1) / 9.0::DOUBLE, 0) AS BIGINT)) END, ',') AS places FROM range(1, 40) t(n)"
+ORACLES["downsample"] = "SELECT l_suppkey, CAST(n AS INT) AS n, array_to_string(CASE WHEN n <= 10 THEN range(0, n) ELSE list_transform(range(0, 10), lambda i: CAST(round_even(i * (n - 1) / 9.0::DOUBLE, 0) AS BIGINT)) END, ',') AS places FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)"
 
 
 def questions(spark, sf_dir):
