@@ -24,6 +24,13 @@ by the vocabulary's file (50,257 pieces here) and broadcast, and a task joins a
 batch of ids with it at once, by id. (A plan with a row for each id takes more
 than the check tool's time; README has the figures.)
 
+Everything is bounded by bytes. Texts with a run of ``LONG`` characters without
+white space (minified code, scripts without spaces) are split within it as
+well, where the byte-level pattern ends a token in any case: between a letter
+or digit and a mark of punctuation. The library gets ``BATCH`` bytes of words
+at once, or one word; the number of buckets follows the bytes of distinct words
+as well as their number, and that of the chunk table's parts the texts' bytes.
+
 Splitting at added tokens (their strings in a text count as the token), the
 byte-level pattern and the merges of a word are the tokenizers library's, from
 the vocabulary file.
@@ -54,10 +61,16 @@ from brindle.llm.memory import give_back
 from brindle.llm.store import materialize_by
 
 CHUNK_CHARS = 1 << 23
-BUCKET_WORDS = 1 << 17
+BUCKET_WORDS, BUCKET_BYTES = 1 << 17, 1 << 24
+#: Bytes of text to each part of the chunk table, at least the session's number of parts.
+PART_BYTES = 1 << 27
+BATCH = 1 << 18
+#: Texts with so long a run without white space are split at INNER places too.
+LONG = 4096
+INNER = r"(?<=[A-Za-z0-9\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3])(?=[.,;:!?(){}\[\]<>=+*/\\\u3001\u3002\uFF0C\uFF01\uFF1A\uFF1B\uFF1F])"
 #: Least hashes of a chunk that the number of distinct words is estimated from.
 LEAST = 256
-CHUNK = "chunk bigint, least array<bigint>, words binary, numbers binary, ids array<{kind}>, lengths binary"
+CHUNK = "chunk bigint, least array<bigint>, n_words bigint, n_bytes bigint, words binary, numbers binary, ids array<{kind}>, lengths binary"
 
 
 def added_tokens(vocabulary: str) -> list[str]:
@@ -65,10 +78,19 @@ def added_tokens(vocabulary: str) -> list[str]:
         return [t["content"] for t in json.load(f).get("added_tokens", [])]
 
 
-def words_of(text: Column, added: list[str]) -> Column:
+def byte_level(vocabulary: str) -> bool:
+    """Whether the vocabulary's words are split by the byte-level pattern."""
+    with open(vocabulary, encoding="utf-8") as f:
+        split = json.load(f).get("pre_tokenizer") or {}
+    return split.get("type") == "ByteLevel" and split.get("use_regex", True)
+
+
+def words_of(text: Column, added: list[str], inner: bool = False) -> Column:
     """The words of a text, in order and without gaps."""
     text = F.coalesce(text, F.lit(""))
     plain = F.split(text, r"(?U)(?<=\S)(?=\s)", -1)
+    if inner:
+        plain = F.when(text.rlike(rf"(?U)(?<!\S)\S{{{LONG}}}"), F.split(text, rf"(?U)(?<=\S)(?=\s)|{INNER}", -1)).otherwise(plain)
     if not added:
         return plain
     token = "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))
@@ -128,9 +150,10 @@ def _chunks(chunk_chars: int):
         rank[order] = np.arange(n, dtype=np.uint32)
         used, rows = coded.dictionary.take(pa.array(order)), pa.concat_arrays(ids)
         least = np.sort(np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in used.cast(pa.binary()).to_pylist()), np.int64, n))[:LEAST]
-        columns = [pa.array([chunk], pa.int64()), pa.array([least], pa.list_(pa.int64())), pa.array([pack_words(used)], pa.binary()), pa.array([pack(rank[numbers])], pa.binary())]
+        size = int(pc.sum(pc.binary_length(used)).as_py() or 0)
+        columns = [pa.array([chunk], pa.int64()), pa.array([least], pa.list_(pa.int64())), pa.array([n], pa.int64()), pa.array([size], pa.int64()), pa.array([pack_words(used)], pa.binary()), pa.array([pack(rank[numbers])], pa.binary())]
         columns += [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([pack(np.concatenate(lengths))], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["chunk", "least", "words", "numbers", "ids", "lengths"])
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "least", "n_words", "n_bytes", "words", "numbers", "ids", "lengths"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -215,8 +238,10 @@ def _encode_words(vocabulary: str):
                     here, table = bucket, {}
                 words = unpack_words(batch.column(2)[k].as_py())
                 fresh = [w for w in words if w not in table]
-                for w, e in zip(fresh, tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-                    table[w] = np.array(e.ids, np.uint32).tobytes()
+                cut = np.cumsum([len(w) for w in fresh], dtype=np.int64) // BATCH
+                for part in np.split(np.arange(len(fresh)), np.flatnonzero(np.diff(cut)) + 1):
+                    for w, e in zip((own := [fresh[i] for i in part.tolist()]), tokenizer.encode_batch([w.decode() for w in own], add_special_tokens=False), strict=True):
+                        table[w] = np.array(e.ids, np.uint32).tobytes()
                 found = [table[w] for w in words]
                 counts.append(pack(np.fromiter(map(len, found), np.uint32, len(words)) // 4))
                 coded.append(pack(np.frombuffer(b"".join(found), np.uint32)))
@@ -271,15 +296,18 @@ def _put_together(buckets: int):
 
 
 def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", chunk_chars: int = CHUNK_CHARS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
-    """(id, ids): the token ids of every row of ``docs``."""
+    """(id, ids): the token ids of every row of ``docs``. The texts are read
+    once for their bytes and once for their words."""
     kind = docs.schema[id_column].dataType.simpleString()
-    source = docs.select(F.col(id_column).alias("id"), words_of(F.col(text_column), added_tokens(vocabulary)).alias("words"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    source = docs.select(F.col(id_column).alias("id"), words_of(F.col(text_column), added_tokens(vocabulary), byte_level(vocabulary)).alias("words"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_column)).cast("long")), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     chunks = materialize_by(source.mapInArrow(_chunks(chunk_chars), CHUNK.format(kind=kind)), "chunks", "chunk", parts)
-    buckets = max(32, -(-distinct_words(chunks) // bucket_words))
+    distinct, each = distinct_words(chunks), chunks.agg(F.coalesce(F.sum("n_bytes") / F.sum("n_words"), F.lit(0.0))).first()[0]
+    buckets = max(32, -(-distinct // bucket_words), int(distinct * each / BUCKET_BYTES) + 1)
     requests = chunks.select("chunk", "words").mapInArrow(_requests(buckets), "chunk bigint, bucket int, words binary")
     answers = requests.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(vocabulary), "of bigint, bucket int, counts binary, word_ids binary")
-    return chunks.drop("least").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_put_together(buckets), f"id {kind}, ids array<int>")
+    return chunks.drop("least", "n_words", "n_bytes").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_put_together(buckets), f"id {kind}, ids array<int>")
 
 
 def pieces(vocabulary: str) -> list[tuple[int, bytes]]:

@@ -18,7 +18,9 @@ of all its words.
 
 The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text,
 whose sizes are counted first; more blocks mean more passes over the
-documents, never a larger broadcast.
+documents, never a larger broadcast. A block is held as arrays of word numbers
+and hashes and a table of its distinct words, which take some four times its
+text; an item's shingles are made when it is a candidate.
 
 Defined cases: a null or empty text holds nothing and is kept; a text of any
 length is probed whole, in one worker's memory; an item without words is never
@@ -56,27 +58,30 @@ class Items:
                 self.words.setdefault(w, len(self.words))
         self.code = rng.integers(0, 2**63, (width, len(self.words) + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         parts: dict[tuple[int, int], list] = {}
-        self.size = [0] * len(texts)
-        self.need = [0] * len(texts)
-        self.shingles: list[set] = [set() for _ in texts]
+        self.size, self.need = np.zeros((2, len(texts)), np.int32)
+        #: Word numbers of all items, and where each item's begin.
+        self.flat = np.array([self.words[w] for ws in tokens for w in ws], np.int32)
+        self.starts = np.concatenate([[0], np.cumsum([len(ws) for ws in tokens], dtype=np.int64)])
         for item, ws in enumerate(tokens):
             if not ws:
                 continue
-            ids = np.array([self.words[w] for w in ws], np.int64)
             n = min(width, len(ws))
-            hashes = self.hashes(ids, n)
-            unique, first = np.unique(hashes, return_index=True)
+            unique = np.unique(self.hashes(self.flat[self.starts[item] : self.starts[item + 1]], n))
             m = len(unique)
             self.size[item], self.need[item] = m, max(1, math.ceil(threshold * m - 1e-9))
-            self.shingles[item] = {tuple(ids[i : i + n].tolist()) for i in first}
             parts.setdefault((n, m), []).append((item, unique[: m - self.need[item] + 1]))
         for (n, m), entries in sorted(parts.items()):
-            items = np.repeat([item for item, _ in entries], [len(sketch) for _, sketch in entries])
+            items = np.repeat(np.array([item for item, _ in entries], np.int32), [len(sketch) for _, sketch in entries])
             keys = np.concatenate([sketch for _, sketch in entries])
             order = np.argsort(keys, kind="stable")
             self.widths.setdefault(n, []).append((self.need[entries[0][0]], keys[order], items[order]))
         self.sketched = {n: np.unique(np.concatenate([keys for _, keys, _ in p])) for n, p in self.widths.items()}
 
+    def shingles(self, item: int, n: int) -> set:
+        """An item's shingles, made when it is a candidate."""
+        ids = self.flat[self.starts[item] : self.starts[item + 1]].tolist()
+        return set(zip(*(ids[k : len(ids) - n + 1 + k] for k in range(n)), strict=True))
+
     def hashes(self, ids: np.ndarray, n: int) -> np.ndarray:
         """A hash of each ``n`` consecutive word numbers."""
         total = np.zeros(max(0, len(ids) - n + 1), np.uint64)
@@ -113,7 +118,7 @@ class Items:
             if candidates:
                 here = {tuple(ids[i : i + n].tolist()) for i in at}
                 for item in candidates:
-                    shared = len(self.shingles[item] & here)
+                    shared = len(self.shingles(item, n) & here)
                     if shared >= self.need[item]:
                         found.append((item, shared))
         return sorted(found)
@@ -132,7 +137,7 @@ def _finder(items: Items, ids: list, id_kind: str):
     @F.pandas_udf(f"array<struct<item_id:{id_kind},n_shingles:bigint,n_shared:bigint>>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([[{"item_id": ids[i], "n_shingles": items.size[i], "n_shared": n} for i, n in items.probe(t)] for t in batch])
+            yield pd.Series([[{"item_id": ids[i], "n_shingles": int(items.size[i]), "n_shared": n} for i, n in items.probe(t)] for t in batch])
 
     return found
 

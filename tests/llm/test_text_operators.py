@@ -309,3 +309,21 @@ def test_unchanged_words_after_html():
 )
 def test_heads_without_end_tags_and_drawn_text(page, text):
     assert html_text.render(page) == text
+
+
+def test_texts_without_spaces_are_split_where_tokens_end(spark):
+    from tokenizers import Tokenizer
+
+    from brindle.llm import bpe
+    from brindle.llm.queries import vocabulary_path
+
+    path = vocabulary_path()
+    marks = "a.b,c;d:e!f?g(h)i{j}k[l]m<n>o=p+q*r/s\\\\t'it's we're x1.2,3 。中文，漢字！カナ。한글？"
+    texts = [marks * 200, "漢字かな交じり文。" * 3000, "x" * 9000, ("don't;it's,I'll!we'd?".replace(" ", "")) * 500, "var a=b.c(d)[e];" * 700 + " plain words", "1.5,2.5;" * 1000, "é.ü,ß!" * 2000]
+    assert any(len(w) > bpe.LONG for t in texts for w in t.split())
+    library = Tokenizer.from_file(path)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: (r.ids, r.decoded) for r in bpe.decode(bpe.encode(df, path, chunk_chars=20_000, bucket_words=50), path).collect()}
+    assert got == {i: (library.encode(t, add_special_tokens=False).ids, t) for i, t in enumerate(texts)}
+    words = df.where("doc_id = 1").select(bpe.words_of(F.col("text"), [], True).alias("w")).first().w
+    assert "".join(words) == texts[1] and max(map(len, words)) < 20
