@@ -63,6 +63,27 @@ def label_entropy(rows: DataFrame, keys: list[str], label: str = "outcome") -> D
     return counts.groupBy(*keys).agg(F.sum("c").alias("n_outcomes"), F.greatest(F.lit(0.0), F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("entropy"))
 
 
+def _counted_entropy(label: str = "outcome") -> tuple[Column, Column]:
+    """n_outcomes and entropy of rows with a label and its count ``c``."""
+    known = F.when(F.col(label).isNotNull(), F.col("c"))
+    n = F.sum(known)
+    return n.alias("n_outcomes"), F.greatest(F.lit(0.0), F.log2(n) - F.sum(known * F.log2(known)) / n).alias("entropy")
+
+
+#: What ``grouping_id`` says of the sets below: a bit for each column left out.
+NODES, EDGES, TRAJECTORIES = 0b01101, 0b00001, 0b11110
+
+
+def outcome_counts(steps: DataFrame) -> DataFrame:
+    """Outcomes counted by node, by edge and by trajectory, as one table from
+    one scan and one aggregate: ``set``, the keys, outcome, the count ``c`` and
+    for trajectories the outcome they end with."""
+    near = adjacent(steps).withColumn("last", F.col("outcome"))
+    keys = ["source_id", "action_id", "target_id", "outcome", "trajectory_id"]
+    sets = near.groupingSets([["source_id", "outcome"], ["source_id", "action_id", "target_id", "outcome"], ["trajectory_id"]], *keys)
+    return cut_lineage(sets.agg(F.grouping_id().alias("set"), F.count("*").alias("c"), F.max("last").alias("last")), "outcomes")
+
+
 def edge_class(voi: Column, rate: Column, voi_high: Column, voi_low: Column, rate_high: Column, rate_low: Column) -> Column:
     """The class of an action: information gain by how common it is."""
     return (
@@ -82,24 +103,24 @@ def recover(steps: DataFrame, config: RecoveryConfig = RecoveryConfig()) -> tupl
     have one value of it a node."""
     if "metadata_json" in steps.columns:
         guards.metadata_consistent(steps)
-    near = adjacent(steps)
-    node_count = steps.groupBy("node_id").agg(F.count("*").alias("visit_count"))
-    node_h = label_entropy(steps, ["node_id"])
-    via_h = label_entropy(near.where("target_id is not null"), ["source_id", "action_id", "target_id"])
-    ends = steps.groupBy("trajectory_id").agg(F.max("outcome").alias("outcome")).withColumn("key", F.lit(0))
-    overall = label_entropy(ends, ["key"]).select("key", F.col("entropy").alias("h_global"))
+    counted = outcome_counts(steps)
+    ends = counted.where(F.col("set") == TRAJECTORIES).groupBy("last").agg(F.count("*").alias("c"))
+    overall = ends.agg(_counted_entropy("last")[1].alias("h_global"))
+    by_node = counted.where(F.col("set") == NODES).groupBy(F.col("source_id").alias("node_id"))
+    node_h = by_node.agg(F.sum("c").alias("visit_count"), *_counted_entropy())
 
-    nodes = node_count.join(node_h, "node_id", "left").withColumn("key", F.lit(0)).join(overall, "key", "left")
     local = F.coalesce(F.col("n_outcomes") >= config.min_count, F.lit(False))
     prior = F.when(local, F.col("entropy")).otherwise(F.coalesce("h_global", F.lit(0.0)))
-    nodes = nodes.select("node_id", "visit_count", prior.alias("prior"), F.when(local, "local").otherwise("global").alias("level"), local.alias("own"))
+    # One row is sent to all nodes.
+    nodes = node_h.join(F.broadcast(overall)).select("node_id", "visit_count", prior.alias("prior"), F.when(local, "local").otherwise("global").alias("level"), local.alias("own"))
     nodes = cut_lineage(nodes, "nodes")  # read four times below
 
-    kept = near.where("target_id is not null").groupBy("source_id", "action_id", "target_id").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= config.drop_below)
+    moved = counted.where((F.col("set") == EDGES) & F.col("target_id").isNotNull())
+    kept = moved.groupBy("source_id", "action_id", "target_id").agg(F.sum("c").alias("frequency"), *_counted_entropy()).where(F.col("frequency") >= config.drop_below)
     kept = kept if config.self_loops else kept.where("source_id <> target_id")
     target = nodes.select(F.col("node_id").alias("target_id"), F.col("prior").alias("target_h"), F.col("own").alias("target_own"))
     source = nodes.select(F.col("node_id").alias("source_id"), F.col("prior").alias("source_h"), "visit_count")
-    wide = kept.join(via_h, ["source_id", "action_id", "target_id"], "left").join(target, "target_id").join(source, "source_id")
+    wide = kept.join(target, "target_id").join(source, "source_id")
     by_edge = F.coalesce(F.col("n_outcomes") >= config.min_count, F.lit(False))
     wide = cut_lineage(wide, "edges")
     wide = wide.withColumn("h_t", F.when(by_edge, F.col("entropy")).otherwise(F.col("target_h"))).withColumn("posterior_level", F.when(by_edge, "local_via_edge").when(F.col("target_own"), "local").otherwise("global"))
@@ -108,12 +129,14 @@ def recover(steps: DataFrame, config: RecoveryConfig = RecoveryConfig()) -> tupl
         (F.first("source_h") - F.sum(F.col("frequency") * F.col("h_t")) / F.sum("frequency")).alias("voi"),
         (F.sum("frequency") / F.first("visit_count")).alias("consensus_rate"),
     )
-    actions = cut_lineage(actions.withColumn("voi", F.round("voi", 12)).withColumn("key", F.lit(0)), "actions")
+    actions = cut_lineage(actions.withColumn("voi", F.round("voi", 12)), "actions")
     at = {"high": config.high / 100, "low": config.low / 100}
-    cuts = quantiles(actions, ["key"], "voi", {f"voi_{k}": v for k, v in at.items()}).join(quantiles(actions, ["key"], "consensus_rate", {f"rate_{k}": v for k, v in at.items()}), "key")
-    classed = actions.join(cuts, "key").select("source_id", "action_id", "voi", "consensus_rate", edge_class(F.col("voi"), F.col("consensus_rate"), F.col("voi_high"), F.col("voi_low"), F.col("rate_high"), F.col("rate_low")).alias("classification"))
+    both = actions.select(F.inline(F.array(F.struct(F.lit("voi").alias("of"), F.col("voi").alias("x")), F.struct(F.lit("rate").alias("of"), F.col("consensus_rate").alias("x")))))
+    found = quantiles(both, ["of"], "x", at)
+    cuts = found.agg(*[F.max(F.when(F.col("of") == of, F.col(k))).alias(f"{of}_{k}") for of in ("voi", "rate") for k in at])
+    classed = actions.join(F.broadcast(cuts)).select("source_id", "action_id", "voi", "consensus_rate", edge_class(F.col("voi"), F.col("consensus_rate"), F.col("voi_high"), F.col("voi_low"), F.col("rate_high"), F.col("rate_low")).alias("classification"))
     edges = wide.join(classed, ["source_id", "action_id"]).select("source_id", "action_id", "target_id", "frequency", "voi", "consensus_rate", "classification", "posterior_level")
-    with_next = kept.select(F.col("source_id").alias("node_id")).distinct().withColumn("has_next", F.lit(True))
+    with_next = wide.select(F.col("source_id").alias("node_id")).distinct().withColumn("has_next", F.lit(True))
     nodes = nodes.join(with_next, "node_id", "left").select("node_id", "visit_count", F.col("has_next").isNull().alias("is_terminal"), "prior", "level")
     return nodes, edges
 
