@@ -138,33 +138,105 @@ def standardized(rows: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(*rows.columns, *z)
 
 
+#: Newton steps and the largest change of a coefficient that ends them.
+STEPS, CLOSE = 50, 1e-10
+
+
+def _solved(sums: dict, theta: np.ndarray, used: np.ndarray, penalty: float) -> np.ndarray:
+    """Newton's step at ``theta`` from a fold's sums; the first coefficient is
+    the intercept, which is free."""
+    d = len(theta)
+    pull = np.where(np.arange(d) > 0, penalty, 0.0)
+    slope = np.array([sums[f"g{i}"] for i in range(d)]) + pull * theta
+    curve = np.zeros((d, d))
+    for i in range(d):
+        for j in range(i, d):
+            curve[i, j] = curve[j, i] = sums[f"h{i}_{j}"]
+    curve += np.diag(np.where(used, pull, 1.0))
+    return np.linalg.solve(curve, np.where(used, slope, 0.0))
+
+
+def fold_coefficients(rows: DataFrame, models: dict[str, list[str]], target: str = "target", folds: int = 5, fold: str = "fold", penalty: float = 1.0) -> dict[tuple[str, int], list[float]]:
+    """For each model and fold the intercept and coefficients of the L2
+    logistic regression (``penalty`` is 1 / C) of the rows of other folds.
+
+    All fits go on together: a Newton step is one pass over the rows, which
+    gives the gradient and the Hessian of every model and fold; only these, a
+    row a fit, come to the driver. At the start all folds of a model have the
+    same coefficients, so theirs are the sums over all rows less the fold's
+    own. A step that makes the loss larger is halved."""
+    d = 1 + max(map(len, models.values()))
+    used = {m: np.arange(d) <= len(f) for m, f in models.items()}
+    x = {m: F.array(F.lit(1.0), *[F.col(c).cast("double") for c in f], *[F.lit(0.0)] * (d - 1 - len(f))) for m, f in models.items()}
+    y = F.col(target).cast("double")
+
+    def sums(which: list, own_fold: bool) -> list:
+        fits = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("k"), F.array(*[F.lit(float(t)) for t in theta]).alias("theta"), x[m].alias("x")) for m, k, theta in which])
+        each = rows.select(F.col(fold).alias("_fold"), y.alias("y"), F.inline(fits))
+        each = each if own_fold else each.where("_fold <> k")
+        z = sum((F.col("theta")[i] * F.col("x")[i] for i in range(d)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.col("z")))
+        each = each.withColumn("z", z).withColumn("p", p).withColumn("w", F.col("p") * (1 - F.col("p")))
+        xi = [F.col("x")[i] for i in range(d)]
+        loss = F.greatest(F.col("z"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("z"))) - F.col("y") * F.col("z")
+        measures = [F.sum(loss).alias("loss")] + [F.sum((F.col("p") - F.col("y")) * xi[i]).alias(f"g{i}") for i in range(d)] + [F.sum(F.col("w") * xi[i] * xi[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)]
+        return [r.asDict() for r in each.groupBy("model", F.col("_fold").alias("k") if own_fold else F.col("k")).agg(*measures).collect()]
+
+    theta = {(m, k): np.zeros(d) for m in models for k in range(folds)}
+    back, seen, step = {}, {}, 0
+    first = sums([(m, -1, np.zeros(d)) for m in models], True)
+    names = [n for n in first[0] if n not in ("model", "k")] if first else []
+    now = []
+    for m in models:
+        own = {r["k"]: r for r in first if r["model"] == m}
+        whole = {n: sum(r[n] for r in own.values()) for n in names}
+        now += [{"model": m, "k": k} | {n: whole[n] - (own[k][n] if k in own else 0.0) for n in names} for k in range(folds)] if names else []
+    while now and step < STEPS:
+        step += 1
+        going = []
+        for r in now:
+            at = r["model"], r["k"]
+            value = r["loss"] + penalty / 2 * float((theta[at][1:] ** 2).sum())
+            if at in seen and value > seen[at] + 1e-12 * abs(seen[at]) and np.abs(theta[at] - back[at]).max() > CLOSE:
+                theta[at] = (theta[at] + back[at]) / 2
+                going.append(at)
+                continue
+            move = _solved(r, theta[at], used[at[0]], penalty)
+            seen[at], back[at] = value, theta[at]
+            theta[at] = theta[at] - move
+            if np.abs(move).max() > CLOSE:
+                going.append(at)
+        now = sums([(m, k, theta[m, k]) for m, k in going], False) if going else []
+    return {(m, k): t[: 1 + len(models[m])].tolist() for (m, k), t in theta.items()}
+
+
+def cv_probabilities(rows: DataFrame, models: dict[str, list[str]], target: str = "target", folds: int = 5, fold: str = "fold") -> DataFrame:
+    """``rows`` with a column for each model: the probability by the fit that
+    has not seen the row's fold. The fold is a column, 0 to ``folds`` - 1."""
+    rows = cut_lineage(rows, "folds")  # every step reads it
+    found = fold_coefficients(rows, models, target, folds, fold)
+
+    def probability(m: str):
+        theta = F.create_map(*[c for k in range(folds) for c in (F.lit(k), F.array(*[F.lit(t) for t in found[m, k]]))])[F.col(fold).cast("int")]
+        return 1 / (1 + F.exp(-sum((theta[i + 1] * F.col(c) for i, c in enumerate(models[m])), theta[0])))
+
+    return rows.select("*", *[probability(m).alias(m) for m in models])
+
+
 def cv_logistic(rows: DataFrame, features: list[str], target: str = "target", folds: int = 5, fold: str = "fold") -> DataFrame:
-    """Out-of-fold probabilities by L2 logistic regression (C = 1, free
-    intercept). The fold is a column, so any assignment can be given."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = cut_lineage(rows, "folds")  # each fold reads it several times
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(rows).withColumn("label", F.col(target).cast("double"))
-    out = None
-    for k in range(folds):
-        train, test = data.where(F.col(fold) != k), data.where(F.col(fold) == k)
-        model = LogisticRegression(regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(train)
-        part = model.transform(test).withColumn("oof", vector_to_array("probability")[1]).select(*rows.columns, "oof")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Out-of-fold probabilities ``oof`` by L2 logistic regression (C = 1,
+    free intercept)."""
+    return cv_probabilities(rows, {"oof": features}, target, folds, fold)
 
 
 def cv_areas(rows: DataFrame, models: dict[str, list[str]], target: str = "target", folds: int = 5, fold: str = "fold") -> DataFrame:
     """model, n_features and ROC area of the out-of-fold probabilities of each
-    model's features."""
+    model's features, to 12 digits, so that no tie hangs on rounding."""
     from brindle.operators.evaluate import deferral_auc
 
-    long = None
-    for name, features in models.items():
-        part = cv_logistic(rows, features, target, folds, fold).select(F.lit(name).alias("model"), F.lit(len(features)).alias("n_features"), F.col("oof").alias("score"), F.col(target).alias("target"))
-        long = part if long is None else long.unionByName(part)
+    out = cv_probabilities(rows, models, target, folds, fold)
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(len(f)).alias("n_features"), F.round(m, 12).alias("score")) for m, f in models.items()])
+    long = out.select(F.col(target).alias("target"), F.inline(each))
     return deferral_auc(cut_lineage(long, "models"), ["model", "n_features"]).select("model", "n_features", "roc_auc", "roc_auc_sign_aware", "direction")
 
 

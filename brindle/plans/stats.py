@@ -259,17 +259,47 @@ def spearman_interval(spark, sf_dir):
     return S.spearman(rows, "trajectory_id", "me", "js").withColumn("key", F.lit(0)).join(found, "key").drop("key")
 
 
+FOLD = F.pmod("trajectory_id", F.lit(5)).cast("int")
+
+
 def cv_logistic(spark, sf_dir):
-    rows = S.standardized(cells(spark, sf_dir), ["me", "js"]).withColumn("fold", F.pmod(F.xxhash64("trajectory_id"), F.lit(5)).cast("int"))
-    return S.cv_logistic(rows.select("trajectory_id", "z_me", "z_js", "target", "fold"), ["z_me", "z_js"]).select("trajectory_id", "oof")
+    rows = S.standardized(cells(spark, sf_dir), ["me", "js"]).withColumn("fold", FOLD)
+    return S.cv_logistic(rows.select("trajectory_id", "z_me", "z_js", "target", "fold"), ["z_me", "z_js"]).select("trajectory_id", rounded("oof"))
 
 
 def interaction_models(spark, sf_dir):
     """Out-of-fold areas of M0 (entropy), M1 (and divergence) and M2 (and their
     product)."""
-    z = S.standardized(cells(spark, sf_dir), ["me", "js"]).withColumn("z_both", F.col("z_me") * F.col("z_js")).withColumn("fold", F.pmod(F.xxhash64("trajectory_id"), F.lit(5)).cast("int"))
+    z = S.standardized(cells(spark, sf_dir), ["me", "js"]).withColumn("z_both", F.col("z_me") * F.col("z_js")).withColumn("fold", FOLD)
     rows = z.select("trajectory_id", "z_me", "z_js", "z_both", "target", "fold")
-    return S.cv_areas(rows, {"M0": ["z_me"], "M1": ["z_me", "z_js"], "M2": ["z_me", "z_js", "z_both"]})
+    found = S.cv_areas(rows, {"M0": ["z_me"], "M1": ["z_me", "z_js"], "M2": ["z_me", "z_js", "z_both"]})
+    return found.select("model", "n_features", rounded("roc_auc"), rounded("roc_auc_sign_aware"), "direction")
+
+
+#: Twelve Newton steps for each fold and model, the 4 x 4 systems by LDL.
+_X = ("1.0::DOUBLE", "zm", "zj * (n > 1)::INT", "zm * zj * (n > 2)::INT")
+_H = ", ".join(f"sum(w * {_X[i]} * {_X[j]}) + {f'1' if i == j and i else '0'} AS h{i}{j}" for i in range(4) for j in range(i, 4))
+_G = ", ".join(f"sum((p - t) * {_X[i]}) + any_value(b{i}) * {int(i > 0)} AS g{i}" for i in range(4))
+FITS = f"""zs AS (SELECT trajectory_id, target AS t, trajectory_id % 5 AS fold, {_ZM} AS zm, {_ZJ} AS zj FROM cl),
+ft(it, n, f, b0, b1, b2, b3) AS (
+  SELECT 0, n, f, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM range(1, 4) a(n), range(0, 5) b(f)
+  UNION ALL
+  SELECT it + 1, n, f, b0 - s0, b1 - s1, b2 - s2, b3 - s3 FROM (SELECT *, z0 - l10 * s1 - l20 * s2 - l30 * s3 AS s0 FROM (SELECT *, z1 - l21 * s2 - l31 * s3 AS s1 FROM (SELECT *, z2 - l32 * s3 AS s2 FROM (
+    SELECT *, (g3 - l30 * y0 - l31 * y1 - l32 * y2) / (h33 - l30 * l30 * d0 - l31 * l31 * d1 - l32 * l32 * d2) AS s3, y0 / d0 AS z0, y1 / d1 AS z1, y2 / d2 AS z2 FROM (
+    SELECT *, (h23 - l30 * l20 * d0 - l31 * l21 * d1) / d2 AS l32, g2 - l20 * y0 - l21 * y1 AS y2 FROM (
+    SELECT *, h22 - l20 * l20 * d0 - l21 * l21 * d1 AS d2 FROM (
+    SELECT *, (h12 - l20 * l10 * d0) / d1 AS l21, (h13 - l30 * l10 * d0) / d1 AS l31, g1 - l10 * y0 AS y1 FROM (
+    SELECT *, h11 - l10 * l10 * d0 AS d1 FROM (
+    SELECT *, h00 AS d0, h01 / h00 AS l10, h02 / h00 AS l20, h03 / h00 AS l30, g0 AS y0 FROM (
+    SELECT it, n, f, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, any_value(b3) AS b3, {_G}, {_H} FROM (
+      SELECT *, p * (1 - p) AS w FROM (SELECT ft.*, t, zm, zj, 1 / (1 + exp(-(b0 + b1 * {_X[1]} + b2 * {_X[2]} + b3 * {_X[3]}))) AS p FROM ft JOIN zs ON fold <> f WHERE it < 12))
+    GROUP BY it, n, f))))))))))),
+oof AS (SELECT n, trajectory_id, t, round(1 / (1 + exp(-(b0 + b1 * {_X[1]} + b2 * {_X[2]} + b3 * {_X[3]}))), 12) AS oof FROM zs JOIN ft ON f = fold AND it = 12)"""
+ORACLES["cv_logistic"] = f"WITH RECURSIVE {CELLS.lstrip()}, {FITS} SELECT trajectory_id, {sql_rounded('oof', 'oof')} FROM oof WHERE n = 2"
+ORACLES["interaction_models"] = f"""WITH RECURSIVE {CELLS.lstrip()}, {FITS},
+rk AS (SELECT n, t, rank() OVER (PARTITION BY n ORDER BY oof) + (count(*) OVER (PARTITION BY n, oof) - 1) / 2 AS r FROM oof),
+ar AS (SELECT n, (sum(r) FILTER (t = 1) - count(*) FILTER (t = 1) * (count(*) FILTER (t = 1) + 1) / 2) / (count(*) FILTER (t = 1) * count(*) FILTER (t = 0)) AS a FROM rk GROUP BY 1)
+SELECT 'M' || (n - 1) AS model, CAST(n AS INT) AS n_features, {sql_rounded('a', 'roc_auc')}, {sql_rounded('greatest(a, 1 - a)', 'roc_auc_sign_aware')}, CASE WHEN a >= 0.5 THEN 'greater' ELSE 'less' END AS direction FROM ar"""
 
 
 def perturb(spark, sf_dir):
