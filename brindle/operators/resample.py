@@ -200,37 +200,63 @@ def _column_sums(long: DataFrame, n: int, seed: int, per_range: int) -> DataFram
     return cut_lineage(dealt.groupBy("_column", "_cut", "_block").applyInPandas(of, "_column string, _cut bigint, replicate int, p double, n double, area double"), "resampled")
 
 
-def spearman_bootstrap(rows: DataFrame, unit: str, a: str, b: str, n: int = 2000, seed: int = 42, per_range: int = PER_RANGE) -> DataFrame:
+MOMENTS = ("w", "x", "y", "xx", "yy", "xy")
+
+
+def spearman_bootstrap(rows: DataFrame, unit: str, a: str, b: str, n: int = 2000, seed: int = 42, per_range: int = 1_000_000) -> DataFrame:
     """replicate, rho: the rank correlation of ``a`` and ``b`` in resamples of
-    the units. Ranks are made range by range and meet by unit, a row a unit
-    and ``BLOCK`` replicates."""
-    dealt = _blocks(_ranged(_unpivoted(rows, unit, [a, b], None), ["_column"], "_value", per_range), n, BLOCK)
-    sums = _column_sums(_unpivoted(rows, unit, [a, b], None), n, seed, per_range)
-    below = cut_lineage(_below(sums, ["_column"], ["n"]).withColumn("_block", F.floor(F.col("replicate") / BLOCK).cast("int")), "below")
-    by = ["_column", "_cut", "_block"]
-
-    def ranked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        _, tie = np.unique(left["_value"].to_numpy(), return_inverse=True)
-        units, start, out = left["_unit"].to_numpy(), right.set_index("replicate")["below_n"], []
-        for r in _of_block(int(left["_block"].iloc[0]), n):
-            each = np.bincount(tie, unit_counts(units, r, seed))
-            out.append((float(start[r]) + np.cumsum(each) - each / 2)[tie])
-        return pd.DataFrame({"_column": left["_column"], "_block": left["_block"], "_unit": units, "_ranks": list(np.stack(out, 1))})
-
-    ranks = dealt.groupBy(*by).cogroup(below.groupBy(*by)).applyInPandas(ranked, "_column string, _block int, _unit bigint, _ranks array<double>")
-    side = lambda c, name: ranks.where(F.col("_column") == c).select("_unit", "_block", F.col("_ranks").alias(name))
-    met = side(a, "x").join(side(b, "y"), ["_unit", "_block"])
-
-    def moments(batches):
-        for batch in batches:
-            for block, part in batch.groupby("_block"):
-                units, x, y = part["_unit"].to_numpy(), np.stack(part["x"].to_list()), np.stack(part["y"].to_list())
-                w = np.stack([unit_counts(units, r, seed) for r in _of_block(int(block), n)], 1)
-                s = lambda v: (w * v).sum(0)  # noqa: B023, E731
-                yield pd.DataFrame({"replicate": list(_of_block(int(block), n)), "w": w.sum(0).astype(float), "x": s(x), "y": s(y), "xx": s(x * x), "yy": s(y * y), "xy": s(x * y)})
-
-    each = met.mapInPandas(moments, "replicate int, w double, x double, y double, xx double, yy double, xy double")
-    m = each.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("w", "x", "y", "xx", "yy", "xy")])
+    the units.
+
+    The units lie in a grid of ranges of ``a`` by ranges of ``b``. A cell's
+    task has the units of its row and of its column, draws their counts and so
+    knows its own units' ranks within the row and the column. Only the counts'
+    and ranks' moments leave it, a row a cell and replicate; the weights of the
+    ranges before are added to ranks afterwards, as a shift of moments. A unit
+    goes to as many cells as there are ranges, whatever the replicates; up to
+    ``per_range`` units are a grid of one cell."""
+    clean = rows.where(present(F.col(a)) & present(F.col(b)))
+    base = clean.select(F.xxhash64(unit).alias("_unit"), F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y"), F.lit(0).alias("_k"))
+    grid = _ranged(base, ["_k"], "_x", per_range).withColumnRenamed("_cut", "_cx")
+    grid = _ranged(grid, ["_k"], "_y", per_range).withColumnRenamed("_cut", "_cy")
+    last = grid.agg(F.max("_cx").alias("x"), F.max("_cy").alias("y")).first()
+    if last["x"] is None:
+        return rows.sparkSession.createDataFrame([], "replicate int, rho double")
+    run = _runs(grid.select(F.col("_cx").alias("_cut"), "_cy"), ["_cy"], n)
+    every = lambda name, end: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(end).cast("long"))).alias(name)
+    in_row = grid.select("_unit", "_x", "_y", F.col("_cx").alias("_r"), every("_q", last["y"]), "_cy").select("*", F.lit(True).alias("_row"), (F.col("_q") == F.col("_cy")).alias("_column"))
+    in_column = grid.select("_unit", "_x", "_y", every("_r", last["x"]), F.col("_cy").alias("_q"), "_cx").where("_r <> _cx").select("*", F.lit(False).alias("_row"), F.lit(True).alias("_column"))
+    dealt = _blocks(in_row.drop("_cy").unionByName(in_column.drop("_cx")), n, run)
+    schema = "_r bigint, _q bigint, replicate int, row double, column double, " + ", ".join(f"{m} double" for m in MOMENTS)
+
+    def within(values: np.ndarray, member: np.ndarray):
+        """Ranks within ``member`` for counts of all units, and their sum."""
+        _, tie = np.unique(values[member], return_inverse=True)
+
+        def of(w: np.ndarray) -> tuple[np.ndarray, float]:
+            each = np.bincount(tie, w[member], minlength=1)
+            ranks = np.zeros(len(values))
+            ranks[member] = (np.cumsum(each) - each / 2)[tie]
+            return ranks, float(each.sum())
+
+        return of
+
+    def cell(part: pd.DataFrame) -> pd.DataFrame:
+        units, row, column = part["_unit"].to_numpy(), part["_row"].to_numpy(), part["_column"].to_numpy()
+        in_x, in_y, own, out = within(part["_x"].to_numpy(), row), within(part["_y"].to_numpy(), column), row & column, []
+        for r in _of_block(int(part["_block"].iloc[0]), n, run):
+            w = unit_counts(units, r, seed).astype(float)
+            (x, wx), (y, wy) = in_x(w), in_y(w)
+            x, y, v = x[own], y[own], w[own]
+            out.append((part["_r"].iloc[0], part["_q"].iloc[0], r, wx, wy, v.sum(), v @ x, v @ y, v @ (x * x), v @ (y * y), v @ (x * y)))
+        return pd.DataFrame(out, columns=["_r", "_q", "replicate", "row", "column", *MOMENTS])
+
+    cells = cut_lineage(dealt.groupBy("_r", "_q", "_block").applyInPandas(cell, schema), "cells")
+    before = lambda at: Window.partitionBy("replicate").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = lambda at, of, name: cells.groupBy("replicate", at).agg(F.max(of).alias("_w")).select("replicate", at, F.coalesce(F.sum("_w").over(before(at)), F.lit(0.0)).alias(name))
+    met = cells.join(ranges("_r", "row", "ox"), ["replicate", "_r"]).join(ranges("_q", "column", "oy"), ["replicate", "_q"])
+    w, x, y, ox, oy = (F.col(c) for c in ("w", "x", "y", "ox", "oy"))
+    shifted = {"w": w, "x": x + ox * w, "y": y + oy * w, "xx": F.col("xx") + 2 * ox * x + ox * ox * w, "yy": F.col("yy") + 2 * oy * y + oy * oy * w, "xy": F.col("xy") + ox * y + oy * x + ox * oy * w}
+    m = met.groupBy("replicate").agg(*[F.sum(v).alias(c) for c, v in shifted.items()])
     spread = lambda u, v, uv: F.col("w") * F.col(uv) - F.col(u) * F.col(v)
     return m.select("replicate", F.try_divide(spread("x", "y", "xy"), F.sqrt(spread("x", "x", "xx") * spread("y", "y", "yy"))).alias("rho"))
 

@@ -259,18 +259,19 @@ def spearman_interval(spark, sf_dir):
     return S.spearman(rows, "trajectory_id", "me", "js").withColumn("key", F.lit(0)).join(found, "key").drop("key")
 
 
-FOLD = F.pmod("trajectory_id", F.lit(5)).cast("int")
+def _fold():
+    return F.pmod("trajectory_id", F.lit(5)).cast("int")
 
 
 def cv_logistic(spark, sf_dir):
-    rows = S.standardized(cells(spark, sf_dir), ["me", "js"]).withColumn("fold", FOLD)
+    rows = S.standardized(cells(spark, sf_dir), ["me", "js"]).withColumn("fold", _fold())
     return S.cv_logistic(rows.select("trajectory_id", "z_me", "z_js", "target", "fold"), ["z_me", "z_js"]).select("trajectory_id", rounded("oof"))
 
 
 def interaction_models(spark, sf_dir):
     """Out-of-fold areas of M0 (entropy), M1 (and divergence) and M2 (and their
     product)."""
-    z = S.standardized(cells(spark, sf_dir), ["me", "js"]).withColumn("z_both", F.col("z_me") * F.col("z_js")).withColumn("fold", FOLD)
+    z = S.standardized(cells(spark, sf_dir), ["me", "js"]).withColumn("z_both", F.col("z_me") * F.col("z_js")).withColumn("fold", _fold())
     rows = z.select("trajectory_id", "z_me", "z_js", "z_both", "target", "fold")
     found = S.cv_areas(rows, {"M0": ["z_me"], "M1": ["z_me", "z_js"], "M2": ["z_me", "z_js", "z_both"]})
     return found.select("model", "n_features", rounded("roc_auc"), rounded("roc_auc_sign_aware"), "direction")
