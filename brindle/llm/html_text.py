@@ -19,7 +19,9 @@ text. The texts of svg and math are shown, each text element of a drawing on a
 line of its own. Visibility is inherited and may be set again by an element
 within; what is not displayed stays so with all that it holds.
 
-Not shown: head, script, style, template, noscript, title, datalist, elements
+Fields and buttons show their value (of an input that shows one as text).
+
+Not shown: head, script, style, template, noscript, title, datalist, rp, elements
 with the hidden attribute, with display:none or visibility:hidden in their
 style, hidden inputs, dialog and details contents that are not open (a summary
 stays); what iframe, noembed, noframes, object, audio, video and canvas hold
@@ -53,8 +55,10 @@ from pyspark.sql import functions as F
 # The elements' classes, from the public HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
+#: Types of input that show no value as text.
+NO_TEXT_INPUT = frozenset("hidden password checkbox radio file image range color".split())
 ESCAPABLE_RAW = frozenset("title textarea".split())
-NOT_SHOWN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist".split())
+NOT_SHOWN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist rp".split())
 #: Start tags that leave an open head open.
 IN_HEAD = frozenset("base head html link meta noframes noscript script style template title".split())
 #: Within svg or math only: what describes or defines and is not drawn in its
@@ -388,7 +392,7 @@ class Renderer:
             hides = "open" not in given
         if tag in VOID:
             if not hides and not self.hiding:
-                self.void(tag)
+                self.void(tag, given)
             return
         if (foreign or tag in FOREIGN_NOT_SHOWN) and self_closing(text):
             return
@@ -408,13 +412,15 @@ class Renderer:
     def block(self, tag: str) -> bool:
         return tag in BLOCK or (tag == "text" and bool(self.count("svg")))
 
-    def void(self, tag: str) -> None:
+    def void(self, tag: str, given: dict[str, str]) -> None:
         if tag == "br":
             if not self.out.now and self.seen:
                 self.out.write("")
             self.out.newline()
         elif tag == "hr":
             self.out.blank()
+        elif tag == "input" and self.seen and given.get("type", "").strip().lower() not in NO_TEXT_INPUT:
+            self.out.text(f" {given.get('value', '')} ")
 
     def enter(self, tag: str, given: dict[str, str]) -> None:
         out = self.out

@@ -327,3 +327,11 @@ def test_texts_without_spaces_are_split_where_tokens_end(spark):
     assert got == {i: (library.encode(t, add_special_tokens=False).ids, t) for i, t in enumerate(texts)}
     words = df.where("doc_id = 1").select(bpe.words_of(F.col("text"), [], True).alias("w")).first().w
     assert "".join(words) == texts[1] and max(map(len, words)) < 20
+
+
+def test_values_of_fields_and_ruby():
+    from brindle.llm.html_text import render
+
+    assert render("<p>Name:<input value='A &amp; B'><input type=submit value=Send></p>") == "Name: A & B Send"
+    assert render("<input type=hidden value=x><input type=password value=y><input type=CHECKBOX value=z><input>") == ""
+    assert render("<p style='visibility:hidden'><input value=x></p><ruby>a<rp>(</rp><rt>b</rt><rp>)</rp></ruby>") == "ab"
