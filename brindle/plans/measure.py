@@ -248,3 +248,38 @@ def _summary_sql(name: str, condition: str, signal: str) -> str:
 
 
 ORACLES["repair_summary"] = f"{_summary_sql('condition_a', 'A', '0.5::DOUBLE')} UNION ALL {_summary_sql('condition_b', 'B', _SIGNAL_B)}"
+
+
+class FlakyModel(DigestModel):
+    """Fails at every belief whose prompt's fourth digit is 13 or more."""
+
+    def top_logprobs(self, prompt, k):
+        if int(hashlib.md5(prompt.encode()).hexdigest()[3], 16) >= 13:
+            raise M.ModelError("no belief")
+        return super().top_logprobs(prompt, k)
+
+
+def cond_c_repair(spark, sf_dir):
+    """A measurement that fails is made again, that one alone; a question with
+    one that fails again has no answer and one state."""
+    results, states = C.condition_c(_questions(spark, sf_dir), FlakyModel, ["A", "B", "C"])
+    kept = states.groupBy("trajectory_id").agg(F.count("*").alias("n_states"), F.count("distribution").alias("n_beliefs"))
+    return results.join(kept, results.question_id == kept.trajectory_id).select("question_id", "predicted_answer", "success", "n_calls", "repair_attempts", F.col("error").like("a measurement failed%").alias("broken"), "n_states", "n_beliefs")
+
+
+QUERIES["cond_c_repair"] = cond_c_repair
+ORACLES["cond_c_repair"] = f"""WITH {_STATES_SQL}, b AS (SELECT question_id, count(*) FILTER (ok AND {_digit('mp', 3)} >= 13) AS bad FROM w GROUP BY 1)
+SELECT question_id, CASE WHEN ok AND bad = 0 THEN CASE WHEN wa >= wb AND wa >= wc THEN 'A' WHEN wb >= wc THEN 'B' ELSE 'C' END END AS predicted_answer, ok AND bad = 0 AS success,
+  CAST(CASE WHEN again THEN 2 ELSE 1 END + CASE WHEN ok THEN 1 + bad ELSE 0 END AS INTEGER) AS n_calls, CAST(CASE WHEN again THEN 1 ELSE 0 END + CASE WHEN bad > 0 THEN 1 ELSE 0 END AS INTEGER) AS repair_attempts,
+  CASE WHEN NOT ok THEN false WHEN bad > 0 THEN true END AS broken, CASE WHEN ok AND bad = 0 THEN n + 1 ELSE 1 END AS n_states, CASE WHEN ok AND bad = 0 THEN n + 1 ELSE 0 END AS n_beliefs FROM w JOIN b USING (question_id) WHERE k = n"""
+
+
+def state_identities(spark, sf_dir):
+    """state_hash: a question's own hash before any step, and how many states
+    are told apart by their steps' embeddings."""
+    _, states = C.condition_c(_questions(spark, sf_dir), DigestModel, ["A", "B", "C"], embedder=M.HashEmbedder)
+    return states.groupBy("trajectory_id").agg(F.max(F.when(F.col("position") == 0, F.col("node_id"))).alias("first_id"), F.count_distinct("node_id").alias("n_ids"), F.count_distinct("action_id_to_next").alias("n_actions"))
+
+
+QUERIES["state_hash"] = state_identities
+ORACLES["state_hash"] = f"WITH {_STATES_SQL} SELECT question_id AS trajectory_id, sha256({_TEXT}) AS first_id, CASE WHEN ok THEN n + 1 ELSE 1 END AS n_ids, CASE WHEN ok THEN n ELSE 0 END AS n_actions FROM w WHERE k = n"
