@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import guards
 from brindle.operators.vector_index import Index
+from brindle.sources.store import cut_lineage
 
 # The artifacts' versions and columns.
 TRAJECTORIES_VERSION, READS = 3, (1, 2, 3)
@@ -330,8 +331,25 @@ def load_results(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(f"{path}/{name}")
 
 
-def append_json(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def append_json(rows: DataFrame, path: str, part: str | None = None) -> bool:
+    """Add ``rows`` to the log at ``path`` as one part, whole or not at all:
+    written aside, where readers don't look, and renamed. The parts' folders
+    are the log's manifest: a part that is there already, as after a retry, is
+    not added again, and False comes back."""
+    store, name = Store(rows.sparkSession, path), part or uuid.uuid4().hex
+    if store.exists(f"{path}/{name}"):
+        return False
+    aside = f"{path}/_writing-{uuid.uuid4().hex}"
+    rows.write.json(aside)
+    # Of two that write a part at once one is first; the other finds it there.
+    if store.exists(f"{path}/{name}") or not store.rename(aside, f"{path}/{name}"):
+        store.delete(aside)
+        return False
+    return True
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).json(path)
 
 
 def remaining(work: DataFrame, done: DataFrame, key: str = "question_id") -> DataFrame:
@@ -339,19 +357,22 @@ def remaining(work: DataFrame, done: DataFrame, key: str = "question_id") -> Dat
     return work.join(done.select(key), key, "left_anti")
 
 
-def resumed(spark: SparkSession, work: DataFrame, path: str, process: Callable[[DataFrame], DataFrame], key: str = "question_id", parts: int = 1) -> DataFrame:
+def resumed(spark: SparkSession, work: DataFrame, path: str, process: Callable[[DataFrame], DataFrame], key: str = "question_id", parts: int = 1, run: str | None = None) -> DataFrame:
     """Process what the log at ``path`` lacks, append it, return the log. With
     ``parts`` the work is done in so many pieces, by the key's hash, each
-    logged when it is done, so that a stop loses one piece at most."""
+    logged when it is done, so that a stop loses one piece at most. The log is
+    read once. A ``run`` that is named and started again leaves out the pieces
+    that it has logged, without looking at what is in them."""
     kind = work.schema[key].dataType
-
-    def logged() -> DataFrame:
-        if not Store(spark, path).exists(path):
-            return spark.createDataFrame([], f"`{key}` {kind.simpleString()}")
-        log = spark.read.json(path)
-        return log.select(F.col(key).cast(kind).alias(key)) if key in log.columns else spark.createDataFrame([], f"`{key}` {kind.simpleString()}")
-
-    for part in range(parts):
-        todo = remaining(work.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part) if parts > 1 else work, logged(), key)
-        append_json(process(todo), path)
-    return spark.read.json(path)
+    done = spark.createDataFrame([], f"`{key}` {kind.simpleString()}")
+    store, name = Store(spark, path), run or uuid.uuid4().hex
+    if store.exists(path):
+        log = read_log(spark, path)
+        done = log.select(F.col(key).cast(kind).alias(key)) if key in log.columns else done
+    done = cut_lineage(done, "done")
+    for k in range(parts):
+        part = f"{name}-{parts}-{k}"
+        if not store.exists(f"{path}/{part}"):
+            own = work.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k) if parts > 1 else work
+            append_json(process(remaining(own, done, key)), path, part)
+    return read_log(spark, path)
