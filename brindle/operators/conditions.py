@@ -88,7 +88,7 @@ def condition_b(questions: DataFrame, factory: Callable[[], M.LanguageModel], re
     return _answered(said, "B", 1 - F.coalesce(sure(), F.lit(0.5)))
 
 
-def condition_c(questions: DataFrame, factory: Callable[[], M.LanguageModel], space: list[str], max_steps: int = 10, repairs: int = 1, embedder: Callable[[], M.Embedder] | None = None, precision: int = 8, id_in_hash: bool = False) -> tuple[DataFrame, DataFrame]:
+def condition_c(questions: DataFrame, factory: Callable[[], M.LanguageModel], space: list[str], max_steps: int = 10, repairs: int = 1, embedder: Callable[[], M.Embedder] | None = None, precision: int = 8, id_in_hash: bool = False, shared: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, states): reasoning is decomposed and a belief measured before
     it and after each step, N + 1 states and N actions a question. The
     prediction is the leading answer of the last state.
@@ -98,7 +98,10 @@ def condition_c(questions: DataFrame, factory: Callable[[], M.LanguageModel], sp
     the one before reasoning, without embedding or belief; ``error`` says at
     which point. With an ``embedder`` a state's identity covers its steps'
     embeddings, states and actions have embeddings, and actions identities;
-    without, states are told apart by the question's hash and the prompt."""
+    without, states are told apart by the question's hash and the prompt.
+    ``shared`` tells the model what all prompts of a question begin with, before
+    the first of them, so that it is worked out once; by default if ``factory``
+    is a class with ``prefill``."""
     steps = lambda: T.decompose(F.col("response"), max_steps)
     said = _responses(questions, "condition_c_initial", factory, lambda: F.size(steps()["steps"]) == 0, repairs)
     qid = F.col("question_id") if id_in_hash else None
@@ -110,7 +113,10 @@ def condition_c(questions: DataFrame, factory: Callable[[], M.LanguageModel], sp
         parts = M.state_hashes(parts, "_text", "_steps", precision, "node_ids")
     parts = cut_lineage(parts, "reasoning")
     prompts = T.prefix_prompts(template("condition_c_measurement"), F.col("question"), F.col("choices"), F.col("steps"))
-    asked = parts.where("size(steps) > 0").select("question_id", F.posexplode(prompts).alias("position", "prompt")).repartition("question_id").sortWithinPartitions("question_id", "position")
+    asked = parts.where("size(steps) > 0").select("question_id", F.posexplode(prompts).alias("position", "prompt"))
+    if hasattr(factory, "prefill") if shared is None else shared:
+        asked = M.shared_prefix(asked, "question_id")
+    asked = asked.repartition("question_id").sortWithinPartitions("question_id", "position")
     read = cut_lineage(M.measure(asked, factory, space, retries=0), "beliefs")
     broken = read.where("error is not null")
     if not broken.isEmpty():

@@ -283,3 +283,28 @@ def state_identities(spark, sf_dir):
 
 QUERIES["state_hash"] = state_identities
 ORACLES["state_hash"] = f"WITH {_STATES_SQL} SELECT question_id AS trajectory_id, sha256({_TEXT}) AS first_id, CASE WHEN ok THEN n + 1 ELSE 1 END AS n_ids, CASE WHEN ok THEN n ELSE 0 END AS n_actions FROM w WHERE k = n"
+
+
+class PrefilledModel(DigestModel):
+    """The mass of a belief tells how long a beginning the model was told."""
+
+    told = ""
+
+    def prefill(self, prefix):
+        self.told = prefix
+
+    def top_logprobs(self, prompt, k):
+        mass = (len(self.told) % 97 + 1) / 100 if prompt.startswith(self.told) else 0.001
+        return {t: v + math.log(mass / 0.9) for t, v in super().top_logprobs(prompt, k).items()}
+
+
+def shared_prefix(spark, sf_dir):
+    """Beliefs of a model that is told what a question's prompts share."""
+    _, states = C.condition_c(_questions(spark, sf_dir), PrefilledModel, ["A", "B", "C"])
+    return states.where("distribution is not null").select("trajectory_id", "position", rounded("mass_capture"))
+
+
+QUERIES["llm_shared_prefix"] = shared_prefix
+ORACLES["llm_shared_prefix"] = f"""WITH {_STATES_SQL}, e AS (SELECT question_id, min(mp) AS a, max(mp) AS b FROM w GROUP BY 1),
+l AS (SELECT question_id, list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda i: left(a, i) = left(b, i))) AS n FROM e)
+SELECT question_id AS trajectory_id, CAST(k AS INTEGER) AS position, {sql_rounded('(l.n % 97 + 1) / 100', 'mass_capture')} FROM w JOIN l USING (question_id) WHERE ok"""
