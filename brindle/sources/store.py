@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,15 +37,31 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(path: str) -> None:
+    sc = _written[path].sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    del _written[path]
+
+
+@contextmanager
+def scratch():
+    """What is written within is deleted at the end of the block, by when its
+    results must have been written or collected: for long sessions."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in set(_written) - before:
+            _delete(path)
+
+
 @atexit.register
 def release() -> None:
     """Delete the tables written here, once nothing reads them: when the
     program ends, or when called."""
-    for path, spark in list(_written.items()):
+    for path in list(_written):
         try:
-            sc = spark.sparkContext
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(path)
         except Exception:  # noqa: BLE001  the session may be gone
             return
-        del _written[path]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 from brindle.functions import uncertainty as U
 from brindle.operators import conditions, evaluate, graph, guards, knn, measure, ordered, signatures, stats, trajectory, vector_index
-from brindle.sources import artifacts
+from brindle.sources import artifacts, store
 from brindle.streaming import scoring
 
 
@@ -598,6 +598,28 @@ def test_resume(spark, tmp_path):
     assert artifacts.resumed(spark, work, path, process).count() == 2 and seen == [["a"], ["b"]]
 
 
+def test_scratch_tables_go_at_the_end_of_the_block(spark):
+    from pathlib import Path
+
+    before = store.cut_lineage(spark.range(2), "kept")
+    with store.scratch():
+        inside = store.cut_lineage(spark.range(3), "inside")
+        paths = [Path(f.removeprefix("file:")) for f in inside.inputFiles()]
+        assert inside.count() == 3 and all(p.exists() for p in paths)
+    assert paths and not any(p.exists() for p in paths) and before.count() == 2
+
+
+def test_logged_parts_are_whole_and_once(spark, tmp_path):
+    rows, path = spark.range(3).withColumnRenamed("id", "question_id"), f"file://{tmp_path}/log"
+    assert artifacts.append_json(rows, path, "run-1-0") and not artifacts.append_json(rows, path, "run-1-0")
+    (tmp_path / "log" / "_writing-x").mkdir()
+    (tmp_path / "log" / "_writing-x" / "part-0.json").write_text('{"question_id": 99}\n')
+    assert sorted(r.question_id for r in artifacts.read_log(spark, path).collect()) == [0, 1, 2]
+    seen = []
+    again = artifacts.resumed(spark, rows, path, lambda todo: seen.append(todo.count()) or todo, parts=1, run="run")
+    assert again.count() == 3 and seen == []
+
+
 def test_stream(spark, tmp_path):
     s = spark.createDataFrame([(1, {"A": 0.5, "B": 0.5}, 0.9), (1, {"A": 1.0}, 0.7)], "trajectory_id int, distribution map<string,double>, mass_capture double")
     s.write.parquet(f"{tmp_path}/in")
