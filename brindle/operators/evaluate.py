@@ -37,7 +37,7 @@ def long_scores(scores: DataFrame, truth: DataFrame, columns: list[str], unit: s
     metrics = {"n": F.count(F.lit(1))} | {f"none_{i}": F.sum((~present(F.col(c).cast("double"))).cast("long")) for i, c in enumerate(columns)}
     found, seen = guards.watched(found, metrics)
     joined = cut_lineage(found, "joined")
-    counts = seen.get
+    counts = guards.seen_of(seen)
     if not counts.get("n"):
         raise EvaluationError(f"no {unit} is in both the scores and the labels")
     dropped = {c: counts[f"none_{i}"] for i, c in enumerate(columns) if counts[f"none_{i}"]}

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -28,6 +29,14 @@ def watched(rows: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, Obs
     return rows.observe(seen, *[m.alias(name) for name, m in metrics.items()]), seen
 
 
+def seen_of(seen: Observation) -> dict:
+    """The metrics; none if the optimizer found that no rows need be read."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
 def embedding_metrics(column: str = "embedding") -> dict[str, Column]:
     return {"states": F.count(F.lit(1)), "embedded": F.count(column)}
 

@@ -29,9 +29,10 @@ def compute_signatures(states: DataFrame, steps: DataFrame, edges: DataFrame, qu
     base = trajectory.scores(states).select("trajectory_id", "mean_entropy", "entropy_plateau", "mass_capture_mean", "mass_capture_min")
     parts = base.join(graph.voi_flatness(steps, edges), "trajectory_id", "left").join(knn.distance_from_trajectory(queries, visits, k=k, exclude_self=exclude_self), "trajectory_id", "left").fillna(0.0, ["voi_flatness", "distance_from_trajectory"])
     parts = cut_lineage(parts, "components")  # ranked and joined again; the states were seen meanwhile
-    if seen.get.get("states"):
-        guards.embeddings_verdict(seen.get)
-        guards.provenance_verdict(seen.get, force=force)
+    counts = guards.seen_of(seen)
+    if counts.get("states"):
+        guards.embeddings_verdict(counts)
+        guards.provenance_verdict(counts, force=force)
     ranks = rank_percentiles(parts, "trajectory_id", {f"r_{c}": F.col(c) for c in weights})
     total = sum((F.col(f"r_{c}") * w for c, w in weights.items()), F.lit(0.0))
     names = ("entropy_plateau", "voi_flatness", "distance_from_trajectory", "mean_entropy", "mass_capture_mean", "mass_capture_min")

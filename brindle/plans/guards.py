@@ -96,7 +96,7 @@ def observed(spark, sf_dir):
     metrics = {"n": F.count(F.lit(1)), "positives": F.sum("target"), "negatives": F.sum(1 - F.col("target")), "missing": F.count(F.lit(1)) - F.count("score")}
     rows, seen = guards.watched(lines, metrics)
     cut_lineage(rows, "observed")
-    counts = seen.get
+    counts = {"n": 0, "positives": None, "negatives": None, "missing": 0} | guards.seen_of(seen)
     return spark.createDataFrame([(counts["n"], counts["positives"], counts["negatives"], counts["missing"], bool(counts["positives"] and counts["negatives"]))], "n long, positives long, negatives long, missing long, both_classes boolean")
 
 
