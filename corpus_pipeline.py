@@ -8,8 +8,9 @@ Defined cases, by stage: a null text is rejected by the quality rules, and
 where a stage is run on its own it counts as empty, is kept and stays null
 (near-dedup keeps one of all texts without words, decontamination and the
 secret scan let it through, BPE gives it no ids and an empty text). Rows
-without an identifier can't be told apart and are all kept by near-dedup; of
-rows that repeat an identifier it keeps one. Texts of any length are treated
+without an identifier can't be told apart and are all kept by near-dedup; rows
+that repeat an identifier are told apart by their texts, of which it keeps one
+of each class. Texts of any length are treated
 whole; a text must fit a task. An empty table gives an empty one.
 """
 
