@@ -493,11 +493,12 @@ def similar_links(texts: DataFrame, width: int, max_members: int = 1024, block_b
     return known.unionByName(_dealt(_in_pairs(full, max_members, block_bytes), width, VERIFIED, _classes_of_block).select("u", "v"))
 
 
-def _classes(docs: DataFrame, id_column: str, text_column: str, width: int, budget: int) -> tuple[DataFrame, DataFrame]:
-    """Tables of rows (rid, id, row, identity) and of classes' identities
-    (identity, component_id, keep): see ``near_classes``. ``row`` has all
-    columns; ``keep`` is the number of the class's first row by identifier,
-    identity and place, rows without an identifier last."""
+def _classes(docs: DataFrame, id_column: str, text_column: str, width: int, budget: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of rows (rid, row), of their identities (rid, id, identity) and
+    of the classes of those (identity, component_id, keep): see
+    ``near_classes``. ``row`` has all columns; ``keep`` is the number of the
+    class's first row by identifier, identity and place, rows without an
+    identifier last."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -528,7 +529,7 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, width: int, budg
     rooted = distinct.join(roots, "node", "left").select("identity", "first", F.coalesce("root", "node").alias("root"))
     names = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")), "names")
     named = rooted.select("identity", "root").join(names, "root").select("identity", F.col("first.id").alias("component_id"), F.col("first.rid").alias("keep"))
-    return rows.join(each.select("rid", "identity"), "rid").withColumn("id", id_), named
+    return rows, each.select("rid", "id", "identity"), named
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, budget: int = 128) -> DataFrame:
@@ -543,7 +544,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     compared by its shingles, and only links of 0.8 or more remain. A node is a
     sequence of words, by a 128-bit hash; two of one and the same single
     shingle are one node, and others with a single shingle have no links."""
-    each, named = _classes(docs, id_column, text_column, width, budget)
+    _, each, named = _classes(docs, id_column, text_column, width, budget)
     return each.select("id", "identity").join(named, "identity").select("id", "component_id")
 
 
@@ -553,9 +554,10 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     words, and of rows that repeat it the first. An id that has unlike texts
     keeps a row of each. Rows without an id can't be told apart and are all
     kept."""
-    each, named = _classes(docs, id_column, text_column, width, budget)
+    rows, _, named = _classes(docs, id_column, text_column, width, budget)
+    no_id = F.col("row").getField(id_column).isNull()
     # A class has one row to keep, so rows meet by their numbers and no class is hot.
     keep = named.select(F.col("keep").alias("rid")).distinct()
     # One plan at every size: an automatic broadcast would stop at some size.
-    held = each.where("id is not null").join(keep.hint("merge"), "rid", "left_semi").unionByName(each.where("id is null"))
+    held = rows.where(~no_id).join(keep.hint("merge"), "rid", "left_semi").unionByName(rows.where(no_id))
     return held.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
