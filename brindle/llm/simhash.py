@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.components import components
 from brindle.llm.memory import give_back
-from brindle.llm.store import discard, materialize
+from brindle.llm.store import materialize
 
 SEED = 42
 KEY = ("depth", "a", "b")
@@ -524,7 +524,8 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, width: int, budg
     distinct = materialize(each.groupBy("identity").agg(F.min("fp").alias("fp"), F.min("anchors").alias("anchors"), first.alias("first"), F.min("rid").alias("node")), "wide-distinct")
     maybe = components(wide_links(distinct, budget))
     members = maybe.unionByName(maybe.select(F.col("root").alias("node"), "root").distinct())
-    texts = members.join(rows.select(F.col("rid").alias("node"), text), "node").select("root", "node", "text")
+    # One plan at every size: an automatic broadcast would stop at some size.
+    texts = members.hint("merge").join(rows.select(F.col("rid").alias("node"), text), "node").select("root", "node", "text")
     roots = components(similar_links(materialize(texts, "candidates"), width))
     rooted = distinct.join(roots, "node", "left").select("identity", "first", F.coalesce("root", "node").alias("root"))
     names = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")), "names")
@@ -558,6 +559,5 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     no_id = F.col("row").getField(id_column).isNull()
     # A class has one row to keep, so rows meet by their numbers and no class is hot.
     keep = named.select(F.col("keep").alias("rid")).distinct()
-    # One plan at every size: an automatic broadcast would stop at some size.
     held = rows.where(~no_id).join(keep.hint("merge"), "rid", "left_semi").unionByName(rows.where(no_id))
     return held.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
