@@ -7,12 +7,15 @@ centre and a member. Of unit vectors, angles obey the triangle inequality, so
 no member of a cluster is nearer to a query than the angle to the centre less
 the radius. A search finds the k-th best of the query's own leaf first and then
 walks down from the root, leaving out every cluster whose bound on the inner
-product is below that. What is left is compared in full: results are exact,
+product is below that. Where so many clusters of a node are left that to send
+the query to each would cost more than to compare it with all of the node's
+members, it stops there. What is left is compared in full: results are exact,
 ties by visit_seq included.
 
-All steps deal with blocks of at most ``BLOCK`` rows: a split copies a node's
-at most ``FAN`` centres to each block of its members, a search a leaf's members
-to each block of the queries that reach it. Visits that can't be told apart
+All steps deal with blocks: a split copies a node's at most ``FAN`` centres to
+each ``BLOCK`` of its members, a search a node's members to each ``MET`` of the
+queries that stop there. So a query is copied at most about once for each
+``MET`` visits of its timestep, whatever the leaves' size and the bounds. Visits that can't be told apart
 stay one leaf, of however many blocks. Where no timestep is larger than a leaf
 its root is the leaf, and nothing is walked.
 
@@ -34,8 +37,11 @@ from pyspark.sql import functions as F
 from brindle.sources.store import cut_lineage
 
 #: Rows of a block of either side, queries multiplied at once, children of a node.
-BLOCK, STRIP, FAN = 8192, 256, 64
+BLOCK, STRIP, FAN = 8192, 64, 64
 LEAF = 8192
+#: Rows of a block of either side where queries meet visits, and how many
+#: comparisons a copy of a query costs.
+MET, COPY = 32768, 1000
 TOLERANCE = 1e-3
 #: What rounding may do to a bound; similarities have 9 digits.
 SLACK = 1e-6
@@ -72,15 +78,15 @@ def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(norm(a) @ norm(b).T, -1, 1))
 
 
-def _in_blocks(rows: DataFrame, sizes: DataFrame, n: str, seq: str, name: str) -> DataFrame:
-    """``rows`` with the number of a block of about ``BLOCK`` of its node."""
-    blocks = F.ceil(F.col(n) / BLOCK).cast("int")
+def _in_blocks(rows: DataFrame, sizes: DataFrame, n: str, seq: str, name: str, per: int = BLOCK) -> DataFrame:
+    """``rows`` with the number of a block of about ``per`` of its node."""
+    blocks = F.ceil(F.col(n) / per).cast("int")
     return rows.join(sizes, ["timestep", "node"]).withColumn(name, F.pmod(F.xxhash64(seq), blocks).cast("int")).drop(n)
 
 
-def _for_blocks(rows: DataFrame, sizes: DataFrame, n: str, name: str) -> DataFrame:
+def _for_blocks(rows: DataFrame, sizes: DataFrame, n: str, name: str, per: int = BLOCK) -> DataFrame:
     """``rows`` once for each block of their node's other side."""
-    return rows.join(sizes, ["timestep", "node"]).withColumn(name, F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK).cast("int") - 1))).drop(n)
+    return rows.join(sizes, ["timestep", "node"]).withColumn(name, F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / per).cast("int") - 1))).drop(n)
 
 
 def _sizes(rows: DataFrame, n: str) -> DataFrame:
@@ -168,11 +174,11 @@ def _block_best(k: int, exclude_self: bool):
             near = np.round(q[at : at + STRIP] @ v.T, 9)
             if exclude_self:
                 near[seq[at : at + STRIP, None] == visit] = -np.inf
-            # Visits are in order, so a stable sort breaks ties by visit_seq.
-            best = np.argsort(-near, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(near, best, 1)
-            row, col = np.nonzero(value > -np.inf)
-            found.append((seq[at + row], visit[best[row, col]], value[row, col]))
+            # The k-th best and all above; of those equal to it, as visits are in order, the first.
+            kth = -np.partition(-near, k - 1, 1)[:, k - 1, None] if k < near.shape[1] else np.full((len(near), 1), -np.inf)
+            above, tied = near > kth, (near == kth) & (kth > -np.inf)
+            row, col = np.nonzero(above | (tied & (np.cumsum(tied, 1) <= k - above.sum(1, keepdims=True))))
+            found.append((seq[at + row], visit[col], near[row, col]))
         a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
         step = pa.array([left.column("timestep")[0].as_py()] * len(a), kinds[1])
         return pa.Table.from_arrays([pa.array(a), step, pa.array(b), pa.array(c)], names=names)
@@ -184,25 +190,31 @@ def _in_leaves(pairs: DataFrame, members: DataFrame, k: int, exclude_self: bool)
     """The best k of each leaf's blocks for ``pairs`` (query_seq, timestep, q,
     node) of queries and leaves."""
     sizes = cut_lineage(pairs.groupBy("timestep", "node").agg(F.count("*").alias("nq")).join(members.groupBy("timestep", "node").agg(F.count("*").alias("nv")), ["timestep", "node"]), "sizes")
-    q = _for_blocks(_in_blocks(pairs, sizes.select("timestep", "node", "nq"), "nq", "query_seq", "qb"), sizes.select("timestep", "node", "nv"), "nv", "vb")
-    v = _for_blocks(_in_blocks(members, sizes.select("timestep", "node", "nv"), "nv", "visit_seq", "vb"), sizes.select("timestep", "node", "nq"), "nq", "qb")
+    nq, nv = sizes.select("timestep", "node", "nq"), sizes.select("timestep", "node", "nv")
+    q = _for_blocks(_in_blocks(pairs, nq, "nq", "query_seq", "qb", MET), nv, "nv", "vb", MET)
+    v = _for_blocks(_in_blocks(members, nv, "nv", "visit_seq", "vb", MET), nq, "nq", "qb", MET)
     by = ["timestep", "node", "qb", "vb"]
     kind = members.schema["timestep"].dataType.simpleString()
     return _met(q, v, by, _block_best(k, exclude_self), f"query_seq bigint, timestep {kind}, visit_seq bigint, similarity double")
 
 
 def _within_bound(left: pa.Table, right: pa.Table) -> pa.Table:
-    """(query, child) whose bound is not below the query's k-th best."""
+    """(query, child) whose bound is not below the query's k-th best; or the
+    query and the node as a ``whole``, where that costs no more."""
     right = right.sort_by("child")
     if left.num_rows and right.num_rows:
         near = np.maximum(_angles(matrix(left.column("q")), matrix(right.column("centre"))) - right.column("radius").to_numpy(), 0)
         cos = np.cos(near)
         bound = cos * np.where(cos > 0, 1 + TOLERANCE, 1 - TOLERANCE) ** 2 + SLACK
-        row, col = np.nonzero(bound >= left.column("least").to_numpy()[:, None])
+        kept, n = bound >= left.column("least").to_numpy()[:, None], right.column("n").to_numpy()
+        whole = -(-n.sum() // MET) * COPY + n.sum() <= kept.sum(1) * COPY + kept @ n
+        row, col = np.nonzero(kept & ~whole[:, None])
+        stopped = np.nonzero(whole)[0]
     else:
-        row = col = np.zeros(0, int)
-    taken = left.take(pa.array(row, pa.int64()))
-    return pa.table({"query_seq": taken.column("query_seq"), "timestep": taken.column("timestep"), "q": taken.column("q"), "node": right.column("child").take(pa.array(col, pa.int64())), "least": taken.column("least")})
+        row = col = stopped = np.zeros(0, int)
+    taken = left.take(pa.array(np.concatenate([row, stopped]), pa.int64()))
+    nodes = [*right.column("child").take(pa.array(col, pa.int64())).to_pylist(), *taken.column("node").slice(len(row)).to_pylist()]
+    return pa.table({"query_seq": taken.column("query_seq"), "timestep": taken.column("timestep"), "q": taken.column("q"), "node": pa.array(nodes, pa.string()), "least": taken.column("least"), "whole": pa.array(np.arange(len(nodes)) >= len(row))})
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -212,15 +224,16 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def reached(index: Index, queries: DataFrame, k: int, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
     """What the queries' own leaves give, and the (query_seq, timestep, q,
-    node, least) of further leaves that may hold something better."""
-    children = index.tree.select("timestep", F.col("parent").alias("node"), F.col("node").alias("child"), "centre", "radius")
+    node, least) of further leaves, or whole nodes, that may hold something
+    better."""
+    children = index.tree.select("timestep", F.col("parent").alias("node"), F.col("node").alias("child"), "centre", "radius", "n")
     inner = cut_lineage(children.select("timestep", "node").distinct(), "inner")
     asked = queries.select(F.col("visit_seq").cast("long").alias("visit_seq"), "timestep", "embedding", F.lit("").alias("node"))
     here, home = asked, None
     for _ in range(index.depth):
         ended = here.join(inner, ["timestep", "node"], "left_anti")
         home = ended if home is None else home.unionByName(ended)
-        here = _nearest_child(cut_lineage(here.join(inner, ["timestep", "node"], "left_semi"), "descent"), children.drop("radius")).drop("angle")
+        here = _nearest_child(cut_lineage(here.join(inner, ["timestep", "node"], "left_semi"), "descent"), children.drop("radius", "n")).drop("angle")
     home = here if home is None else home.unionByName(here)
     home = cut_lineage(home.select(F.col("visit_seq").alias("query_seq"), "timestep", F.col("embedding").alias("q"), "node"), "home")
     own = cut_lineage(_best(_in_leaves(home, index.members, k, exclude_self), k), "own-leaf").drop("rank")
@@ -228,16 +241,17 @@ def reached(index: Index, queries: DataFrame, k: int, exclude_self: bool) -> tup
     bound = home.join(least, "query_seq", "left").select("query_seq", "timestep", "q", "node", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-2.0)).alias("least"))
     kind = queries.schema["timestep"].dataType.simpleString()
     vectors = queries.schema["embedding"].dataType.simpleString()
-    open_, ends = bound.withColumn("node", F.lit("")), None
+    key, walked = ["timestep", "node", "whole"], inner.withColumn("whole", F.lit(False))
+    open_, ends = bound.withColumn("node", F.lit("")).withColumn("whole", F.lit(False)), None
     for _ in range(index.depth):
-        ended = open_.join(inner, ["timestep", "node"], "left_anti")
+        ended = open_.join(walked, key, "left_anti")
         ends = ended if ends is None else ends.unionByName(ended)
-        rows = cut_lineage(open_.join(inner, ["timestep", "node"], "left_semi"), "open")
+        rows = open_.join(walked, key, "left_semi").drop("whole")
         sizes = _sizes(rows, "n")
         by = ["timestep", "node", "block"]
-        dealt, centres = _in_blocks(rows, sizes, "n", "query_seq", "block"), _for_blocks(children, sizes, "n", "block")
-        open_ = _met(dealt, centres, by, _within_bound, f"query_seq bigint, timestep {kind}, q {vectors}, node string, least double")
-    ends = open_ if ends is None else ends.unionByName(open_)
+        dealt, centres = _in_blocks(rows, sizes, "n", "query_seq", "block"), _for_blocks(children.withColumnRenamed("n", "inside"), sizes, "n", "block").withColumnRenamed("inside", "n")
+        open_ = cut_lineage(_met(dealt, centres, by, _within_bound, f"query_seq bigint, timestep {kind}, q {vectors}, node string, least double, whole boolean"), "open")
+    ends = (open_ if ends is None else ends.unionByName(open_)).drop("whole")
     return own, cut_lineage(ends.join(home.select("query_seq", "node"), ["query_seq", "node"], "left_anti"), "further")
 
 
@@ -248,5 +262,12 @@ def search(index: Index, queries: DataFrame, k: int = 5, exclude_self: bool = Fa
         pairs = queries.select(F.col("visit_seq").cast("long").alias("query_seq"), "timestep", F.col("embedding").alias("q"), F.lit("").alias("node"))
         return _best(_in_leaves(pairs, index.members, k, exclude_self), k)
     own, further = reached(index, queries, k, exclude_self)
-    more = _in_leaves(further.drop("least"), index.members, k, exclude_self)
-    return _best(own.unionByName(more), k)
+    # Members by all nodes above them that are asked as wholes, and by their leaves.
+    path = F.split("node", r"\.")
+    above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.array_join(F.slice(path, 1, i), ".")))
+    asked = cut_lineage(further.select("timestep", "node").distinct(), "asked")
+    members = index.members.withColumn("node", F.explode(F.array_distinct(above))).join(asked, ["timestep", "node"], "left_semi")
+    more = _in_leaves(further.drop("least"), members, k, exclude_self)
+    # A whole node may have the query's own leaf in it.
+    found = own.unionByName(more).groupBy("query_seq", "timestep", "visit_seq").agg(F.max("similarity").alias("similarity"))
+    return _best(found, k)

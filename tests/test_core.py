@@ -250,6 +250,28 @@ def test_index_leaves_out_clusters_and_nothing_else(spark, tmp_path, monkeypatch
     assert vector_index.search(vector_index.build(v.limit(0)), v, 3).count() == 0
 
 
+@pytest.mark.parametrize("copy", [0, 1000])
+def test_index_that_cannot_prune_sends_queries_to_whole_nodes(spark, monkeypatch, copy):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 32))
+    x[:300, 2:] *= 0.01  # half can be pruned, half can't
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("float32")
+    v = spark.createDataFrame([(i, i // 300, x[i].tolist()) for i in range(600)], "visit_seq long, timestep int, embedding array<float>")
+    monkeypatch.setattr(vector_index, "MET", 200)
+    monkeypatch.setattr(vector_index, "COPY", copy, raising=False)
+    index = vector_index.build(v, leaf=8)
+    _, further = vector_index.reached(index, v, 3, False)
+    assert further.where("timestep = 1").count() <= 300 * (2 if copy else 300)
+    got = {(r.query_seq, r["rank"]): r.visit_seq for r in vector_index.search(index, v, 3).collect()}
+    near = np.round(x.astype(float) @ x.astype(float).T, 9)
+    for i in range(600):
+        best = sorted((-near[i, j], j) for j in range(i // 300 * 300, i // 300 * 300 + 300))[:3]
+        assert [got[i, r + 1] for r in range(3)] == [j for _, j in best]
+    assert len(got) == 1800
+
+
 def test_trajectory_defaults(spark):
     s = spark.createDataFrame([(1, 0, None, None), (2, 0, {"A": 0.5, "B": 0.5}, 0.9), (2, 1, None, None), (2, 2, {"A": 1.0, "B": 0.0}, 0.8)], "trajectory_id int, position int, distribution map<string,double>, mass_capture double")
     got = {r.trajectory_id: r for r in trajectory.scores(s).collect()}
