@@ -272,6 +272,20 @@ def test_index_that_cannot_prune_sends_queries_to_whole_nodes(spark, monkeypatch
     assert len(got) == 1800
 
 
+def test_lists_of_pairs_are_evaluated_once(spark):
+    rows = spark.createDataFrame([({"A": 3.0, "B": 1.0},), ({},), (None,)], "zz map<string,double>")
+    p = U.projected(F.col("zz"), ["A", "B"])
+    spread = U.mean_pairwise(F.array(p, F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(1.0), F.lit(0.0))), U.js_divergence)
+    got = [r.v for r in rows.select(spread.alias("v")).collect()]
+    h = lambda x: -sum(y * math.log2(y) for y in (x, 1 - x) if y)
+    js = lambda a, b: h((a + b) / 2) - (h(a) + h(b)) / 2
+    assert got == [pytest.approx((js(a, 0.5) + js(a, 1) + js(0.5, 1)) / 3) for a in (0.75, 0.5, 0.5)]
+    # As often as in one list, not for each pair and use.
+    plan = rows.select(spread.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    once = rows.select(F.array(p, p).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("element_at(zz") <= once.count("element_at(zz")
+
+
 def test_trajectory_defaults(spark):
     s = spark.createDataFrame([(1, 0, None, None), (2, 0, {"A": 0.5, "B": 0.5}, 0.9), (2, 1, None, None), (2, 2, {"A": 1.0, "B": 0.0}, 0.8)], "trajectory_id int, position int, distribution map<string,double>, mass_capture double")
     got = {r.trajectory_id: r for r in trajectory.scores(s).collect()}
