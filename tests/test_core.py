@@ -286,6 +286,17 @@ def test_lists_of_pairs_are_evaluated_once(spark):
     assert 0 < plan.count("element_at(zz") <= once.count("element_at(zz")
 
 
+def test_equal_lists_are_perturbed_once(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    drawn, draw = [], np.random.default_rng
+    monkeypatch.setattr(np.random, "default_rng", lambda s: drawn.append(s) or draw(s))
+    lists = [[0.0, 1.0, 0.0], [0.5, 0.5], [0.2, 0.3, 0.5]] * 40
+    got = stats.noisy_spread(pd.Series(lists), 0.5, 16, 42)
+    assert len(drawn) == 3 and len(got) == 120 and got.nunique() == 3 and (got[:3].tolist() * 40) == got.tolist()
+
+
 def test_trajectory_defaults(spark):
     s = spark.createDataFrame([(1, 0, None, None), (2, 0, {"A": 0.5, "B": 0.5}, 0.9), (2, 1, None, None), (2, 2, {"A": 1.0, "B": 0.0}, 0.8)], "trajectory_id int, position int, distribution map<string,double>, mass_capture double")
     got = {r.trajectory_id: r for r in trajectory.scores(s).collect()}
