@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from brindle.plans import catalog
 from brindle.sources import fixtures as X
 
 
@@ -28,3 +29,11 @@ def test_times_of_events_count_as_in_sql(spark, tmp_path, zone):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["prereg_rules", "component_table_ci"])
+def test_states_are_made_once(spark, monkeypatch, name):
+    made, states = [], X.states
+    monkeypatch.setattr(X, "states", lambda *a: made.append(a) or states(*a))
+    catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
