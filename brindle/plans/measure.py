@@ -184,14 +184,18 @@ QUERIES["sample_token"] = sample_token
 ORACLES["sample_token"] = f"WITH {X.STATES} SELECT trajectory_id, position, CAST(list_position(dist, list_max(dist)) - 1 AS BIGINT) AS token FROM states WHERE dist IS NOT NULL"
 
 
-def compute_signatures(spark, sf_dir):
+def _signed(states, spark, sf_dir):
     steps = X.transitions(spark, sf_dir)
     _, edges = _graph(spark, sf_dir)
     v = X.visits(spark, sf_dir)
-    found = signatures.compute_signatures(X.states(spark, sf_dir), steps, edges, v.withColumn("trajectory_id", F.pmod("visit_seq", F.lit(50))), v)
+    found = signatures.compute_signatures(states, steps, edges, v.withColumn("trajectory_id", F.pmod("visit_seq", F.lit(50))), v)
     return found.select("trajectory_id", *[rounded(F.col(c).cast("double"), c) for c in found.columns[1:]])
 
 
+def compute_signatures(spark, sf_dir):
+    return _signed(X.states(spark, sf_dir), spark, sf_dir)
+
+
 QUERIES["compute_signatures"] = compute_signatures
 _FLOAT = lambda e, name: sql_rounded(f"CAST(CAST({e} AS FLOAT) AS DOUBLE)", name)
 SIGNATURES = f"""{PER_TRAJECTORY}, {VOI.lstrip()}, ge AS (SELECT source_id, action_id, target_id, abs(voi) AS gain FROM ed JOIN kl USING (source_id, action_id)),
@@ -203,7 +207,8 @@ ORACLES["compute_signatures"] = f"WITH {SIGNATURES} SELECT trajectory_id, " + ",
 
 
 def _signatures(spark, sf_dir):
-    return cut_lineage(compute_signatures(spark, sf_dir).join(trajectory.scores(X.states(spark, sf_dir)).select("trajectory_id", "terminal_entropy"), "trajectory_id"), "signatures")
+    states = cut_lineage(X.states(spark, sf_dir).select("trajectory_id", "position", "distribution", "mass_capture"), "states")  # read twice
+    return cut_lineage(_signed(states, spark, sf_dir).join(trajectory.scores(states).select("trajectory_id", "terminal_entropy"), "trajectory_id"), "signatures")
 
 
 def component_table(spark, sf_dir):
