@@ -11,7 +11,7 @@ from brindle.plans.scores import PER_TRAJECTORY
 from brindle.sources import artifacts as A
 from brindle.sources import fixtures as X
 from brindle.sources import questions as Q
-from brindle.sources.store import placed
+from brindle.sources.store import cut_lineage, placed
 
 QUERIES, ORACLES = {}, {}
 
@@ -188,11 +188,14 @@ def guard_verdicts(spark, sf_dir):
     """Every guard on the tables, and on a broken version of them: whether it
     raises."""
     states = X.states(spark, sf_dir).withColumn("metadata", F.create_map(F.lit("model"), F.lit("m"))).withColumn("embedding", F.when(F.col("mass_capture").isNotNull(), F.array(F.lit(1.0))))
+    # Read by several guards each.
+    states = cut_lineage(states.select("trajectory_id", "position", "mass_capture", "metadata", "embedding"), "states")
     full = states.where("mass_capture is not null")
     nodes, edges = _graph(spark, sf_dir)
-    t, s = _artifact(spark, sf_dir)
+    nodes, edges = cut_lineage(nodes, "graph-nodes"), cut_lineage(edges, "graph-edges")
+    t, s = (cut_lineage(x, "artifact") for x in _artifact(spark, sf_dir))
     mixed = states.withColumn("metadata", F.create_map(F.lit("model"), F.when(F.col("position") == 0, "m").otherwise("n")))
-    truth = X.truth(spark, sf_dir)
+    truth = cut_lineage(X.truth(spark, sf_dir), "truth")
     checks = {
         "embedding_uniform": (lambda: guards.embeddings_uniform(full), lambda: guards.embeddings_uniform(full.withColumn("embedding", F.when(F.col("position") > 0, F.col("embedding"))))),
         "metadata_consistent": (lambda: guards.metadata_consistent(s.withColumn("metadata_json", F.lit("{}"))), lambda: guards.metadata_consistent(s)),

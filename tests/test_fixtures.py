@@ -6,8 +6,9 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import DataFrame
 
-from brindle.plans import catalog
+from brindle.plans import catalog, sources
 from brindle.sources import fixtures as X
 
 
@@ -37,3 +38,12 @@ def test_states_are_made_once(spark, monkeypatch, name):
     monkeypatch.setattr(X, "states", lambda *a: made.append(a) or states(*a))
     catalog.queries()[name](spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+def test_guards_read_written_tables(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(sources, "_raises", lambda check: read.extend(c.cell_contents for c in check.__closure__ or ()) or False)
+    sources.guard_verdicts(spark, "/root/testdata/sf0.001")
+    tables = [x for x in read if isinstance(x, DataFrame)]
+    whole = [x for x in tables if "mass_capture" in x.columns or "source_id" in x.columns or "target" in x.columns]
+    assert whole and not any("/sf0.001/" in f for x in whole for f in x.inputFiles())
