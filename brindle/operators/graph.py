@@ -99,14 +99,14 @@ def edge_class(voi: Column, rate: Column, voi_high: Column, voi_low: Column, rat
 def recover(steps: DataFrame, config: RecoveryConfig = RecoveryConfig()) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges). nodes: node_id, visit_count, is_terminal, prior, level;
     edges: source_id, action_id, target_id, frequency, voi, consensus_rate,
-    classification, posterior level. Steps with a metadata_json column must
-    have one value of it a node."""
+    classification, posterior level. A step without a node has none in the
+    graph. Steps with a metadata_json column must have one value of it a node."""
     if "metadata_json" in steps.columns:
         guards.metadata_consistent(steps)
     counted = outcome_counts(steps)
     ends = counted.where(F.col("set") == TRAJECTORIES).groupBy("last").agg(F.count("*").alias("c"))
     overall = ends.agg(_counted_entropy("last")[1].alias("h_global"))
-    by_node = counted.where(F.col("set") == NODES).groupBy(F.col("source_id").alias("node_id"))
+    by_node = counted.where((F.col("set") == NODES) & F.col("source_id").isNotNull()).groupBy(F.col("source_id").alias("node_id"))
     node_h = by_node.agg(F.sum("c").alias("visit_count"), *_counted_entropy())
 
     local = F.coalesce(F.col("n_outcomes") >= config.min_count, F.lit(False))
