@@ -139,3 +139,31 @@ def test_ks_chance_is_exact(spark, n1, n0):
 def test_ks_chance_of_large_samples():
     x = 0.05 * math.sqrt(5000 * 4000 / 9000)
     assert stats.ks_exact(0.05, 5000, 4000) == pytest.approx(2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 50)), rel=0.05)
+
+
+def test_trajectories_are_made_once_for_resampling(spark, monkeypatch):
+    """The rows of spearman_ci and paired_bootstrap are written, and made of
+    states that are: their plans read no table of the star schema."""
+    read = []
+    for name in ("spearman_bootstrap", "paired_bootstrap"):
+        drawn = getattr(resample, name)
+        monkeypatch.setattr(resample, name, lambda rows, *a, drawn=drawn: read.append(rows.inputFiles()) or drawn(rows, *a, n=100))
+    plans.spearman_interval(spark, SF).collect()
+    plans.paired_bootstrap(spark, SF).collect()
+    assert len(read) == 2 and not [f for files in read for f in files if SF in f]
+
+
+def test_each_group_has_a_task(spark):
+    rows = spark.range(24_000).select(F.col("id"), F.pmod("id", F.lit(24)).alias("_cut"))
+    dealt, by = resample._in_tasks(rows, ["_cut"])
+    found = dealt.select(*by, F.spark_partition_id().alias("p")).distinct().groupBy("p").count()
+    assert found.count() >= 20 and found.agg(F.max("count")).first()[0] <= 2
+
+
+def test_counts_by_the_first_bits_are_those_of_the_share():
+    units = np.concatenate([np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 300_000), np.arange(3)])
+    for b in (0, 7, 1999):
+        with np.errstate(over="ignore"):
+            own = resample._mixed(np.array([(b + 1) * resample.GAMMA + 42 & 0xFFFFFFFFFFFFFFFF], np.uint64))
+        share = (resample._mixed(units.view(np.uint64) ^ own) >> np.uint64(11)) / float(1 << 53)
+        assert np.array_equal(resample.unit_counts(units, b, 42), np.searchsorted(resample.POISSON, share, "right"))
