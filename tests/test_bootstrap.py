@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import evaluate, resample, stats
+from brindle.operators import evaluate, prereg, resample, stats
+from brindle.plans import extras
 from brindle.plans import stats as plans
 
 SF = "/root/testdata/sf0.001"
@@ -167,3 +168,77 @@ def test_counts_by_the_first_bits_are_those_of_the_share():
             own = resample._mixed(np.array([(b + 1) * resample.GAMMA + 42 & 0xFFFFFFFFFFFFFFFF], np.uint64))
         share = (resample._mixed(units.view(np.uint64) ^ own) >> np.uint64(11)) / float(1 << 53)
         assert np.array_equal(resample.unit_counts(units, b, 42), np.searchsorted(resample.POISSON, share, "right"))
+
+
+def test_areas_without_precision_are_drawn_once(spark, units, monkeypatch):
+    """auc_with_ci has no PR area, so no range is drawn again for it; its areas
+    are those of the draws with precision."""
+    written, cut = [], resample.cut_lineage
+    monkeypatch.setattr(resample, "cut_lineage", lambda df, name: written.append(name) or cut(df, name))
+    long = units[1].select(F.lit("s").alias("score_column"), F.col("b").alias("score"), "target")
+    evaluate.auc_with_ci(long, n_bootstrap=20).collect()
+    assert "resampled" in written and "below" not in written
+    drawn = [resample.bootstrap_areas(long, ["score_column"], 30, 7, 5, precision=p).orderBy("replicate") for p in (True, False)]
+    assert [r.roc_auc for r in drawn[0].collect()] == [r.roc_auc for r in drawn[1].collect()] and "pr_auc" not in drawn[1].columns
+    none = resample.bootstrap_areas(long.where("score is null"), ["score_column"], 30, 7, precision=False)
+    assert none.count() == 0
+
+
+def test_large_ranges_have_the_areas_of_their_counts(spark):
+    """Two ranges of several pieces, with scores of many units and of both
+    classes: a replicate's areas against those of all counts together."""
+    n, per_range = 100_000, 60_000
+    of = lambda i: (np.where(i % 3 == 0, 1 + (i % 50 == 0) * 30, 0), np.where((i % 3 != 0) | (i % 7 == 0), 1 + (i % 11 == 0), 0))
+    pos, neg = of(np.arange(n))
+    units = spark.range(n).withColumn("pos", F.when(F.expr("id % 3 = 0"), F.expr("if(id % 50 = 0, 31, 1)")).otherwise(0)).withColumn("neg", F.when(F.expr("id % 3 <> 0 or id % 7 = 0"), F.expr("if(id % 11 = 0, 2, 1)")).otherwise(0))
+    long = units.select(F.lit("s").alias("score_column"), F.col("id").cast("double").alias("score"), F.explode(F.expr("concat(array_repeat(1, pos), array_repeat(0, neg))")).alias("target"))
+    got = {r.replicate: (r.roc_auc, r.pr_auc) for r in resample.bootstrap_areas(long, ["score_column"], 2, 5, per_range).collect()}
+    for b in (0, 1):
+        drawn = np.zeros((2, n), np.int64)
+        for cut in (0, 1):
+            rng, end = np.random.default_rng([5, cut, b]), min(n, (cut + 1) * per_range)
+            for i in reversed(range(cut * per_range, end, resample.PIECE)):
+                at = np.arange(i, min(end, i + resample.PIECE))
+                where = [(k, at[x[at] > 0]) for k, x in enumerate((pos, neg))]
+                means = np.concatenate([(pos, neg)[k][w] for k, w in where])
+                counts = resample.single_counts(rng, len(means), resample.rooms()).copy()
+                counts[means > 1] = rng.poisson(means[means > 1])
+                (_, a), (_, z) = where
+                drawn[0, a], drawn[1, z] = counts[: len(a)], counts[len(a) :]
+        p, q = drawn
+        assert abs(p.sum() / pos.sum() - 1) < 0.02 and abs(q.sum() / neg.sum() - 1) < 0.02 and not p[pos == 0].any() and not q[neg == 0].any()
+        tp, fp = np.cumsum(p[::-1])[::-1], np.cumsum(q[::-1])[::-1]
+        assert got[b][0] == pytest.approx((p * (np.cumsum(q) - q / 2)).sum() / p.sum() / q.sum(), rel=1e-12)
+        assert got[b][1] == pytest.approx((p * tp / np.maximum(tp + fp, 1)).sum() / p.sum(), rel=1e-12)
+
+
+def test_single_counts_are_those_of_the_share():
+    k, room = 2 * resample.PIECE - 3, resample.rooms()
+    seen = np.zeros(8)
+    for seed in range(20):
+        got = resample.single_counts(np.random.default_rng(seed), k, room)
+        raw = np.random.default_rng(seed).bit_generator
+        first = raw.random_raw(-(-k // 4)).view(np.uint16)[:k].astype(np.uint64)
+        low, high = (np.searchsorted(resample.POISSON, (first + e) / 65536, "right") for e in (0, 1 - 2.0**-37))
+        assert np.array_equal(got[low == high], low[low == high]) and ((low <= got) & (got <= high)).all()
+        rest = np.flatnonzero(resample._FIRST[first.astype(int)] == 255)
+        share = (((first[rest] << np.uint64(48)) | (raw.random_raw(len(rest)) >> np.uint64(16))) >> np.uint64(11)) / float(1 << 53)
+        assert np.array_equal(got[rest], np.searchsorted(resample.POISSON, share, "right"))
+        seen += np.bincount(np.minimum(got, 7), minlength=8)
+    law = np.diff(np.concatenate([[0], resample.POISSON[:7], [1]])) * seen.sum()
+    assert ((seen - law) ** 2 / law).sum() < 24.3  # one in a thousand
+
+
+def test_rules_have_the_intervals_that_they_ask_for(spark, monkeypatch):
+    given, rules = [], prereg.rules
+    monkeypatch.setattr(prereg, "rules", lambda areas, facts: given.append((areas, facts)) or rules(areas, facts))
+    of, long = evaluate.auc_with_ci, []
+    monkeypatch.setattr(evaluate, "auc_with_ci", lambda rows, **k: long.append(rows) or of(rows, **k))
+    told = extras.prereg_rules_ci(spark, SF).collect()
+    areas, facts = given[0]
+    low = {r.score_column: r.ci_low for r in areas.collect()}
+    asked = {*prereg.DISABLED, *prereg.ENABLED} & set(extras.FEATURES)
+    assert set(low) == set(extras.FEATURES) and {c for c, x in low.items() if x is not None} == asked
+    every = of(long[0])
+    assert every.where("ci_low is null").isEmpty()
+    assert len(told) == 10 and sorted(told) == sorted(rules(every, facts).select("rule", "measured", "held").collect())
